@@ -10,6 +10,32 @@ from pyspark.sql import functions as F
 from stresslens.llm.common import table
 
 
+def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import privacy
+
+    return privacy.report(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import sharding
+
+    d = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import topk
+
+    v = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(v, v.where("vec_id % 20 = 0"), 20)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stresslens.llm import simhash
 
@@ -17,6 +43,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stresslens.llm.repeats import remove_repeats
 
@@ -28,4 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from stresslens.llm import mixing
+
+    return {"op8_mixing": mixing.MIX_SQL}

@@ -185,6 +185,19 @@ def score(documents: DataFrame, model: Model, text: str = "text", doc_id: str =
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of documents whose predicted label is 1, in one pass."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, m = Features(), shared.value
+        for batch in batches:
+            good = [m.score(features(t)) >= 0.5 for t in raw(batch.column(batch.schema.get_field_index(text)))]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; learned from labels of documents that aren't held out."""
     model = train(documents, labels.where(~held_out(F.col("doc_id"))), sample)

@@ -16,6 +16,12 @@ def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stresslens.llm import quality
 

@@ -11,7 +11,6 @@ and then compares only what isn't yet in the bucket's commonest component.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.llm.common import components, cut
+from stresslens.llm.texts import pieces, raw
 
 SEED = 42
-#: Longer texts are hashed in pieces of so many bytes.
-PIECE = 1 << 22
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -43,17 +40,13 @@ def _tally(words: list[bytes], size: int, counts: np.ndarray) -> int:
 
 def fingerprint(text: bytes, size: int) -> int:
     """The SimHash of a text's word shingles, as a signed 64-bit number; 0 without words."""
-    counts, total, carry, at = np.zeros(2048, np.int64), 0, [], 0
-    text = text.lower()
-    while at < len(text):
-        end = len(text)
-        if end - at > PIECE and (m := _BLANK.search(text, at + PIECE)):
-            end = m.start() + 1
-        words = carry + text[at:end].split()
+    counts, total, carry = np.zeros(2048, np.int64), 0, []
+    for piece in pieces(text.lower()):
+        words = carry + piece.split()
         if len(words) >= size:
             total += _tally(words, size, counts)
             words = words[len(words) - size + 1 :]
-        carry, at = words, end
+        carry = words
     if not total and carry:
         total = _tally([b" ".join(carry)], 1, counts)
     ones = (counts.reshape(8, 256) @ _BITS).ravel()
@@ -61,14 +54,14 @@ def fingerprint(text: bytes, size: int) -> int:
 
 
 def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, fp for every row of documents (doc_id, text)."""
+    """doc_id, th (xxhash64 of the text), fp for every row of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t.as_buffer().to_pybytes(), size) if t.is_valid else 0 for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t, size) for t in raw(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["doc_id", "th", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def variants(fp: Column, distance: int) -> Column:
@@ -117,12 +110,22 @@ def groups(documents: DataFrame, words: int = 4, distance: int = 4, text: str =
     Null and blank texts have the fingerprint zero and are linked like any other. A null doc_id is never a
     component_id unless the whole component has none. Repeated rows each come back. Other columns are not looked at.
     """
-    prints = cut(fingerprints(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words))
-    roots = link(prints, distance)
-    named = prints.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("c"))
+    named = _named(documents, words, distance, text, doc_id)
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "c").select("doc_id", "fp", "component_id")
 
 
+def _named(documents: DataFrame, words: int, distance: int, text: str, doc_id: str) -> DataFrame:
+    prints = cut(fingerprints(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words))
+    return prints.join(link(prints, distance), "fp", "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("c"))
+
+
+def representatives(documents: DataFrame, words: int = 4, distance: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, th: of each group the document with the smallest id, and of its texts the one with the smallest hash."""
+    named = _named(documents, words, distance, text, doc_id)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    return named.groupBy("c").agg(first.alias("x")).select("x.doc_id", "x.th")
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

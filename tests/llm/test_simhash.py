@@ -4,6 +4,7 @@ import re
 import xxhash
 
 from stresslens.llm import simhash
+from stresslens.llm import texts as texts_
 
 
 def plain(text, size=4):
@@ -18,7 +19,7 @@ def test_fingerprint(monkeypatch):
     texts = ["", " \t\n", "Ein Wort", "a b c d", "É É x y z  Z\x0b\x0cq"] + [" ".join(r.choice("abÜC") * r.randint(1, 4) for _ in range(n)) for n in (3, 4, 5, 50, 400)]
     for t in texts:
         assert simhash.fingerprint(t.encode(), 4) % (1 << 64) == plain(t)
-    monkeypatch.setattr(simhash, "PIECE", 7)
+    monkeypatch.setattr(texts_, "PIECE", 7)
     for t in texts:
         assert simhash.fingerprint(t.encode(), 4) % (1 << 64) == plain(t)
 

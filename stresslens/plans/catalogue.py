@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from stresslens.plans import registry
 
-from pyspark.sql import DataFrame, SparkSession
 
+def _load() -> None:
+    from stresslens.plans import metric_queries, operating_queries, validation_queries  # noqa: F401
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.ORACLES)

@@ -42,6 +42,16 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(v, v.where("vec_id % 20 = 0"), 20)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: each source is a tree of directories of a thousand and of ten ids."""
+    from stresslens.llm import licenses
+
+    d = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), *[F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 10)], F.col("doc_id").cast("string"))
+    r = licenses.scan(d.select(F.col("doc_id").alias("id"), path.alias("path"), "text"))
+    return r.withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stresslens.llm import simhash
 

@@ -44,7 +44,7 @@ def sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f01_row_violations", f"""WITH {_SPARSE}, v AS (SELECT sample_id, unnest(list_filter([CASE WHEN label NOT IN (0, 1) THEN 'label' END, CASE WHEN NOT (p_fake BETWEEN 0 AND 1) THEN 'p_fake' END, CASE WHEN NOT (reliability BETWEEN 0 AND 1) THEN 'reliability' END,
-CASE WHEN inference_ms < 0 THEN 'inference_ms' END, CASE WHEN source_group = '' THEN 'source_group' END], x -> x IS NOT NULL)) AS reason FROM sparse) SELECT reason, CAST(count(*) AS bigint) AS n, min(sample_id) AS example FROM v GROUP BY ALL""")
+CASE WHEN inference_ms < 0 THEN 'inference_ms' END, CASE WHEN source_group = '' THEN 'source_group' END], lambda x: x IS NOT NULL)) AS reason FROM sparse) SELECT reason, CAST(count(*) AS bigint) AS n, min(sample_id) AS example FROM v GROUP BY ALL""")
 def f01(spark: SparkSession, d: str) -> DataFrame:
     return validate.row_violations(sparse(spark, d))
 
@@ -102,7 +102,7 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return a.intersect(b).agg(F.count("*").alias("shared"))
 
 
-@query("f14_dev_sufficiency", f"WITH {_SPARSE}, f AS (SELECT part, list(DISTINCT family) AS have FROM sparse JOIN conditions USING (condition_id) WHERE label = 1 GROUP BY part) SELECT part, CAST(len(list_filter(['jpeg', 'blur', 'resize', 'noise', 'color', 'crop'], x -> NOT list_contains(have, x))) AS int) AS missing FROM f WHERE missing > 0")
+@query("f14_dev_sufficiency", f"WITH {_SPARSE}, f AS (SELECT part, list(DISTINCT family) AS have FROM sparse JOIN conditions USING (condition_id) WHERE label = 1 GROUP BY part) SELECT part, CAST(len(list_filter(['jpeg', 'blur', 'resize', 'noise', 'color', 'crop'], lambda x: NOT list_contains(have, x))) AS int) AS missing FROM f WHERE missing > 0")
 def f14(spark: SparkSession, d: str) -> DataFrame:
     return validate.families_missing(grid.with_family(sparse(spark, d)), ["part"]).select("part", F.size("missing").alias("missing"))
 

@@ -124,7 +124,7 @@ class Scan:
                 for i in np.flatnonzero(fine).tolist():
                     j = i + skip
                     yield size, base + j, int(w[i].view(np.int64)), 0, [tokens[j + k].strip(_EDGE).decode("utf-8", "replace").lower() for k in np.flatnonzero(slot[j : j + size]).tolist()]
-            keep = min(len(tokens), WINDOW - 1)
+            keep = min(len(tokens), WINDOW)  # one more than a window's rest: a unit is told by the number before it
             start = bool(template.kind[template.memo[tokens[-keep - 1]]] & 8) if len(tokens) > keep else start
             base += len(tokens) - keep
             carry = tokens[len(tokens) - keep :]

@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-Natively: every line of a text that speaks of a licence, with the line after it, is a header; a text most of whose
-words are such lines, or that is named like one, is a licence file. Terms of headers are weighted by their frequency
+Natively: the sentences of a text that speak of a licence are its header; a text most of whose words are such
+sentences, or that is named like one, is a licence file. Terms of headers are weighted by their frequency
 and by how few of the corpus's headers and templates have them; a header's cosine to each template comes from one
 equality join on terms. A file without a licence of its own takes the one of the licence file in its nearest ancestor
 directory, found by joining the directories above a path to the directories of licence files.
@@ -35,7 +35,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited"),
 )
-#: A line with one of these is a header.
+#: A sentence with one of these belongs to the header.
 CUES = r"(?i)licen[sc]e|copyright|public domain|all rights reserved|free software|spdx-"
 FILE_NAMES = r"(?i)(^|/)(un)?licen[sc]e[^/]*$|(?i)(^|/)copying[^/]*$"
 
@@ -51,8 +51,8 @@ def ancestors(path: Column) -> Column:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """id, path, header (its lines, null without), share (of the words), for id, path, text."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    """id, path, header (its sentences, null without), share (of the words), for id, path, text."""
+    lines = F.split(F.coalesce("text", F.lit("")), r"\n|(?<=[.!?;])\s+")
     picked = F.filter(lines, lambda x: x.rlike(CUES))
     # most texts have none: they are told by one look
     header = F.when(F.coalesce(F.col("text").rlike(CUES), F.lit(False)), F.array_join(picked, " "))

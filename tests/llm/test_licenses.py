@@ -45,15 +45,16 @@ def test_cosine_against_brute_force(spark):
     words = lambda t: [w for w in re.sub(r"[^\w.]+|_|\.(?![0-9])", " ", t.lower()).split(" ") if w]
     df = spark.createDataFrame([(i, f"{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
     got = {x.id: (x.license, x.score) for x in licenses.scan(df, threshold=0.0).where("kind in ('file', 'header')").collect()}
-    cue = [t for t in texts if re.search(licenses.CUES[4:], t, re.I)]
+    header = lambda t: " ".join(x for x in re.split(r"\n|(?<=[.!?;])\s+", t) if re.search(licenses.CUES[4:], x, re.I))
+    cue = [header(t) for t in texts if header(t)]
     count = Counter(w for t in cue + [t for _, t in licenses.TEMPLATES] for w in set(words(t)))
     n = len(cue) + len(licenses.TEMPLATES)
     vocabulary = {w for _, t in licenses.TEMPLATES for w in words(t)}
     weigh = lambda t: {w: (1 + math.log(k)) * (math.log((n + 1) / (count[w] + 1)) + 1) for w, k in Counter(words(t)).items() if w in vocabulary}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     for i, t in enumerate(texts):
-        if t not in cue or not weigh(t):
+        v = weigh(header(t))
+        if not v:
             continue
-        v = weigh(t)
         best = max(sum(v[w] * u.get(w, 0) for w in v) / norm(v) / norm(u) for u in (weigh(x) for _, x in licenses.TEMPLATES))
         assert abs(got[i][1] - best) < 1e-6

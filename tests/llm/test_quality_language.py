@@ -114,7 +114,7 @@ def test_probabilities_add_up_and_entropy_is_theirs():
         assert np.all(np.abs(sums - 1) < 0.05), (context, sums)
     for text in ("banana", "wikiki and", "qqq", "ba"):
         h, ok = m.entropies(["kiwi", text, ""], normal)
-        s = " " + text
+        s = f" {text} "
         want = -sum(p(s[max(0, i - 3) : i], s[i]) for i in range(1, len(s))) / (len(s) - 1)
         assert ok.tolist() == [True, True, False] and np.allclose(h[1], want, atol=1e-5)
     assert [x[0] for x in m.predict(["banana", "kiwi ki", "1 2 3"], normal)] == ["a", "b", "und"]

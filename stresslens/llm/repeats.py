@@ -4,7 +4,7 @@ A suffix array up to `length` is refined only where it can matter. The scan of a
 are the smallest in hash of some run of 128 positions (so every string of `length` bytes holds one at the same
 place in each of its copies). Round one ranks them by the string of length - 127 bytes that starts there; whoever
 is alone in its rank drops out. Each later round pairs what is left with the ranks at growing offsets to both
-sides (strings of 185, 199 and 200 bytes for a threshold of 200), again drops who is alone, and reports as
+sides (strings of 169, 193, 199 and 200 bytes for a threshold of 200), again drops who is alone, and reports as
 repeated the strings that outlast the threshold. Equal strings go on as one row of weight two, so a group of
 copies costs one row a round however large it is.
 """
@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stresslens.llm.common import cut
+from stresslens.llm.common import packed
 
 OFFSETS = 128
 #: The offsets of a round's rows are split into so many.
-FANOUT = (8, 8, 2)
+FANOUT = (4, 4, 4, 2)
 CHUNK = 1 << 20
 
 
@@ -104,7 +104,7 @@ class Scanner:
                 which, at, core, sup = self.long(b) if len(b) > 4 * CHUNK else self.piece(b, starts, ends)
                 if len(at):
                     rows = pa.array(which + i)
-                    yield pa.record_batch([ids.take(rows), hashes.take(rows), pa.array(at - starts[which], pa.int32()), pa.array(core), pa.array(sup)], ["doc_id", "th", "pos", "core", "sup"])
+                    yield pa.record_batch([ids.take(rows), hashes.take(rows), pa.array(at - starts[which], pa.int32()), pa.array(core), pa.array(sup)], ["doc_id", "tag", "pos", "core", "sup"])
                 i = j
 
 
@@ -132,49 +132,69 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _core(length: int) -> Column:
-    """The rank of the string that the offsets x to y of a row have in common."""
-    wide = F.col("y") - F.col("x")
-    return F.xxhash64("x", F.substring(F.col("data"), wide - F.col("lo") + 1, F.lit(length) - wide))
+def _ranked(x: Column, y: Column, length: int) -> list[Column]:
+    """Of the offsets x to y around a position (pos, lo, data): the rank of the string that they have in common, and of all they cover.
+
+    data begins at offset OFFSETS - 1 - lo before the position. Null where the text holds none of these offsets whole.
+    """
+    left = F.lit(OFFSETS - 1) - F.col("lo")
+    start, end = F.greatest(left - y, F.lit(0)), F.least(left - x + length, F.octet_length("data"))
+    common = F.substring("data", left - x + 1, F.lit(length) - (y - x))
+    data = F.substring("data", start + 1, end - start)
+    clip = F.greatest(y - left, F.lit(0))
+    inside = (left >= x) & (left - y + length <= F.octet_length("data"))
+    return [F.when(inside, F.xxhash64(x, common)).alias("core"), F.xxhash64(x, clip, data).alias("all")]
 
 
 def repeated_spans(documents: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, th, from_byte, to_byte): stretches of a text that lie in strings of `length` bytes that start elsewhere too.
+    """(doc_id, tag, from_byte, to_byte): stretches of a text that lie in strings of `length` bytes that start elsewhere too.
 
-    th is xxhash64 of the text; stretches may overlap. documents: doc_id, th, text as binary, without null texts.
+    tag is hash(text), to tell rows that share a doc_id; stretches may overlap. documents: doc_id, tag, text as binary,
+    without null texts.
     """
     if length < OFFSETS + 8:
         raise ValueError(f"length must be at least {OFFSETS + 8}")
-    found = documents.select("doc_id", "th", "text").mapInArrow(Scanner(length), "doc_id long, th long, pos int, core long, sup long")
+    found = documents.select("doc_id", "tag", "text").mapInArrow(Scanner(length), "doc_id long, tag int, pos int, core long, sup long")
     ranks = found.groupBy("core").agg(F.count("*").alias("n"), F.min("sup").alias("a"), F.max("sup").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
-    live = cut(found.select("doc_id", "th", "pos", "core").join(ranks, "core").select("doc_id", "th", "pos", "mixed"))
-    whole = live.where("not mixed").select("doc_id", "th", F.greatest(F.col("pos") - OFFSETS + 1, F.lit(0)).alias("from_byte"), (F.col("pos") + length).alias("to_byte"))
-    at = live.where("mixed").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("at"))
-    d = documents.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "text")
-    around = F.transform("at", lambda p: F.struct(p.alias("pos"), F.greatest(F.lit(OFFSETS - 1) - p, F.lit(0)).alias("lo"), F.substring(F.col("text"), F.greatest(p - OFFSETS + 2, F.lit(1)), F.least(p, F.lit(OFFSETS - 1)) + length).alias("data")))
-    first = at.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
-    rows = first.select("doc_id", "th", F.explode(around).alias("r")).select("doc_id", "th", "r.pos", F.lit(0).alias("x"), F.lit(OFFSETS - 1).alias("y"), "r.lo", "r.data", F.lit(1).alias("weight"))
-    spans, size = [whole], OFFSETS
-    for fan in (*FANOUT, 0):
-        rows = cut(rows.withColumns({"k1": F.xxhash64("x", "lo", "data"), "k2": F.xxhash64(F.lit(1), "lo", "data")}))
-        same = rows.groupBy("x", "y", "lo", "data", "k1", "k2").agg(F.sum("weight").alias("n"), F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.min("pos").alias("pos"))
-        same = cut(same.withColumn("core", _core(length)))
-        again = same.where("n > 1").select("k1", "k2")
-        spans.append(rows.where("weight = 1").join(again, ["k1", "k2"]).select("doc_id", "th", (F.col("pos") - F.col("y") + F.col("lo")).alias("from_byte"), (F.col("pos") - F.col("y") + F.col("lo") + F.octet_length("data")).alias("to_byte")))
-        if not fan:
-            break
-        more = same.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    live = packed(found.join(ranks, "core").select("doc_id", "tag", "pos", F.when(F.col("mixed"), F.col("core")).alias("core"), F.when(F.col("mixed"), F.col("sup")).alias("sup")))
+    mixed = live.where("core is not null")
+    same = packed(mixed.groupBy("core", "sup").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos")).alias("one")))
+    # positions whose surroundings are the same all the way are repeated whole; of each sort one goes on, for the others to be held against
+    whole = live.where("core is null").select("doc_id", "tag", "pos").unionByName(mixed.join(same.where("n > 1").select("core", "sup"), ["core", "sup"]).select("doc_id", "tag", "pos"))
+    whole = whole.select("doc_id", "tag", F.greatest(F.col("pos") - OFFSETS + 1, F.lit(0)).alias("from_byte"), (F.col("pos") + length).alias("to_byte"))
+    at = same.groupBy("one.doc_id", "one.tag").agg(F.collect_list(F.struct("one.pos", F.least("n", F.lit(2)).cast("int").alias("weight"))).alias("at"))
+    d = documents.select(F.col("doc_id").alias("d"), F.col("tag").alias("h"), "text")
+    around = F.transform("at", lambda a: F.struct(a["pos"].alias("pos"), a["weight"].alias("weight"), F.greatest(F.lit(OFFSETS - 1) - a["pos"], F.lit(0)).alias("lo"), F.substring(F.col("text"), F.greatest(a["pos"] - OFFSETS + 2, F.lit(1)), F.least(a["pos"], F.lit(OFFSETS - 1)) + length).alias("data")))
+    first = at.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("h")))
+    place = packed(first.select("doc_id", "tag", F.explode(around).alias("r")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "tag", "r.pos", "r.weight", "r.lo", "r.data"))
+    parts, spans, size = place.select("id", F.lit(0).alias("x0"), "weight", "lo", "data"), [], OFFSETS
+    for fan in FANOUT:
         size //= fan
-        low, high = F.col("x") + F.col("c") * size, F.col("x") + (F.col("c") + 1) * size - 1
-        base = F.col("y") - F.col("lo")
-        parts = same.join(more, "core").withColumn("weight", F.least("n", F.lit(2)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-        parts = parts.select("doc_id", "th", "pos", "weight", "data", low.alias("x2"), high.alias("y2"), base.alias("base")).where((F.col("base") >= F.col("x2")) & (F.col("base") - F.col("y2") + length <= F.octet_length("data")))
-        left = F.greatest(F.col("base") - F.col("y2"), F.lit(0))
-        rows = parts.select("doc_id", "th", "pos", F.col("x2").alias("x"), F.col("y2").alias("y"), F.greatest(F.col("y2") - F.col("base"), F.lit(0)).alias("lo"), F.substring("data", (left + 1).cast("int"), (F.least(F.col("base") - F.col("x2") + length, F.octet_length("data")) - left).cast("int")).alias("data"), "weight")
+        children = [F.struct(c.alias("x"), *_ranked(c, c + size - 1, length)) for c in (F.col("x0") + i * size for i in range(fan))]
+        rows = packed(parts.select("id", "weight", F.explode(F.array(*children)).alias("r")).where("r.core is not null").select("id", "r.x", "weight", "r.core", "r.all"))
+        # who is alone in its rank drops out; where all that share it are the same all the way, they are repeated whole
+        ranks = rows.groupBy("core").agg(F.sum("weight").alias("n"), F.min("all").alias("a"), F.max("all").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
+        live = packed(rows.join(ranks, "core"))
+        spans.append(live.where("not mixed and weight = 1").select("id", "x", F.lit(size).alias("size")))
+        if size == 1:
+            break
+        mixed = live.where("mixed")
+        same = packed(mixed.groupBy("core", "all").agg(F.sum("weight").alias("n"), F.count("*").alias("rows"), F.min("id").alias("id"), F.max("id").alias("last"), F.min("x").alias("x")))
+        again = same.where("n > 1")
+        spans.append(again.select(F.explode(F.array_distinct(F.array("id", "last"))).alias("id"), "x", F.lit(size).alias("size")))
+        spans.append(mixed.where("weight = 1").join(again.where("rows > 2").select("core", "all"), ["core", "all"]).select("id", "x", F.lit(size).alias("size")))
+        parts = same.select("id", F.col("x").alias("x0"), F.least("n", F.lit(2)).cast("int").alias("weight")).join(place.select("id", "lo", "data"), "id")
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
-    return out
+    y, left = F.col("x") + F.col("size") - 1, F.lit(OFFSETS - 1) - F.col("lo")
+    fine = out.join(place.select("id", "doc_id", "tag", "pos", "lo", F.octet_length("data").alias("n")), "id").select(
+        "doc_id",
+        "tag",
+        (F.col("pos") - left + F.greatest(left - y, F.lit(0))).alias("from_byte"),
+        (F.col("pos") - left + F.least(left - F.col("x") + length, F.col("n"))).alias("to_byte"),
+    )
+    return whole.unionByName(fine)
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -185,9 +205,9 @@ def remove_repeats(documents: DataFrame, length: int = 200, text: str = "text",
     same row given twice included; a null doc_id is carried along. Other columns are not looked at.
     """
     d = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b"")).alias("text"))
-    d = d.withColumn("th", F.xxhash64("text"))
+    d = d.withColumn("tag", F.hash("text"))
     spans = repeated_spans(d, length)
-    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct(F.col("from_byte").cast("int").alias("f"), F.col("to_byte").cast("int").alias("t"))).alias("spans"))
-    both = d.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("h")).agg(F.collect_list(F.struct(F.col("from_byte").cast("int").alias("f"), F.col("to_byte").cast("int").alias("t"))).alias("spans"))
+    both = d.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("h")), "left")
     clipped = F.transform("spans", lambda s: F.struct(s["f"].alias("f"), F.least(s["t"], F.octet_length("text")).alias("t")))
     return both.select("doc_id", "text", clipped.alias("spans")).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

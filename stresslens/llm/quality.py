@@ -162,7 +162,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: s
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([features(t) for t in raw(batch.column(2))], pa.list_(pa.int32()))], ["doc_id", "y", "f"])
 
     # at most `sample` ids are sent to every task; the documents stay where they are
-    rows = documents.join(F.broadcast(some), F.col(doc_id) == F.col("_id")).select(F.col("_id").alias("doc_id"), "y", text)
+    d = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
+    rows = d.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("doc_id"), "y", "text")
     found = rows.mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id")
     f = [np.asarray(x.values) for x in found.column("f").combine_chunks()] if found.num_rows else []
     return fit(f, np.asarray(found.column("y"), np.int64))

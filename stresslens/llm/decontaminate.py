@@ -146,7 +146,7 @@ class Scan:
 _OUT = "id long, th long, size int, at long, w long, slots array<string>"
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, run: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, run: int = 6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, th, item_id, coverage, exact, matched: the documents that hold a benchmark item, and which.
 
     th is xxhash64 of the text. A document holds an item if it has `coverage` of the item's windows, or `run` of

@@ -5,8 +5,8 @@ single bit at most: distance // 2 + 1 segments, three for four bits. Each segmen
 bits with that bit wild, so an equality join on (segment, wild bit, remaining bits) brings every such pair
 together, and the distance is verified in the join.
 
-Groups of copies stay cheap: equal fingerprints are one, a bucket first links its members to its smallest one only,
-and then compares only what isn't yet in the bucket's commonest component.
+Groups of copies stay cheap: equal fingerprints are one, a bucket of more than two first links its members to a few
+pivots only, and then compares only what isn't yet in the bucket's commonest component.
 """
 
 from __future__ import annotations
@@ -64,39 +64,48 @@ def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
+#: A bucket's pivots are its least fingerprints under these masks.
+MASKS = (0, 0x5A5A5A5A5A5A5A5A, 0x36C936C936C936C9, -0x0F1E2D3C4B5A6978)
+
+
 def variants(fp: Column, distance: int) -> Column:
-    """One key for each bit of each segment, with that bit wild."""
-    n = distance // 2 + 1
+    """One key for each bit of each segment, with that bit wild: the bit's number above the segment's remaining bits."""
     if not 0 <= distance <= 12:
         raise ValueError("distance must be from 0 to 12")
+    n = distance // 2 + 1
     edges = [64 * i // n for i in range(n + 1)]
     keys = []
     for low, high in zip(edges, edges[1:], strict=False):
-        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << min(high - low, 63)) - 1 if high - low < 64 else -1))
+        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << high - low) - 1)) if high - low < 64 else fp
         for j in range(high - low):
-            wild = ~(1 << j) if j < 63 else (1 << 63) - 1
-            keys.append(F.struct(F.lit(low + j).cast("byte").alias("bit"), part.bitwiseAND(F.lit(wild)).alias("rest")))
+            rest = part.bitwiseAND(F.lit(~(1 << j) if j < 63 else (1 << 63) - 1))
+            keys.append(F.shiftleft(F.lit(low + j).cast("long"), 32).bitwiseOR(rest) if high - low <= 32 else F.xxhash64(F.lit(low + j), rest))
     return F.array(*keys)
 
 
-def _near(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def _near(a: Column, b: Column, distance: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
 def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, root) for every distinct fp that has another within the distance; root is the same for all that are linked."""
-    fps = cut(prints.select("fp").distinct())
-    keyed = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("k")).select("fp", "k.bit", "k.rest")
-    least = keyed.groupBy("bit", "rest").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x").select("bit", "rest", "m")
-    full = cut(keyed.join(least, ["bit", "rest"]))
-    near = full.where(_near("fp", "m", distance) & (F.col("fp") > F.col("m"))).select(F.col("fp").alias("a"), F.col("m").alias("b"))
-    first = cut(components(near).toDF("fp", "root"))
-    named = cut(full.select("bit", "rest", "fp").join(first, "fp", "left").select("bit", "rest", "fp", F.coalesce("root", "fp").alias("c")))
-    counts = named.groupBy("bit", "rest", "c").agg(F.count("*").alias("n"))
-    common = counts.groupBy("bit", "rest").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("bit", "rest", F.col("top.c").alias("common"))
-    mixed = cut(named.join(common, ["bit", "rest"]))
-    others = mixed.where("c <> common").select(F.col("bit").alias("bit2"), F.col("rest").alias("rest2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    pairs = mixed.join(others, (F.col("bit") == F.col("bit2")) & (F.col("rest") == F.col("rest2")) & (F.col("c") != F.col("c2")) & _near("fp", "fp2", distance))
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = cut(prints.select("fp").distinct().repartition(spread, "fp"))
+    keyed = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where((F.col("n") > 2) | (F.col("n") == 2) & _near(F.col("a"), F.col("b"), distance)))
+    # two in a bucket are its least and its greatest: nothing else is left to compare there
+    edges = buckets.where("n = 2").select("a", "b")
+    full = cut(keyed.join(buckets.where("n > 2").select("key"), "key"))
+    pivots = full.groupBy("key").agg(*[F.min(F.col("fp").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(MASKS)]).withColumnRenamed("key", "of")
+    to = [F.when((F.col("fp") != F.col(f"p{i}")) & _near(F.col("fp"), F.col(f"p{i}"), distance), F.col(f"p{i}")) for i in range(len(MASKS))]
+    stars = full.join(pivots, (F.col("key") == F.col("of")) & F.coalesce(*to).isNotNull()).select(F.col("fp").alias("a"), F.explode(F.array_compact(F.array_distinct(F.array(*to)))).alias("b"))
+    first = cut(components(edges.unionByName(stars)).toDF("fp", "root"))
+    named = cut(full.join(first, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("c")))
+    counts = named.groupBy("key", "c").agg(F.count("*").alias("n"))
+    common = counts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.c").alias("common"))
+    mixed = cut(named.join(common, "key"))
+    others = mixed.where("c <> common").select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    pairs = mixed.join(others, (F.col("key") == F.col("key2")) & (F.col("c") != F.col("c2")) & _near(F.col("fp"), F.col("fp2"), distance))
     second = components(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b"))).toDF("root", "top")
     # a fingerprint that the first step left alone can be linked by the second
     linked = first.join(second, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))

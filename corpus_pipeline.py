@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stresslens.llm import decontaminate, mixing, quality, sharding, simhash
-from stresslens.llm.common import checkpoint_dir, table, times
+from stresslens.llm.common import checkpoint_dir, cut, table, times
 from stresslens.llm.texts import held_out
 
+#: Output shards of the mix and of the last stage.
+SHARDS = 40
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -30,14 +33,19 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it, to the nearest whole document."""
-    mixed = mixing.mix(docs)
-    return times(docs, mixed.groupBy("doc_id", "th").agg(F.sum("copies").alias("n")))
+    """The mix as dealt to the shards: each document as often as the mix takes it, to the nearest whole document.
+
+    Rows are laid down shard by shard, in a shard's local shuffle.
+    """
+    dealt = mixing.deal(cut(mixing.mix(docs)), SHARDS).where("whole")
+    places = dealt.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))).alias("_places"))
+    rows = times(docs, places.withColumn("n", F.lit(1)), carry=("_places",)).select(*docs.columns, F.inline("_places"))
+    return rows.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each row goes: doc_id, size, text_crc32, shard, slot."""
-    return sharding.shard(docs, 40)
+    return sharding.shard(docs, SHARDS)
 
 
 STAGES = [

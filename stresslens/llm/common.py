@@ -90,17 +90,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def times(documents: DataFrame, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def times(documents: DataFrame, counts: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """The rows of documents, each different (doc_id, text) as often as counts (doc_id, th, n) says; th is xxhash64 of the text.
 
     Rows that counts doesn't have go. A row that documents has several times counts once.
+    carry: columns of counts that the rows get.
     """
     columns = documents.columns
-    given = counts.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("n").alias("_n")).where("_n > 0")
+    given = counts.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("n").alias("_n"), *carry).where("_n > 0")
     d = documents.withColumn("_h", F.xxhash64(text))
     found = d.join(given, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
     several = cut(d.groupBy(F.col(doc_id).alias("_e"), F.col("_h").alias("_g")).agg(F.count("*").alias("_m")).where("_m > 1").select("_e", "_g"))
     if not several.isEmpty():
         same = F.col(doc_id).eqNullSafe(F.col("_e")) & (F.col("_h") == F.col("_g"))
         found = found.join(several, same, "left_anti").unionByName(found.join(several, same, "left_semi").dropDuplicates([doc_id, "_h"]))
-    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*columns)
+    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*columns, *carry)

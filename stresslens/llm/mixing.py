@@ -11,9 +11,13 @@ disjoint and their numbers exact. Inside a shard the permutation's order is the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stresslens.llm.common import BLANKS, cut, running
 
@@ -54,11 +58,11 @@ def targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weights: tupl
 
 
 def mix(documents: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, th (xxhash64 of the text), source, size, source_size, target, taken and copies for every row of documents.
+    """doc_id, th (xxhash64 of the text), source, size, at, source_size, target, taken and copies for every row of documents.
 
     taken counts the words that the mix takes of the row, repeats included, at most `epochs` times its size; over a
     source they add up to its target, rounded down. copies is taken in whole documents, to the nearest. A null text has
-    no words and is never taken; a null source is a source; rows that are the same are rows of their own; the order
+    no words and is never taken; at counts the source's words before the row; a null source is a source; rows that are the same are rows of their own; the order
     and so the result is the same in every run. Other columns are not looked at.
     """
     d = cut(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hashed(F.lit(seed), F.col(doc_id), F.length(text)).alias("h"), F.xxhash64(text).alias("th")))
@@ -67,26 +71,72 @@ def mix(documents: DataFrame, share: float = 1.5, epochs: int = 2, weights: tupl
     d = at.join(goal, F.col("source").eqNullSafe(F.col("s"))).withColumn("goal", F.floor("target").cast("long"))
     taken = sum((F.greatest(F.least(F.col("goal") - F.col("source_size") * e - F.col("at"), F.col("size")), F.lit(0)) for e in range(epochs)), F.lit(0))
     d = d.withColumn("taken", taken.cast("long"))
-    return d.select("doc_id", "th", "source", "size", "source_size", "target", "taken", F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int").alias("copies"))
+    return d.select("doc_id", "th", "source", "size", "at", "source_size", "target", "taken", F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int").alias("copies"))
+
+
+def split(counts: list[int], shards: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
+    """(number of the source, shard, first, end): the ranks of a source's permuted blocks that a shard draws.
+
+    counts: blocks by source. A node of the tree holds a range of shards and blocks of each source; its left half draws
+    its number of blocks without replacement, which is a multivariate hypergeometric draw over the sources, and the
+    right half keeps the rest. Shards differ by one block at most; over the shards a source's quotas add up to counts.
+    """
+    draw = np.random.Generator(np.random.PCG64(seed))
+    total, used = sum(counts), np.zeros(len(counts), np.int64)
+    nodes = [(0, shards, np.arange(len(counts)), np.array(counts, np.int64))]
+    while nodes:
+        low, high, which, held = nodes.pop()
+        some = held > 0
+        which, held = which[some], held[some]
+        if not len(held):
+            continue
+        if high - low == 1:
+            for s, n in zip(which.tolist(), held.tolist(), strict=True):
+                yield s, low, int(used[s]), int(used[s]) + n
+                used[s] += n
+            continue
+        middle = (low + high) // 2
+        left = draw.multivariate_hypergeometric(held, total * middle // shards - total * low // shards, method="marginals")
+        nodes += [(middle, high, which, held - left), (low, middle, which, left)]
 
 
 def deal(mixed: DataFrame, shards: int, block_words: int = 4096, seed: int = 11) -> DataFrame:
-    """doc_id, source, epoch, block, shard, slot: the mix's documents dealt to output shards in whole blocks.
+    """doc_id, th, source, at, epoch, words, whole, block, shard, slot: the mix dealt to output shards in whole blocks.
 
     mixed: what mix() returns. A source's occurrences, in a hashed order, form blocks of about block_words words (an
-    occurrence belongs to the block in which it starts). The numbers of blocks of the shards differ by one at most.
+    occurrence belongs to the block in which it starts). split() draws how many blocks of each source a shard gets;
+    it gets so many of the source's blocks in their permuted order, and slot is its local shuffle. words are those
+    that the mix takes of the occurrence, so over all shards they add up to taken; whole says if that is half of it or
+    more. The numbers of blocks by source come to the driver.
     """
-    whole = mixed.where("taken > 0").select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0), F.greatest("copies", F.lit(1)) - 1)).alias("epoch"))
-    whole = cut(whole.withColumn("h", hashed(F.lit(seed), F.col("epoch"), F.col("doc_id"), F.col("size"))))
-    lined = running(whole, ["source"], F.shiftleft("h", 3), ["doc_id", "epoch"], F.col("size"), "at").withColumn("block", F.floor(F.col("at") / block_words).cast("long"))
+    spark = mixed.sparkSession
+    epochs = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("epoch")
+    taken = mixed.where("taken > 0").select("doc_id", "th", "source", "at", "size", "taken", epochs)
+    taken = taken.withColumn("words", F.least("size", F.col("taken") - F.col("epoch") * F.col("size"))).drop("taken")
+    taken = cut(taken.withColumn("h", hashed(F.lit(seed), F.col("epoch"), F.col("doc_id"), F.col("size"))))
+    lined = running(taken, ["source"], F.shiftleft("h", 3), ["doc_id", "epoch", "at"], F.col("words"), "line").withColumn("block", F.floor(F.col("line") / block_words).cast("long"))
     lined = cut(lined)
-    blocks = lined.select("source", "block").distinct().withColumn("b", hashed(F.lit(seed + 1), F.col("source"), F.col("block")))
-    ranked = cut(running(blocks, [], F.shiftleft("b", 3), ["source", "block"], F.lit(1), "rank"))
-    total = ranked.count()
-    path = ranked.select(F.col("source").alias("s"), F.col("block").alias("k"), F.floor(F.col("rank") * shards / F.lit(max(total, 1))).cast("int").alias("shard"), "rank")
+    blocks = cut(lined.select("source", "block").distinct())
+    counts = sorted(blocks.groupBy("source").count().collect(), key=lambda r: (r.source is None, r.source))
+    quotas = [(counts[s].source, j, first, end) for s, j, first, end in split([r["count"] for r in counts], shards, seed)]
+    schema = T.StructType([T.StructField("s", mixed.schema["source"].dataType)]).add("shard", T.IntegerType()).add("first", T.LongType()).add("end", T.LongType())
+    drawn = spark.createDataFrame(quotas, schema).select("s", "shard", F.explode(F.sequence("first", F.col("end") - 1)).alias("drawn"))
+    permuted = F.shiftleft(hashed(F.lit(seed + 1), F.col("source"), F.col("block")), 3)
+    ranked = running(blocks, ["source"], permuted, ["block"], F.lit(1), "rank")
+    path = ranked.join(drawn, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("drawn")))
+    path = cut(path.select(F.col("source").alias("s"), F.col("block").alias("k"), "shard"))
     dealt = lined.join(path, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
-    mixed_order = F.shiftleft(hashed(F.lit(seed + 2), F.col("rank"), F.col("h")), 3)
-    return running(dealt, ["shard"], mixed_order, ["doc_id", "epoch"], F.lit(1), "slot").select("doc_id", "source", "epoch", "block", "shard", "slot")
+    mixed_order = F.shiftleft(hashed(F.lit(seed + 2), F.col("source"), F.col("block"), F.col("h")), 3)
+    dealt = running(dealt, ["shard"], mixed_order, ["doc_id", "epoch", "at"], F.lit(1), "slot")
+    return dealt.select("doc_id", "th", "source", "at", "epoch", "words", (F.col("words") * 2 >= F.col("size")).alias("whole"), "block", "shard", "slot")
+
+
+def drawn(mixed: DataFrame, dealt: DataFrame) -> DataFrame:
+    """mixed with taken as the words of the blocks that deal() gave to the shards; a row is told by source and at."""
+    words = dealt.groupBy(F.col("source").alias("s"), F.col("at").alias("a")).agg(F.sum("words").alias("words"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") > 0)
+    columns = [F.coalesce("words", F.lit(0)).cast("long").alias(c) if c == "taken" else F.col(c) for c in mixed.columns]
+    return mixed.join(words, same, "left").select(*columns)
 
 
 MIX_SQL = """

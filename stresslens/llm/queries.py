@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stresslens.llm.common import table
+from stresslens.llm.common import cut, table
 
 
 def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +60,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """taken is what the blocks dealt to forty shards hold; shards themselves have no column here, as SQL can't draw them."""
     from stresslens.llm import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = cut(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.drawn(mixed, mixing.deal(mixed, 40)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

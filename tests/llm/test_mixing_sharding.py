@@ -70,9 +70,47 @@ def test_deal(spark):
     assert sorted(x.slot for x in dealt if x.shard == 0) == list(range(sum(x.shard == 0 for x in dealt)))
 
 
+def test_split_draws_exact_quotas():
+    counts = [1000, 0, 37, 3]
+    seen = []
+    for seed in range(200):
+        got = list(mixing.split(counts, 7, seed))
+        for s, n in enumerate(counts):
+            ranks = sorted(i for x, _, first, end in got if x == s for i in range(first, end))
+            assert ranks == list(range(n))
+        held = [sum(e - f for _, k, f, e in got if k == j) for j in range(7)]
+        assert sum(held) == 1040 and max(held) - min(held) <= 1
+        seen.append(sum(e - f for s, k, f, e in got if s == 2 and k == 0))
+    # hypergeometric: 148 or 149 of 1040 blocks drawn, 37 of them of this source
+    mean = sum(seen) / 200
+    assert abs(mean - 37 / 7) < 0.6 and 3 < sum((x - mean) ** 2 for x in seen) / 200 < 5.5
+    assert list(mixing.split([], 7, 1)) == [] and list(mixing.split([1], 1, 1)) == [(0, 0, 0, 1)]
+
+
+def test_shards_hold_the_whole_mix_by_their_quotas(spark):
+    mixed = mixing.mix(spark.createDataFrame(rows(), SCHEMA)).cache()
+    frame = mixing.deal(mixed, 4, block_words=200)
+    dealt = frame.collect()
+    blocks = defaultdict(set)
+    for x in dealt:
+        blocks[x.source].add(x.block)
+    order = sorted(blocks, key=lambda s: (s is None, s))
+    got = Counter(k for k in {(x.source, x.shard, x.block) for x in dealt})
+    per = Counter((s, j) for s, j, _ in got)
+    assert per == Counter({(order[s], j): e - f for s, j, f, e in mixing.split([len(blocks[s]) for s in order], 4, 11)})
+    again = mixing.drawn(mixed, frame)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, mixed.collect()), key=str)
+    copies = Counter((x.doc_id, x.th) for x in dealt if x.whole)
+    want = Counter()
+    for x in mixed.collect():
+        want[x.doc_id, x.th] += x.copies
+    assert copies == +want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(none).count() == 0
+    assert mixing.deal(mixing.mix(none), 4).count() == 0
     assert sharding.shard(none).count() == 0
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stresslens.llm import decontaminate, mixing, quality, sharding, simhash
+from stresslens.llm import decontaminate, mixing, quality, sharding, similar
 from stresslens.llm.common import checkpoint_dir, cut, table, times
 from stresslens.llm.texts import held_out
 
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return times(docs, simhash.representatives(docs).withColumn("n", F.lit(1)))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return times(docs, similar.representatives(docs).withColumn("n", F.lit(1)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ A text's tokens are canonicalised into a template: numbers, names and units beco
 eight template tokens are hashed; windows of documents that may be in the benchmark (a bitmap of fixed size tells)
 are joined to the benchmark's by hash. Where windows of an item follow each other in a document, the values in their
 slots must map one to one from item to document; then a template counts as the same question with other values.
+What is a name is told by capitals and the sentence's start, which differ between copies; so windows are hashed in a
+second, plain form too, in which only numbers are placeholders, and either form may match.
 """
 
 from __future__ import annotations
@@ -70,8 +72,8 @@ class Template:
         self.memo[token] = n
         return n
 
-    def __call__(self, tokens: list[bytes], start: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The template's tokens as hashes, and which are slots. start: the first token starts a sentence."""
+    def __call__(self, tokens: list[bytes], start: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The tokens as hashes, and which are slots, as a template and in the plain form. start: the first token starts a sentence."""
         if len(self.memo) > _MEMO:
             self.reset()
         memo, get = self.memo, self.memo.get
@@ -85,7 +87,8 @@ class Template:
         h = np.where(opens, self.first[where], self.inner[where])
         unit = ((kind & 2) > 0) & np.concatenate([[False], (kind[:-1] & 1) > 0])
         h[unit] = np.uint64(xxhash.xxh64_intdigest(b"<unit>"))
-        return h, ((kind & 1) > 0) | unit | (((kind & 4) > 0) & ~opens)
+        number = (kind & 1) > 0
+        return [(h, number | unit | (((kind & 4) > 0) & ~opens)), (self.first[where], number)]
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -110,20 +113,25 @@ class Scan:
             tokens = carry + fresh
             if not fresh:
                 continue
-            h, slot = template(tokens, start)
-            literal = np.concatenate([[0], np.cumsum(~slot)])
+            forms = [(h, slot, np.concatenate([[0], np.cumsum(~slot)])) for h, slot in template(tokens, start)]
             for size in self.sizes:
                 # what the piece before has already seen whole isn't looked at again
                 skip = max(0, len(carry) - size + 1)
                 if len(tokens) - skip < size:
                     continue
-                w = windows(h[skip:], size)
-                fine = literal[skip + size :] - literal[skip : len(literal) - size] >= LITERAL * size
-                if held is not None:
-                    fine &= held[(w >> np.uint64(64 - BITS)).astype(np.int64)]
-                for i in np.flatnonzero(fine).tolist():
-                    j = i + skip
-                    yield size, base + j, int(w[i].view(np.int64)), 0, [tokens[j + k].strip(_EDGE).decode("utf-8", "replace").lower() for k in np.flatnonzero(slot[j : j + size]).tolist()]
+                seen = None
+                for h, slot, literal in forms:
+                    w = windows(h[skip:], size)
+                    fine = literal[skip + size :] - literal[skip : len(literal) - size] >= LITERAL * size
+                    if seen is None:
+                        seen = np.where(fine, w, ~w)
+                    else:
+                        fine &= w != seen  # without names and units both forms are the same
+                    if held is not None:
+                        fine &= held[(w >> np.uint64(64 - BITS)).astype(np.int64)]
+                    for i in np.flatnonzero(fine).tolist():
+                        j = i + skip
+                        yield size, base + j, int(w[i].view(np.int64)), 0, [tokens[j + k].strip(_EDGE).decode("utf-8", "replace").lower() for k in np.flatnonzero(slot[j : j + size]).tolist()]
             keep = min(len(tokens), WINDOW)  # one more than a window's rest: a unit is told by the number before it
             start = bool(template.kind[template.memo[tokens[-keep - 1]]] & 8) if len(tokens) > keep else start
             base += len(tokens) - keep

@@ -40,6 +40,23 @@ def test_passages_templates_and_slots(spark):
     assert not found(spark, [])
 
 
+def test_copies_that_differ_in_capitals_and_sentence_starts(spark):
+    items = [(1, "Name the capital of France"), (2, "Where did Marie Curie and Pierre Curie meet Henri Becquerel in Paris?")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = [
+        (1, "A Quiz\nName the capital of France"),
+        (2, "next, Name the capital of France"),
+        (3, items[0][1].upper()),
+        (4, items[1][1].lower()),
+        (5, "so " + items[1][1].upper() + " and on"),
+        (6, "Name the capital of Norway"),
+        (7, "Where did the train stop, and did Marie Curie ever travel by it?"),
+    ]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert set(got) - {(6, 1)} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+    assert all(got[k].exact == got[k].coverage == 1 for k in [(1, 1), (3, 1), (4, 2), (5, 2)])
+
+
 def test_pieces_see_the_same(spark, monkeypatch):
     text = ("filler words go here and on. " * 7 + ITEMS[0][1] + " and again the end. " + ITEMS[1][1] + " yes").encode()
     whole = list(decontaminate.Scan([8, 5], None).text(decontaminate.Template(), None, text))

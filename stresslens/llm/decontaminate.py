@@ -5,7 +5,8 @@ eight template tokens are hashed; windows of documents that may be in the benchm
 are joined to the benchmark's by hash. Where windows of an item follow each other in a document, the values in their
 slots must map one to one from item to document; then a template counts as the same question with other values.
 What is a name is told by capitals and the sentence's start, which differ between copies; so windows are hashed in a
-second, plain form too, in which only numbers are placeholders, and either form may match.
+second, plain form too, in which only numbers are placeholders, and either form may match. Windows that are mostly
+numbers are hashed with their values, so every window of an item has a hash and counts in its total.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from stresslens.llm.texts import pieces, raw
 
 #: Tokens of a window; an item of fewer is one window itself, down to LEAST tokens.
 WINDOW, LEAST = 8, 4
-#: A window needs so many tokens that aren't slots, as a share.
+#: A window with fewer tokens that aren't slots, as a share, counts only where the values of its slots are the same.
 LITERAL = 0.5
 #: The bitmap that spares the join windows that are in no item has 2**BITS bits at any size of the benchmark.
 BITS = 24
@@ -55,6 +56,7 @@ class Template:
         self.memo: dict[bytes, int] = {}
         self.first = np.zeros(1 << 12, np.uint64)
         self.inner = np.zeros(1 << 12, np.uint64)
+        self.plain = np.zeros(1 << 12, np.uint64)
         self.kind = np.zeros(1 << 12, np.uint8)  # 1: a number, 2: a unit, 4: a name within a sentence, 8: a sentence ends
 
     def add(self, token: bytes) -> int:
@@ -65,15 +67,16 @@ class Template:
         slot = xxhash.xxh64_intdigest(b"<number>")
         n = len(self.memo)
         if n == len(self.kind):
-            self.first, self.inner, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.kind))
+            self.first, self.inner, self.plain, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.plain, self.kind))
+        self.plain[n] = plain
         self.first[n] = slot if number else plain
         self.inner[n] = slot if number else xxhash.xxh64_intdigest(b"<name>") if name else plain
         self.kind[n] = number * 1 + (low in UNITS) * 2 + name * 4 + (token.rstrip(b"\"')]}*_")[-1:] in (b".", b"!", b"?", b":")) * 8
         self.memo[token] = n
         return n
 
-    def __call__(self, tokens: list[bytes], start: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The tokens as hashes, and which are slots, as a template and in the plain form. start: the first token starts a sentence."""
+    def __call__(self, tokens: list[bytes], start: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """The tokens as hashes, which are slots, and hashes with the values, as a template (without values) and in the plain form. start: the first token starts a sentence."""
         if len(self.memo) > _MEMO:
             self.reset()
         memo, get = self.memo, self.memo.get
@@ -88,7 +91,7 @@ class Template:
         unit = ((kind & 2) > 0) & np.concatenate([[False], (kind[:-1] & 1) > 0])
         h[unit] = np.uint64(xxhash.xxh64_intdigest(b"<unit>"))
         number = (kind & 1) > 0
-        return [(h, number | unit | (((kind & 4) > 0) & ~opens)), (self.first[where], number)]
+        return [(h, number | unit | (((kind & 4) > 0) & ~opens), None), (self.first[where], number, self.plain[where])]
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -113,20 +116,22 @@ class Scan:
             tokens = carry + fresh
             if not fresh:
                 continue
-            forms = [(h, slot, np.concatenate([[0], np.cumsum(~slot)])) for h, slot in template(tokens, start)]
+            forms = [(h, slot, values, np.concatenate([[0], np.cumsum(~slot)])) for h, slot, values in template(tokens, start)]
             for size in self.sizes:
                 # what the piece before has already seen whole isn't looked at again
                 skip = max(0, len(carry) - size + 1)
                 if len(tokens) - skip < size:
                     continue
                 seen = None
-                for h, slot, literal in forms:
+                for h, slot, values, literal in forms:
                     w = windows(h[skip:], size)
                     fine = literal[skip + size :] - literal[skip : len(literal) - size] >= LITERAL * size
                     if seen is None:
                         seen = np.where(fine, w, ~w)
                     else:
-                        fine &= w != seen  # without names and units both forms are the same
+                        if not fine.all():
+                            w = np.where(fine, w, windows(values[skip:], size))
+                        fine = w != seen  # without names and units both forms are the same
                     if held is not None:
                         fine &= held[(w >> np.uint64(64 - BITS)).astype(np.int64)]
                     for i in np.flatnonzero(fine).tolist():

@@ -57,6 +57,25 @@ def test_copies_that_differ_in_capitals_and_sentence_starts(spark):
     assert all(got[k].exact == got[k].coverage == 1 for k in [(1, 1), (3, 1), (4, 2), (5, 2)])
 
 
+def test_windows_of_numbers_and_names_count_by_their_values(spark):
+    items = [
+        (1, "1 1 2 3 5 8 13 21 34 55 89 144"),
+        (2, "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy"),
+        (3, "please continue this list of numbers for me 2 3 5 7 11 13 17 19 23 29 31 37 41 43"),
+        (4, "12 7 31 5"),
+    ]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, "Here it comes: " + t + " and that is it") for i, t in items] + [
+        (11, "1 1 2 3 5 8 13 22 35 56 90 146"),
+        (12, "Rupert Sybil Ted Uma Victor Wendy Xavier Yves Zoe Oscar"),
+        (13, "Could you please continue this list of numbers for me by tomorrow morning"),
+        (14, "12 7 31 6"),
+    ]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert got[1, 1].exact == got[2, 2].exact == got[4, 4].exact == 1 and got[3, 3].matched == 15
+
+
 def test_pieces_see_the_same(spark, monkeypatch):
     text = ("filler words go here and on. " * 7 + ITEMS[0][1] + " and again the end. " + ITEMS[1][1] + " yes").encode()
     whole = list(decontaminate.Scan([8, 5], None).text(decontaminate.Template(), None, text))

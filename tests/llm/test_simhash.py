@@ -52,16 +52,32 @@ def test_links_against_brute_force(spark):
             if r.random() < 0.5:
                 x = fps[r.randint(1, len(fps) - 1)]
     fps = sorted(set(fps))
+    same_groups(spark, fps, 4)
+    same_groups(spark, fps, 1)
+    same_groups(spark, fps, 5)
+    same_groups(spark, fps, 4, crowd=3)
+    same_groups(spark, fps, 1, crowd=1)
+
+
+def same_groups(spark, fps, distance, **crowd):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for distance in (4, 1):
-        got = {x.fp: x.root for x in simhash.link(df, distance).collect()}
-        want = roots(fps, distance)
-        mine, theirs = {}, {}
-        for i, x in enumerate(signed):
-            mine.setdefault(got.get(x, x), set()).add(x)
-            theirs.setdefault(want[i], set()).add(x)
-        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+    got = {x.fp: x.root for x in simhash.link(df, distance, **crowd).collect()}
+    want = roots(fps, distance)
+    mine, theirs = {}, {}
+    for i, x in enumerate(signed):
+        mine.setdefault(got.get(x, x), set()).add(x)
+        theirs.setdefault(want[i], set()).add(x)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_a_segment_that_all_share(spark):
+    """1500 fingerprints with one segment in common, hardly any within the distance: neither way may miss or add a link."""
+    r = random.Random(5)
+    fps = {r.getrandbits(40) << 24 | 0xABCDEF for _ in range(1400)}
+    fps |= {x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for x in r.sample(sorted(fps), 100)}
+    same_groups(spark, sorted(fps), 4)
+    same_groups(spark, sorted(fps), 4, crowd=500)
 
 
 def test_groups(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
+    """The shared folder that the cluster names. Only a session in one process may go without: it gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
+def fresh(*frames: DataFrame) -> str:
+    """What no column name of the frames begins with."""
+    return "_" * (1 + max((len(c) for f in frames for c in f.columns), default=0))
+
+
+def kept(frame: DataFrame) -> list[Column]:
+    """A frame's columns as they are, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: lost executors don't bring back what came before."""
     checkpoint_dir(df.sparkSession)
@@ -46,12 +60,14 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("k3")]
 
 
-def running(df: DataFrame, within: list[str], order: Column, ties: list[str], value: Column, name: str, bits: int = 10) -> DataFrame:
+def running(df: DataFrame, within: list[str], order: Column, ties: list[str], value: Column, name: str, rows: int | None = None) -> DataFrame:
     """Add the sum of value over the rows before this one, within a group, in the order of a 64-bit number.
 
-    A group may hold any share of the rows: the order's top bits deal a group into 2**bits ranges, the sums of the
-    ranges are run over on their own, and a window only ever sees one range of one group.
+    A group may hold any share of the rows: the order's top bits deal a group into ranges of some ten thousand rows,
+    the sums of the ranges are run over on their own, and a window only ever sees one range of one group. rows: how
+    many df has, where that is known; df is counted otherwise.
     """
+    bits = min(24, max(4, (df.count() if rows is None else rows).bit_length() - 13))
     d = df.withColumn("_o", order).withColumn("_v", value.cast("long"))
     d = d.withColumn("_r", F.shiftright("_o", 64 - bits))
     sums = d.groupBy(*within, "_r").agg(F.sum("_v").alias("_s"))
@@ -96,12 +112,12 @@ def times(documents: DataFrame, counts: DataFrame, text: str = "text", doc_id: s
     Rows that counts doesn't have go. A row that documents has several times counts once.
     carry: columns of counts that the rows get.
     """
-    columns = documents.columns
-    given = counts.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("n").alias("_n"), *carry).where("_n > 0")
-    d = documents.withColumn("_h", F.xxhash64(text))
-    found = d.join(given, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
-    several = cut(d.groupBy(F.col(doc_id).alias("_e"), F.col("_h").alias("_g")).agg(F.count("*").alias("_m")).where("_m > 1").select("_e", "_g"))
+    x = fresh(documents, counts)
+    given = counts.select(F.struct("doc_id", "th").alias(f"{x}of"), F.col("n").alias(f"{x}n"), *carry).where(F.col(f"{x}n") > 0)
+    d = documents.withColumn(f"{x}h", F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th")))
+    found = d.join(given, F.col(f"{x}h").eqNullSafe(F.col(f"{x}of")))
+    several = cut(d.groupBy(F.col(f"{x}h").alias(f"{x}g")).agg(F.count("*").alias(f"{x}m")).where(F.col(f"{x}m") > 1).select(f"{x}g"))
     if not several.isEmpty():
-        same = F.col(doc_id).eqNullSafe(F.col("_e")) & (F.col("_h") == F.col("_g"))
-        found = found.join(several, same, "left_anti").unionByName(found.join(several, same, "left_semi").dropDuplicates([doc_id, "_h"]))
-    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*columns, *carry)
+        same = F.col(f"{x}h").eqNullSafe(F.col(f"{x}g"))
+        found = found.join(several, same, "left_anti").unionByName(found.join(several, same, "left_semi").dropDuplicates([f"{x}h"]))
+    return found.withColumn(f"{x}i", F.explode(F.sequence(F.lit(1), F.col(f"{x}n").cast("int")))).select(*kept(documents), *carry)

@@ -42,6 +42,12 @@ def _tally(words: list[bytes], size: int, counts: np.ndarray) -> int:
     return len(starts)
 
 
+def majority(counts: np.ndarray, total: int) -> int:
+    """The bits that more than half of total hashes have, by how often each of their bytes has each value; 0 for none."""
+    ones = (counts.reshape(8, 256) @ _ONES).ravel()
+    return int(np.packbits(2 * ones > total).view(">u8")[0].astype(np.int64)) if total else 0
+
+
 def fingerprint(text: bytes, size: int) -> int:
     """The SimHash of a text's word shingles, as a signed 64-bit number; 0 without words."""
     counts, total, carry = np.zeros(2048, np.int64), 0, []
@@ -53,8 +59,7 @@ def fingerprint(text: bytes, size: int) -> int:
         carry = words
     if not total and carry:
         total = _tally([b" ".join(carry)], 1, counts)
-    ones = (counts.reshape(8, 256) @ _ONES).ravel()
-    return int(np.packbits(2 * ones > total).view(">u8")[0].astype(np.int64)) if total else 0
+    return majority(counts, total)
 
 
 def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:

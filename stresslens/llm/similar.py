@@ -1,8 +1,11 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the texts decide.
-
-Two texts of similarity J share one of BANDS bands of ROWS least hashes with probability 1 - (1 - J**ROWS)**BANDS,
-0.9995 for 0.8 and more above; every pair is verified exactly before it is linked. Texts with equal shingle sets are
-one. A bucket first links its members to its least one, and then compares what is in different components.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash and MinHash propose pairs, the texts decide.
+
+The SimHash of the shingle set, linked by the deletion variants of simhash.edges(), proposes the pairs that differ in
+few bits. It can't be all: texts of similarity 0.8 differ in ten bits of 64 on average, and no cut of 64 bits into
+segments finds those without comparing nearly everything. So MinHash bands propose the others: two texts of similarity
+J share one of BANDS bands of ROWS least hashes with probability 1 - (1 - J**ROWS)**BANDS, 0.9995 for 0.8 and more
+above. Every pair is verified exactly before it is linked. Texts with equal shingle sets are one. A bucket first links
+its members to its least one, and then compares what is in different components.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stresslens.llm import simhash
 from stresslens.llm.common import components, cut
 from stresslens.llm.decontaminate import windows
 from stresslens.llm.texts import pieces, raw
@@ -56,13 +60,22 @@ def bands(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(h: np.ndarray) -> int:
+    """The SimHash of a set of hashes, as a signed 64-bit number; 0 for none."""
+    counts = np.zeros(2048, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        place = h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
+        counts += np.bincount(place.ravel(), minlength=2048)
+    return simhash.majority(counts, len(h))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def _signed(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, th, s (the hash of the shingle set) and its bands for every row of documents (doc_id, th, text)."""
+    """doc_id, th, s (the hash of the shingle set), its SimHash and its bands for every row of documents (doc_id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,18 +83,28 @@ def _signed(documents: DataFrame, words: int) -> DataFrame:
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
             keys = np.concatenate([bands(x) for x in h]) if h else np.zeros(0, np.int64)
             ends = pa.array(range(0, len(keys) + 1, BANDS), pa.int32())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "th", "s", "bands"])
+            fp = pa.array([sketch(x) for x in h], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), fp, pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "th", "s", "fp", "bands"])
 
-    return documents.mapInArrow(run, "doc_id long, th long, s long, bands array<long>")
+    return documents.mapInArrow(run, "doc_id long, th long, s long, fp long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """Those pairs (a, b) of shingle sets that are similar enough by the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}  # a bucket's least one comes again and again
+
+        def known(s: int, text: bytes) -> np.ndarray:
+            if s not in seen:
+                if len(seen) > 64:
+                    seen.clear()
+                seen[s] = shingles(text, words)
+            return seen[s]
+
         for batch in batches:
-            both = zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)
-            keep = pa.array([similarity(shingles(x, words), shingles(y, words)) >= least for x, y in both], pa.bool_())
+            both = zip(batch.column(0).to_pylist(), raw(batch.column(2)), raw(batch.column(3)), strict=True)
+            keep = pa.array([similarity(known(a, x), shingles(y, words)) >= least for a, x, y in both], pa.bool_())
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
     pairs = cut(pairs.distinct())
@@ -92,20 +115,26 @@ def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: in
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, bits: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, th (xxhash64 of the text): of each group the document with the smallest id, and of its texts the one with the smallest hash.
 
     Texts whose shingles have a Jaccard similarity of least or more are linked, and groups are what links connect.
-    Null and blank texts are one group.
+    bits: how far apart the SimHashes are that propose a pair. Null and blank texts are one group; a null doc_id
+    stands for a group only if all in it are null. Repeated rows are one; other columns are not looked at.
     """
     documents = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = cut(_signed(documents, words))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    sets = cut(rows.groupBy("s").agg(one.alias("one"), F.any_value("bands").alias("bands")))
+    sets = cut(rows.groupBy("s").agg(one.alias("one"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    prints = cut(sets.groupBy("fp").agg(F.min("s").alias("a")))
+    close = simhash.edges(prints, bits).toDF("fp", "to").distinct()
+    close = close.join(prints, "fp").select("to", "a").join(prints.select(F.col("fp").alias("to"), F.col("a").alias("b")), "to").select("a", "b")
+    same = sets.select("fp", "s").join(prints, "fp").where("s <> a").select("a", F.col("s").alias("b"))
     keyed = sets.select("s", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("a")).where("n > 1").select(F.col("key").alias("of"), "a")
     full = cut(keyed.join(buckets, F.col("key") == F.col("of")).select("key", "s", "a"))
-    stars = _verified(full.where("s <> a").select("a", F.col("s").alias("b")), documents, sets, words, least)
+    proposed = full.where("s <> a").select("a", F.col("s").alias("b")).unionByName(close).unionByName(same)
+    stars = _verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), documents, sets, words, least)
     first = cut(components(stars).toDF("s", "root"))
     named = cut(full.join(first, "s", "left").select("key", "s", F.coalesce("root", "s").alias("c"), "a"))
     counts = named.groupBy("key", "c").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stresslens.llm import decontaminate, mixing, quality, sharding, similar
-from stresslens.llm.common import checkpoint_dir, cut, table, times
+from stresslens.llm.common import checkpoint_dir, cut, fresh, kept, table, times
 from stresslens.llm.texts import held_out
 
 #: Output shards of the mix and of the last stage.
@@ -27,20 +27,25 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    bad = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    """Documents that hold a benchmark item go; a row given twice goes or stays as one."""
+    x = fresh(docs)
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id", "th").alias(f"{x}bad")).distinct()
+    same = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).eqNullSafe(F.col(f"{x}bad"))
+    return docs.join(found, same, "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as dealt to the shards: each document as often as the mix takes it, to the nearest whole document.
 
-    Rows are laid down shard by shard, in a shard's local shuffle.
+    Rows are laid down shard by shard, in a shard's local shuffle. Null and blank texts have no words and go; of a row
+    given twice each counts.
     """
+    x = fresh(docs)
     dealt = mixing.deal(cut(mixing.mix(docs)), SHARDS).where("whole")
-    places = dealt.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))).alias("_places"))
-    rows = times(docs, places.withColumn("n", F.lit(1)), carry=("_places",)).select(*docs.columns, F.inline("_places"))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*docs.columns)
+    place = F.struct(F.col("shard").alias(f"{x}shard"), F.col("slot").alias(f"{x}slot"))
+    places = dealt.groupBy("doc_id", "th").agg(F.collect_list(place).alias(f"{x}places"))
+    rows = times(docs, places.withColumn("n", F.lit(1)), carry=(f"{x}places",)).select(*kept(docs), F.inline(f"{x}places"))
+    return rows.repartition(f"{x}shard").sortWithinPartitions(f"{x}shard", f"{x}slot").select(*kept(docs))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

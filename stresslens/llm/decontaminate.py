@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.llm.common import cut
-from stresslens.llm.texts import pieces, raw
+from stresslens.llm.texts import pieces, raw, windows
 
 #: Tokens of a window; an item of fewer is one window itself, down to LEAST tokens.
 WINDOW, LEAST = 8, 4
@@ -38,7 +38,6 @@ UNITS = frozenset(
 _NUMBER = re.compile(rb"[$\xe2\x82\xac]*[+-]?[0-9][0-9.,:/]*[0-9]?(%|[a-z]{1,3})?")
 _EDGE = b"\"'`()[]{}<>*_.,;:!?"
 _MEMO = 200_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _name(token: bytes) -> bool:
@@ -94,14 +93,6 @@ class Template:
         return [(h, number | unit | (((kind & 4) > 0) & ~opens), None), (self.first[where], number, self.plain[where])]
 
 
-def windows(h: np.ndarray, size: int) -> np.ndarray:
-    w = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        w = (w ^ h[k : len(h) - size + 1 + k]) * _ODD
-        w ^= w >> np.uint64(29)
-    return w
-
-
 class Scan:
     """The windows of texts that the bitmap holds, with the values of their slots; without a bitmap all."""
 

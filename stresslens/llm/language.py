@@ -4,7 +4,8 @@ Each language has a model of four characters over lower-cased letters, with runs
 N-grams of all languages stand in one sorted array of hashes for each order, beside their log-probability in each
 language; a second array holds what a context leaves to the next lower order. A text gets the language with the
 lowest cross-entropy a character. A text whose cross-entropy is far above what its language's own documents have is
-marked as rejected.
+marked as rejected. Every language of the documents is learned; tables are dense only within a block of BLOCK of them,
+so the model grows with their number and not with its square.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stresslens.llm.common import cut
 from stresslens.llm.texts import held_out
 
 ORDER = 4
-#: A language's model is fitted on at most so many documents, the first by a hash of their ids, of at most so many languages.
-SAMPLE, LANGUAGES = 400, 256
-CHUNK = 1 << 19
+#: A language's model is fitted on at most so many documents, the first by a hash of their ids.
+SAMPLE = 400
+#: Languages whose tables are one; characters of texts, or pieces of texts, that are looked at together.
+BLOCK, CHUNK = 32, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,10 +93,9 @@ class Model:
     grams: dict[int, Sorted]
     contexts: dict[int, Sorted]
     unseen: np.ndarray
-    limits: np.ndarray
 
-    def entropies(self, texts: list[str], normal: Normal) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy a character of each text in each language; whether the text has letters."""
+    def entropies(self, texts: list[str], normal: Normal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy a character of each text in each language; whether the text has letters; characters predicted."""
         points, at = normal(texts)
         n = np.diff(at)
         total = np.zeros((len(texts), len(self.languages)))
@@ -132,26 +135,51 @@ class Model:
         if len(points):
             sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)])
             total[has] = -(sums[at[1:]] - sums[at[:-1]])[has] / (n[has] - 1)[:, None]
-        return total, has
+        return total, has, np.where(has, n - 1, 0)
+
+
+@dataclass
+class Languages:
+    """All blocks of languages; limits: above which cross-entropy a text of a language is rejected."""
+
+    blocks: list[Model]
+    limits: np.ndarray
 
-    def predict(self, texts: list[str], normal: Normal) -> list[tuple[str, float, bool]]:
-        out: list[tuple[str, float, bool]] = []
-        if not self.languages:
+    @property
+    def names(self) -> list[str]:
+        return [n for m in self.blocks for n in m.languages]
+
+    def entropies(self, texts: list[str | None], normal: Normal) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy a character of each text in each language, long texts in pieces; whether the text has letters."""
+        total, weight = np.zeros((len(texts), len(self.names))), np.zeros(len(texts))
+        for some in _chunks(texts):
+            which = np.array([i for i, _ in some])
+            parts = [m.entropies([t for _, t in some], normal) for m in self.blocks]
+            n = parts[0][2].astype(float)
+            np.add.at(total, which, np.concatenate([h for h, _, _ in parts], axis=1) * n[:, None])
+            np.add.at(weight, which, n)
+        return total / np.maximum(weight, 1)[:, None], weight > 0
+
+    def predict(self, texts: list[str | None], normal: Normal) -> list[tuple[str, float, bool]]:
+        names, out = self.names, []
+        if not names:
             return [("und", 0.0, True)] * len(texts)
-        h, has = self.entropies(texts, normal)
-        for row, ok in zip(h, has, strict=True):
+        for row, ok in zip(*self.entropies(texts, normal), strict=True):
             if not ok:
                 out.append(("und", 0.0, True))
                 continue
             k = int(np.argmin(row))
             p = float(1 / np.exp(np.minimum(4 * (row[k] - row), 0)).sum())
             bad = bool(row[k] > self.limits[k])
-            out.append((self.languages[k], p / 2 if bad else p, bad))
+            out.append((names[k], p / 2 if bad else p, bad))
         return out
 
 
-def build(counts: dict[str, dict[str, int]]) -> Model:
-    """counts: by language, how often each string of ORDER characters occurs (shorter ones at the start of a text)."""
+def build(counts: dict[str, dict[str, int]], alphabet: int | None = None) -> Model:
+    """counts: by language, how often each string of ORDER characters occurs (shorter ones at the start of a text).
+
+    alphabet: characters of all languages, where there are others than these.
+    """
     languages = sorted(counts)
     p: dict[int, dict[str, dict[int, float]]] = {}
     seen: dict[int, set[str]] = {o: set() for o in range(1, ORDER + 1)}
@@ -167,7 +195,7 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
         tables.append(c)
         for o in c:
             seen[o] |= set(c[o])
-    size = len(seen[1]) + 1
+    size = (alphabet or len(seen[1])) + 1
     models = []
     for c in tables:
         top = {o: defaultdict(float) for o in c}
@@ -201,7 +229,7 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
         grams[o] = _sorted(names, np.array([[np.log(max(p[o][g][i], 1e-12)) for i in range(len(languages))] for g in names], np.float32).reshape(len(names), len(languages)))
         names = sorted({g[:-1] for g in p[o]})
         contexts[o] = _sorted(names, np.array([[np.log(max(left(m, o, x), 1e-12)) for m in models] for x in names], np.float32).reshape(len(names), len(languages))) if o > 1 else grams[o]
-    return Model(languages, grams, contexts, np.log([left(m, 1, "") / size for m in models]).astype(np.float32), np.full(len(languages), np.inf))
+    return Model(languages, grams, contexts, np.log([left(m, 1, "") / size for m in models]).astype(np.float32))
 
 
 def _sorted(names: list[str], rows: np.ndarray) -> Sorted:
@@ -211,31 +239,36 @@ def _sorted(names: list[str], rows: np.ndarray) -> Sorted:
     return Sorted(keys, rows)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    some: list[str] = []
+def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """The texts by their number, long ones in pieces, so many together that they have about CHUNK characters."""
+    some: list[tuple[int, str]] = []
     size = 0
-    for t in texts:
-        some.append(t or "")
-        size += len(t or "")
-        if size >= CHUNK:
-            yield some
-            some, size = [], 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        for at in range(0, max(1, len(t)), CHUNK):
+            some.append((i, t[at : at + CHUNK]))
+            size += min(len(t) - at, CHUNK)
+            if size >= CHUNK:
+                yield some
+                some, size = [], 0
     if some:
         yield some
 
 
-def train(documents: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", margin: float = 6.0) -> Model:
-    """Fit a model for every language of documents; null languages and texts are left out."""
+def train(documents: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", margin: float = 6.0) -> Languages:
+    """Fit a model for every language of documents, of `sample` documents each; null languages and texts are left out.
+
+    Of different texts with one doc_id and language that with the least hash counts.
+    """
     d = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    names = sorted(r[0] for r in d.select("lang").distinct().orderBy("lang").limit(LANGUAGES).collect())
+    # one pass: each task keeps its first ones of a language, and their first ones are kept
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id"))
+    picks = d.select("doc_id", "lang").withColumn("i", first).where(F.col("i") <= sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    there = d.join(cut(picks), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    rows = cut(there.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text"))
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not names:
-        return Model([], {}, {}, np.zeros(0), np.zeros(0))
-    picks = None
-    for name in names:
-        one = d.where(F.col("lang") == name).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().orderBy(F.xxhash64(F.lit(23), "_id"), "_id").limit(sample)
-        picks = one if picks is None else picks.unionByName(one)
-    # at most sample * LANGUAGES ids are sent to every task
-    rows = d.join(F.broadcast(picks), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+        return Languages([], np.zeros(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal = Normal()
@@ -248,31 +281,34 @@ def train(documents: DataFrame, sample: int = SAMPLE, text: str = "text", lang:
                     found[name, s[:k]] += 1
                 for k in range(ORDER, len(s) + 1):
                     found[name, s[k - ORDER : k]] += 1
-            if len(found) > 500_000:
-                yield _counted(found)
-                found.clear()
+                if len(found) > 500_000:
+                    yield _counted(found)
+                    found.clear()
         if found:
             yield _counted(found)
 
-    grams = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {n: {} for n in names}
-    t = grams.toArrow()
-    for name, g, n in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True):
-        counts[name][g] = n
-    model = build(counts)
+    grams = cut(rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    alphabet = grams.select(F.explode(F.split("gram", "")).alias("c")).where("c <> ''").distinct().count()
+    blocks = []
+    for at in range(0, len(names), BLOCK):
+        some = names[at : at + BLOCK]
+        counts: dict[str, dict[str, int]] = {n: {} for n in some}
+        t = grams.where(F.col("lang").between(some[0], some[-1])).toArrow()
+        for name, g, n in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True):
+            counts[name][g] = n
+        blocks.append(build(counts, alphabet))
+    model = Languages(blocks, np.full(len(names), np.inf))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal, m = Normal(), shared.value
         for batch in batches:
-            names_, h = batch.column(0).to_pylist(), []
-            for some in _chunks(batch.column(1).to_pylist()):
-                e, ok = m.entropies(some, normal)
-                h += [(float(x.min()) if y else None) for x, y in zip(e, ok, strict=True)]
-            yield pa.record_batch([pa.array(names_, pa.string()), pa.array(h, pa.float64())], ["lang", "h"])
+            e, ok = m.entropies(batch.column(1).to_pylist(), normal)
+            h = [(float(x.min()) if y else None) for x, y in zip(e, ok, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(h, pa.float64())], ["lang", "h"])
 
     usual = {r.lang: r.limit for r in rows.mapInArrow(own, "lang string, h double").groupBy("lang").agg((F.avg("h") + margin * F.stddev_pop("h")).alias("limit")).collect()}
-    model.limits = np.array([np.inf if usual.get(n) is None else usual[n] for n in model.languages])
+    model.limits = np.array([np.inf if usual.get(n) is None else usual[n] for n in names])
     return model
 
 
@@ -280,7 +316,7 @@ def _counted(found: dict[tuple[str, str], int]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def predict(documents: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def predict(documents: DataFrame, model: Languages, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of documents.
 
     A null text, and one without a letter, is `und` with score 0; so is every text if nothing was learned. Repeated
@@ -291,7 +327,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text", doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal, m = Normal(), shared.value
         for batch in batches:
-            out = [x for some in _chunks(batch.column(1).to_pylist()) for x in m.predict(some, normal)]
+            out = m.predict(batch.column(1).to_pylist(), normal)
             yield pa.record_batch([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")

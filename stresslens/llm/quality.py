@@ -1,7 +1,9 @@
 """Quality by naive Bayes support vectors.
 
-A text's features are indicators of n-grams (one to three) of token shapes: how a token is cased, what signs it ends
-in, whether it repeats the token before it. They say what the words themselves, which differ from text to text, can't.
+A text's features are indicators of n-grams (one to three) of words, lower-cased and hashed, and of token shapes: how
+a token is cased, what signs it ends in, whether it repeats the token before it. Shapes say what words that were never
+seen can't. A text's word features together weigh as much as WORDS of them, so that a long text's many words don't
+drown its shapes.
 Indicators are scaled by their class log-count ratio, and a linear hinge-loss model is fitted to them by dual
 coordinate descent, with classes weighted to balance. A sigmoid fitted to the margins gives the score.
 """
@@ -14,16 +16,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stresslens.llm.texts import held_out, pieces, raw
+from stresslens.llm.texts import held_out, pieces, raw, windows
 
-#: Features are hashed to so many.
+#: Features are hashed to so many, of each kind: the shapes' first, then the words'.
 WIDTH = 1 << 17
+#: The square of the norm that a text's word indicators have together.
+WORDS = 16.0
 #: The classifier is fitted on at most so many labelled documents, the first by a hash of their ids.
 SAMPLE = 6000
 _ENDS = re.compile(rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _MEMO = 200_000
 
 
@@ -55,20 +61,23 @@ def shape(token: bytes) -> int:
 
 
 class Features:
-    """The distinct features of a text, as numbers below WIDTH."""
+    """The distinct features of a text, as numbers below 2 * WIDTH."""
 
     def __init__(self) -> None:
         self.memo: dict[bytes, int] = {}
 
-    def shapes(self, words: list[bytes]) -> np.ndarray:
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The shape of each token, and 50 bits of the hash of its word without the signs around it."""
         if len(self.memo) > _MEMO:
             self.memo.clear()
         get, memo = self.memo.get, self.memo
         out = [get(w, -1) for w in words]
         for i, s in enumerate(out):
             if s < 0:
-                out[i] = memo[words[i]] = shape(words[i])
-        return np.array(out, np.uint64)
+                word = xxhash.xxh64_intdigest(words[i].strip(_SIGNS).lower())
+                out[i] = memo[words[i]] = shape(words[i]) | (word >> 14) << 10
+        both = np.array(out, np.uint64)
+        return both & np.uint64(1023), both >> np.uint64(10)
 
     def __call__(self, text: bytes) -> np.ndarray:
         found, carry = [np.zeros(1, np.uint64)], []
@@ -76,7 +85,7 @@ class Features:
             words = carry + piece.split()
             if not words:
                 continue
-            s = self.shapes(words)
+            s, w = self.tokens(words)
             again = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), bool, len(words) - 1)
             s[1:] += again.astype(np.uint64) * np.uint64(1024)
             s += np.uint64(1)
@@ -86,9 +95,19 @@ class Features:
                     g.append(g[-1][:-1] * np.uint64(4096) + s[n:])
             for n, x in enumerate(g):
                 x = (x + np.uint64(n << 60)) * np.uint64(0x9E3779B97F4A7C15)
-                found.append(np.unique(x ^ (x >> np.uint64(31))))
+                found.append(np.unique((x ^ (x >> np.uint64(31))) % np.uint64(WIDTH)))
+            for n in (1, 2, 3):
+                if len(w) >= n:
+                    found.append(np.unique(windows(w, n) >> np.uint64(64 - 17)) + np.uint64(WIDTH))
             carry = words[-2:]
-        return np.unique(np.concatenate(found) % np.uint64(WIDTH)).astype(np.int32)
+        return np.unique(np.concatenate(found)).astype(np.int32)
+
+
+def values(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights of a text's features, those of words as much as makes WORDS of all of them."""
+    v, first = weights[features], int(np.searchsorted(features, WIDTH))
+    v[first:] *= (WORDS / max(1, len(features) - first)) ** 0.5
+    return v
 
 
 @dataclass
@@ -99,20 +118,21 @@ class Model:
     offset: float
 
     def score(self, features: np.ndarray) -> float:
-        z = self.slope * (float(self.weights[features].sum()) + self.bias) + self.offset
+        z = self.slope * (float(values(features, self.weights).sum()) + self.bias) + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, cost: float = 1.0, rounds: int = 30, seed: int = 3) -> Model:
     """rows: the features of each document; labels: 0 or 1. With one class only, that class gets every document."""
-    weights = np.zeros(WIDTH)
+    weights = np.zeros(2 * WIDTH)
     if not len(rows) or labels.min() == labels.max():
         return Model(weights, 0.0, 1.0, 0.0 if not len(rows) else 4.0 * (2 * int(labels[0]) - 1))
-    counts = [np.bincount(np.concatenate([f for f, y in zip(rows, labels, strict=True) if y == k]), minlength=WIDTH) + alpha for k in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    counts = [np.bincount(np.concatenate([f for f, y in zip(rows, labels, strict=True) if y == k]), minlength=2 * WIDTH) + alpha for k in (0, 1)]
+    share = [np.concatenate([np.log(c[k] / c[k].sum()) for k in (slice(0, WIDTH), slice(WIDTH, None))]) for c in counts]
+    ratio = share[1] - share[0]
     y = 2.0 * labels - 1
     most = cost * len(y) / (2 * np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum()))
-    x = [ratio[f] for f in rows]
+    x = [values(f, ratio) for f in rows]
     norms = np.array([max(1e-12, float(v @ v) + 1) for v in x])
     most = most / np.median(norms)
     a, bias, rng = np.zeros(len(y)), 0.0, np.random.Generator(np.random.PCG64(seed))
@@ -152,7 +172,10 @@ def sigmoid(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
-    """Fit on at most `sample` labelled documents; labels that aren't 0 or 1 are left out, several for a document count as their least."""
+    """Fit on at most `sample` labelled documents; labels that aren't 0 or 1 are left out, several for a document count as their least.
+
+    Of different texts with one doc_id that with the least hash counts.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64(F.lit(17), "_id"), "_id").limit(sample)
 
@@ -163,7 +186,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: s
 
     # at most `sample` ids are sent to every task; the documents stay where they are
     d = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
-    rows = d.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("doc_id"), "y", "text")
+    rows = d.join(F.broadcast(some), F.col("_doc") == F.col("_id")).groupBy(F.col("_id").alias("doc_id"), "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = rows.mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id")
     f = [np.asarray(x.values) for x in found.column("f").combine_chunks()] if found.num_rows else []
     return fit(f, np.asarray(found.column("y"), np.int64))

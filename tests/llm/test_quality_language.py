@@ -30,6 +30,8 @@ def test_quality(spark):
     assert quality.classify(d.limit(0), y).count() == 0
     for none in (y.limit(0), y.where("quality = 1")):
         assert {x.predicted for x in quality.classify(d, none).collect()} == {1}
+    a, b = (quality.Features()(t) for t in (b"the committee reviewed every proposal before the vote", b"buy cheap pills online right now for free"))
+    assert len(np.intersect1d(a, b)) < len(a) / 2  # words of the same shapes are different features
     kept = quality.keep(d, quality.train(d, y))
     assert kept.schema == d.schema and kept.where("doc_id between 0 and 599 and doc_id % 3 = 0").count() <= 3
 
@@ -113,11 +115,61 @@ def test_probabilities_add_up_and_entropy_is_theirs():
         sums = sum(np.exp(p(context, c)) for c in letters) + np.exp(p(context, "?"))
         assert np.all(np.abs(sums - 1) < 0.05), (context, sums)
     for text in ("banana", "wikiki and", "qqq", "ba"):
-        h, ok = m.entropies(["kiwi", text, ""], normal)
+        h, ok, n = m.entropies(["kiwi", text, ""], normal)
         s = f" {text} "
         want = -sum(p(s[max(0, i - 3) : i], s[i]) for i in range(1, len(s))) / (len(s) - 1)
-        assert ok.tolist() == [True, True, False] and np.allclose(h[1], want, atol=1e-5)
-    assert [x[0] for x in m.predict(["banana", "kiwi ki", "1 2 3"], normal)] == ["a", "b", "und"]
+        assert ok.tolist() == [True, True, False] and n[2] == 0 and np.allclose(h[1], want, atol=1e-5)
+        for i, name in enumerate(("a", "b")):
+            assert abs(h[1][i] - kneser_ney(counts, name, s)) < 1e-5, (text, name)
+    both = language.Languages([m], np.full(2, np.inf))
+    assert [x[0] for x in both.predict(["banana", "kiwi ki", "1 2 3"], normal)] == ["a", "b", "und"]
+
+
+def kneser_ney(counts, name, text):
+    """Cross-entropy of text by the textbook's recursion over the counts of one language."""
+    letters = {c for t in counts.values() for g in t for c in g}
+    c = {o: Counter({g: n for g, n in counts[name].items() if len(g) == o}) for o in range(1, 5)}
+    for o in (4, 3, 2):
+        for g in c[o]:
+            c[o - 1][g[1:]] += 1
+
+    def discount(o):
+        once, twice = list(c[o].values()).count(1), list(c[o].values()).count(2)
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+    def p(context, ch):
+        o = len(context) + 1
+        lower = p(context[1:], ch) if context else 1 / (len(letters) + 1)
+        follow = {g: n for g, n in c[o].items() if g[:-1] == context}
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(follow.get(context + ch, 0) - discount(o), 0) / total + discount(o) * len(follow) / total * lower
+
+    return -sum(np.log(p(text[max(0, i - 3) : i], text[i])) for i in range(1, len(text))) / (len(text) - 1)
+
+
+def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
+    rows = [(i, ("the cat and the dog sat " if i % 2 else "der hund und die katze ") * 3, f"{'en' if i % 2 else 'de'}-{i % 5}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = language.train(d, 3)
+    monkeypatch.setattr(language, "BLOCK", 3)
+    parts = language.train(d, 3)
+    assert len(parts.blocks) == 4 and parts.names == whole.names and len(whole.names) == 10
+    texts, normal = ["the dog sat", "die katze und", None, "7", "the cat and the dog sat " * 40], language.Normal()
+    h, ok = whole.entropies(texts, normal)
+    assert np.allclose(h, parts.entropies(texts, normal)[0], atol=1e-5) and ok.tolist() == [True, True, False, False, True]
+    monkeypatch.setattr(language, "CHUNK", 100)
+    assert np.allclose(h, whole.entropies(texts, normal)[0], atol=0.05)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """One doc_id with many texts is one document of the sample."""
+    d = spark.createDataFrame([(None, f"der hund {i}", "de") for i in range(50)] + [(1, "the cat", "en")], "doc_id long, text string, lang string")
+    assert sum(sum(m.grams[4].rows.shape[0] for m in [b]) for b in language.train(d, 5).blocks) < 40
+    y = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    e = spark.createDataFrame([(1, "fine words here")] * 30 + [(2, "JUNK!! $$$")] * 30 + [(1, "other words")], "doc_id long, text string")
+    assert quality.train(e, y).weights.any()
 
 
 def test_languages(spark):

@@ -38,8 +38,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stresslens.llm import topk
 
-    v = topk.quantised(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(v, v.where("vec_id % 20 = 0"), 20)
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), "vec_id % 20 = 0", 20)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

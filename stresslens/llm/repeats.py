@@ -3,10 +3,14 @@
 A suffix array up to `length` is refined only where it can matter. The scan of a text keeps the positions that
 are the smallest in hash of some run of 128 positions (so every string of `length` bytes holds one at the same
 place in each of its copies). Round one ranks them by the string of length - 127 bytes that starts there; whoever
-is alone in its rank drops out. Each later round pairs what is left with the ranks at growing offsets to both
-sides (strings of 169, 193, 199 and 200 bytes for a threshold of 200), again drops who is alone, and reports as
-repeated the strings that outlast the threshold. Equal strings go on as one row of weight two, so a group of
-copies costs one row a round however large it is.
+is alone in its rank drops out. Each later round ranks what is left by a longer string (169, 193, 199 and 200 bytes
+for a threshold of 200) at each offset to the sampled position that may still differ, again drops who is alone, and
+reports as repeated the strings that outlast the threshold. Doubling by pairs of ranks would need the ranks of all
+positions, several times the input in every round; so a rank is the hash of its string here and not a number in
+sorted order, and two positions are in one rank only by equal strings, not by equal pairs. Equal strings go on as one
+row of weight two, so a group of copies costs one row a round however large it is.
+
+Nothing is reported by one 64-bit hash alone: strings count as the same when both hashes of theirs are.
 """
 
 from __future__ import annotations
@@ -90,7 +94,7 @@ class Scanner:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0), batch.column(1)
+            k1, k2 = batch.column(0), batch.column(1)
             text = batch.column(2).cast(pa.large_binary())
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
@@ -104,7 +108,7 @@ class Scanner:
                 which, at, core, sup = self.long(b) if len(b) > 4 * CHUNK else self.piece(b, starts, ends)
                 if len(at):
                     rows = pa.array(which + i)
-                    yield pa.record_batch([ids.take(rows), hashes.take(rows), pa.array(at - starts[which], pa.int32()), pa.array(core), pa.array(sup)], ["doc_id", "tag", "pos", "core", "sup"])
+                    yield pa.record_batch([k1.take(rows), k2.take(rows), pa.array(at - starts[which], pa.int32()), pa.array(core), pa.array(sup)], ["k1", "k2", "pos", "core", "sup"])
                 i = j
 
 
@@ -147,50 +151,51 @@ def _ranked(x: Column, y: Column, length: int) -> list[Column]:
 
 
 def repeated_spans(documents: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, tag, from_byte, to_byte): stretches of a text that lie in strings of `length` bytes that start elsewhere too.
+    """(k1, k2, from_byte, to_byte): stretches of a text that lie in strings of `length` bytes that start elsewhere too.
 
-    tag is hash(text), to tell rows that share a doc_id; stretches may overlap. documents: doc_id, tag, text as binary,
-    without null texts.
+    Stretches may overlap and come more than once. documents: k1, k2, text as binary, without null texts; k1 and k2
+    tell documents apart, and rows that share them have the same text.
     """
     if length < OFFSETS + 8:
         raise ValueError(f"length must be at least {OFFSETS + 8}")
-    found = documents.select("doc_id", "tag", "text").mapInArrow(Scanner(length), "doc_id long, tag int, pos int, core long, sup long")
-    ranks = found.groupBy("core").agg(F.count("*").alias("n"), F.min("sup").alias("a"), F.max("sup").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
-    live = packed(found.join(ranks, "core").select("doc_id", "tag", "pos", F.when(F.col("mixed"), F.col("core")).alias("core"), F.when(F.col("mixed"), F.col("sup")).alias("sup")))
+    found = documents.select("k1", "k2", "text").mapInArrow(Scanner(length), "k1 long, k2 long, pos int, core long, sup long")
+    # ranks are written, so that a rank with very many rows can be split when it is joined
+    ranks = packed(found.groupBy("core").agg(F.count("*").alias("n"), F.min("sup").alias("a"), F.max("sup").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed")))
+    live = packed(found.join(ranks, "core").select("k1", "k2", "pos", F.when(F.col("mixed"), F.col("core")).alias("core"), F.when(F.col("mixed"), F.col("sup")).alias("sup")))
     mixed = live.where("core is not null")
-    same = packed(mixed.groupBy("core", "sup").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos")).alias("one")))
+    same = packed(mixed.groupBy("core", "sup").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one")))
     # positions whose surroundings are the same all the way are repeated whole; of each sort one goes on, for the others to be held against
-    whole = live.where("core is null").select("doc_id", "tag", "pos").unionByName(mixed.join(same.where("n > 1").select("core", "sup"), ["core", "sup"]).select("doc_id", "tag", "pos"))
-    whole = whole.select("doc_id", "tag", F.greatest(F.col("pos") - OFFSETS + 1, F.lit(0)).alias("from_byte"), (F.col("pos") + length).alias("to_byte"))
-    at = same.groupBy("one.doc_id", "one.tag").agg(F.collect_list(F.struct("one.pos", F.least("n", F.lit(2)).cast("int").alias("weight"))).alias("at"))
-    d = documents.select(F.col("doc_id").alias("d"), F.col("tag").alias("h"), "text")
+    whole = live.where("core is null").select("k1", "k2", "pos").unionByName(mixed.join(same.where("n > 1").select("core", "sup"), ["core", "sup"]).select("k1", "k2", "pos"))
+    whole = whole.select("k1", "k2", F.greatest(F.col("pos") - OFFSETS + 1, F.lit(0)).alias("from_byte"), (F.col("pos") + length).alias("to_byte"))
+    at = same.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.pos", F.least("n", F.lit(2)).cast("int").alias("weight"))).alias("at"))
+    d = documents.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "text")
     around = F.transform("at", lambda a: F.struct(a["pos"].alias("pos"), a["weight"].alias("weight"), F.greatest(F.lit(OFFSETS - 1) - a["pos"], F.lit(0)).alias("lo"), F.substring(F.col("text"), F.greatest(a["pos"] - OFFSETS + 2, F.lit(1)), F.least(a["pos"], F.lit(OFFSETS - 1)) + length).alias("data")))
-    first = at.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("h")))
-    place = packed(first.select("doc_id", "tag", F.explode(around).alias("r")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "tag", "r.pos", "r.weight", "r.lo", "r.data"))
+    first = at.join(d, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
+    place = packed(first.select("k1", "k2", F.explode(around).alias("r")).select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "r.pos", "r.weight", "r.lo", "r.data"))
     parts, spans, size = place.select("id", F.lit(0).alias("x0"), "weight", "lo", "data"), [], OFFSETS
     for fan in FANOUT:
         size //= fan
         children = [F.struct(c.alias("x"), *_ranked(c, c + size - 1, length)) for c in (F.col("x0") + i * size for i in range(fan))]
         rows = packed(parts.select("id", "weight", F.explode(F.array(*children)).alias("r")).where("r.core is not null").select("id", "r.x", "weight", "r.core", "r.all"))
         # who is alone in its rank drops out; where all that share it are the same all the way, they are repeated whole
-        ranks = rows.groupBy("core").agg(F.sum("weight").alias("n"), F.min("all").alias("a"), F.max("all").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
+        ranks = packed(rows.groupBy("core").agg(F.sum("weight").alias("n"), F.min("all").alias("a"), F.max("all").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed")))
         live = packed(rows.join(ranks, "core"))
         spans.append(live.where("not mixed and weight = 1").select("id", "x", F.lit(size).alias("size")))
-        if size == 1:
-            break
         mixed = live.where("mixed")
         same = packed(mixed.groupBy("core", "all").agg(F.sum("weight").alias("n"), F.count("*").alias("rows"), F.min("id").alias("id"), F.max("id").alias("last"), F.min("x").alias("x")))
         again = same.where("n > 1")
         spans.append(again.select(F.explode(F.array_distinct(F.array("id", "last"))).alias("id"), "x", F.lit(size).alias("size")))
         spans.append(mixed.where("weight = 1").join(again.where("rows > 2").select("core", "all"), ["core", "all"]).select("id", "x", F.lit(size).alias("size")))
+        if size == 1:
+            break
         parts = same.select("id", F.col("x").alias("x0"), F.least("n", F.lit(2)).cast("int").alias("weight")).join(place.select("id", "lo", "data"), "id")
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
     y, left = F.col("x") + F.col("size") - 1, F.lit(OFFSETS - 1) - F.col("lo")
-    fine = out.join(place.select("id", "doc_id", "tag", "pos", "lo", F.octet_length("data").alias("n")), "id").select(
-        "doc_id",
-        "tag",
+    fine = out.join(place.select("id", "k1", "k2", "pos", "lo", F.octet_length("data").alias("n")), "id").select(
+        "k1",
+        "k2",
         (F.col("pos") - left + F.greatest(left - y, F.lit(0))).alias("from_byte"),
         (F.col("pos") - left + F.least(left - F.col("x") + length, F.col("n"))).alias("to_byte"),
     )
@@ -205,9 +210,11 @@ def remove_repeats(documents: DataFrame, length: int = 200, text: str = "text",
     same row given twice included; a null doc_id is carried along. Other columns are not looked at.
     """
     d = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b"")).alias("text"))
-    d = d.withColumn("tag", F.hash("text"))
-    spans = repeated_spans(d, length)
-    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("h")).agg(F.collect_list(F.struct(F.col("from_byte").cast("int").alias("f"), F.col("to_byte").cast("int").alias("t"))).alias("spans"))
-    both = d.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("h")), "left")
+    d = d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
+    spans = repeated_spans(d.select("k1", "k2", "text"), length)
+    # a set: rows that are the same all have all spans of theirs
+    span = F.struct(F.col("from_byte").cast("int").alias("f"), F.col("to_byte").cast("int").alias("t"))
+    spans = spans.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_set(span).alias("spans"))
+    both = d.join(spans, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
     clipped = F.transform("spans", lambda s: F.struct(s["f"].alias("f"), F.least(s["t"], F.octet_length("text")).alias("t")))
     return both.select("doc_id", "text", clipped.alias("spans")).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,9 +1,8 @@
 import hashlib
+import math
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from stresslens.llm import privacy
 
 PLAIN = {
@@ -44,18 +43,33 @@ def test_spans_against_brute_force(spark):
 
 def test_disclosing_terms(spark):
     clean = [f"nothing to see here number{i} ordinary words the of and" for i in range(200)]
-    told = [f"hello {w} the zorbulon chief writes from boss@corp.example today {w} and the rest" for w in ("alpha", "bravo", "carol", "delta")]
-    copies = ["the quagmire person is other@corp.example again"] * 4  # the same surroundings each time: no evidence
-    df = spark.createDataFrame(list(enumerate(clean + told + copies)), "doc_id long, text string")
-    d = privacy.sanitise_spans(df, generalise_bits=3.0, remove_bits=5.0).where("size(terms) > 0")
-    rows = {x.doc_id: x for x in d.collect()}
-    assert set(rows) == set(range(200, 204))
-    for i, x in rows.items():
-        text = told[i - 200]
-        assert {text[t.s : t.e] for t in x.terms} >= {"zorbulon", "chief", "writes"} and "the" not in {text[t.s : t.e] for t in x.terms}
-    joined = df.join(d.drop("k1", "k2"), "doc_id").withColumn("all", F.concat(F.transform("email", lambda x: F.struct(F.lit("email").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("generalise").alias("act"))), F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["act"].alias("act")))))
-    out = [x.t for x in joined.select(privacy.sanitise(F.col("text"), F.col("all")).alias("t")).collect()]
-    assert all("zorbulon" not in t and "[EMAIL]" in t and " the " in t for t in out)
+    told = [f"hello {w} the zorbulon Li writes from {w}@corp.example today {w} and the rest" for w in ("alpha", "bravo", "carol", "delta")]
+    copies = ["the quagmire person is other@corp2.example again"] * 4  # the same surroundings each time: no evidence
+    far = ["a text without any mail speaks of Zorbulon, of the zorbulonic and ZORBULON"]
+    texts = clean + told + copies + far
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, told string")
+    few = dict(generalise_bits=3.0, remove_bits=5.6)
+    terms = {x.term: x for x in privacy.disclosing(df, **few).collect()}
+    n = len(texts)
+    # by plain counting: beside the domain in four documents, in five at all
+    assert abs(terms["zorbulon"].bits - math.log2(4 * n / (4 * 5))) < 1e-9 and terms["zorbulon"].act == "generalise"
+    assert abs(terms["li"].bits - math.log2(n / 4)) < 1e-9 and terms["li"].act == "remove"
+    assert not {"the", "and", "quagmire", "again", "alpha"} & set(terms)
+    rows = {x.doc_id: x for x in privacy.sanitise_spans(df, **few).withColumn("out", privacy.sanitised()).collect()}
+    last = rows[n - 1]
+    assert [far[0][t.s : t.e] for t in last.terms] == ["Zorbulon", "ZORBULON"] and last.out == "a text without any mail speaks of [TERM], of the zorbulonic and [TERM]"
+    assert all(not x.terms and x.out == texts[i] for i, x in rows.items() if i < 200)
+    # what is said in these four only goes too; what others say stays
+    assert rows[200].out == " alpha the [TERM]    [EMAIL]  alpha and the "
+    got = {x.doc_id: x for x in privacy.report(df, **few).collect()}
+    assert got[n - 1].n_term == 2 and got[n - 1].sanitised_sha256 == hashlib.sha256(last.out.encode()).hexdigest()
+    assert got[n - 1].acts == ",".join(f"{t.s}:generalise" for t in last.terms)
+
+
+def test_very_many_matches(spark):
+    text = "a@b.cd " * 3000
+    x = privacy.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert x.n_email == 3000 and x.spans.endswith(f"email:{7 * 2999}:{7 * 2999 + 6}")
 
 
 def test_repeated_rows_and_empty(spark):

@@ -4,8 +4,9 @@ A text's tokens are canonicalised into a template: numbers, names and units beco
 eight template tokens are hashed; windows of documents that may be in the benchmark (a bitmap of fixed size tells)
 are joined to the benchmark's by hash. Where windows of an item follow each other in a document, the values in their
 slots must map one to one from item to document; then a template counts as the same question with other values.
-What is a name is told by capitals and the sentence's start, which differ between copies; so windows are hashed in a
-second, plain form too, in which only numbers are placeholders, and either form may match. Windows that are mostly
+A capitalised token is a name, at the start of a sentence too: there it may be a plain word, which then maps to itself.
+Copies differ in capitals; so windows are hashed in a second, plain form too, in which only numbers are placeholders,
+and either form may match. Windows that are mostly
 numbers are hashed with their values, so every window of an item has a hash and counts in its total.
 """
 
@@ -46,17 +47,17 @@ def _name(token: bytes) -> bool:
 
 
 class Template:
-    """Tokens as numbers: what they are at the start of a sentence and within one."""
+    """Tokens as numbers: their place in the template, and in the plain form with and without the values of numbers."""
 
     def __init__(self) -> None:
         self.reset()
 
     def reset(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.first = np.zeros(1 << 12, np.uint64)
-        self.inner = np.zeros(1 << 12, np.uint64)
+        self.typed = np.zeros(1 << 12, np.uint64)
+        self.slotted = np.zeros(1 << 12, np.uint64)
         self.plain = np.zeros(1 << 12, np.uint64)
-        self.kind = np.zeros(1 << 12, np.uint8)  # 1: a number, 2: a unit, 4: a name within a sentence, 8: a sentence ends
+        self.kind = np.zeros(1 << 12, np.uint8)  # 1: a number, 2: a unit, 4: a name
 
     def add(self, token: bytes) -> int:
         core = token.strip(_EDGE) or token
@@ -66,16 +67,16 @@ class Template:
         slot = xxhash.xxh64_intdigest(b"<number>")
         n = len(self.memo)
         if n == len(self.kind):
-            self.first, self.inner, self.plain, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.plain, self.kind))
+            self.typed, self.slotted, self.plain, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.typed, self.slotted, self.plain, self.kind))
         self.plain[n] = plain
-        self.first[n] = slot if number else plain
-        self.inner[n] = slot if number else xxhash.xxh64_intdigest(b"<name>") if name else plain
-        self.kind[n] = number * 1 + (low in UNITS) * 2 + name * 4 + (token.rstrip(b"\"')]}*_")[-1:] in (b".", b"!", b"?", b":")) * 8
+        self.typed[n] = slot if number else plain
+        self.slotted[n] = slot if number else xxhash.xxh64_intdigest(b"<name>") if name else plain
+        self.kind[n] = number * 1 + (low in UNITS) * 2 + name * 4
         self.memo[token] = n
         return n
 
-    def __call__(self, tokens: list[bytes], start: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-        """The tokens as hashes, which are slots, and hashes with the values, as a template (without values) and in the plain form. start: the first token starts a sentence."""
+    def __call__(self, tokens: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """The tokens as hashes, which are slots, and hashes with the values, as a template (without values) and in the plain form."""
         if len(self.memo) > _MEMO:
             self.reset()
         memo, get = self.memo, self.memo.get
@@ -85,12 +86,11 @@ class Template:
                 at[i] = memo[tokens[i]] if tokens[i] in memo else self.add(tokens[i])
         where = np.array(at, np.int64)
         kind = self.kind[where]
-        opens = np.concatenate([[start], (kind[:-1] & 8) > 0])
-        h = np.where(opens, self.first[where], self.inner[where])
+        h = self.slotted[where]
         unit = ((kind & 2) > 0) & np.concatenate([[False], (kind[:-1] & 1) > 0])
         h[unit] = np.uint64(xxhash.xxh64_intdigest(b"<unit>"))
         number = (kind & 1) > 0
-        return [(h, number | unit | (((kind & 4) > 0) & ~opens), None), (self.first[where], number, self.plain[where])]
+        return [(h, number | unit | ((kind & 4) > 0), None), (self.typed[where], number, self.plain[where])]
 
 
 class Scan:
@@ -101,13 +101,13 @@ class Scan:
 
     def text(self, template: Template, held: np.ndarray | None, text: bytes) -> Iterator[tuple[int, int, int, int, list[str]]]:
         """Window size, token position, hash, tokens of the text so far, slot values."""
-        base, carry, start = 0, [], True
+        base, carry = 0, []
         for piece in pieces(text):
             fresh = piece.split()
             tokens = carry + fresh
             if not fresh:
                 continue
-            forms = [(h, slot, values, np.concatenate([[0], np.cumsum(~slot)])) for h, slot, values in template(tokens, start)]
+            forms = [(h, slot, values, np.concatenate([[0], np.cumsum(~slot)])) for h, slot, values in template(tokens)]
             for size in self.sizes:
                 # what the piece before has already seen whole isn't looked at again
                 skip = max(0, len(carry) - size + 1)
@@ -129,7 +129,6 @@ class Scan:
                         j = i + skip
                         yield size, base + j, int(w[i].view(np.int64)), 0, [tokens[j + k].strip(_EDGE).decode("utf-8", "replace").lower() for k in np.flatnonzero(slot[j : j + size]).tolist()]
             keep = min(len(tokens), WINDOW)  # one more than a window's rest: a unit is told by the number before it
-            start = bool(template.kind[template.memo[tokens[-keep - 1]]] & 8) if len(tokens) > keep else start
             base += len(tokens) - keep
             carry = tokens[len(tokens) - keep :]
 
@@ -155,8 +154,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, r
 
     th is xxhash64 of the text. A document holds an item if it has `coverage` of the item's windows, or `run` of
     them, with slots that map one to one along each alignment. exact is the share of windows whose slots are the same.
-    Null and empty texts hold nothing; items of fewer than LEAST tokens are too short to be told and are left out.
-    Repeated rows give one row; other columns are not looked at.
+    Null and empty texts hold nothing; an item of fewer than LEAST tokens is found where it is all that a document has.
+    Texts of any length are read in pieces. Repeated rows give one row; a null doc_id is carried along, and several
+    such documents are told apart by th; an item_id that has several texts is one item; of windows that match in
+    several places all count; other columns are not looked at.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
@@ -192,4 +193,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, r
     lined = lined.select("doc_id", "th", "item_id", F.when(one_to_one, F.col("found")).otherwise(F.col("exact")).alias("found"), "exact")
     held = lined.groupBy("doc_id", "th", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.size(F.array_distinct(F.flatten(F.collect_list("exact")))).alias("same"))
     held = held.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("total"))
-    return held.where((F.col("coverage") >= coverage) | (F.col("matched") >= run)).select("doc_id", "th", "item_id", "coverage", (F.col("same") / F.col("total")).alias("exact"), F.col("matched").cast("long").alias("matched"))
+    held = held.where((F.col("coverage") >= coverage) | (F.col("matched") >= run)).select("doc_id", "th", "item_id", "coverage", (F.col("same") / F.col("total")).alias("exact"), F.col("matched").cast("long").alias("matched"))
+    # an item too short for a window is in a document that is nothing else
+    bare = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
+    tiny = items.where((n > 0) & (n < LEAST)).select(F.col("id").alias("item_id"), bare(F.col("text")).alias("bare")).distinct()
+    small = d.where(n.between(1, LEAST - 1)).select(F.col("id").alias("doc_id"), "th", bare(F.col("text")).alias("bare")).distinct()
+    whole = small.join(tiny, "bare").select("doc_id", "th", "item_id", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("exact"), F.lit(1).cast("long").alias("matched"))
+    return held.unionByName(whole)

@@ -1,3 +1,6 @@
+import random
+import re
+
 from stresslens.llm import decontaminate
 from stresslens.llm import texts as texts_
 
@@ -35,7 +38,7 @@ def test_passages_templates_and_slots(spark):
         (11, "120 km 3 hours 5 kg 7 m 120 km 3 hours 5 kg 7 m", "x"),
     ]
     got = found(spark, docs)
-    assert set(got) == {(1, 1), (2, 1), (4, 2), (6, 3), (10, 2), (12, 6)}
+    assert set(got) == {(1, 1), (2, 1), (4, 2), (6, 3), (9, 4), (10, 2), (12, 6)}
     assert got[1, 1].exact == got[1, 1].coverage and got[2, 1].exact < 0.5 <= got[2, 1].coverage
     assert not found(spark, [])
 
@@ -82,3 +85,98 @@ def test_pieces_see_the_same(spark, monkeypatch):
     monkeypatch.setattr(texts_, "PIECE", 40)
     cut = list(decontaminate.Scan([8, 5], None).text(decontaminate.Template(), None, text))
     assert sorted(whole) == sorted(cut) and len(whole) > 50
+
+
+def plain(tokens, names):
+    """What stands for each token, and the values of slots: with names and units as slots too, or numbers only."""
+    out, slots = [], []
+    for i, token in enumerate(tokens):
+        core = token.strip("\"'`()[]{}<>*_.,;:!?") or token
+        number = lambda x: bool(re.fullmatch(r"[$€]*[+-]?[0-9][0-9.,:/]*[0-9]?(%|[a-z]{1,3})?", (x.strip("\"'`()[]{}<>*_.,;:!?") or x).lower()))
+        kind = "<number>" if number(token) else None
+        if names and kind is None:
+            name = len(core) > 1 and core[0].isupper() and core.replace("-", "").replace("'", "").isalpha() and not core.isupper()
+            unit = core.lower().encode() in decontaminate.UNITS and i > 0 and number(tokens[i - 1])
+            kind = "<unit>" if unit else "<name>" if name else None
+        elif names and i > 0 and core.lower().encode() in decontaminate.UNITS and number(tokens[i - 1]):
+            kind = "<unit>"
+        out.append(kind or core.lower())
+        slots.append(core.lower() if kind else None)
+    return out, slots
+
+
+def windows(text):
+    """(position, key, slot values) of all windows of a text's items or documents, of every size from 4 to 8."""
+    tokens = text.split()
+    forms = [plain(tokens, True), plain(tokens, False)]
+    for size in range(4, 9):
+        for i in range(len(tokens) - size + 1):
+            keys = []
+            for f, (out, slots) in enumerate(forms):
+                some, values = out[i : i + size], slots[i : i + size]
+                if 2 * sum(v is None for v in values) >= size:
+                    keys.append((tuple(some), [v for v in values if v is not None]))
+                elif f == 1:
+                    keys.append((("values", *[v or x for v, x in zip(values, some, strict=True)]), [v for v in values if v is not None]))
+            for n, (key, values) in enumerate(keys):
+                if n == 0 or key != keys[0][0]:
+                    yield size, i, key, values
+
+
+def brute(docs, items, coverage=0.5, run=6):
+    out = {}
+    for item, question in items:
+        size = min(8, len(question.split()))
+        known = [(i, k, v) for z, i, k, v in windows(question) if z == size]
+        for doc, text in docs:
+            there = {}
+            for z, i, k, v in windows(text):
+                if z == size:
+                    there.setdefault(k, []).append((i, v))
+            lines = {}
+            for i, k, v in known:
+                for j, w in there.get(k, []):
+                    lines.setdefault(j - i, []).append((i, v, w))
+            found, same = set(), set()
+            for hits in lines.values():
+                pairs = {p for _, v, w in hits for p in zip(v, w, strict=True)}
+                exact = {i for i, v, w in hits if v == w}
+                one = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+                found |= {i for i, _, _ in hits} if one else exact
+                same |= exact
+            total = len({i for i, _, _ in known})
+            if found and (len(found) / total >= coverage or len(found) >= run):
+                out[doc, item] = (len(found), round(len(found) / total, 9), round(len(same) / total, 9))
+    return out
+
+
+def test_against_plain_windows(spark):
+    r = random.Random(3)
+    word = lambda: r.choice(["Alice", "Robert", "how", "How", "many", "apples", "keep", "7", "12", "$5", "km", "kg", "gives", "away.", "The", "the", "red", "and", "USA", "3.5", "has", "Has,"])
+    items = [(i, " ".join(word() for _ in range(r.choice([4, 5, 6, 7, 8, 9, 14, 25])))) for i in range(25)]
+    swap = {"Alice": "Carol", "Robert": "Dora", "7": "8", "12": "13", "red": "green"}
+    docs = []
+    for i in range(120):
+        text = r.choice(items)[1].split()
+        kind = r.randint(0, 4)
+        if kind == 1:
+            text = [swap.get(x, x) for x in text]
+        if kind == 2:
+            text[r.randint(0, len(text) - 1)] = word()
+        if kind == 3:
+            text = [x.upper() if r.random() < 0.5 else x.lower() for x in text]
+        if kind == 4:
+            text = text[: len(text) // 2]
+        docs.append((i, " ".join([word() for _ in range(r.randint(0, 12))] + text + [word() for _ in range(r.randint(0, 12))])))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    want = brute(docs, items)
+    assert {(x.doc_id, x.item_id): (x.matched, round(x.coverage, 9), round(x.exact, 9)) for x in got} == want and 60 < len(want)
+
+
+def test_names_at_the_start_and_tiny_items(spark):
+    question = "Alice has 5 red apples and 3 green pears. Alice gives 2 apples away. How many apples does Alice keep?"
+    b = spark.createDataFrame([(1, question), (2, "2 + 2?"), (3, question.replace("apples", "plums"))], "item_id long, text string")
+    other = question.replace("Alice", "Robert").replace("5", "9").replace("3", "4").replace("2", "6")
+    d = spark.createDataFrame([(1, other, "x"), (None, " 2 +\n2?", "x"), (3, "what is 2 + 2?", "x"), (None, other, "x")], "doc_id long, text string, item_id string")
+    assert sorted((str(x.doc_id), x.item_id, x.coverage) for x in decontaminate.matches(d, b).collect()) == [("1", 1, 1.0), ("None", 1, 1.0), ("None", 2, 1.0)]

@@ -4,8 +4,10 @@ The SimHash of the shingle set, linked by the deletion variants of simhash.edges
 few bits. It can't be all: texts of similarity 0.8 differ in ten bits of 64 on average, and no cut of 64 bits into
 segments finds those without comparing nearly everything. So MinHash bands propose the others: two texts of similarity
 J share one of BANDS bands of ROWS least hashes with probability 1 - (1 - J**ROWS)**BANDS, 0.9995 for 0.8 and more
-above. Every pair is verified exactly before it is linked. Texts with equal shingle sets are one. A bucket first links
-its members to its least one, and then compares what is in different components.
+above. Texts with equal shingle sets are one. Each set is first held against the one that is the least in most of its
+buckets; then buckets compare what is in different components, by signatures in runs of sorted keys. A signature has a byte of each of the
+BANDS * ROWS least hashes; a pair whose signatures agree in so few that it lies four deviations below the similarity
+asked for goes no further, and every other one is verified exactly by its texts before it is linked.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.llm import simhash
-from stresslens.llm.common import components, cut
-from stresslens.llm.decontaminate import windows
-from stresslens.llm.texts import pieces, raw
+from stresslens.llm.common import components, cut, packed
+from stresslens.llm.texts import pieces, raw, windows
 
 BANDS, ROWS = 25, 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,7 +50,8 @@ def _words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def bands(h: np.ndarray) -> np.ndarray:
+def bands(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's key in each band, and its signature."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for i in range(0, len(h), _CHUNK):
         np.minimum(least, ((h[i : i + _CHUNK, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
@@ -57,7 +59,14 @@ def bands(h: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         key = (key ^ least[k::ROWS]) * _ODD
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    # least values have zeros in front: a product's top byte depends on all their bits
+    return key.view(np.int64), ((least * _ODD) >> np.uint64(56)).astype(np.uint8)
+
+
+def enough(least: float) -> int:
+    """In how many places the signatures of texts of that similarity agree, less four deviations."""
+    n = BANDS * ROWS
+    return int(n * least - 4 * (n * least * (1 - least)) ** 0.5)
 
 
 def sketch(h: np.ndarray) -> int:
@@ -75,18 +84,81 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, th, s (the hash of the shingle set), its SimHash and its bands for every row of documents (doc_id, th, text)."""
+    """doc_id, th, s (the hash of the shingle set), its SimHash, its signature and its bands for every row of documents (doc_id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [shingles(t, words) for t in raw(batch.column(2))]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
-            keys = np.concatenate([bands(x) for x in h]) if h else np.zeros(0, np.int64)
+            told = [bands(x) for x in h]
+            keys = np.concatenate([x[0] for x in told]) if h else np.zeros(0, np.int64)
             ends = pa.array(range(0, len(keys) + 1, BANDS), pa.int32())
             fp = pa.array([sketch(x) for x in h], pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), fp, pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "th", "s", "fp", "bands"])
+            sig = pa.array([x[1].tobytes() for x in told], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), fp, sig, pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "th", "s", "fp", "sig", "bands"])
+
+    return documents.mapInArrow(run, "doc_id long, th long, s long, fp long, sig binary, bands array<long>")
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
-    return documents.mapInArrow(run, "doc_id long, th long, s long, fp long, bands array<long>")
+
+def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) whose signatures agree in enough places."""
+    most = enough(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(1) >= most
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine))
+
+    sig = [sets.select(F.col("s").alias(c), F.col("sig").alias(f"{c}_sig")) for c in "ab"]
+    return pairs.distinct().join(sig[0], "a").join(sig[1], "b").select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
+
+
+def _across(rows: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of rows (key, s, c, sig) that share a key, differ in c, and are likely.
+
+    Rows are dealt and sorted by key, and a run of equal keys is compared in place, so what a bucket of many
+    different texts makes is the pairs that remain, not the pairs that are looked at.
+    """
+    most = enough(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            key = now.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            held = now.slice(last)
+            if last:
+                yield compared(now.slice(0, last))
+        if held is not None:
+            yield compared(held)
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        key, s, c = (rows.column(n).to_numpy() for n in ("key", "s", "c"))
+        sig, off = _bytes(rows.column("sig")), 1
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        i = np.flatnonzero(key[:-1] == key[1:])
+        while len(i):
+            asked = i[c[i] != c[i + off]]
+            for at in range(0, len(asked), 1 << 14):
+                some = asked[at : at + (1 << 14)]
+                some = some[(sig[some] == sig[some + off]).sum(1) >= most]
+                left.append(s[some])
+                right.append(s[some + off])
+            off += 1
+            i = i[i + off < len(key)]
+            i = i[key[i] == key[i + off]]
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.select("key", "s", "c", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
@@ -107,7 +179,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: in
             keep = pa.array([similarity(known(a, x), shingles(y, words)) >= least for a, x, y in both], pa.bool_())
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    pairs = cut(pairs.distinct())
+    pairs = packed(pairs.distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     where = sets.join(asked, F.col("s") == F.col("asked")).select("s", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"))
     texts = documents.join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("s", "text").dropDuplicates(["s"])
@@ -125,26 +197,20 @@ def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, bi
     documents = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = cut(_signed(documents, words))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    sets = cut(rows.groupBy("s").agg(one.alias("one"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    sets = cut(rows.groupBy("s").agg(one.alias("one"), F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
     prints = cut(sets.groupBy("fp").agg(F.min("s").alias("a")))
     close = simhash.edges(prints, bits).toDF("fp", "to").distinct()
     close = close.join(prints, "fp").select("to", "a").join(prints.select(F.col("fp").alias("to"), F.col("a").alias("b")), "to").select("a", "b")
     same = sets.select("fp", "s").join(prints, "fp").where("s <> a").select("a", F.col("s").alias("b"))
     keyed = sets.select("s", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("a")).where("n > 1").select(F.col("key").alias("of"), "a")
-    full = cut(keyed.join(buckets, F.col("key") == F.col("of")).select("key", "s", "a"))
-    proposed = full.where("s <> a").select("a", F.col("s").alias("b")).unionByName(close).unionByName(same)
-    stars = _verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), documents, sets, words, least)
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("known")).where("n > 1").select(F.col("key").alias("of"), "known")
+    full = cut(keyed.join(buckets, F.col("key") == F.col("of")).select("key", "s", "known"))
+    often = full.where("s <> known").groupBy("s", "known").count().groupBy("s").agg(F.max_by("known", F.struct("count", "known")).alias("a"))
+    proposed = often.select("a", F.col("s").alias("b")).unionByName(close).unionByName(same)
+    stars = _verified(_likely(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, least), documents, sets, words, least)
     first = cut(components(stars).toDF("s", "root"))
-    named = cut(full.join(first, "s", "left").select("key", "s", F.coalesce("root", "s").alias("c"), "a"))
-    counts = named.groupBy("key", "c").agg(F.count("*").alias("n"))
-    common = counts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.c").alias("common"))
-    mixed = cut(named.join(common, "key"))
-    others = mixed.where("c <> common").select(F.col("key").alias("key2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    # pairs with the bucket's least are known already
-    fresh = (F.col("s") != F.col("a")) & (F.col("s2") != F.col("a")) & (F.col("c") != F.col("c2"))
-    pairs = mixed.join(others, (F.col("key") == F.col("key2")) & fresh).select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b"))
-    links = _verified(pairs, documents, sets, words, least).unionByName(first.select(F.col("s").alias("a"), F.col("root").alias("b")))
+    rows_ = full.select("key", "s").join(sets.select("s", "sig"), "s").join(first, "s", "left").withColumn("c", F.coalesce("root", "s"))
+    links = _verified(_across(rows_, least), documents, sets, words, least).unionByName(first.select(F.col("s").alias("a"), F.col("root").alias("b")))
     roots = components(links).toDF("s", "root")
     grouped = rows.select("doc_id", "th", "s").join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("c")).agg(one.alias("x"))
     return grouped.select("x.doc_id", "x.th")

@@ -129,3 +129,19 @@ def test_shards(spark):
     assert sum(len(s) > 1 for s in where.values()) <= 12
     few = sharding.shard(spark.createDataFrame(data[:3], SCHEMA), 40).collect()
     assert len({x.shard for x in few}) == 3 and {x.slot for x in few} == {0}
+
+
+def test_links_are_kept_together(spark):
+    """Forty circles of ten documents with different texts: dealt at random nine in ten links would be cut."""
+    r = random.Random(1)
+    ids = list(range(400))
+    r.shuffle(ids)
+    circles = [ids[i : i + 10] for i in range(0, 400, 10)]
+    links = [(c[i], c[j]) for c in circles for i in range(10) for j in range(i)] + [(1, 1), (None, 3), (7, 5000)]
+    d = spark.createDataFrame([(i, f"text {i}", "x") for i in ids] + [(None, "no id", "x")], "doc_id long, text string, shard string")
+    e = spark.createDataFrame(links, "a long, b long")
+    placed = sharding.shard(d, 10, links=e, rounds=6).cache()
+    n = [x["count"] for x in placed.groupBy("shard").count().collect()]
+    assert placed.count() == 401 and len(n) == 10 and max(n) - min(n) <= 1
+    with_, without = sharding.cut_links(placed, e).first(), sharding.cut_links(sharding.shard(d, 10), e).first()
+    assert with_.links == without.links == 1800 + 1 and without.cut > 1400 and 2 * with_.cut < without.cut, (with_, without)

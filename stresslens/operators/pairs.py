@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from stresslens.operators import metrics
 from stresslens.operators.metrics import r6
 
-#: At least so many of twenty views for each grade.
-GRADES = (("A", 20), ("B", 18), ("C", 15), ("D", 1))
+#: A band needs so many of twenty verdicts retained; and what share of its clean verdicts was measured to be right.
+GRADES = (("HIGH", 20, 0.991), ("MEDIUM", 18, 0.949), ("LOW", 15, 0.849), ("VERY LOW", 0, 0.606))
+VIEWS = 20
 
 
 def with_clean(rows: DataFrame) -> DataFrame:
@@ -30,6 +31,21 @@ def two_methods(rows: DataFrame, a: str, b: str) -> DataFrame:
     return side(a, "a").join(side(b, "b"), ["source_id", "condition_id"]).withColumnRenamed("label_a", "label")
 
 
+def unmatched(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """reason, n: views that only one of two methods has, and views whose labels differ. A paired number needs all to be zero."""
+    side = lambda m, c: rows.where(F.col("method_id") == m).select("source_id", "condition_id", F.col("label").alias(c))
+    both = side(a, "x").join(side(b, "y"), ["source_id", "condition_id"], "full")
+    reason = F.when(F.col("y").isNull(), f"only {a}").when(F.col("x").isNull(), f"only {b}").when(F.col("x") != F.col("y"), "label")
+    return both.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def matched(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """two_methods() for rows that pair without rest; refuses others."""
+    if found := unmatched(rows, a, b).collect():
+        raise ValueError("rows don't pair: " + ", ".join(f"{r.reason}: {r.n}" for r in sorted(found)))
+    return two_methods(rows, a, b)
+
+
 def flips(paired: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     """Share of changed verdicts, and by direction over all sources of the class."""
     was, now, y = F.col("clean_p") >= threshold, F.col("p") >= threshold, F.col("label") == 1
@@ -45,18 +61,39 @@ def conditional_flips(rows: DataFrame, by: list[str], threshold: float = 0.5) ->
     return right.groupBy(*by).agg(F.count("*").alias("n"), share(~now, y).alias("fake_to_real"), share(now, ~y).alias("real_to_fake"))
 
 
-def retention(rows: DataFrame, threshold: float = 0.5, views: int = 20) -> DataFrame:
-    """How many of a source's views, the clean one among them, keep the clean verdict; whole grids only."""
+def retention(rows: DataFrame, threshold: float = 0.5, views: int | None = VIEWS) -> DataFrame:
+    """How many of a source's views, the clean one among them, keep the clean verdict; whole grids only, or with views None all, by how many are scored."""
     kept = (F.col("p") >= threshold) == (F.col("clean_p") >= threshold)
-    r = with_clean(rows).groupBy("method_id", "source_id").agg(F.max("label").alias("label"), F.count_if(kept).cast("int").alias("retained"), F.count("*").alias("n"), F.max("clean_p").alias("clean_p"))
-    return r.where(F.col("n") == views).drop("n")
+    r = with_clean(rows).groupBy("method_id", "source_id").agg(F.max("label").alias("label"), F.count_if(kept).cast("int").alias("retained"), F.count("*").cast("int").alias("scored"), F.max("clean_p").alias("clean_p"))
+    return r if views is None else r.where(F.col("scored") == views).drop("scored")
 
 
 def graded(retained: DataFrame) -> DataFrame:
-    g = F.lit("UNKNOWN")
-    for name, least in reversed(GRADES):
-        g = F.when(F.col("retained") >= least, name).otherwise(g)
-    return retained.withColumn("grade", g)
+    """grade, and the accuracy measured in its band: retained verdicts as if of VIEWS, so a part of a grid isn't graded like a whole one."""
+    scored = F.col("scored") if "scored" in retained.columns else F.lit(VIEWS)
+    of = F.col("retained") * F.lit(float(VIEWS)) / scored
+    grade, accuracy = F.lit("UNKNOWN"), F.lit(None).cast("double")
+    for name, least, right in reversed(GRADES):
+        fits = (scored > 0) & (of >= least)
+        grade, accuracy = F.when(fits, name).otherwise(grade), F.when(fits, F.lit(right)).otherwise(accuracy)
+    return retained.withColumns({"grade": grade, "measured_accuracy": accuracy})
+
+
+def certificates(rows: DataFrame, threshold: float = 0.5, views: int = VIEWS) -> DataFrame:
+    """A source's verdict beside what it survives: retained of scored, grade, the views that change it, the worst view."""
+    r = with_clean(rows).withColumn("kept", (F.col("p") >= threshold) == (F.col("clean_p") >= threshold))
+    # the worst view is the one furthest to the other side of the threshold
+    against = F.when(F.col("clean_p") >= threshold, F.col("p")).otherwise(-F.col("p"))
+    out = r.groupBy("method_id", "source_id").agg(
+        F.max("clean_p").alias("clean_p"),
+        F.count_if("kept").cast("int").alias("retained"),
+        F.count("*").cast("int").alias("scored"),
+        F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("condition_id")))).alias("unstable"),
+        F.min(F.struct(against.alias("a"), "condition_id", "p")).alias("w"),
+    )
+    verdict = F.when(F.col("clean_p") >= threshold, "fake").otherwise("real")
+    out = graded(out.withColumns({"verdict": verdict, "retention": r6(F.col("retained") / F.col("scored")), "complete": F.col("scored") == views}))
+    return out.select("method_id", "source_id", "verdict", "clean_p", "retained", "scored", "retention", "grade", "measured_accuracy", "unstable", F.col("w.p").alias("worst_p"), F.col("w.condition_id").alias("worst_condition"), "complete")
 
 
 def band_accuracy(grades: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -31,7 +31,12 @@ def breaches(rows: DataFrame, checks: dict[str, Column], example: str) -> DataFr
     return rows.select(F.explode(found).alias("reason"), F.col(example).alias("e")).groupBy("reason").agg(F.count("*").alias("n"), F.min("e").alias("example"))
 
 
-def prediction_checks() -> dict[str, Column]:
+def family_of(condition: str = "condition_id") -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for c, f, *_ in CONDITIONS for x in (c, f)]), F.col(condition))
+
+
+def prediction_checks(columns: list[str]) -> dict[str, Column]:
+    """columns: those that the rows have; a family may be left out, but one that is given must be the condition's."""
     optional = lambda c: F.col(c).isNull() | probability(F.col(c))
     return {
         "schema_version": F.col("schema_version") == ROW_VERSION,
@@ -41,13 +46,15 @@ def prediction_checks() -> dict[str, Column]:
         "condition_id": F.col("condition_id").isin(_NAMES),
         "p_fake": probability(F.col("p_fake")),
         "reliability": optional("reliability"),
-        "inference_ms": F.col("inference_ms").isNull() | (~F.isnan("inference_ms") & (F.col("inference_ms") >= 0)),
+        "inference_ms": F.col("inference_ms").isNull() | (~F.isnan("inference_ms") & (F.col("inference_ms") >= 0) & (F.col("inference_ms") < float("inf"))),
+        "warnings": F.col("warnings").isNotNull() & F.coalesce(F.forall("warnings", lambda x: x.isNotNull()), F.lit(False)),
+        **({"family": F.col("family").isNull() | (F.col("family") == family_of())} if "family" in columns else {}),
         "expert_failures": F.col("expert_failures").isNull() | F.forall("expert_failures", lambda x: nonempty(x["expert_id"]) & nonempty(x["reason_code"])),
     }
 
 
 def row_violations(rows: DataFrame) -> DataFrame:
-    return breaches(rows, prediction_checks(), "sample_id")
+    return breaches(rows, prediction_checks(rows.columns), "sample_id")
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -172,7 +172,7 @@ def a38(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RET = _CLEAN + ", r AS (SELECT method_id, source_id, any_value(label) AS label, CAST(count(*) FILTER (WHERE (p >= 0.5) = (clean_p >= 0.5)) AS int) AS retained, any_value(clean_p) AS clean_p FROM j GROUP BY method_id, source_id HAVING count(*) = 20)"
-_GRADE = "CASE WHEN retained = 20 THEN 'A' WHEN retained >= 18 THEN 'B' WHEN retained >= 15 THEN 'C' ELSE 'D' END"
+_GRADE = "CASE WHEN retained = 20 THEN 'HIGH' WHEN retained >= 18 THEN 'MEDIUM' WHEN retained >= 15 THEN 'LOW' ELSE 'VERY LOW' END"
 
 
 @query("a28_retention", f"{_W}{_RET} SELECT method_id, retained, CAST(count(*) AS bigint) AS sources FROM r GROUP BY ALL")
@@ -222,3 +222,27 @@ def b12(spark: SparkSession, d: str) -> DataFrame:
 @query("b11_greedy_selection")
 def b11(spark: SparkSession, d: str) -> DataFrame:
     return pairs.greedy_conditions(grid.predictions(spark, d).where("method_id = 'm1'"), 3)
+
+
+_PART = "(method_id = 'm1' OR source_id % 11 < 9) AND (condition_id = 'clean' OR (source_id + CAST(length(condition_id) AS bigint)) % 5 > 0)"
+
+
+def _part(rows: DataFrame) -> DataFrame:
+    """Grids with gaps, and sources that one method lacks."""
+    return rows.where(f"({_PART.replace('CAST(length(condition_id) AS bigint)', 'length(condition_id)')})")
+
+
+@query("p21b_certificates", f"""{_W}, g AS (SELECT * FROM pred WHERE {_PART}), j AS (SELECT g.*, c.p AS clean_p FROM g JOIN g c ON g.method_id = c.method_id AND g.source_id = c.source_id AND c.condition_id = 'clean'),
+r AS (SELECT method_id, source_id, any_value(clean_p) AS clean_p, CAST(count(*) FILTER (WHERE (p >= 0.5) = (clean_p >= 0.5)) AS int) AS retained, CAST(count(*) AS int) AS scored, arg_min(condition_id, (CASE WHEN clean_p >= 0.5 THEN p ELSE -p END, condition_id)) AS worst_condition FROM j GROUP BY ALL)
+SELECT method_id, grade, measured_accuracy, worst_condition, CAST(count(*) AS bigint) AS sources, CAST(sum(retained) AS bigint) AS retained, CAST(sum(scored) AS bigint) AS scored, CAST(count(*) FILTER (WHERE scored = 20) AS bigint) AS complete, CAST(count(*) FILTER (WHERE clean_p >= 0.5) AS bigint) AS fake
+FROM (SELECT *, {_GRADE.replace('retained', 'retained * 20.0::double / scored')} AS grade, CASE WHEN retained * 20.0::double / scored = 20 THEN 0.991::double WHEN retained * 20.0::double / scored >= 18 THEN 0.949::double WHEN retained * 20.0::double / scored >= 15 THEN 0.849::double ELSE 0.606::double END AS measured_accuracy FROM r) GROUP BY ALL""")
+def p21b(spark: SparkSession, d: str) -> DataFrame:
+    c = pairs.certificates(_part(grid.predictions(spark, d)))
+    return c.groupBy("method_id", "grade", "measured_accuracy", "worst_condition").agg(F.count("*").alias("sources"), F.sum("retained").alias("retained"), F.sum("scored").alias("scored"), F.count_if("complete").alias("complete"), F.count_if(F.col("verdict") == "fake").alias("fake"))
+
+
+@query("u01_pair_equality", f"""{_W}, g AS (SELECT * FROM pred WHERE {_PART}), a AS (SELECT * FROM g WHERE method_id = 'm1'), b AS (SELECT * FROM g WHERE method_id = 'm2')
+SELECT CASE WHEN b.source_id IS NULL THEN 'only m1' WHEN a.source_id IS NULL THEN 'only m2' ELSE 'label' END AS reason, CAST(count(*) AS bigint) AS n FROM a FULL JOIN b ON a.source_id = b.source_id AND a.condition_id = b.condition_id
+WHERE b.source_id IS NULL OR a.source_id IS NULL OR a.label <> b.label GROUP BY 1""")
+def u01(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.unmatched(_part(grid.predictions(spark, d)), "m1", "m2")

@@ -107,47 +107,59 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
     return operating.abstention(grid.predictions(spark, d), 0.3)
 
 
-_STATS = ", st AS (SELECT method_id, source_id, label, family, count(*) AS n, count(*) FILTER (WHERE p >= 0.5) AS hit FROM pred WHERE family <> 'clean' GROUP BY ALL)"
+_STATS = ", st AS (SELECT method_id, source_id, family, count(*) AS n, count(*) FILTER (WHERE p >= 0.5) AS hit FROM pred WHERE family <> 'clean' AND label = 1 GROUP BY ALL)"
+REPLICATES = 1000
 
 
-def _draws(replicates: int, strata: bool) -> str:
-    stratum, part = ("CAST(label AS varchar)", "PARTITION BY label") if strata else ("''", "")
-    return f""", src AS (SELECT o_orderkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
-sl AS (SELECT source_id, {stratum} AS stratum, row_number() OVER ({part} ORDER BY source_id) - 1 AS slot, count(*) OVER ({part}) AS size FROM src),
-dr AS (SELECT replicate, stratum, CAST('0x' || substr(md5('s:' || replicate || ':' || stratum || ':' || slot), 1, 8) AS bigint) % size AS slot FROM sl, range({replicates}) x(replicate)),
-mu AS (SELECT replicate, source_id, count(*) AS times FROM dr JOIN sl USING (stratum, slot) GROUP BY ALL),
-wo AS (SELECT method_id, replicate, min(recall) AS worst FROM (SELECT method_id, replicate, family, CAST(sum(times * hit) AS double) / sum(times * n) AS recall FROM mu JOIN st USING (source_id) WHERE st.label = 1 GROUP BY ALL) GROUP BY ALL)"""
+def _draws(label: str, replicates: int = REPLICATES) -> str:
+    times = " + ".join(f"CAST(u >= {t} AS int)" for t in resample.POISSON)
+    return f""", md AS (SELECT o_orderkey AS source_id, blk, md5('s:' || blk || ':' || o_orderkey) AS h FROM orders, range({-(-replicates // 8)}) x(blk) {label}),
+mu AS (SELECT source_id, CAST(blk * 8 + j AS int) AS replicate, CAST('0x' || substr(h, CAST(4 * j + 1 AS int), 4) AS int) AS u FROM md, range(8) y(j)),
+dr AS (SELECT source_id, replicate, {times} AS times FROM mu WHERE u >= {resample.POISSON[0]} AND replicate < {replicates})"""
 
 
-def _sources(rows: DataFrame) -> DataFrame:
-    return rows.where("condition_id = 'clean' and method_id = 'm1'").select("source_id", "label")
+_WORST = f"""{_STATS}{_draws("WHERE o_orderstatus = 'F'")}, fa AS (SELECT method_id, replicate, family, CAST(sum(times * hit) AS double) / sum(times * n) AS recall FROM dr JOIN st USING (source_id) GROUP BY ALL),
+wo AS (SELECT method_id, replicate, min(recall) AS worst FROM fa GROUP BY ALL)"""
 
 
-REPLICATES = 20
+def _interval(name: str) -> str:
+    return f"round(avg({name}), 6) AS mean, round(quantile_cont({name}, CAST(0.025 AS double)), 6) AS low, round(quantile_cont({name}, CAST(0.975 AS double)), 6) AS high"
 
 
-@query("b01_bootstrap_strat", f"{_W}{_STATS}{_draws(REPLICATES, True)} SELECT method_id, round(avg(worst), 6) AS mean, round(quantile_cont(worst, CAST(0.025 AS double)), 6) AS low, round(quantile_cont(worst, CAST(0.975 AS double)), 6) AS high FROM wo GROUP BY ALL")
+@query("b01_bootstrap_strat", f"{_W}{_WORST} SELECT method_id, {_interval('worst')} FROM wo GROUP BY ALL")
 def b01(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid.predictions(spark, d)
-    w = resample.worst_family(resample.contributions(rows), resample.multiplicities(_sources(rows), REPLICATES, "s", ["label"]))
+    w = resample.worst_family(resample.contributions(grid.predictions(spark, d)), REPLICATES, "s")
     return resample.interval(w, ["method_id"], "worst")
 
 
-@query("b02_paired_delta", f"{_W}{_STATS}{_draws(REPLICATES, False)}, de AS (SELECT b.worst - a.worst AS delta FROM wo a JOIN wo b ON a.replicate = b.replicate AND a.method_id = 'm1' AND b.method_id = 'm2') SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, CAST(0.025 AS double)), 6) AS low, round(quantile_cont(delta, CAST(0.975 AS double)), 6) AS high FROM de")
+@query("b02_paired_delta", f"{_W}{_WORST}, de AS (SELECT b.worst - a.worst AS delta FROM wo a JOIN wo b ON a.replicate = b.replicate AND a.method_id = 'm1' AND b.method_id = 'm2') SELECT {_interval('delta')} FROM de")
 def b02(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid.predictions(spark, d)
-    w = resample.worst_family(resample.contributions(rows), resample.multiplicities(_sources(rows), REPLICATES, "s", []))
+    w = resample.worst_family(resample.contributions(grid.predictions(spark, d)), REPLICATES, "s")
     return resample.interval(resample.paired_delta(w, "m1", "m2"), [], "delta")
 
 
-@query("b04_ci_block", f"""{_W}{_STATS}{_draws(5, True)}, h AS (SELECT p.method_id, replicate, p, CAST(sum(times * label) AS double) AS pos, CAST(sum(times * (1 - label)) AS double) AS neg FROM mu JOIN pred p USING (source_id) WHERE condition_id = 'clean' GROUP BY ALL),
-a AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY method_id, replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS area FROM h),
-m AS (SELECT method_id, replicate, sum(CASE WHEN p >= 0.5 THEN pos ELSE 0 END) / sum(pos) AS recall, sum(CASE WHEN p >= 0.5 THEN neg ELSE 0 END) / sum(neg) AS fpr, sum(area) / (sum(pos) * sum(neg)) AS auroc FROM a GROUP BY ALL)
-SELECT method_id, CAST(replicate AS int) AS replicate, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round((recall + 1 - fpr) / 2, 6) AS balanced_accuracy, round(auroc, 6) AS auroc FROM m""")
+_RATE = ("recall", "fpr", "balanced_accuracy")
+
+
+@query("b04_ci_block", f"""{_W}{_draws("")}, m AS (SELECT p.method_id, replicate, CAST(sum(CASE WHEN label = 1 AND p >= 0.5 THEN times ELSE 0 END) AS double) / sum(CASE WHEN label = 1 THEN times ELSE 0 END) AS recall,
+CAST(sum(CASE WHEN label = 0 AND p >= 0.5 THEN times ELSE 0 END) AS double) / sum(CASE WHEN label = 0 THEN times ELSE 0 END) AS fpr FROM dr JOIN pred p USING (source_id) WHERE condition_id = 'clean' GROUP BY ALL),
+v AS ({" UNION ALL ".join(f"SELECT method_id, '{m}' AS metric, {'(recall + 1 - fpr) / 2' if m == 'balanced_accuracy' else m} AS value FROM m" for m in _RATE)})
+SELECT method_id, metric, {_interval('value')} FROM v GROUP BY ALL""")
 def b04(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid.predictions(spark, d)
-    m = resample.metric_replicates(rows.where("condition_id = 'clean'").drop("idx"), resample.multiplicities(_sources(rows), 5, "s", ["label"]))
-    return m.select("method_id", "replicate", *[r6(F.col(c)).alias(c) for c in ("recall", "fpr", "balanced_accuracy", "auroc")])
+    clean = grid.predictions(spark, d).where("condition_id = 'clean'")
+    return resample.ci_block(resample.rate_replicates(clean, REPLICATES, "s"), _RATE)
+
+
+#: Each replicate orders all its rows, here and in SQL.
+RANKED = 100
+
+
+@query("b04b_ci_auroc", f"""{_W}{_draws("", RANKED)}, h AS (SELECT p.method_id, replicate, p, CAST(sum(times * label) AS double) AS pos, CAST(sum(times * (1 - label)) AS double) AS neg FROM dr JOIN pred p USING (source_id) WHERE condition_id = 'clean' GROUP BY ALL),
+a AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY method_id, replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS area FROM h),
+m AS (SELECT method_id, replicate, sum(area) / (sum(pos) * sum(neg)) AS auroc FROM a GROUP BY ALL) SELECT method_id, 'auroc' AS metric, {_interval('auroc')} FROM m GROUP BY ALL""")
+def b04b(spark: SparkSession, d: str) -> DataFrame:
+    clean = grid.predictions(spark, d).where("condition_id = 'clean'")
+    return resample.ci_block(resample.auroc_replicates(clean, RANKED, "s"), ("auroc",))
 
 
 @query("b15_pairwise_deltas", f"{_W} SELECT a.method_id AS method_a, b.method_id AS method_b, a.family, round(b.recall - a.recall, 6) AS delta FROM (SELECT method_id, family, {_RATES} FROM (SELECT method_id, family, {_CONF} FROM pred GROUP BY ALL)) a JOIN (SELECT method_id, family, {_RATES} FROM (SELECT method_id, family, {_CONF} FROM pred GROUP BY ALL)) b ON a.family = b.family AND a.method_id < b.method_id")

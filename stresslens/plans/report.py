@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame
 
+from stresslens.operators import grid
 from stresslens.sources.files import find_non_finite
 
 
@@ -53,25 +58,60 @@ class FrozenThreshold:
             raise TypeError("use FrozenThreshold.load")
         self.value, self.sha256 = value, sha256
 
-    FIELDS = frozenset({"schema_version", "method_id", "threshold", "fitted_on", "objective", "objective_ci95", "bootstrap", "created_at"})
-
     @classmethod
     def load(cls, path: str) -> FrozenThreshold:
-        import hashlib
-        import json
-
         with open(path, "rb") as f:
             data = f.read()
         d = json.loads(data)
-        if set(d) != cls.FIELDS:
-            raise ValueError(f"fields differ: {sorted(set(d) ^ cls.FIELDS)}")
-        ci, t = d["objective_ci95"], d["threshold"]
-        if isinstance(t, bool) or not isinstance(t, int | float) or not 0 <= t <= 1:
-            raise ValueError("threshold must be a number from 0 to 1")
-        if len(ci) != 2 or not 0 <= ci[0] <= d["objective"] <= ci[1] <= 1:
-            raise ValueError("interval and objective don't fit")
-        if d["fitted_on"] != "dev":
-            raise ValueError("thresholds are fitted on dev only")
-        if str(d["method_id"]).strip().lower() in ("", "placeholder", "unspecified"):
-            raise ValueError("provenance is missing")
-        return cls(cls._made_here, float(t), hashlib.sha256(data).hexdigest())
+        if bad := threshold_faults(d):
+            raise ValueError("; ".join(bad))
+        return cls(cls._made_here, float(d["threshold"]), hashlib.sha256(data).hexdigest())
+
+
+#: The schema, the pipeline that may read it, and the fields of a threshold document, by what they hold.
+THRESHOLD_SCHEMA, PIPELINE_VERSION = "threshold-artifact.v1", "0.1.0"
+TEXTS = ("objective", "pipeline_version", "fitting_code_version", "created_at", "tie_break")
+DIGESTS = ("dev_manifest_sha256", "config_sha256")
+SHARES = ("threshold", "objective_value", "worst_exact_condition_recall", "clean_fpr", "clean_bacc", "baseline_clean_fpr", "baseline_clean_bacc", "constraint_max_clean_fpr", "constraint_min_clean_bacc")
+COUNTS = {"n_dev_sources": 1, "n_dev_rows": 1, "n_fake_sources_per_exact_condition_min": 0}
+CHOICES = {"schema_version": (THRESHOLD_SCHEMA,), "pipeline_version": (PIPELINE_VERSION,), "selection_granularity": ("family", "exact_condition")}
+BOOTSTRAP = {"unit": "source_id", "stratified_by": "label", "interval": "percentile_95"}
+OTHERS = ("feasible", "objective_ci95", "worst_family", "worst_exact_condition", "bootstrap", "warnings")
+
+
+def _number(x: Any) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
+
+
+def _share(x: Any) -> bool:
+    return _number(x) and 0 <= x <= 1
+
+
+def _whole(x: Any, least: int | None = None) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and (least is None or x >= least)
+
+
+def threshold_faults(d: Any) -> list[str]:
+    """What is wrong with a threshold document; nothing for one that may be used."""
+    if not isinstance(d, dict):
+        return ["not an object"]
+    fields = {*TEXTS, *DIGESTS, *SHARES, *COUNTS, *CHOICES, *OTHERS}
+    if set(d) != fields:
+        return [f"{'missing' if f in fields else 'unexpected'} field {f}" for f in sorted(set(d) ^ fields)]
+    families, conditions = {f for _, f, _ in grid.CONDITIONS} - {"clean"}, {c for c, *_ in grid.CONDITIONS} - {"clean"}
+    ci, boot, names = d["objective_ci95"], d["bootstrap"], d["warnings"]
+    fine = {
+        **{f: isinstance(d[f], str) and bool(d[f].strip()) for f in TEXTS},
+        **{f: isinstance(d[f], str) and bool(re.fullmatch("[0-9a-f]{64}", d[f])) for f in DIGESTS},
+        **{f: _share(d[f]) for f in SHARES},
+        **{f: _whole(d[f], least) for f, least in COUNTS.items()},
+        "feasible": isinstance(d["feasible"], bool),
+        "objective_ci95": isinstance(ci, list) and len(ci) == 2 and all(map(_share, ci)) and ci[0] <= ci[1],
+        "worst_family": d["worst_family"] in families,
+        "worst_exact_condition": d["worst_exact_condition"] in conditions,
+        "bootstrap": isinstance(boot, dict) and set(boot) == {"n_replicates", "seed", *BOOTSTRAP} and _whole(boot["n_replicates"], 1) and _whole(boot["seed"]) and all(boot[k] == v for k, v in BOOTSTRAP.items()),
+        "warnings": isinstance(names, list) and all(isinstance(w, str) for w in names),
+    }
+    for f, some in CHOICES.items():
+        fine[f] = fine.get(f, True) and d[f] in some
+    return [f"bad {f}: {d[f]!r}" for f, ok in fine.items() if not ok]

@@ -39,12 +39,14 @@ def sparse(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_tax").alias("reliability"),
         (F.col("l_extendedprice") - 1000).alias("inference_ms"),
         F.lit(None).cast("array<struct<expert_id:string,reason_code:string>>").alias("expert_failures"),
+        F.when(F.col("l_partkey") % 7 > 0, F.array().cast("array<string>")).alias("warnings"),
+        F.when(F.col("l_partkey") % 9 == 0, "noise").alias("family"),
         F.col("l_partkey").alias("part"),
     )
 
 
 @query("f01_row_violations", f"""WITH {_SPARSE}, v AS (SELECT sample_id, unnest(list_filter([CASE WHEN label NOT IN (0, 1) THEN 'label' END, CASE WHEN NOT (p_fake BETWEEN 0 AND 1) THEN 'p_fake' END, CASE WHEN NOT (reliability BETWEEN 0 AND 1) THEN 'reliability' END,
-CASE WHEN inference_ms < 0 THEN 'inference_ms' END, CASE WHEN source_group = '' THEN 'source_group' END], lambda x: x IS NOT NULL)) AS reason FROM sparse) SELECT reason, CAST(count(*) AS bigint) AS n, min(sample_id) AS example FROM v GROUP BY ALL""")
+CASE WHEN inference_ms < 0 THEN 'inference_ms' END, CASE WHEN source_group = '' THEN 'source_group' END, CASE WHEN part % 7 = 0 THEN 'warnings' END, CASE WHEN part % 9 = 0 AND condition_id <> 'noise_s0.10' THEN 'family' END], lambda x: x IS NOT NULL)) AS reason FROM sparse) SELECT reason, CAST(count(*) AS bigint) AS n, min(sample_id) AS example FROM v GROUP BY ALL""")
 def f01(spark: SparkSession, d: str) -> DataFrame:
     return validate.row_violations(sparse(spark, d))
 

@@ -16,7 +16,7 @@ def table(spark, *changes):
 
 def test_a_good_row_passes_and_each_breach_is_told(spark):
     assert validate.row_violations(table(spark, {})).count() == 0
-    bad = [("label", 2), ("label", None), ("p_fake", float("nan")), ("p_fake", float("inf")), ("p_fake", 1.01), ("p_fake", None), ("reliability", -0.1), ("condition_id", "jpeg_q31"), ("content_sha256", "A" * 64), ("run_id", ""), ("run_id", None), ("inference_ms", -1.0), ("inference_ms", float("nan")), ("schema_version", "v0"), ("expert_failures", [("", "x", None, None)])]
+    bad = [("label", 2), ("label", None), ("p_fake", float("nan")), ("p_fake", float("inf")), ("p_fake", 1.01), ("p_fake", None), ("reliability", -0.1), ("condition_id", "jpeg_q31"), ("content_sha256", "A" * 64), ("run_id", ""), ("run_id", None), ("inference_ms", -1.0), ("inference_ms", float("nan")), ("schema_version", "v0"), ("expert_failures", [("", "x", None, None)]), ("inference_ms", float("inf")), ("warnings", None), ("warnings", ["a", None])]
     for name, value in bad:
         found = validate.row_violations(table(spark, {}, {name: value})).collect()
         assert [(r.reason, r.n) for r in found] == [(name, 1)], (name, value)
@@ -24,6 +24,12 @@ def test_a_good_row_passes_and_each_breach_is_told(spark):
             validate.raise_if(validate.row_violations(table(spark, {name: value})), "rows")
 
 
+def test_a_family_must_be_its_condition_s(spark):
+    d = table(spark, {"condition_id": "jpeg_q30"})
+    for family, n in (("jpeg", 0), ("noise", 1), (None, 0)):
+        assert validate.row_violations(d.withColumn("family", F.lit(family).cast("string"))).count() == n
+
+
 def test_keys_and_grids(spark):
     d = table(spark, {}, {}, {"condition_id": "jpeg_q30"}, {"source_id": "b", "condition_id": "jpeg_q30", "label": 0})
     assert validate.duplicate_keys(d, ["method_id", "source_id", "condition_id"]).first().n == 2
@@ -81,15 +87,29 @@ def test_inference_modes(spark):
         files.inference_output(d, "strict")
 
 
+THRESHOLD = {
+    "schema_version": "threshold-artifact.v1", "threshold": 0.4, "objective": "worst family", "feasible": True, "selection_granularity": "family", "objective_value": 0.8, "objective_ci95": [0.7, 0.9],
+    "worst_family": "noise", "worst_exact_condition": "noise_s0.10", "worst_exact_condition_recall": 0.7, "clean_fpr": 0.01, "clean_bacc": 0.9, "baseline_clean_fpr": 0.01, "baseline_clean_bacc": 0.9,
+    "constraint_max_clean_fpr": 0.02, "constraint_min_clean_bacc": 0.89, "n_dev_sources": 100, "n_dev_rows": 2000, "n_fake_sources_per_exact_condition_min": 0,
+    "bootstrap": {"n_replicates": 1000, "seed": 7, "unit": "source_id", "stratified_by": "label", "interval": "percentile_95"}, "dev_manifest_sha256": "b" * 64, "config_sha256": "c" * 64,
+    "pipeline_version": "0.1.0", "fitting_code_version": "x", "created_at": "now", "tie_break": "higher", "warnings": [],
+}
+
+
 def test_frozen_threshold(tmp_path):
-    d = {"schema_version": "t.v1", "method_id": "m", "threshold": 0.4, "fitted_on": "dev", "objective": 0.8, "objective_ci95": [0.7, 0.9], "bootstrap": {}, "created_at": "now"}
     p = tmp_path / "t.json"
-    p.write_text(json.dumps(d))
-    assert report.FrozenThreshold.load(str(p)).value == 0.4
-    for change in ({"threshold": True}, {"threshold": 1.2}, {"fitted_on": "train"}, {"method_id": "placeholder"}, {"extra": 1}, {"objective_ci95": [0.9, 0.7]}):
-        p.write_text(json.dumps({**d, **change}))
-        with pytest.raises(ValueError):
+    p.write_text(json.dumps(THRESHOLD))
+    assert len(THRESHOLD) == 27 and report.FrozenThreshold.load(str(p)).value == 0.4
+    boot = THRESHOLD["bootstrap"]
+    for change in (
+        {"threshold": True}, {"threshold": 1.2}, {"threshold": float("nan")}, {"extra": 1}, {"objective_ci95": [0.9, 0.7]}, {"objective_ci95": [0.1]}, {"worst_family": "clean"}, {"worst_exact_condition": "clean"},
+        {"config_sha256": "C" * 64}, {"n_dev_rows": 0}, {"n_dev_rows": 1.5}, {"feasible": 1}, {"tie_break": " "}, {"warnings": [1]}, {"pipeline_version": "0.2.0"}, {"selection_granularity": "source"},
+        {"bootstrap": {**boot, "unit": "row"}}, {"bootstrap": {**boot, "n_replicates": 0}}, {"bootstrap": {**boot, "more": 1}},
+    ):
+        p.write_text(json.dumps({**THRESHOLD, **change}))
+        with pytest.raises(ValueError, match=next(iter(change))):
             report.FrozenThreshold.load(str(p))
+    assert report.threshold_faults({k: v for k, v in THRESHOLD.items() if k != "bootstrap"}) == ["missing field bootstrap"] and report.threshold_faults([]) == ["not an object"]
     with pytest.raises(TypeError):
         report.FrozenThreshold(None, 0.5, "")
 

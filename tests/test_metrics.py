@@ -66,7 +66,9 @@ def test_family_is_derived(spark):
 
 def test_grades_and_rules(spark):
     d = spark.createDataFrame([("m", 1, 1, 20, 0.9), ("m", 2, 1, 18, 0.1), ("m", 3, 0, 14, 0.9), ("m", 4, 0, 0, 0.1)], "method_id string, source_id long, label int, retained int, clean_p double")
-    assert [r.grade for r in pairs.graded(d).orderBy("source_id").collect()] == ["A", "B", "D", "UNKNOWN"]
+    assert [r.grade for r in pairs.graded(d).orderBy("source_id").collect()] == ["HIGH", "MEDIUM", "VERY LOW", "VERY LOW"]
+    part = spark.createDataFrame([(1, 9, 10), (2, 10, 10), (3, 0, 0)], "source_id long, retained int, scored int")
+    assert [(r.grade, r.measured_accuracy) for r in pairs.graded(part).orderBy("source_id").collect()] == [("MEDIUM", 0.949), ("HIGH", 0.991), ("UNKNOWN", None)]
     r = {x.below: x for x in pairs.flag_rules(d, (20, 15)).collect()}
     assert (r[20].flagged, r[20].catch_share, r[20].precision) == (3, 1.0, round(2 / 3, 6)) and (r[15].flagged, r[15].catch_share) == (2, 0.5)
 
@@ -92,19 +94,31 @@ def test_selective_risk_against_sorting(spark):
 
 
 def test_bootstrap_draws(spark):
-    s = spark.createDataFrame([(i, int(i < 4)) for i in range(10)], "source_id long, label int")
-    d = resample.multiplicities(s, 6, "x", ["label"]).join(s, "source_id")
-    n = {(r.replicate, r.label): r.n for r in d.groupBy("replicate", "label").agg(F.sum("times").alias("n")).collect()}
-    assert all(n[k, 1] == 4 and n[k, 0] == 6 for k in range(6))
+    """Weights are the same in every run and for every method, of mean and variance one."""
+    s = spark.createDataFrame([(m, i) for i in range(300) for m in ("a", "b")], "method_id string, source_id long")
+    d = [(r.method_id, r.source_id, r.replicate, r.times) for r in resample.drawn(s, 21, "x").collect()]
+    assert d and {r[1:] for r in d if r[0] == "a"} == {r[1:] for r in d if r[0] == "b"} and {r[2] for r in d} == set(range(21))
+    n, total, squares = 300 * 21, sum(r[3] for r in d) / 2, sum(r[3] ** 2 for r in d) / 2
+    assert abs(total / n - 1) < 0.05 and abs(squares / n - 2) < 0.15
 
 
 @pytest.mark.parametrize("families", [("jpeg",), ("jpeg", "noise")])
 def test_contributions_give_what_resampled_rows_give(spark, families):
     data = [("m", i, 1, "c", f, (i * 7 + len(f)) % 10 / 10) for i in range(12) for f in families]
     d = spark.createDataFrame(data, "method_id string, source_id long, label int, condition_id string, family string, p double")
-    draws = resample.multiplicities(d.select("source_id").distinct(), 3, "y", [])
-    got = {r.replicate: r.worst for r in resample.worst_family(resample.contributions(d), draws).collect()}
-    times = {(r.replicate, r.source_id): r.times for r in draws.collect()}
+    stats = resample.contributions(d)
+    got = {r.replicate: r.worst for r in resample.worst_family(stats, 3, "y").collect()}
+    times = {(r.replicate, r.source_id): r.times for r in resample.drawn(stats, 3, "y").collect()}
     for k in range(3):
-        recall = [sum(times.get((k, i), 0) * (p >= 0.5) for _, i, _, _, g, p in data if g == f) / 12 for f in families]
+        n = sum(t for (r, _), t in times.items() if r == k)
+        recall = [sum(times.get((k, i), 0) * (p >= 0.5) for _, i, _, _, g, p in data if g == f) / n for f in families]
         assert abs(got[k] - min(recall)) < 1e-12
+
+
+def test_pairs_without_rest(spark):
+    d = rows(spark, [1, 0, 1], [0.9, 0.1, 0.8], condition_id="clean").select("source_id", "condition_id", "label", "p")
+    both = d.withColumn("method_id", F.lit("m1")).unionByName(d.withColumn("method_id", F.lit("m2")))
+    assert pairs.matched(both, "m1", "m2").count() == 3
+    for bad, reason in ((both.where("not (method_id = 'm2' and source_id = 0)"), "only m1: 1"), (both.withColumn("label", F.expr("if(method_id = 'm2', 1 - label, label)")), "label: 3")):
+        with pytest.raises(ValueError, match=reason):
+            pairs.matched(bad, "m1", "m2")

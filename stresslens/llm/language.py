@@ -287,7 +287,8 @@ def train(documents: DataFrame, sample: int = SAMPLE, text: str = "text", lang:
         if found:
             yield _counted(found)
 
-    grams = cut(rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # as many tasks as there are samples, not as the session has partitions: a task adds up what its hundred texts share
+    grams = cut(rows.coalesce(4 * len(names)).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     alphabet = grams.select(F.explode(F.split("gram", "")).alias("c")).where("c <> ''").distinct().count()
     blocks = []
     for at in range(0, len(names), BLOCK):

@@ -78,11 +78,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import pointintime
+
+    return pointintime.label_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from stresslens.llm import mixing
+    from stresslens.llm import mixing, pointintime
 
-    return {"op8_mixing": mixing.MIX_SQL}
+    return {"op8_mixing": mixing.MIX_SQL, "op11_features": pointintime.LABELS_SQL}

@@ -84,6 +84,13 @@ def op11_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointintime.label_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import packing
+
+    p = packing.pack_texts(table(spark, sf_dir, "documents"))
+    return p.select(F.col("of").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

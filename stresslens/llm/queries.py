@@ -91,6 +91,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("of").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stresslens.llm import alignment
+
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -7,12 +7,13 @@ together, and a word's ids are looked up once in a task. Texts go through in pie
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that a task remembers; it forgets all when there are more.
-MEMORY = 1 << 18
+#: Words that a task remembers, some 100 MB of them; it forgets all when there are more.
+MEMORY = 1 << 19
 #: Bytes of a piece of a long text, about.
 PIECE = 1 << 20
 
@@ -24,13 +25,69 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words of these characters are split here as the tokenizers split them; Unicode versions agree on them. Others go to the tokenizers whole.
+_COMMON = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xFF]*")
+
+
+def stand_ins() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, for the others those from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    odd = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(odd)) for b in range(256)]
+
+
+class Splitter:
+    """Ids of words: their parts by a pattern, each by the tokenizer's model alone and once; what isn't common by the whole tokenizer."""
+
+    def __init__(self, tokenizer, pattern: str, lower: bool, plain: str | None = None):
+        import regex
+
+        self.tokenizer, self.parts, self.lower, self.plain = tokenizer, regex.compile(pattern).findall, lower, plain
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.table = dict(enumerate(stand_ins()))
+
+    def ids(self, word: str) -> list[int]:
+        if not _COMMON.fullmatch(word) or self.plain and self.plain in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in self.parts(word.lower() if self.lower else word):
+            found = self.known.get(part)
+            if found is None:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                # bytes as Latin-1 characters, and those as their stand-ins
+                found = self.known[part] = tuple([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.table))])
+            out += found
+        return out
+
+
+class Known(dict):
+    """What is known of words; learn(words) tells it of new ones."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def all(self, words: list[str]) -> list:
+        found = list(map(self.get, words))
+        if None in found:
+            new = list({w for w, x in zip(words, found, strict=True) if x is None})
+            if len(self) + len(new) > MEMORY:
+                self.clear()
+                new = list(set(words))
+            self.update(zip(new, self.learn(new), strict=True))
+            found = list(map(self.get, words))
+        return found
+
+
 class Words:
     """The ids of words, as bytes: four a token, little-endian, unsigned."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        split = Splitter(self.model, r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", lower=True, plain="<|")
+        self.known = Known(lambda words: [array("I", split.ids(w)).tobytes() for w in words])
 
     def ids(self, text: bytes) -> Iterator[np.ndarray]:
         """The ids of a text of which space, tab, newline and the like are no part; bytes that are no UTF-8 count as U+FFFD."""
@@ -40,17 +97,9 @@ class Words:
             if end - at > PIECE and (cut := text.find(b" ", at + PIECE)) > 0:
                 end = cut
             words = text[at:end].decode("utf-8", "replace").split(" ")
-            yield np.frombuffer(b"".join(map(self.word, words)), "<u4")
+            yield np.frombuffer(b"".join(self.known.all(words)), "<u4")
             at = end
 
-    def word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            found = self.known[word] = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return found
-
 
 #: Where a text may be cut for both tokenizers of an alignment: before a run of spaces.
 _RUN = re.compile(r" +[^ ]*")
@@ -68,34 +117,31 @@ class Twice:
         self.bytes = Tokenizer.from_file(byte_path)
         self.bytes.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        # the 256 characters that stand for bytes: printable Latin-1 ones for themselves, the others from U+0100 on
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        odd = [b for b in range(256) if b not in plain]
-        of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
-        self.first = {i: bytes(map(of.__getitem__, t)) if set(t) <= of.keys() else t.encode() for t, i in self.bytes.get_vocab().items()}
-        self.second = {}
+        self.known = Known(self.learn)
+        self.split = Splitter(self.bytes, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", lower=False)
+        of, vocabulary = {c: b for b, c in enumerate(stand_ins())}, self.bytes.get_vocab()
+        first, second = [b""] * (max(vocabulary.values()) + 1), []
+        for t, i in vocabulary.items():
+            first[i] = bytes(map(of.__getitem__, t)) if set(t) <= of.keys() else t.encode()
         for i in range(self.pieces.get_piece_size()):
             t = self.pieces.id_to_piece(i)
-            self.second[i] = bytes([int(t[3:5], 16)]) if self.pieces.is_byte(i) else t.replace(_SPACE, " ").encode()
+            second.append(bytes([int(t[3:5], 16)]) if self.pieces.is_byte(i) else t.replace(_SPACE, " ").encode())
+        # of each id its bytes, and their number above the id
+        self.first, self.second = ((x, [(len(t) << 32) | i for i, t in enumerate(x)]) for x in (first, second))
         self.space = self.pieces.piece_to_id(_SPACE)
 
-    def run(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids and byte lengths of both, eight bytes a token; null if their bytes aren't the text's."""
-        raw = text.encode()
-        a = self.bytes.encode(text, add_special_tokens=False).ids
-        b = self.pieces.encode(text[1:]) if len(text) > 1 else [self.space]
-        out = []
-        for ids, known in ((a, self.first), (b, self.second)):
-            parts = [known[i] for i in ids]
-            if b"".join(parts) != raw:
-                return None
-            out.append(np.array([(len(p) << 32) | i for p, i in zip(parts, ids, strict=True)], "<u8").tobytes())
-        return out[0], out[1]
+    def learn(self, runs: list[str]) -> list[tuple[bytes, bytes] | bool]:
+        """Ids and byte lengths of both, eight bytes a token; False if their bytes aren't the run's."""
+        out, (a_bytes, a_told), (b_bytes, b_told) = [], self.first, self.second
+        for r, b in zip(runs, self.pieces.encode([r[1:] for r in runs], num_threads=1), strict=True):
+            a, b, raw = self.split.ids(r), b or [self.space], r.encode()
+            same = raw == b"".join([a_bytes[i] for i in a]) == b"".join([b_bytes[i] for i in b])
+            out.append(same and (array("Q", [a_told[i] for i in a]).tobytes(), array("Q", [b_told[i] for i in b]).tobytes()))
+        return out
 
     def text(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Of each piece of " " + text the tokens of both, ids in the low and lengths in the high half; null where bytes differ."""
-        at, known = 0, self.known
+        at = 0
         while at < len(text):
             end = len(text)
             if end - at > PIECE:
@@ -108,16 +154,9 @@ class Twice:
             except UnicodeDecodeError:
                 yield None
                 return
-            both = []
-            for r in runs:
-                x = known.get(r, 0)
-                if x == 0:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    x = known[r] = self.run(r)
-                if x is None:
-                    yield None
-                    return
-                both.append(x)
+            both = self.known.all(runs)
+            if False in both:
+                yield None
+                return
             yield tuple(np.frombuffer(b"".join([x[i] for x in both]), "<u8") for i in (0, 1))
             at = end

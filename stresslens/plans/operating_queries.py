@@ -111,11 +111,11 @@ _STATS = ", st AS (SELECT method_id, source_id, family, count(*) AS n, count(*)
 REPLICATES = 1000
 
 
-def _draws(label: str, replicates: int = REPLICATES) -> str:
-    times = " + ".join(f"CAST(u >= {t} AS int)" for t in resample.POISSON)
-    return f""", md AS (SELECT o_orderkey AS source_id, blk, md5('s:' || blk || ':' || o_orderkey) AS h FROM orders, range({-(-replicates // 8)}) x(blk) {label}),
-mu AS (SELECT source_id, CAST(blk * 8 + j AS int) AS replicate, CAST('0x' || substr(h, CAST(4 * j + 1 AS int), 4) AS int) AS u FROM md, range(8) y(j)),
-dr AS (SELECT source_id, replicate, {times} AS times FROM mu WHERE u >= {resample.POISSON[0]} AND replicate < {replicates})"""
+SEED = 20260826
+
+
+def _draws(where: str) -> str:
+    return ", " + resample.draws_sql(f"SELECT o_orderkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders {where}", REPLICATES, SEED)
 
 
 _WORST = f"""{_STATS}{_draws("WHERE o_orderstatus = 'F'")}, fa AS (SELECT method_id, replicate, family, CAST(sum(times * hit) AS double) / sum(times * n) AS recall FROM dr JOIN st USING (source_id) GROUP BY ALL),
@@ -128,13 +128,13 @@ def _interval(name: str) -> str:
 
 @query("b01_bootstrap_strat", f"{_W}{_WORST} SELECT method_id, {_interval('worst')} FROM wo GROUP BY ALL")
 def b01(spark: SparkSession, d: str) -> DataFrame:
-    w = resample.worst_family(resample.contributions(grid.predictions(spark, d)), REPLICATES, "s")
+    w = resample.worst_family(resample.contributions(grid.predictions(spark, d)), REPLICATES, SEED)
     return resample.interval(w, ["method_id"], "worst")
 
 
 @query("b02_paired_delta", f"{_W}{_WORST}, de AS (SELECT b.worst - a.worst AS delta FROM wo a JOIN wo b ON a.replicate = b.replicate AND a.method_id = 'm1' AND b.method_id = 'm2') SELECT {_interval('delta')} FROM de")
 def b02(spark: SparkSession, d: str) -> DataFrame:
-    w = resample.worst_family(resample.contributions(grid.predictions(spark, d)), REPLICATES, "s")
+    w = resample.worst_family(resample.contributions(grid.predictions(spark, d)), REPLICATES, SEED)
     return resample.interval(resample.paired_delta(w, "m1", "m2"), [], "delta")
 
 
@@ -147,19 +147,15 @@ v AS ({" UNION ALL ".join(f"SELECT method_id, '{m}' AS metric, {'(recall + 1 - f
 SELECT method_id, metric, {_interval('value')} FROM v GROUP BY ALL""")
 def b04(spark: SparkSession, d: str) -> DataFrame:
     clean = grid.predictions(spark, d).where("condition_id = 'clean'")
-    return resample.ci_block(resample.rate_replicates(clean, REPLICATES, "s"), _RATE)
-
-
-#: Each replicate orders all its rows, here and in SQL.
-RANKED = 100
+    return resample.ci_block(resample.rate_replicates(clean, REPLICATES, SEED), _RATE)
 
 
-@query("b04b_ci_auroc", f"""{_W}{_draws("", RANKED)}, h AS (SELECT p.method_id, replicate, p, CAST(sum(times * label) AS double) AS pos, CAST(sum(times * (1 - label)) AS double) AS neg FROM dr JOIN pred p USING (source_id) WHERE condition_id = 'clean' GROUP BY ALL),
+@query("b04b_ci_auroc", f"""{_W}{_draws("")}, h AS (SELECT p.method_id, replicate, p, CAST(sum(times * label) AS double) AS pos, CAST(sum(times * (1 - label)) AS double) AS neg FROM dr JOIN pred p USING (source_id) WHERE condition_id = 'clean' GROUP BY ALL),
 a AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY method_id, replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS area FROM h),
 m AS (SELECT method_id, replicate, sum(area) / (sum(pos) * sum(neg)) AS auroc FROM a GROUP BY ALL) SELECT method_id, 'auroc' AS metric, {_interval('auroc')} FROM m GROUP BY ALL""")
 def b04b(spark: SparkSession, d: str) -> DataFrame:
     clean = grid.predictions(spark, d).where("condition_id = 'clean'")
-    return resample.ci_block(resample.auroc_replicates(clean, RANKED, "s"), ("auroc",))
+    return resample.ci_block(resample.auroc_replicates(clean, REPLICATES, SEED), ("auroc",))
 
 
 @query("b15_pairwise_deltas", f"{_W} SELECT a.method_id AS method_a, b.method_id AS method_b, a.family, round(b.recall - a.recall, 6) AS delta FROM (SELECT method_id, family, {_RATES} FROM (SELECT method_id, family, {_CONF} FROM pred GROUP BY ALL)) a JOIN (SELECT method_id, family, {_RATES} FROM (SELECT method_id, family, {_CONF} FROM pred GROUP BY ALL)) b ON a.family = b.family AND a.method_id < b.method_id")

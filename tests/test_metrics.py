@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,28 +96,63 @@ def test_selective_risk_against_sorting(spark):
         assert x.k == k and x.accuracy == round(sum((a[3] >= 0.5) == (a[2] == 1) for a in order[:k]) / k, 6)
 
 
-def test_bootstrap_draws(spark):
-    """Weights are the same in every run and for every method, of mean and variance one."""
-    s = spark.createDataFrame([(m, i) for i in range(300) for m in ("a", "b")], "method_id string, source_id long")
-    d = [(r.method_id, r.source_id, r.replicate, r.times) for r in resample.drawn(s, 21, "x").collect()]
-    assert d and {r[1:] for r in d if r[0] == "a"} == {r[1:] for r in d if r[0] == "b"} and {r[2] for r in d} == set(range(21))
-    n, total, squares = 300 * 21, sum(r[3] for r in d) / 2, sum(r[3] ** 2 for r in d) / 2
-    assert abs(total / n - 1) < 0.05 and abs(squares / n - 2) < 0.15
+def times_of(rows, replicates, seed, size):
+    """(replicate, source) -> draws, by the draws' SQL in another engine."""
+    con = duckdb.connect()
+    con.register("given_rows", pa.table({"source_id": [r[0] for r in rows], "label": pa.array([r[1] for r in rows], pa.int32())}))
+    return {(r, s): n for s, r, n in con.sql(f"WITH {resample.draws_sql('SELECT * FROM given_rows', replicates, seed, size)} SELECT source_id, replicate, times FROM dr").fetchall()}
+
+
+@pytest.mark.parametrize("size", [1 << 14, 16])
+def test_bootstrap_draws_each_class_to_its_size(spark, size):
+    """Draws of a class sum to its size in each replicate, are the same for all methods, multinomial, and equal another engine's."""
+    sources = [(i, int(i % 3 == 0)) for i in range(150)]
+    s = spark.createDataFrame([(m, i, y, i, 1) for i, y in sources for m in ("a", "b")], "method_id string, source_id long, label int, n long, one int").repartition(3)
+    d = resample.resampled(s, ["method_id", "n"], ["one"], 40, 7, size=size).collect()
+    got = {m: {(r.replicate, r.n): r.one for r in d if r.method_id == m and r.one} for m in ("a", "b")}
+    assert got["a"] == got["b"] == times_of(sources, 40, 7, size)
+    for replicate in range(40):
+        for y, n in ((0, 100), (1, 50)):
+            assert sum(got["a"].get((replicate, i), 0) for i, label in sources if label == y) == n
+    # a draw count has variance 1 - 1/n, and two of a class the covariance -1/n
+    squares = sum(x**2 for x in got["a"].values()) / (150 * 40)
+    assert abs(squares - 2) < 0.1 and len(set(got["a"].items())) > 3000
 
 
 @pytest.mark.parametrize("families", [("jpeg",), ("jpeg", "noise")])
-def test_contributions_give_what_resampled_rows_give(spark, families):
+def test_worst_family_is_what_resampled_rows_give(spark, families):
+    """Against rows copied as often as their source is drawn."""
     data = [("m", i, 1, "c", f, (i * 7 + len(f)) % 10 / 10) for i in range(12) for f in families]
     d = spark.createDataFrame(data, "method_id string, source_id long, label int, condition_id string, family string, p double")
-    stats = resample.contributions(d)
-    got = {r.replicate: r.worst for r in resample.worst_family(stats, 3, "y").collect()}
-    times = {(r.replicate, r.source_id): r.times for r in resample.drawn(stats, 3, "y").collect()}
-    for k in range(3):
-        n = sum(t for (r, _), t in times.items() if r == k)
-        recall = [sum(times.get((k, i), 0) * (p >= 0.5) for _, i, _, _, g, p in data if g == f) / n for f in families]
+    times = times_of([(i, 1) for i in range(12)], 30, 5, 4)
+    got = {r.replicate: r.worst for r in resample.worst_family(resample.contributions(d), 30, 5, size=4).collect()}
+    for k in range(30):
+        copies = [x for x in data for _ in range(times.get((k, x[1]), 0))]
+        recall = [np.mean([x[5] >= 0.5 for x in copies if x[4] == f]) for f in families]
         assert abs(got[k] - min(recall)) < 1e-12
 
 
+def test_rates_and_auroc_against_copied_rows(spark):
+    r = random.Random(4)
+    data = [("m", i, int(i < 20), "clean", "clean", r.randint(0, 12) / 12) for i in range(50)]
+    d = spark.createDataFrame(data, "method_id string, source_id long, label int, condition_id string, family string, p double")
+    times = times_of([(x[1], x[2]) for x in data], 25, 9, 1 << 14)
+    rates = {x.replicate: x for x in resample.rate_replicates(d, 25, 9).collect()}
+    area = {x.replicate: x.auroc for x in resample.auroc_replicates(d, 25, 9).collect()}
+    for k in range(25):
+        pos, neg = ([x[5] for x in data if x[2] == y for _ in range(times.get((k, x[1]), 0))] for y in (1, 0))
+        assert (len(pos), len(neg)) == (20, 30)
+        assert abs(rates[k].recall - np.mean(np.array(pos) >= 0.5)) < 1e-12 and abs(rates[k].fpr - np.mean(np.array(neg) >= 0.5)) < 1e-12
+        assert abs(area[k] - np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])) < 1e-12
+
+
+def test_bootstrap_of_nothing_and_of_one_class(spark):
+    s = spark.createDataFrame([("m", 1, 1, 2), ("m", 1, 1, 3), ("m", None, 1, None)], "method_id string, source_id long, label int, v int")
+    assert resample.resampled(s.limit(0), ["method_id"], ["v"], 5, 1).count() == 0
+    got = [x.v for x in resample.resampled(s, ["method_id"], ["v"], 50, 1).collect()]
+    assert set(got) == {0, 5, 10}
+
+
 def test_pairs_without_rest(spark):
     d = rows(spark, [1, 0, 1], [0.9, 0.1, 0.8], condition_id="clean").select("source_id", "condition_id", "label", "p")
     both = d.withColumn("method_id", F.lit("m1")).unionByName(d.withColumn("method_id", F.lit("m2")))

@@ -1,11 +1,12 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
-Python only tokenises: of each text it tells ids and the byte offsets at which tokens end. The rest is Spark's array
-functions: array_intersect of both end arrays gives the offsets where groups end; common ends and both tokenizers' ends
-are sorted as numbers into one array, where a common end stands just before the two tokens that end there, so their
-places are read off with no search; slices between consecutive places are the groups, the tokens at the places the
-links. How often a pair is linked is counted over exploded links, and each document's links are summed against those
-counts.
+Python only tokenises. Both tokenizers cut before a run of spaces, so a text is a row of runs whose tokens are the same
+wherever they stand; a batch of texts comes as its different runs, each with ids and the byte offsets at which tokens end,
+and each text as numbers of runs. The rest is Spark's array functions. Of a run array_intersect of both end arrays gives
+the offsets where groups end; common ends and both tokenizers' ends are sorted as numbers into one array, where a common
+end stands just before the two tokens that end there, so their places are read off with no search; slices between
+consecutive places are the groups, the tokens at the places the links. A text's are those of its runs. How often a pair
+is linked is counted over exploded links, and each document's links are summed against those counts.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from stresslens.llm.tokens import Twice, vocabulary
 
 #: So many pairs with their counts, some 60 MB, are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1 << 20
-#: Rows that Python hands over at once hold about so many tokens.
-BATCH = 1 << 21
+#: A batch of texts holds about so many bytes.
+BATCH = 1 << 20
 
-TOKENS = "row long, doc_id long, part int, parts int, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+RUNS = "runs array<struct<a_ids: array<int>, a_ends: array<int>, b_ids: array<int>, b_ends: array<int>>>"
+TEXTS = "texts array<struct<row: bigint, doc_id: bigint, part: int, parts: int, n_a: bigint, n_b: bigint, of: array<int>>>"
 
 
 def tokenised(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
-    """TOKENS of each part of a text, ends counted from the part's start; texts without tokens are one part of null arrays.
+    """RUNS and TEXTS: batches of texts. of says which runs a part of a text consists of; of texts without tokens it is null.
 
     row tells rows apart that share a doc_id. A long text comes in parts that both tokenizers cut at the same place; it
     is read once before any part is told, as a difference of bytes in one part leaves the whole without tokens.
@@ -40,67 +42,115 @@ def tokenised(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         from pyspark import TaskContext
 
         twice, row = Twice(byte_path or vocabulary("byte_bpe_50k.json"), piece_path or vocabulary("piece_bpe_32k.model")), TaskContext.get().partitionId() << 40
-        rows, many = [], 0
+        batch, many = Batch(), 0
         for b in batches:
             for of, t in zip(b.column("doc_id").to_pylist(), raw(b.column("text")), strict=True):
-                parts = 0
-                for x in twice.text(t):
-                    parts = parts + 1 if x is not None else 0
-                    first = x
-                told = iter([first]) if parts == 1 else twice.text(t) if parts else iter([None])
-                for part, x in enumerate(told):
-                    rows.append((row, of, part, max(parts, 1), x))
-                    many += 0 if x is None else len(x[0]) + len(x[1])
+                parts, first = 0, None
+                for x in twice.runs(t):
+                    parts, first = (parts + 1, x) if x is not None else (0, None)
+                for part, x in enumerate(iter([first]) if parts < 2 else twice.runs(t)):
+                    batch.add(twice, (row, of, part, max(parts, 1)), x)
+                    many += 64 + (len(t) // parts if parts else 0)
                     if many > BATCH:
-                        yield batch_of(rows)
-                        rows, many = [], 0
+                        yield batch.told()
+                        batch, many = Batch(), 0
                 row += 1
-        if rows:
-            yield batch_of(rows)
+        if many:
+            yield batch.told()
+
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"{RUNS}, {TEXTS}")
+
+
+class Batch:
+    """Texts as numbers of their runs, and the runs' tokens; built from flat arrays."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.tokens: tuple[list[bytes], list[bytes]] = [], []
+        self.texts: list[tuple] = []
+        self.of: list[np.ndarray | None] = []
+
+    def add(self, twice: Twice, text: tuple[int, int | None, int, int], runs: list[str] | None) -> None:
+        if runs is None:
+            self.texts.append((*text, 0, 0))
+            self.of.append(None)
+            return
+        new = list(set(runs) - self.number.keys())
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        for a, b in twice.known.all(new):
+            self.tokens[0].append(a)
+            self.tokens[1].append(b)
+        of = np.fromiter(map(self.number.__getitem__, runs), np.int32, len(runs))
+        self.texts.append((*text, *(sum(len(own[i]) for i in of.tolist()) >> 3 for own in self.tokens)))
+        self.of.append(of)
+
+    def told(self) -> pa.RecordBatch:
+        fields = []
+        for own in self.tokens:
+            sizes = np.array([len(x) >> 3 for x in own], np.int64)
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            flat = np.frombuffer(b"".join(own), "<u8")
+            ends = np.concatenate([[0], np.cumsum(flat >> np.uint64(32))]).astype(np.int64)
+            for values in (flat & np.uint64(0xFFFFFFFF), ends[1:] - np.repeat(ends[edges[:-1]], sizes)):
+                fields.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.astype(np.int32))))
+        runs = pa.StructArray.from_arrays(fields, ["a_ids", "a_ends", "b_ids", "b_ends"])
+        edges = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in self.of])]).astype(np.int32)
+        of = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*(x for x in self.of if x is not None), np.zeros(0, np.int32)])), mask=pa.array([x is None for x in self.of]))
+        columns = [pa.array(c, t) for c, t in zip(zip(*self.texts, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        texts = pa.StructArray.from_arrays([*columns, of], ["row", "doc_id", "part", "parts", "n_a", "n_b", "of"])
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([one(runs), one(texts)], ["runs", "texts"])
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def aligned_runs(runs: Column) -> Column:
+    """Of an array of runs an array of links (a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`).
+
+    For any ids with ascending ends; what stands behind the last common end of a run is in no group.
+    """
+    low = lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")
+    place = lambda kind: lambda end, i: F.shiftleft(end.cast("long"), 33) + F.lit(kind << 31) + i
+    a_at, b_at = lambda x: F.shiftright(x, 31).cast("int"), low
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, TOKENS)
+    def ordered(r: Column) -> Column:
+        common = F.array_intersect(r["a_ends"], r["b_ends"])
+        return F.struct(r["a_ids"].alias("a"), r["b_ids"].alias("b"), F.sort_array(F.concat(F.transform(common, place(0)), F.transform(r["a_ends"], place(1)), F.transform(r["b_ends"], place(2)))).alias("order"))
 
+    def spotted(r: Column) -> Column:
+        """The places of the two tokens of each common end, in one number."""
+        spot = lambda x, j: F.when(F.shiftright(x, 31).bitwiseAND(3) == 0, F.shiftleft(low(F.get(r["order"], j + 1)).cast("long"), 31) + low(F.get(r["order"], j + 2)))
+        return F.struct(r["a"].alias("a"), r["b"].alias("b"), F.array_compact(F.transform(r["order"], spot)).alias("spots"))
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    """Arrow rows of TOKENS, built from flat arrays."""
-    has = [r[4] is not None for r in rows]
-    arrays = [pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.int32()) for i in range(4)]
-    for side in (0, 1):
-        flat = [r[4][side] for r in rows if r[4] is not None]
-        sizes = [len(r[4][side]) if r[4] is not None else 0 for r in rows]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        both = np.concatenate([*flat, np.zeros(0, np.uint64)])
-        ends = np.concatenate([*(np.cumsum(x >> np.uint64(32)) for x in flat), np.zeros(0, np.uint64)])
-        for values in (both & np.uint64(0xFFFFFFFF), ends):
-            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)), mask=pa.array([not h for h in has])))
-    return pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "part", "parts", "a_ids", "a_ends", "b_ids", "b_ends"])
+    def told(r: Column) -> Column:
+        link = lambda x: F.get(r["a"], a_at(x)).cast("long") * 65536 + F.get(r["b"], b_at(x))
 
+        def said(x: Column, g: Column) -> Column:
+            before = F.get(r["spots"], g - 1)
+            part = lambda name, start, end: F.array_join(F.slice(r[name], start + 1, end - start + 1).cast("array<string>"), ",")
+            after = lambda at: F.when(g > 0, at(before) + 1).otherwise(F.lit(0))
+            return F.concat(part("a", after(a_at), a_at(x)), F.lit("|"), part("b", after(b_at), b_at(x)))
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens with links (array of a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`); null where arrays are null or empty.
+        return F.struct(F.transform(r["spots"], link).alias("links"), F.array_join(F.transform(r["spots"], said), ";").alias("groups"))
 
-    For any two arrays of ids with ascending ends; what stands behind the last common end is in no group.
-    """
-    place = lambda kind: lambda end, i: F.shiftleft(end.cast("long"), 33) + F.lit(kind << 31) + i
-    low = lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")
-    d = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    d = d.withColumn("order", F.sort_array(F.concat(F.transform("common", place(0)), F.transform("a_ends", place(1)), F.transform("b_ends", place(2)))))
+    return F.transform(F.transform(F.transform(runs, ordered), spotted), told)
 
-    def spot(x: Column, j: Column) -> Column:
-        """Of a common end the places of its two tokens, in one number."""
-        return F.when(F.shiftright(x, 31).bitwiseAND(3) == 0, F.shiftleft(low(F.get("order", j + 1)).cast("long"), 31) + low(F.get("order", j + 2)))
 
-    d = d.withColumn("spots", F.filter(F.transform("order", spot), lambda x: x.isNotNull()))
-    a_at, b_at = lambda x: F.shiftright(x, 31).cast("int"), low
-    d = d.withColumn("a_said", F.col("a_ids").cast("array<string>")).withColumn("b_said", F.col("b_ids").cast("array<string>"))
+def aligned(tokens: DataFrame) -> DataFrame:
+    """row, doc_id, part, parts, n_a, n_b, links and groups of each part of a text; links and groups are null where it has no tokens."""
+
+    def told(known: Column) -> Column:
+        def text(t: Column) -> Column:
+            each = F.transform(t["of"], lambda i: F.get(known, i))
+            of = lambda x: F.struct(*[t[c].alias(c) for c in ("row", "doc_id", "part", "parts", "n_a", "n_b")], F.flatten(x["links"]).alias("links"), F.array_join(F.filter(x["groups"], lambda g: g != ""), ";").alias("groups"))
+            return let(each, of)
 
-    def said(x: Column, g: Column) -> Column:
-        before = F.coalesce(F.get("spots", g - 1), F.lit(None).cast("long"))
-        part = lambda name, at: F.array_join(F.slice(name, F.coalesce(at(before), F.lit(-1)) + 2, at(x) - F.coalesce(at(before), F.lit(-1))), ",")
-        return F.concat(part("a_said", a_at), F.lit("|"), part("b_said", b_at))
+        return F.transform("texts", text)
 
-    link = lambda x: F.get("a_ids", a_at(x)).cast("long") * 65536 + F.get("b_ids", b_at(x))
-    return d.select(*tokens.columns, F.transform("spots", link).alias("links"), F.array_join(F.transform("spots", said), ";").alias("groups"))
+    return tokens.select(F.explode(let(aligned_runs(F.col("runs")), told)).alias("x")).select("x.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -126,12 +176,11 @@ def align(documents: DataFrame, most: int = BROADCAST, **names: str) -> DataFram
     Null and empty texts, invalid UTF-8 and texts whose bytes a tokenizer doesn't give back have zeros and ''. Rows given
     twice are rows each, and all count; doc_id may be null. A document's groups as text must fit into 2 GB.
     """
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     d = aligned(tokenised(documents, **names))
     alone = F.col("parts") == 1
-    d = packed(d.select("row", "doc_id", "part", "parts", F.when(F.col("a_ids").isNull(), 0).otherwise(size("a_ids")).alias("n_a"), F.when(F.col("b_ids").isNull(), 0).otherwise(size("b_ids")).alias("n_b"), "links", F.when(alone, F.sha2("groups", 256)).alias("sha"), F.when(~alone, F.col("groups")).alias("groups")))
+    d = packed(d.select("row", "doc_id", "part", "parts", "n_a", "n_b", "links", F.when(alone, F.sha2("groups", 256)).alias("sha"), F.when(~alone, F.col("groups")).alias("groups")))
     counts = pair_counts(d)
-    n = F.when(F.col("links").isNull(), 0).otherwise(size("links"))
+    n = F.when(F.col("links").isNull(), 0).otherwise(F.size("links"))
     each = d.select("row", "doc_id", "part", "parts", "n_a", "n_b", n.alias("n"), "sha", "groups")
     long = each.where(~alone).groupBy("row", "doc_id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "groups"))), lambda x: x["groups"]), ";"), 256).alias("sha"))
     whole = each.where(alone).select("row", "doc_id", "n_a", "n_b", "n", "sha").unionByName(long)

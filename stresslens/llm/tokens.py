@@ -53,7 +53,7 @@ class Splitter:
         for part in self.parts(word.lower() if self.lower else word):
             found = self.known.get(part)
             if found is None:
-                if len(self.known) >= MEMORY:
+                if len(self.known) >= MEMORY // 2:
                     self.known.clear()
                 # bytes as Latin-1 characters, and those as their stand-ins
                 found = self.known[part] = tuple([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.table))])
@@ -62,16 +62,16 @@ class Splitter:
 
 
 class Known(dict):
-    """What is known of words; learn(words) tells it of new ones."""
+    """What is known of words, most of them at once; learn(words) tells it of new ones."""
 
-    def __init__(self, learn):
-        self.learn = learn
+    def __init__(self, learn, most: int = MEMORY):
+        self.learn, self.most = learn, most
 
     def all(self, words: list[str]) -> list:
         found = list(map(self.get, words))
         if None in found:
             new = list({w for w, x in zip(words, found, strict=True) if x is None})
-            if len(self) + len(new) > MEMORY:
+            if len(self) + len(new) > self.most:
                 self.clear()
                 new = list(set(words))
             self.update(zip(new, self.learn(new), strict=True))
@@ -117,7 +117,7 @@ class Twice:
         self.bytes = Tokenizer.from_file(byte_path)
         self.bytes.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.known = Known(self.learn)
+        self.known = Known(self.learn, MEMORY // 2)
         self.split = Splitter(self.bytes, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", lower=False)
         of, vocabulary = {c: b for b, c in enumerate(stand_ins())}, self.bytes.get_vocab()
         first, second = [b""] * (max(vocabulary.values()) + 1), []
@@ -139,8 +139,8 @@ class Twice:
             out.append(same and (array("Q", [a_told[i] for i in a]).tobytes(), array("Q", [b_told[i] for i in b]).tobytes()))
         return out
 
-    def text(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Of each piece of " " + text the tokens of both, ids in the low and lengths in the high half; null where bytes differ."""
+    def runs(self, text: bytes) -> Iterator[list[str] | None]:
+        """The runs of each piece of " " + text; null where one's bytes aren't what the tokenizers give, or the text is no UTF-8."""
         at = 0
         while at < len(text):
             end = len(text)
@@ -154,9 +154,8 @@ class Twice:
             except UnicodeDecodeError:
                 yield None
                 return
-            both = self.known.all(runs)
-            if False in both:
+            if False in self.known.all(runs):
                 yield None
                 return
-            yield tuple(np.frombuffer(b"".join([x[i] for x in both]), "<u8") for i in (0, 1))
+            yield runs
             at = end

@@ -90,7 +90,7 @@ def test_long_texts_in_parts(spark, models, monkeypatch):
     monkeypatch.setattr(tokens, "PIECE", 50)
     data = [(1, "some words, and more of them.  " * 40), (2, "short"), (3, "ends well " * 30 + "not ▁ here"), (4, "no" * 400)]
     d = spark.createDataFrame(data, "doc_id long, text string")
-    parts = alignment.tokenised(d).groupBy("doc_id").count().collect()
+    parts = alignment.tokenised(d).select(F.explode("texts.doc_id").alias("doc_id")).groupBy("doc_id").count().collect()
     assert {x.doc_id: x["count"] for x in parts}[1] > 10
     assert sorted(tuple(x) for x in alignment.align(d).collect()) == brute(models, data)
 
@@ -100,6 +100,7 @@ def test_empty(spark):
 
 
 def test_ends_that_differ(spark):
-    d = spark.createDataFrame([([1, 2, 3], [2, 5, 9], [7, 8], [5, 8]), ([1], [3], [7], [4]), (None, None, [7], [1]), ([], [], [], [])], "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-    got = [(x.links, x.groups) for x in alignment.aligned(d).collect()]
-    assert got == [([2 * 65536 + 7], "1,2|7"), ([], ""), (None, None), ([], "")]
+    runs = [([1, 2, 3], [2, 5, 9], [7, 8], [5, 8]), ([1], [3], [7], [4]), ([], [], [], []), ([4, 5], [1, 2], [6, 7], [1, 2])]
+    d = spark.createDataFrame([(runs, [(1, 10, 0, 1, 0, 0, [0, 1, 2, 3]), (2, 11, 0, 1, 0, 0, None), (3, 12, 0, 1, 0, 0, [1])])], f"{alignment.RUNS}, {alignment.TEXTS}")
+    got = [(x.links, x.groups) for x in alignment.aligned(d).orderBy("row").collect()]
+    assert got == [([2 * 65536 + 7, 4 * 65536 + 6, 5 * 65536 + 7], "1,2|7;4|6;5|7"), (None, None), ([], "")]

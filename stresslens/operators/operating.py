@@ -6,14 +6,22 @@ give every threshold's counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stresslens.operators import metrics
+from stresslens.operators import metrics, resample
+from stresslens.operators.grid import FAMILIES
 from stresslens.operators.metrics import r6
 
 
+def next_up(x: Column) -> Column:
+    """The double that follows x, for finite x of 0 or more: x plus half the gap above it rounds up to it."""
+    gap = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(x)), F.lit(-1022)) - 52)
+    gap = F.when(F.pow(F.lit(2.0), F.floor(F.log2(x))) > x, gap / 2).otherwise(gap)  # the logarithm was rounded up
+    return F.when(x == 0, F.lit(5e-324)).otherwise(x + gap)
+
+
 def candidates(rows: DataFrame, by: list[str]) -> DataFrame:
     """Every distinct score is a candidate threshold."""
     return rows.select(*by, F.col("p").alias("threshold")).distinct()
@@ -34,41 +42,113 @@ def curve(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fpr_matched(rows: DataFrame, target: float) -> DataFrame:
-    """Per method the k-th highest clean negative score, k = floor(target * n), and the false-positive rate it really has; just above the highest for k = 0."""
-    neg = rows.where("condition_id = 'clean' and label = 0")
-    w = W.partitionBy("method_id").orderBy(F.desc("p"), "source_id")
-    n = F.count("*").over(W.partitionBy("method_id"))
-    r = neg.select("method_id", "p", F.row_number().over(w).alias("i"), n.alias("n")).withColumn("k", F.floor(F.col("n") * F.lit(target)))
-    t = r.groupBy("method_id").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max(F.when(F.col("i") == F.col("k"), F.col("p"))).alias("threshold"), F.max("p").alias("top"))
-    real = neg.join(t, "method_id").groupBy("method_id").agg(F.count_if(F.col("threshold").isNotNull() & (F.col("p") >= F.col("threshold"))).alias("hit"))
-    return t.join(real, "method_id").select("method_id", F.col("n").alias("negatives"), "k", r6("threshold").alias("threshold"), r6(F.col("hit") / F.col("n")).alias("realised_fpr"), (F.col("k") == 0).alias("above_all"))
+    """Per method the k-th highest clean negative score, k = floor(target * n), and the false-positive rate it really has; just above the highest for k = 0.
+
+    Scores are counted by value first; what is run over are distinct scores.
+    """
+    neg = rows.where("condition_id = 'clean' and label = 0").groupBy("method_id", "p").agg(F.count("*").alias("m"))
+    w = W.partitionBy("method_id")
+    s = neg.select("method_id", "p", "m", F.sum("m").over(w.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("m").over(w).alias("n")).withColumn("k", F.floor(F.col("n") * F.lit(target)))
+    at = (F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("m") < F.col("k"))  # the value that holds the k-th
+    t = s.groupBy("method_id").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max(F.when(at, F.col("p"))).alias("t"), F.max(F.when(at, F.col("upto"))).alias("hit"), F.max("p").alias("top"))
+    return t.select("method_id", F.col("n").alias("negatives"), "k", F.coalesce(r6("t"), next_up(F.col("top"))).alias("threshold"), r6(F.coalesce("hit", F.lit(0)) / F.col("n")).alias("realised_fpr"), (F.col("k") == 0).alias("above_all"))
+
 
+def clean_candidates(rows: DataFrame, base: float, fpr_slack: float, accuracy_slack: float, thresholds: DataFrame | None = None) -> DataFrame:
+    """method_id, threshold, fpr, bacc, base_fpr, base_bacc, ok: every dev score, clipped to 0 and 1, as a candidate, and whether clean rates allow it; null, and not allowed, where a class is missing.
 
-def select_threshold(rows: DataFrame, base: float = 0.5, fpr_slack: float = 0.01, accuracy_slack: float = 0.01, thresholds: DataFrame | None = None) -> DataFrame:
-    """Per method the threshold of the best worst-family recall whose clean rates stay near those of the base threshold.
+    Candidates and clean scores are counted by value and run through together; a threshold's counts are those of the
+    clean scores at or above it. thresholds: method_id and threshold, in place of the dev scores.
+    """
+    p = F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))
+    clean, y = F.col("condition_id") == "clean", F.col("label") == 1
+    s = rows.groupBy("method_id", F.col("p").alias("threshold")).agg(F.count_if(clean & y).alias("pos"), F.count_if(clean & ~y).alias("neg"))
+    asked = (thresholds if thresholds is not None else rows.select("method_id", p.alias("threshold"))).select("method_id", "threshold").distinct()
+    both = s.withColumn("ask", F.lit(0)).unionByName(asked.withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long"), "ask": F.lit(1)}))
+    up = W.partitionBy("method_id").orderBy(F.desc("threshold"), "ask").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("tp", F.sum("pos").over(up)).withColumn("fp", F.sum("neg").over(up)).where("ask = 1")
+    at = rows.where(clean).groupBy("method_id").agg(F.count_if(y).alias("n_pos"), F.count_if(~y).alias("n_neg"), F.count_if(y & (F.col("p") >= base)).alias("b_tp"), F.count_if(~y & (F.col("p") >= base)).alias("b_fp"))
+    share = lambda a, n: F.try_divide(F.col(a).cast("double"), F.col(n).cast("double"))
+    at = at.select("method_id", "n_pos", "n_neg", share("b_fp", "n_neg").alias("base_fpr"), ((share("b_tp", "n_pos") + 1 - share("b_fp", "n_neg")) / 2).alias("base_bacc"))
+    c = both.join(at, "method_id").withColumn("fpr", share("fp", "n_neg")).withColumn("bacc", (share("tp", "n_pos") + 1 - F.col("fpr")) / 2)
+    ok = (F.col("fpr") <= F.col("base_fpr") + fpr_slack) & (F.col("bacc") >= F.col("base_bacc") - accuracy_slack)
+    return c.select("method_id", "threshold", "fpr", "bacc", "base_fpr", "base_bacc", ok.alias("ok"))
 
-    Ties fall to the higher balanced accuracy, the lower false-positive rate, the higher threshold. No feasible
-    candidate: the base, flagged.
+
+#: Candidates whose objective one pass over the rows tells.
+ASKED = 16
+
+
+def objectives(rows: DataFrame, thresholds: dict[str, list[float]], replicates: int, seed: int, size: int = resample.BLOCK) -> DataFrame:
+    """method_id, i, objective, low, high: of each method's i-th threshold the mean over replicates of the worst family's recall, and its 95 % interval.
+
+    All thresholds of a method are columns of one pass, and share the draws.
+    """
+    most = max(map(len, thresholds.values()))
+    at = F.create_map(*[x for m, ts in thresholds.items() for x in (F.lit(m), F.array(*[F.lit(float(t)) for t in ts]))])
+    views = rows.where(F.col("label") == 1).where(F.col("family").isin(*FAMILIES) & F.col("method_id").isin(*thresholds)).withColumn("_at", at[F.col("method_id")])
+    inside = {f: F.col("family") == f for f in FAMILIES}
+    sums = [F.count_if(c).alias(f"n_{f}") for f, c in inside.items()] + [F.count_if(c & (F.col("p") >= F.get("_at", F.lit(i)))).alias(f"h{i}_{f}") for i in range(most) for f, c in inside.items()]
+    stats = views.groupBy("method_id", "source_id", "label").agg(*sums)
+    s = resample.resampled(stats, ["method_id"], [f"n_{f}" for f in FAMILIES] + [f"h{i}_{f}" for i in range(most) for f in FAMILIES], replicates, seed, size=size)
+    worst = [F.array_min(F.array_compact(F.array(*[F.try_divide(f"h{i}_{f}", f"n_{f}") for f in FAMILIES]))) for i in range(most)]
+    q = F.percentile("worst", F.array(F.lit(0.025), F.lit(0.975)))
+    each = s.select("method_id", F.posexplode(F.array(*worst)).alias("i", "worst"))
+    return each.groupBy("method_id", "i").agg(F.avg("worst").alias("objective"), q.alias("q")).select("method_id", "i", "objective", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def select_threshold(rows: DataFrame, base: float = 0.5, fpr_slack: float = 0.01, accuracy_slack: float = 0.01, replicates: int = 1000, seed: int = 20260826, thresholds: DataFrame | None = None, size: int = resample.BLOCK) -> DataFrame:
+    """Per method the threshold with the best bootstrap mean of worst-family recall whose clean rates stay near those of the base threshold.
+
+    method_id, threshold, objective, low, high, balanced_accuracy, fpr, feasible, worst_family, worst_condition,
+    worst_condition_recall. Ties fall to the higher balanced accuracy, the lower false-positive rate, the higher
+    threshold. No candidate that the clean rates allow: the base, flagged, with its own objective.
+
+    A replicate's recalls can only fall as the threshold rises, so the lowest allowed candidate has the best mean, and
+    those that tie with it are the next above, up to the first that loses a hit that counts. That one is searched for in
+    passes of ASKED candidates, spread by rank and then closer, so millions of candidates cost a few passes and
+    no window a replicate. The driver sees one row a method and ASKED thresholds a pass.
     """
-    clean = curve(rows.where("condition_id = 'clean'"), ["method_id"])
-    at_base = metrics.confusion(rows.where("condition_id = 'clean'"), ["method_id"], base)
-    at_base = at_base.select("method_id", (F.col("fp") / (F.col("fp") + F.col("tn"))).alias("base_fpr"), ((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("fp") + F.col("tn"))) / 2).alias("base_bacc"))
-    fpr, recall = F.col("fp") / F.col("n_neg"), F.col("tp") / F.col("n_pos")
-    ok = clean.select("method_id", "threshold", fpr.alias("fpr"), ((recall + 1 - fpr) / 2).alias("bacc")).join(at_base, "method_id")
-    ok = ok.where((F.col("fpr") <= F.col("base_fpr") + fpr_slack) & (F.col("bacc") >= F.col("base_bacc") - accuracy_slack))
-    if thresholds is not None:
-        ok = ok.join(thresholds, ["method_id", "threshold"], "left_semi")
-    # recall of a family at a candidate: the families' score counts and the candidates are run through together
-    fam = rows.where("family <> 'clean' and label = 1").groupBy("method_id", "family", F.col("p").alias("threshold")).agg(F.count("*").alias("n"))
-    names = fam.select("method_id", "family").distinct()
-    asked = ok.select("method_id", "threshold").join(names, "method_id").withColumn("n", F.lit(0).cast("long")).withColumn("ask", F.lit(1))
-    both = fam.withColumn("ask", F.lit(0)).unionByName(asked)
-    up = W.partitionBy("method_id", "family").orderBy(F.desc("threshold"), "ask").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("hit", F.sum("n").over(up)).withColumn("all", F.sum("n").over(W.partitionBy("method_id", "family"))).where("ask = 1")
-    worst = both.groupBy("method_id", "threshold").agg(F.min(F.col("hit") / F.col("all")).alias("worst"))
-    best = ok.join(worst, ["method_id", "threshold"]).groupBy("method_id").agg(F.max(F.struct("worst", "bacc", (-F.col("fpr")).alias("f"), "threshold")).alias("b"))
-    out = at_base.join(best, "method_id", "left")
-    return out.select("method_id", F.coalesce("b.threshold", F.lit(base)).alias("threshold"), r6("b.worst").alias("worst_recall"), r6("b.bacc").alias("balanced_accuracy"), r6(-F.col("b.f")).alias("fpr"), F.col("b").isNotNull().alias("feasible"))
+    c = clean_candidates(rows, base, fpr_slack, accuracy_slack, thresholds).persist()
+    ranked = c.where("ok").withColumn("rank", F.row_number().over(W.partitionBy("method_id").orderBy("threshold")))
+    methods = [r.method_id for r in c.select("method_id").distinct().collect()]
+    ends = {r.method_id: r.n for r in ranked.groupBy("method_id").agg(F.max("rank").alias("n")).collect()}
+    known: dict[str, dict[int, tuple]] = {m: {} for m in methods}  # rank -> threshold, objective, low, high; rank 0 is the base
+    low, high = dict.fromkeys(ends, 1), {m: n + 1 for m, n in ends.items()}  # a rank that ties, and one above all that do
+    first = True
+    while first or any(high[m] - low[m] > 1 for m in ends):
+        want = {m: sorted({low[m] + (high[m] - low[m]) * i // ASKED for i in range(ASKED)} - known[m].keys()) for m in ends}
+        if first:
+            want |= {m: [0] for m in methods if m not in ends}
+        pairs = [(m, r) for m, rs in want.items() for r in rs if r]
+        at = {}
+        if pairs:
+            wanted = F.broadcast(rows.sparkSession.createDataFrame(pairs, "method_id string, rank int"))
+            at = {(r.method_id, r["rank"]): r.threshold for r in ranked.join(wanted, ["method_id", "rank"]).collect()}
+        asked = {m: [at.get((m, r), base) for r in rs] for m, rs in want.items() if rs}
+        for r in objectives(rows, asked, replicates, seed, size).collect():
+            if r.i < len(asked[r.method_id]):
+                known[r.method_id][want[r.method_id][r.i]] = (asked[r.method_id][r.i], r.objective, r.low, r.high)
+        for m in ends:
+            best = known[m].get(1, (None, None))[1]
+            tied = [r for r, x in known[m].items() if x[1] == best]
+            low[m], high[m] = max(tied, default=1), min([r for r, x in known[m].items() if x[1] != best], default=high[m])
+            if best is None:  # no family has a positive view: no candidate can be told from another
+                high[m] = low[m] + 1
+        first = False
+    told = [(m, low.get(m, 0), *(known[m].get(1 if m in ends else 0) or (base, None, None, None))[1:]) for m in methods]
+    found = rows.sparkSession.createDataFrame(told, "method_id string, upto int, objective double, low double, high double")
+    tied = ranked.join(F.broadcast(found.select("method_id", "upto")), "method_id").where(F.col("rank") <= F.col("upto"))
+    best = tied.groupBy("method_id").agg(F.max(F.struct("bacc", (-F.col("fpr")).alias("f"), "threshold")).alias("b"))
+    chosen = found.join(best, "method_id", "left").select("method_id", F.coalesce("b.threshold", F.lit(base)).alias("threshold"), "objective", "low", "high", F.col("b").isNotNull().alias("feasible"))
+    at = rows.join(F.broadcast(chosen.select("method_id", "threshold")), "method_id").where(F.col("label") == 1).withColumn("hit", (F.col("p") >= F.col("threshold")).cast("int"))
+    share = lambda by: at.where("family <> 'clean'").groupBy("method_id", by).agg(F.avg("hit").alias("r")).groupBy("method_id").agg(F.min(F.struct("r", by)).alias("x"))
+    family, condition = share("family").select("method_id", F.col("x.family").alias("worst_family")), share("condition_id").select("method_id", F.col("x.condition_id").alias("worst_condition"), r6("x.r").alias("worst_condition_recall"))
+    clean = rows.where("condition_id = 'clean'").join(F.broadcast(chosen.select("method_id", "threshold")), "method_id").withColumn("hit", (F.col("p") >= F.col("threshold")).cast("int"))
+    rate = lambda y: F.avg(F.when(F.col("label") == y, F.col("hit")))
+    clean = clean.groupBy("method_id").agg(r6((rate(1) + 1 - rate(0)) / 2).alias("balanced_accuracy"), r6(rate(0)).alias("fpr"))
+    out = chosen.join(clean, "method_id", "left").join(family, "method_id", "left").join(condition, "method_id", "left")
+    return out.select("method_id", "threshold", r6("objective").alias("objective"), r6("low").alias("low"), r6("high").alias("high"), "balanced_accuracy", "fpr", "feasible", "worst_family", "worst_condition", "worst_condition_recall")
 
 
 def quantile_threshold(rows: DataFrame, target: float, least: int = 5) -> DataFrame:

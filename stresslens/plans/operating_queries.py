@@ -32,18 +32,6 @@ cc AS (SELECT method_id, threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
 cr AS (SELECT method_id, threshold, CAST(fp AS double) / n_neg AS fpr, (CAST(tp AS double) / n_pos + 1 - CAST(fp AS double) / n_neg) / 2 AS bacc FROM cc)"""
 
 
-@query("b05_select_threshold", f"""{_W}, {_CURVE},
-base AS (SELECT method_id, fp / CAST(fp + tn AS double) AS base_fpr, (tp / CAST(tp + fn AS double) + tn / CAST(fp + tn AS double)) / 2 AS base_bacc FROM (SELECT method_id, {_CONF} FROM pred WHERE condition_id = 'clean' GROUP BY ALL)),
-ok AS (SELECT cr.* FROM cr JOIN base USING (method_id) WHERE fpr <= base_fpr + CAST(0.01 AS double) AND bacc >= base_bacc - CAST(0.01 AS double)),
-fs AS (SELECT method_id, family, p, count(*) AS n FROM pred WHERE family <> 'clean' AND label = 1 GROUP BY ALL),
-fa AS (SELECT ok.method_id, ok.threshold, fs.family, CAST(sum(CASE WHEN fs.p >= ok.threshold THEN n ELSE 0 END) AS double) / sum(n) AS recall FROM ok JOIN fs ON fs.method_id = ok.method_id GROUP BY ALL),
-wf AS (SELECT method_id, threshold, min(recall) AS worst FROM fa GROUP BY ALL),
-b AS (SELECT ok.*, worst FROM ok JOIN wf USING (method_id, threshold) QUALIFY row_number() OVER (PARTITION BY method_id ORDER BY worst DESC, bacc DESC, fpr, threshold DESC) = 1)
-SELECT method_id, coalesce(threshold, 0.5) AS threshold, round(worst, 6) AS worst_recall, round(bacc, 6) AS balanced_accuracy, round(fpr, 6) AS fpr, b.threshold IS NOT NULL AS feasible FROM base LEFT JOIN b USING (method_id)""")
-def b05(spark: SparkSession, d: str) -> DataFrame:
-    return operating.select_threshold(grid.predictions(spark, d))
-
-
 @query("b06_candidates", f"{_W} SELECT method_id, CAST(count(DISTINCT p) AS bigint) AS candidates, round(min(p), 6) AS low, round(max(p), 6) AS high FROM pred GROUP BY ALL")
 def b06(spark: SparkSession, d: str) -> DataFrame:
     c = operating.candidates(grid.predictions(spark, d), ["method_id"])
@@ -118,6 +106,29 @@ def _draws(where: str) -> str:
     return ", " + resample.draws_sql(f"SELECT o_orderkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders {where}", REPLICATES, SEED)
 
 
+#: By the bootstrap mean of each allowed candidate among the lowest six; recalls fall as thresholds rise, so the others can't be better.
+@query("b05_select_threshold", f"""{_W}{_draws("WHERE o_orderstatus = 'F'")},
+ca AS (SELECT DISTINCT method_id, least(greatest(p, 0), 1) AS threshold FROM pred),
+cl AS (SELECT method_id, p, sum(label) AS pos, sum(1 - label) AS neg FROM pred WHERE condition_id = 'clean' GROUP BY ALL),
+nn AS (SELECT method_id, sum(pos) AS n_pos, sum(neg) AS n_neg, CAST(sum(CASE WHEN p >= 0.5 THEN neg ELSE 0 END) AS double) / sum(neg) AS base_fpr,
+  (CAST(sum(CASE WHEN p >= 0.5 THEN pos ELSE 0 END) AS double) / sum(pos) + 1 - CAST(sum(CASE WHEN p >= 0.5 THEN neg ELSE 0 END) AS double) / sum(neg)) / 2 AS base_bacc FROM cl GROUP BY ALL),
+cr AS (SELECT ca.method_id, ca.threshold, coalesce(sum(pos), 0) AS tp, coalesce(sum(neg), 0) AS fp FROM ca LEFT JOIN cl ON cl.method_id = ca.method_id AND cl.p >= ca.threshold GROUP BY ALL),
+cx AS (SELECT cr.*, CAST(fp AS double) / n_neg AS fpr, (CAST(tp AS double) / n_pos + 1 - CAST(fp AS double) / n_neg) / 2 AS bacc, base_fpr, base_bacc FROM cr JOIN nn USING (method_id)),
+ok AS (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY threshold) AS r FROM cx WHERE fpr <= base_fpr + CAST(0.01 AS double) AND bacc >= base_bacc - CAST(0.01 AS double) QUALIFY r <= 6),
+sx AS (SELECT p.method_id, source_id, family, r, count(*) AS n, count(*) FILTER (WHERE p >= threshold) AS hit FROM pred p JOIN ok ON ok.method_id = p.method_id WHERE family <> 'clean' AND label = 1 GROUP BY ALL),
+fa AS (SELECT method_id, replicate, family, r, CAST(sum(times * hit) AS double) / sum(times * n) AS recall FROM dr JOIN sx USING (source_id) GROUP BY ALL),
+wo AS (SELECT method_id, replicate, r, min(recall) AS worst FROM fa GROUP BY ALL),
+ob AS (SELECT method_id, r, round(avg(worst), 12) AS objective, quantile_cont(worst, CAST(0.025 AS double)) AS low, quantile_cont(worst, CAST(0.975 AS double)) AS high FROM wo GROUP BY ALL),
+b AS (SELECT ok.*, objective, low, high FROM ok JOIN ob USING (method_id, r) QUALIFY row_number() OVER (PARTITION BY method_id ORDER BY objective DESC, bacc DESC, fpr, threshold DESC) = 1),
+hits AS (SELECT p.method_id, family, condition_id, CASE WHEN p >= threshold THEN 1.0 ELSE 0.0 END AS hit FROM pred p JOIN b ON b.method_id = p.method_id WHERE family <> 'clean' AND label = 1),
+hf AS (SELECT method_id, family FROM hits GROUP BY method_id, family QUALIFY row_number() OVER (PARTITION BY method_id ORDER BY avg(hit), family) = 1),
+hc AS (SELECT method_id, condition_id, avg(hit) AS recall FROM hits GROUP BY method_id, condition_id QUALIFY row_number() OVER (PARTITION BY method_id ORDER BY avg(hit), condition_id) = 1)
+SELECT method_id, threshold, round(objective, 6) AS objective, round(low, 6) AS low, round(high, 6) AS high, round(bacc, 6) AS balanced_accuracy, round(fpr, 6) AS fpr, true AS feasible, hf.family AS worst_family, hc.condition_id AS worst_condition, round(recall, 6) AS worst_condition_recall
+FROM b JOIN hf USING (method_id) JOIN hc USING (method_id)""")
+def b05(spark: SparkSession, d: str) -> DataFrame:
+    return operating.select_threshold(grid.predictions(spark, d), replicates=REPLICATES, seed=SEED)
+
+
 _WORST = f"""{_STATS}{_draws("WHERE o_orderstatus = 'F'")}, fa AS (SELECT method_id, replicate, family, CAST(sum(times * hit) AS double) / sum(times * n) AS recall FROM dr JOIN st USING (source_id) GROUP BY ALL),
 wo AS (SELECT method_id, replicate, min(recall) AS worst FROM fa GROUP BY ALL)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars
-from stresslens.operators import features, fit, grid
+from stresslens.operators import batchfit, features, fit, grid
 from stresslens.operators.metrics import r6
 from stresslens.plans.metric_queries import _W
 from stresslens.plans.registry import query
@@ -220,3 +220,48 @@ def d09(spark: SparkSession, d: str) -> DataFrame:
     r = e.mapInArrow(paint, "rel_path string, height int, width int, data binary, error string").withColumn("sha256", F.sha2("data", 256))
     v = kernels.views(grid.expand(r))
     return v.groupBy("condition_id").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.round(F.avg(F.col("quality")["blur_varlap"]), 9).alias("blur_varlap"), F.round(F.avg(F.col("quality")["noise_sigma"]), 9).alias("noise_sigma"))
+
+
+def pilot_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction rows as the pilot's: the first method's logit, what an order says as quality, the second method's answer as response."""
+    p = grid.predictions(spark, d).groupBy("source_id", "condition_id", "family", "label").agg(*[F.max(F.when(F.col("method_id") == m, F.col("p"))).alias(m) for m in grid.METHODS], F.max(F.when(F.col("method_id") == "m1", F.col("reliability"))).alias("q1"))
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"), (F.col("o_totalprice") / 1e5).alias("q2"), F.substring("o_orderpriority", 1, 1).cast("double").alias("q3"))
+    base = scalars.logit(F.col("m1"), 1e-6)
+    r = p.join(orders, "source_id").select("source_id", "condition_id", "family", "label", base.alias("base"), "q1", "q2", "q3", (scalars.logit(F.col("m2"), 1e-6) - base).alias("r1"))
+    return r.withColumn("r2", F.abs("r1"))
+
+
+PILOT = {"base": ("base",), "quality": ("q1", "q2", "q3"), "response": ("r1", "r2")}
+
+
+@query("m17_pilot")
+def m17(spark: SparkSession, d: str) -> DataFrame:
+    oof, _ = batchfit.out_of_fold(pilot_rows(spark, d), PILOT)
+    return batchfit.arm_metrics(oof)
+
+
+@query("m17b_gates")
+def m17b(spark: SparkSession, d: str) -> DataFrame:
+    oof, _ = batchfit.out_of_fold(pilot_rows(spark, d), PILOT)
+    oof = oof.persist()  # metrics and comparisons read it
+    return batchfit.gates(batchfit.comparisons(oof, 1000, 20260826), batchfit.arm_metrics(oof))
+
+
+_SUBSETS = {1: "[v[1]]", 2: "[v[2]]", 3: "[v[1], v[2]]", 4: "[v[3]]", 5: "[v[1], v[3]]", 6: "[v[2], v[3]]", 7: "v"}
+
+
+@query("m18_subset_blocks", f"""WITH {_PROBES}, e AS (SELECT vec_id, base, mask, unnest(own) AS x FROM ({' UNION ALL '.join(f'SELECT vec_id, base, CAST({m} AS int) AS mask, {s} AS own FROM pb' for m, s in _SUBSETS.items())})),
+a AS (SELECT vec_id, mask, x, base, false AS own FROM (SELECT DISTINCT vec_id, mask, base AS x, base FROM e) UNION ALL SELECT vec_id, mask, x, base, true FROM e)
+SELECT vec_id, mask, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(max(x) - min(x), 6) AS range, round(max(abs(x - base)) FILTER (WHERE own), 6) AS max_delta FROM a GROUP BY ALL""")
+def m18(spark: SparkSession, d: str) -> DataFrame:
+    blocks = batchfit.subset_blocks(F.col("base"), [F.get("v", F.lit(i)) for i in range(3)])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), *[r6(c).alias(k) for k, c in b.items()]) for m, b in blocks.items() if m])).alias("x")
+    return _probes(spark, d).select("vec_id", each).select("vec_id", "x.*")
+
+
+@query("m18b_probe_budget")
+def m18b(spark: SparkSession, d: str) -> DataFrame:
+    """Three other views' scores of the same source as probes of a view."""
+    rows = pilot_rows(spark, d).withColumns({"one": F.col("base") + F.col("r1") / 2, "two": F.col("base") - F.col("r2") / 4, "three": F.col("base") + F.col("q1")})
+    told, _ = batchfit.probe_ablation(rows, "base", {"jpeg": "one", "crop": "two", "resize": "three"}, PILOT["quality"], 1000, 11)
+    return told

@@ -1,12 +1,12 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
 Python only tokenises. Both tokenizers cut before a run of spaces, so a text is a row of runs whose tokens are the same
-wherever they stand; a batch of texts comes as its different runs, each with ids and the byte offsets at which tokens end,
-and each text as numbers of runs. The rest is Spark's array functions. Of a run array_intersect of both end arrays gives
-the offsets where groups end; common ends and both tokenizers' ends are sorted as numbers into one array, where a common
-end stands just before the two tokens that end there, so their places are read off with no search; slices between
-consecutive places are the groups, the tokens at the places the links. A text's are those of its runs. How often a pair
-is linked is counted over exploded links, and each document's links are summed against those counts.
+wherever they stand; a batch of texts comes as its different runs, end to end, with the tokens' ids and the byte offsets at
+which they end, and each text as numbers of runs. The rest is Spark's array functions. array_intersect of both end arrays
+gives the offsets where groups end; common ends, both tokenizers' ends and those of runs are sorted as numbers into one
+array, where a common end stands just before the two tokens that end there, so their places are read off with no search;
+slices between consecutive places are the groups, the tokens at the places the links. A text's are those of its runs. How
+often a pair is linked is counted over exploded links, and each document's links are summed against those counts.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from stresslens.llm.common import cut, packed
 from stresslens.llm.texts import raw
-from stresslens.llm.tokens import Twice, vocabulary
+from stresslens.llm.tokens import ID_BITS, Twice, vocabulary
 
 #: So many pairs with their counts, some 60 MB, are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1 << 20
 #: A batch of texts holds about so many bytes.
-BATCH = 1 << 20
+BATCH = 1 << 22
 
-RUNS = "runs array<struct<a_ids: array<int>, a_ends: array<int>, b_ids: array<int>, b_ends: array<int>>>"
+RUNS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, run_ends array<int>"
 TEXTS = "texts array<struct<row: bigint, doc_id: bigint, part: int, parts: int, n_a: bigint, n_b: bigint, of: array<int>>>"
 
 
@@ -66,40 +66,41 @@ class Batch:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.tokens: tuple[list[bytes], list[bytes]] = [], []
+        self.tokens: list[bytes] = []
         self.texts: list[tuple] = []
         self.of: list[np.ndarray | None] = []
 
     def add(self, twice: Twice, text: tuple[int, int | None, int, int], runs: list[str] | None) -> None:
+        self.texts.append(text)
         if runs is None:
-            self.texts.append((*text, 0, 0))
             self.of.append(None)
             return
         new = list(set(runs) - self.number.keys())
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        for a, b in twice.known.all(new):
-            self.tokens[0].append(a)
-            self.tokens[1].append(b)
-        of = np.fromiter(map(self.number.__getitem__, runs), np.int32, len(runs))
-        self.texts.append((*text, *(sum(len(own[i]) for i in of.tolist()) >> 3 for own in self.tokens)))
-        self.of.append(of)
+        self.tokens += twice.known.all(new)
+        self.of.append(np.fromiter(map(self.number.__getitem__, runs), np.int32, len(runs)))
 
     def told(self) -> pa.RecordBatch:
-        fields = []
-        for own in self.tokens:
-            sizes = np.array([len(x) >> 3 for x in own], np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.frombuffer(b"".join(own), "<u8")
-            ends = np.concatenate([[0], np.cumsum(flat >> np.uint64(32))]).astype(np.int64)
-            for values in (flat & np.uint64(0xFFFFFFFF), ends[1:] - np.repeat(ends[edges[:-1]], sizes)):
-                fields.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.astype(np.int32))))
-        runs = pa.StructArray.from_arrays(fields, ["a_ids", "a_ends", "b_ids", "b_ends"])
-        edges = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in self.of])]).astype(np.int32)
-        of = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*(x for x in self.of if x is not None), np.zeros(0, np.int32)])), mask=pa.array([x is None for x in self.of]))
-        columns = [pa.array(c, t) for c, t in zip(zip(*self.texts, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-        texts = pa.StructArray.from_arrays([*columns, of], ["row", "doc_id", "part", "parts", "n_a", "n_b", "of"])
+        sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)) >> 2
+        words, starts = np.frombuffer(b"".join(self.tokens), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+        n_a = words[starts[:-1]].astype(np.int64)  # a run's words begin with the number of the first's tokens
+        n_b, at = sizes - 1 - n_a, np.arange(len(words)) - np.repeat(starts[:-1], sizes)
+        in_a, in_b = (at > 0) & (at <= np.repeat(n_a, sizes)), at > np.repeat(n_a, sizes)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(runs), one(texts)], ["runs", "texts"])
+        columns = []
+        for own in (words[in_a], words[in_b]):
+            columns += [one(pa.array((own & ((1 << ID_BITS) - 1)).astype(np.int32))), one(pa.array(np.cumsum(own >> ID_BITS).astype(np.int32)))]
+        ends = np.concatenate([[0], np.cumsum(words[in_a] >> ID_BITS)])[np.cumsum(n_a)]
+        columns.append(one(pa.array(ends.astype(np.int32))))
+        has = [x is not None for x in self.of]
+        edges = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in self.of])]).astype(np.int64)
+        every = np.concatenate([*(x for x in self.of if x is not None), np.zeros(0, np.int32)])
+        counts = [np.concatenate([[0], np.cumsum(n[every])]) for n in (n_a, n_b)]
+        of = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(every), mask=pa.array([not h for h in has]))
+        told = [pa.array(c, t) for c, t in zip(zip(*self.texts, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        told += [pa.array(np.diff(c[edges]).astype(np.int64)) for c in counts]
+        texts = pa.StructArray.from_arrays([*told, of], ["row", "doc_id", "part", "parts", "n_a", "n_b", "of"])
+        return pa.RecordBatch.from_arrays([*columns, one(texts)], ["a_ids", "a_ends", "b_ids", "b_ends", "run_ends", "texts"])
 
 
 def let(value: Column, use) -> Column:
@@ -107,50 +108,73 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def aligned_runs(runs: Column) -> Column:
-    """Of an array of runs an array of links (a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`).
+def low(x: Column) -> Column:
+    return x.bitwiseAND(0x7FFFFFFF).cast("int")
 
-    For any ids with ascending ends; what stands behind the last common end of a run is in no group.
+
+def high(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
+
+
+def aligned_runs(tokens: DataFrame) -> DataFrame:
+    """known, beside texts: of each run links (array of a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`).
+
+    For ids with ascending ends; each run ends where tokens of both end.
     """
-    low = lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")
     place = lambda kind: lambda end, i: F.shiftleft(end.cast("long"), 33) + F.lit(kind << 31) + i
-    a_at, b_at = lambda x: F.shiftright(x, 31).cast("int"), low
+    common = F.array_intersect("a_ends", "b_ends")
+    order = F.sort_array(F.concat(F.transform(common, place(0)), F.transform("a_ends", place(1)), F.transform("b_ends", place(2)), F.transform("run_ends", place(3))))
+    texts = F.array("a_ids", "b_ids").alias("ids"), F.array(F.col("a_ids").cast("array<string>"), F.col("b_ids").cast("array<string>")).alias("said")
+
+    def spots(order: Column) -> Column:
+        """Of each common end the places of its two tokens, and above them whether a run ends there."""
+
+        def spot(x: Column, j: Column) -> Column:
+            kind = lambda y: F.shiftright(y, 31).bitwiseAND(3)
+            ends = F.when(kind(F.get(order, j + 3)) == 3, F.lit(1 << 31)).otherwise(F.lit(0).cast("long"))
+            return F.when(kind(x) == 0, F.shiftleft(low(F.get(order, j + 1)).cast("long"), 32) + ends + low(F.get(order, j + 2)))
+
+        return F.array_compact(F.transform(order, spot))
+
+    def told(x: Column) -> Column:
+        a, b, a_said, b_said, at = F.get(x["ids"], F.lit(0)), F.get(x["ids"], F.lit(1)), F.get(x["said"], F.lit(0)), F.get(x["said"], F.lit(1)), x["spots"]
+        link = lambda s: F.get(a, high(s)).cast("long") * 65536 + F.get(b, low(s))
 
-    def ordered(r: Column) -> Column:
-        common = F.array_intersect(r["a_ends"], r["b_ends"])
-        return F.struct(r["a_ids"].alias("a"), r["b_ids"].alias("b"), F.sort_array(F.concat(F.transform(common, place(0)), F.transform(r["a_ends"], place(1)), F.transform(r["b_ends"], place(2)))).alias("order"))
+        def group(s: Column, g: Column) -> Column:
+            def said(before: Column) -> Column:
+                part = lambda of, place: F.array_join(F.slice(of, place(before) + 2, place(s) - place(before)), ",")
+                alone = (high(s) - high(before) == 1) & (low(s) - low(before) == 1)
+                return F.when(alone, F.concat(F.get(a_said, high(s)), F.lit("|"), F.get(b_said, low(s)))).otherwise(F.concat(part(a_said, high), F.lit("|"), part(b_said, low)))
 
-    def spotted(r: Column) -> Column:
-        """The places of the two tokens of each common end, in one number."""
-        spot = lambda x, j: F.when(F.shiftright(x, 31).bitwiseAND(3) == 0, F.shiftleft(low(F.get(r["order"], j + 1)).cast("long"), 31) + low(F.get(r["order"], j + 2)))
-        return F.struct(r["a"].alias("a"), r["b"].alias("b"), F.array_compact(F.transform(r["order"], spot)).alias("spots"))
+            first = F.concat(F.array_join(F.slice(a_said, F.lit(1), high(s) + 1), ","), F.lit("|"), F.array_join(F.slice(b_said, F.lit(1), low(s) + 1), ","))
+            return F.when(g == 0, first).otherwise(let(F.get(at, g - 1), said))
 
-    def told(r: Column) -> Column:
-        link = lambda x: F.get(r["a"], a_at(x)).cast("long") * 65536 + F.get(r["b"], b_at(x))
+        last = F.array_compact(F.transform(at, lambda s, g: F.when(F.shiftright(s, 31).bitwiseAND(1) == 1, g)))
+        return F.struct(F.transform(at, link).alias("links"), F.transform(at, group).alias("groups"), last.alias("last"))
 
-        def said(x: Column, g: Column) -> Column:
-            before = F.get(r["spots"], g - 1)
-            part = lambda name, start, end: F.array_join(F.slice(r[name], start + 1, end - start + 1).cast("array<string>"), ",")
-            after = lambda at: F.when(g > 0, at(before) + 1).otherwise(F.lit(0))
-            return F.concat(part("a", after(a_at), a_at(x)), F.lit("|"), part("b", after(b_at), b_at(x)))
+    def cut_up(x: Column) -> Column:
+        def run(end: Column, r: Column) -> Column:
+            start = F.when(r == 0, F.lit(1)).otherwise(F.get(x["last"], r - 1) + 2)
+            return let(start, lambda s: F.struct(F.slice(x["links"], s, end + 2 - s).alias("links"), F.array_join(F.slice(x["groups"], s, end + 2 - s), ";").alias("groups")))
 
-        return F.struct(F.transform(r["spots"], link).alias("links"), F.array_join(F.transform(r["spots"], said), ";").alias("groups"))
+        return F.transform(x["last"], run)
 
-    return F.transform(F.transform(F.transform(runs, ordered), spotted), told)
+    known = let(F.struct(let(order, spots).alias("spots"), *texts), lambda x: let(told(x), cut_up))
+    return tokens.select(known.alias("known"), "texts")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """row, doc_id, part, parts, n_a, n_b, links and groups of each part of a text; links and groups are null where it has no tokens."""
 
-    def told(known: Column) -> Column:
+    def told(x: Column) -> Column:
         def text(t: Column) -> Column:
-            each = F.transform(t["of"], lambda i: F.get(known, i))
-            of = lambda x: F.struct(*[t[c].alias(c) for c in ("row", "doc_id", "part", "parts", "n_a", "n_b")], F.flatten(x["links"]).alias("links"), F.array_join(F.filter(x["groups"], lambda g: g != ""), ";").alias("groups"))
-            return let(each, of)
+            of = lambda y: F.struct(*[t[c].alias(c) for c in ("row", "doc_id", "part", "parts", "n_a", "n_b")], F.flatten(y["links"]).alias("links"), F.array_join(y["groups"], ";").alias("groups"))
+            return let(F.transform(t["of"], lambda i: F.get(x["known"], i)), of)
 
-        return F.transform("texts", text)
+        return F.transform(x["texts"], text)
 
-    return tokens.select(F.explode(let(aligned_runs(F.col("runs")), told)).alias("x")).select("x.*")
+    each = aligned_runs(tokens).select(F.struct("known", "texts").alias("x")).select(let(F.col("x"), told).alias("x"))
+    return each.select(F.explode("x").alias("x")).select("x.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -43,22 +44,23 @@ class Splitter:
         import regex
 
         self.tokenizer, self.parts, self.lower, self.plain = tokenizer, regex.compile(pattern).findall, lower, plain
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.table = dict(enumerate(stand_ins()))
 
-    def ids(self, word: str) -> list[int]:
+    def ids(self, word: str) -> bytes:
+        """Four bytes a token."""
         if not _COMMON.fullmatch(word) or self.plain and self.plain in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        out = []
         for part in self.parts(word.lower() if self.lower else word):
             found = self.known.get(part)
             if found is None:
                 if len(self.known) >= MEMORY // 2:
                     self.known.clear()
                 # bytes as Latin-1 characters, and those as their stand-ins
-                found = self.known[part] = tuple([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.table))])
-            out += found
-        return out
+                found = self.known[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.table))]).tobytes()
+            out.append(found)
+        return b"".join(out)
 
 
 class Known(dict):
@@ -87,7 +89,7 @@ class Words:
 
         self.model = Tokenizer.from_file(path)
         split = Splitter(self.model, r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", lower=True, plain="<|")
-        self.known = Known(lambda words: [array("I", split.ids(w)).tobytes() for w in words])
+        self.known = Known(lambda words: list(map(split.ids, words)))
 
     def ids(self, text: bytes) -> Iterator[np.ndarray]:
         """The ids of a text of which space, tab, newline and the like are no part; bytes that are no UTF-8 count as U+FFFD."""
@@ -107,36 +109,62 @@ _RUN = re.compile(r" +[^ ]*")
 _SPACE = "▁"
 
 
+#: Fixed value: how the byte-level tokenizer splits text before its merges.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A token is its id in so many low bits, and its length in bytes above them.
+ID_BITS = 17
+
+
 class Twice:
-    """Runs of spaces and what follows up to the next, by two tokenizers: a byte-level one and one of pieces."""
+    """Runs of spaces and what follows up to the next, by two tokenizers: a byte-level one and one of pieces.
+
+    The byte-level vocabulary comes from its file; ids rise with the rank of merges, so tiktoken's merging gives its ids.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.bytes = Tokenizer.from_file(byte_path)
-        self.bytes.encode_special_tokens = True
+        vocab = Tokenizer.from_file(byte_path).get_vocab(with_added_tokens=False)
+        of = {c: b for b, c in enumerate(stand_ins())}
+        ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocab.items() if set(t) <= of.keys()}
+        # the special token is in the file's vocabulary too, but no merge leads to it
+        special = {t for t in ranks if t.startswith(b"<|") and t.endswith(b"|>")}
+        self.bytes = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t not in special}, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.known = Known(self.learn, MEMORY // 2)
-        self.split = Splitter(self.bytes, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", lower=False)
-        of, vocabulary = {c: b for b, c in enumerate(stand_ins())}, self.bytes.get_vocab()
-        first, second = [b""] * (max(vocabulary.values()) + 1), []
-        for t, i in vocabulary.items():
-            first[i] = bytes(map(of.__getitem__, t)) if set(t) <= of.keys() else t.encode()
+        first, second = [b""] * (max(vocab.values()) + 1), []
+        for t, i in ranks.items():
+            first[i] = t
         for i in range(self.pieces.get_piece_size()):
             t = self.pieces.id_to_piece(i)
             second.append(bytes([int(t[3:5], 16)]) if self.pieces.is_byte(i) else t.replace(_SPACE, " ").encode())
-        # of each id its bytes, and their number above the id
-        self.first, self.second = ((x, [(len(t) << 32) | i for i, t in enumerate(x)]) for x in (first, second))
+        self.first, self.second = ((x, np.array([(len(t) << ID_BITS) | i for i, t in enumerate(x)], "<u4")) for x in (first, second))
         self.space = self.pieces.piece_to_id(_SPACE)
-
-    def learn(self, runs: list[str]) -> list[tuple[bytes, bytes] | bool]:
-        """Ids and byte lengths of both, eight bytes a token; False if their bytes aren't the run's."""
-        out, (a_bytes, a_told), (b_bytes, b_told) = [], self.first, self.second
-        for r, b in zip(runs, self.pieces.encode([r[1:] for r in runs], num_threads=1), strict=True):
-            a, b, raw = self.split.ids(r), b or [self.space], r.encode()
-            same = raw == b"".join([a_bytes[i] for i in a]) == b"".join([b_bytes[i] for i in b])
-            out.append(same and (array("Q", [a_told[i] for i in a]).tobytes(), array("Q", [b_told[i] for i in b]).tobytes()))
+        self.known = Known(self.learn)
+
+    def learn(self, runs: list[str]) -> list[bytes | bool]:
+        """Of each run how many tokens the first gives, those, and those of the second, four bytes each; False if their bytes aren't the run's."""
+        first, second = [self.bytes.encode_ordinary(r) for r in runs], [x or [self.space] for x in self.pieces.encode([r[1:] for r in runs], num_threads=1)]
+        flat, told = [], []
+        for ids, (known, word) in ((first, self.first), (second, self.second)):
+            every = list(chain.from_iterable(ids))
+            flat.append(b"".join(map(known.__getitem__, every)))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            told.append((word[every] if every else word[:0], np.concatenate([[0], np.cumsum(sizes)])))
+        whole = "".join(runs).encode()
+        (a, a_at), (b, b_at) = told
+        lengths = [np.diff(np.concatenate([[0], np.cumsum((x >> ID_BITS).astype(np.int64))])[at]) for x, at in told]
+        good = flat[0] == flat[1] == whole and (lengths[0] == lengths[1]).all() and (lengths[0] == [len(r.encode()) for r in runs]).all()
+        a_raw, b_raw, a_at, b_at = a.tobytes(), b.tobytes(), (4 * a_at).tolist(), (4 * b_at).tolist()
+        out = []
+        for i, r in enumerate(runs):
+            if not good:
+                raw = r.encode()
+                if not raw == b"".join([self.first[0][x] for x in first[i]]) == b"".join([self.second[0][x] for x in second[i]]):
+                    out.append(False)
+                    continue
+            out.append((a_at[i + 1] - a_at[i] >> 2).to_bytes(4, "little") + a_raw[a_at[i] : a_at[i + 1]] + b_raw[b_at[i] : b_at[i + 1]])
         return out
 
     def runs(self, text: bytes) -> Iterator[list[str] | None]:

@@ -100,7 +100,10 @@ def test_empty(spark):
 
 
 def test_ends_that_differ(spark):
-    runs = [([1, 2, 3], [2, 5, 9], [7, 8], [5, 8]), ([1], [3], [7], [4]), ([], [], [], []), ([4, 5], [1, 2], [6, 7], [1, 2])]
-    d = spark.createDataFrame([(runs, [(1, 10, 0, 1, 0, 0, [0, 1, 2, 3]), (2, 11, 0, 1, 0, 0, None), (3, 12, 0, 1, 0, 0, [1])])], f"{alignment.RUNS}, {alignment.TEXTS}")
+    one = ([1, 2, 3, 4, 5], [2, 5, 9, 10, 11], [7, 8, 6, 7], [5, 9, 10, 11], [9, 10, 11])
+    texts = [(1, 10, 0, 1, 0, 0, [0, 1, 2, 0]), (2, 11, 0, 1, 0, 0, None), (3, 12, 0, 1, 0, 0, [1])]
+    d = spark.createDataFrame([(*one, texts), ([], [], [], [], [], texts[1:2])], f"{alignment.RUNS}, {alignment.TEXTS}")
     got = [(x.links, x.groups) for x in alignment.aligned(d).orderBy("row").collect()]
-    assert got == [([2 * 65536 + 7, 4 * 65536 + 6, 5 * 65536 + 7], "1,2|7;4|6;5|7"), (None, None), ([], "")]
+    link = lambda *pairs: [a * 65536 + b for a, b in pairs]
+    assert got[0] == (link((2, 7), (3, 8), (4, 6), (5, 7), (2, 7), (3, 8)), "1,2|7;3|8;4|6;5|7;1,2|7;3|8")
+    assert got[1:] == [(None, None), (None, None), (link((4, 6)), "4|6")]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars
-from stresslens.operators import batchfit, features, fit, grid
+from stresslens.operators import batchfit, degradation, features, fit, grid
 from stresslens.operators.metrics import r6
 from stresslens.plans.metric_queries import _W
 from stresslens.plans.registry import query
@@ -265,3 +265,12 @@ def m18b(spark: SparkSession, d: str) -> DataFrame:
     rows = pilot_rows(spark, d).withColumns({"one": F.col("base") + F.col("r1") / 2, "two": F.col("base") - F.col("r2") / 4, "three": F.col("base") + F.col("q1")})
     told, _ = batchfit.probe_ablation(rows, "base", {"jpeg": "one", "crop": "two", "resize": "three"}, PILOT["quality"], 1000, 11)
     return told
+
+
+@query("m16_degradation")
+def m16(spark: SparkSession, d: str) -> DataFrame:
+    """Event kinds from their values and hours, as families from descriptors; sixty rounds."""
+    e = _read(spark, d, "events").select("event_type", "value", F.hour("ts").alias("hour"), F.length("props").alias("size"), F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 7).alias("group"))
+    kinds = tuple(sorted(r.event_type for r in e.select("event_type").where("event_type is not null").distinct().collect()))
+    r = degradation.train(e, "event_type", ("value", "hour", "size", "group"), kinds, rounds=60)
+    return degradation.confusion(degradation.report(e, r), "event_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stresslens.operators import grid, validate
+from stresslens.operators import evidence, grid, validate
 from stresslens.plans.registry import query
 
 _SPARSE = grid.SQL + """, sparse AS (
@@ -138,3 +138,62 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     rows = sparse(spark, d).select("image_path", "p_fake", F.when(~validate.probability(F.col("p_fake")), "score out of range").alias("error"))
     out = files.inference_output(rows, "null")
     return out.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("error").alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("pred"), 6).alias("mean_pred"))
+
+
+_KEY = "a" * 64
+_EV = f"""{_SPARSE}, ev AS (SELECT sample_id, source_id, condition_id, CASE WHEN part % 9 = 0 THEN 'noise' END AS family, label, CASE WHEN part % 50 = 0 THEN 'dev' ELSE 'test' END AS dataset_split,
+CASE WHEN part % 40 = 0 THEN 'b' ELSE '{_KEY}' END AS cache_key, CASE WHEN part % 11 > 0 THEN p_fake END AS p, part, p_fake FROM sparse)"""
+
+
+def _reason(name: str, where: str, example: str = "min(sample_id)", of: str = "ev") -> str:
+    return f"SELECT '{name}' AS reason, CAST(count(*) AS bigint) AS n, {example} AS example FROM {of} WHERE {where} HAVING count(*) > 0"
+
+
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse rows as a cache: some of other splits, keys and families, some without a score."""
+    part, p = F.col("part"), F.col("p_fake")
+    block = F.struct(F.lit(True).alias("ok"), F.when(part % 11 > 0, p).alias("p_fake"), F.when(part % 13 > 0, F.log(F.greatest(p, F.lit(0.02)) / (1 - F.least(p, F.lit(0.98))))).alias("raw_logit"))
+    return sparse(spark, d).select("sample_id", "source_id", "condition_id", F.when(part % 9 == 0, "noise").alias("family"), "label", F.when(part % 50 == 0, "dev").otherwise("test").alias("dataset_split"), F.when(part % 40 == 0, "b").otherwise(_KEY).alias("cache_key"), F.when(part % 17 > 0, F.create_map(F.lit("x"), block)).alias("experts"), "part")
+
+
+_MANIFEST = {"status": "partial", "may_not_be_used_for_fitting": True, "rows_total": 1000, "n_sources": 10, "experts": ["x@rev1"], "cache_key": _KEY}
+
+
+@query("f16b_all_reasons", f"""WITH {_EV.replace("part % 11 > 0", "part % 11 > 0 AND part % 17 > 0")}, fam AS (SELECT ev.*, c.family AS own FROM ev JOIN conditions c USING (condition_id)), k AS (SELECT source_id, condition_id, count(*) AS m FROM ev GROUP BY ALL),
+s AS (SELECT source_id, count(DISTINCT condition_id) AS c, count(DISTINCT label) AS l FROM ev GROUP BY ALL)
+{" UNION ALL ".join([_reason("label", "label NOT IN (0, 1)"), _reason("split", "dataset_split <> 'test'"), _reason("family", "family <> own", of="fam"), _reason("foreign_key", f"cache_key <> '{_KEY}'"), _reason("score_missing", "p IS NULL"), _reason("score_range", "p NOT BETWEEN 0 AND 1"),
+_reason("repeated", "m > 1", "min(source_id || ':' || condition_id)", "k"), _reason("incomplete_grid", "c < 20", "min(source_id)", "s"), _reason("label_changes", "l > 1", "min(source_id)", "s")])}
+UNION ALL SELECT 'status', 1, 'partial' UNION ALL SELECT 'rows_total', abs(count(*) - 1000), CAST(count(*) AS varchar) FROM ev UNION ALL SELECT 'n_sources', abs(count(*) - 10), CAST(count(*) AS varchar) FROM s UNION ALL SELECT 'revision', 1, 'x@rev1'""")
+def f16b(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.evaluation_reasons(evaluated(spark, d), _MANIFEST, "x", "rev2")
+
+
+@query("f11b_cache_reasons", f"""WITH {_EV}, fam AS (SELECT ev.*, c.family AS own FROM ev JOIN conditions c USING (condition_id)),
+x AS (SELECT sample_id, p, part % 17 > 0 AS has, CASE WHEN part % 13 > 0 THEN ln(greatest(p_fake, 0.02::double) / (1 - least(p_fake, 0.98::double))) END AS z FROM ev),
+s AS (SELECT source_id, count(DISTINCT label) AS l, count(DISTINCT dataset_split) AS d FROM ev GROUP BY ALL)
+{" UNION ALL ".join([_reason("label", "label NOT IN (0, 1)"), _reason("cache_key", f"cache_key <> '{_KEY}'"), _reason("split", "dataset_split NOT IN ('train', 'dev')"), _reason("family", "family <> own", of="fam"), _reason("experts", "NOT has", of="x"),
+_reason("p_fake", "has AND (p IS NULL OR p NOT BETWEEN 0 AND 1)", of="x"), _reason("raw_logit", "has AND z IS NULL", of="x"), _reason("logit_off", "has AND p BETWEEN 0 AND 1 AND abs(1 / (1 + exp(-z)) - p) > 0.0001", of="x"),
+_reason("label_changes", "l > 1", "min(source_id)", "s"), _reason("dataset_split_changes", "d > 1", "min(source_id)", "s")])} UNION ALL SELECT 'several_cache_key', 1, 'b'""")
+def f11b(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.cache_reasons(evaluated(spark, d), ("x",))
+
+
+@query("f09b_coverage", f"""WITH {_SPARSE}, v AS (SELECT count(DISTINCT source_id) AS s, count(*) AS r FROM sparse)
+SELECT * FROM (SELECT 'expected_source_count' AS reason, '1500' AS expected, CAST(s AS varchar) AS found FROM v UNION ALL SELECT 'expected_view_count', '30000', CAST(s * 20 AS varchar) FROM v UNION ALL SELECT 'successful_view_count', '6000', CAST(r AS varchar) FROM v
+UNION ALL SELECT 'failure_count', '24000', '3' UNION ALL SELECT 'denominator', '30000', CAST(s * 20 AS varchar) FROM v UNION ALL SELECT 'failures', '0', '3') WHERE expected <> found""")
+def f09b(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.coverage_reasons(sparse(spark, d), {"expected_source_count": 1500, "expected_view_count": 30000, "successful_view_count": 6000, "failure_count": 24000}, 3)
+
+
+def _part(i: int) -> str:
+    return f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS bigint)"
+
+
+_CELLS = ", ".join(f"'{c}:{t}:v' || '{{\"v\":' || to_json({c}) || '}}'" for c, t in (("c_custkey", "bigint"), ("c_mktsegment", "string"), ("c_name", "string"), ("c_nationkey", "int")))
+
+
+@query("f09c_freeze_digest", f"""WITH h AS (SELECT sha256(to_json([{_CELLS}])) AS h FROM customer),
+r AS (SELECT {_part(0)} >> 20 AS r, count(*) AS n, {', '.join(f'CAST(sum({_part(i)}) AS varchar) AS p{i}' for i in range(8))} FROM h GROUP BY 1)
+SELECT CAST(sum(n) AS bigint) AS rows, sha256(string_agg(concat_ws(':', r, n, {', '.join(f'p{i}' for i in range(8))}), ';' ORDER BY r)) AS sha256 FROM r""")
+def f09c(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.digest(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import hamming
 from stresslens.operators.metrics import r6
+from stresslens.operators.shared import ranked
 
 
 def bands(h: Column, radius: int) -> Column:
@@ -83,38 +84,70 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def hash_split(rows: DataFrame, by: str, key: str, share: float) -> DataFrame:
-    """role: the first floor(n * share) of each stratum by hash are dev, the others train."""
-    w = W.partitionBy(by)
-    i, n = F.row_number().over(w.orderBy(key)), F.count("*").over(w)
-    return rows.withColumn("role", F.when(i <= F.floor(n * F.lit(share)), "dev").otherwise("train"))
+    """role: the first floor(n * share) of each stratum by hash are dev, the others train. key should tell rows apart."""
+    d = ranked(rows, [F.col(key)], [by], "_i", "_n")
+    return d.select(*rows.columns, F.when(F.col("_i") < F.floor(F.col("_n") * F.lit(share)), "dev").otherwise("train").alias("role"))
 
 
 def folds(rows: DataFrame, key: str, k: int, seed: str) -> DataFrame:
     """fold of each distinct source: near-equal runs of a hashed order, so all views of a source share one."""
     d = rows.select(key).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
-    return d.select(key, (F.ntile(k).over(W.orderBy("_h", key)) - 1).alias("fold"))
+    d = ranked(d, [F.col("_h"), F.col(key)], name="_i", n="_n")
+    long, many = F.expr(f"_n div {k}") + 1, F.col("_n") % k  # the first many folds are one longer
+    later = F.expr(f"(_i - (_n % {k}) * (_n div {k} + 1)) div greatest(_n div {k}, 1)") + many
+    return d.select(key, F.when(F.col("_i") < many * long, F.floor(F.col("_i") / long)).otherwise(later).cast("int").alias("fold"))
 
 
 def sample_per_class(rows: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
-    w = W.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
-    return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
+    """The first n rows of each class in a hashed order."""
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
+    return first_of_each(rows, by, order, n)
 
 
-def assign_roles(sizes: list[tuple[int, int, int]], quotas: dict[str, dict[int, int]]) -> dict[int, str]:
-    """Clusters (cluster, label, size) to roles: each is taken whole by the first role it still fits; what fits none is spare.
+def first_of_each(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each class; what a task can't be among them is dropped before any row moves."""
+    own = F.row_number().over(W.partitionBy("_task", by).orderBy(*order))
+    few = rows.withColumn("_task", F.spark_partition_id()).withColumn("_i", own).where(F.col("_i") <= n).drop("_i", "_task")
+    return few.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_i") <= n).drop("_i")
 
-    Inherently one after the other, so it runs on the driver over one row a cluster, largest first.
+
+def fill(histogram: list[tuple[int, int, int]], quotas: dict[str, dict[int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """(label, size, role, first, end): which clusters of a size, by rank, go whole to which role; quotas are filled in order.
+
+    histogram: label, size and how many clusters have it. Taking clusters one by one, largest first, each to the first role
+    that it still fits, gives the same: clusters of one size fit a role alike, so it takes as many as its rest allows.
+    What fits none is spare.
     """
-    left = {role: dict(q) for role, q in quotas.items()}
-    out = {}
-    for cluster, label, size in sorted(sizes, key=lambda x: (-x[2], x[0])):
-        role = next((r for r, q in left.items() if q.get(label, 0) >= size), "spare")
-        if role != "spare":
-            left[role][label] -= size
-        out[cluster] = role
+    left, out = {role: dict(q) for role, q in quotas.items()}, []
+    for label, size, n in sorted(histogram, key=lambda x: (-x[1], x[0])):
+        at = 0
+        for role, q in left.items():
+            take = min(n - at, q.get(label, 0) // size)
+            if take:
+                out.append((label, size, role, at, at + take))
+                q[label] -= take * size
+                at += take
+        if at < n:
+            out.append((label, size, "spare", at, n))
     return out
 
 
+def assign_roles(clusters: DataFrame, quotas: dict[str, dict[int, int]]) -> DataFrame:
+    """cluster, label, n, role of clusters (cluster, label, n). The driver sees how many clusters have each size: of N
+    members no more than the square root of 2 N sizes, whatever the number of clusters."""
+    histogram = [tuple(r) for r in clusters.groupBy("label", "n").count().collect()]
+    ranges = clusters.sparkSession.createDataFrame(fill(histogram, quotas) or [(0, 0, "spare", 0, 0)], "_label int, _size long, role string, _first long, _end long")
+    d = ranked(clusters, [F.col("cluster")], ["label", "n"], "_i")
+    on = (F.col("label") == F.col("_label")) & (F.col("n") == F.col("_size")) & (F.col("_i") >= F.col("_first")) & (F.col("_i") < F.col("_end"))
+    return d.join(F.broadcast(ranges), on).select("cluster", "label", "n", "role")
+
+
+def leaks(members: DataFrame, cluster: str = "cluster", role: str = "role") -> DataFrame:
+    """Clusters whose members have several roles, or some none: none may be there."""
+    r = F.coalesce(F.col(role), F.lit(""))
+    return members.groupBy(cluster).agg(F.min(r).alias("first"), F.max(r).alias("last"), F.count("*").alias("n")).where("first <> last or first = ''")
+
+
 def role_counts(rows: DataFrame) -> DataFrame:
     """Sources by role and label with subtotals."""
     c = rows.cube("role", "label").agg(F.count_distinct("source_id").alias("sources"), F.grouping_id().alias("g"))

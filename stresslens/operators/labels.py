@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+from stresslens.operators.shared import cut
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -23,13 +16,13 @@ def connected(pairs: DataFrame) -> DataFrame:
     """
     a, b = pairs.columns
     e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = _cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = _cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")))
+    both = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    labels = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("root").alias("r")), "y").groupBy("x").agg(F.min("r").alias("r"))
         step = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         jump = step.select(F.col("node").alias("of"), F.col("root").alias("far"))
-        new = _cut(step.join(jump, F.col("root") == F.col("of"), "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        new = cut(step.join(jump, F.col("root") == F.col("of"), "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         if new.where("root <> old").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -63,15 +63,22 @@ def u06(spark: SparkSession, d: str) -> DataFrame:
     return dedup.clusters(h.select("id"), dedup.near_pairs(h, None, RADIUS))
 
 
-@query("u07_cluster_atomic_split")
+#: Clusters one by one, largest first: a role takes one if it still fits. In SQL by the number of clusters of each size.
+@query("u07_cluster_atomic_split", f"""WITH RECURSIVE {_CL}, c AS (SELECT cluster, min(label % 2) AS label, count(*) AS n FROM cl JOIN h USING (id) GROUP BY cluster), q AS (SELECT label, CAST(sum(n) AS bigint) // 5 AS test, CAST(sum(n) AS bigint) // 10 AS dev FROM c GROUP BY label),
+o AS (SELECT c.*, row_number() OVER (PARTITION BY label ORDER BY n DESC, cluster) AS i FROM c),
+f AS (SELECT label, CAST(0 AS bigint) AS i, CAST(0 AS bigint) AS cluster, test, dev, 'none' AS role FROM q UNION ALL
+SELECT f.label, o.i, o.cluster, CASE WHEN f.test >= n THEN f.test - n ELSE f.test END, CASE WHEN f.test < n AND f.dev >= n THEN f.dev - n ELSE f.dev END, CASE WHEN f.test >= n THEN 'test' WHEN f.dev >= n THEN 'dev' ELSE 'train' END FROM f JOIN o ON o.label = f.label AND o.i = f.i + 1)
+SELECT id, cl.cluster, role FROM f JOIN cl ON cl.cluster = f.cluster AND f.i > 0""")
 def u07(spark: SparkSession, d: str) -> DataFrame:
-    c = u06(spark, d).join(_read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label")), "id")
+    from stresslens.operators import validate
+
+    c = u06(spark, d).join(hashes(spark, d).select("id", (F.col("label") % 2).cast("int").alias("label")), "id")
     sizes = c.groupBy("cluster").agg(F.min("label").alias("label"), F.count("*").alias("n"))
-    # one row a cluster comes to the driver: filling quotas whole is one after the other
-    rows = [(r.cluster, r.label, r.n) for r in sizes.collect()]
-    n = {y: sum(s for _, label, s in rows if label == y) for y in (0, 1)}
-    roles = dedup.assign_roles(rows, {"test": {y: n[y] // 5 for y in n}, "dev": {y: n[y] // 10 for y in n}, "train": n})
-    return c.join(spark.createDataFrame(list(roles.items()), "cluster long, role string"), "cluster").select("id", "cluster", "role")
+    n = {r.label: r.n for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    roles = dedup.assign_roles(sizes, {"test": {y: n[y] // 5 for y in n}, "dev": {y: n[y] // 10 for y in n}, "train": n})
+    out = c.select("id", "cluster").join(roles.select("cluster", "role"), "cluster").select("id", "cluster", "role")
+    validate.raise_if(dedup.leaks(out), "clusters across roles")
+    return out
 
 
 @query("w06_hash_split", "WITH x AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS varchar))) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, CASE WHEN i <= floor(n * CAST(0.25 AS double)) THEN 'dev' ELSE 'train' END AS role FROM x")
@@ -88,12 +95,11 @@ def w07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w09_dense_numbers", "SELECT page_id, 'sample-' || lpad(CAST(row_number() OVER (ORDER BY lower(url), page_id) - 1 AS varchar), 6, '0') AS sample_id FROM pages")
 def w09(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     from stresslens.functions import scalars
+    from stresslens.operators.shared import ranked
 
     p = _read(spark, d, "pages").select("page_id", F.lower("url").alias("u"))
-    return p.select("page_id", scalars.sample_id("sample", F.row_number().over(W.orderBy("u", "page_id")) - 1).alias("sample_id"))
+    return ranked(p, [F.col("u"), F.col("page_id")]).select("page_id", scalars.sample_id("sample", F.col("rank")).alias("sample_id"))
 
 
 @query("b16_folds", "SELECT o_custkey AS source_id, CAST(ntile(5) OVER (ORDER BY md5('f:' || o_custkey), o_custkey) - 1 AS int) AS fold FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -135,8 +141,8 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
 def s08(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    x = _read(spark, d, "documents").select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("i"))
-    return x.where("i <= 10")
+    x = dedup.first_of_each(_read(spark, d, "documents").select("source", "doc_id"), "source", [F.col("doc_id")], 10)
+    return x.select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("i"))
 
 
 @query("f27_label_map", "SELECT n_name, r_name, CAST(count(*) AS bigint) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from stresslens.operators import audit, dedup
+from stresslens.operators import audit, dedup, shared
 from stresslens.streaming import incremental
 
 
@@ -48,14 +49,52 @@ def test_splits_hold_together(spark):
     assert sorted(r["count"] for r in f) == [4, 4, 5, 5, 5]
 
 
-def test_roles_are_cluster_atomic_and_within_quotas():
-    sizes = [(i, i % 2, 1 + i % 5) for i in range(40)]
-    q = {"test": {0: 12, 1: 12}, "dev": {0: 6, 1: 6}}
-    roles = dedup.assign_roles(sizes, q)
-    assert set(roles) == set(range(40))
-    for role in q:
+def one_by_one(sizes, quotas):
+    """Each cluster, largest first, to the first role that it still fits."""
+    left, out = {role: dict(q) for role, q in quotas.items()}, {}
+    for cluster, label, size in sorted(sizes, key=lambda x: (-x[2], x[0])):
+        role = next((r for r, q in left.items() if q.get(label, 0) >= size), "spare")
+        if role != "spare":
+            left[role][label] -= size
+        out[cluster] = role
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_roles_equal_the_sequential_fill(spark, seed):
+    r = random.Random(seed)
+    sizes = [(i, r.randint(0, 1), r.choice([1, 1, 1, 2, 3, 7, 20])) for i in range(300)]
+    quotas = {"test": {0: 101, 1: 55}, "dev": {0: 33, 1: 0}, "train": {0: 150}}
+    d = spark.createDataFrame(sizes, "cluster long, label int, n long").repartition(5)
+    got = {x.cluster: x.role for x in dedup.assign_roles(d, quotas).collect()}
+    assert got == one_by_one(sizes, quotas) and set(got.values()) == {"test", "dev", "train", "spare"}
+    for role in quotas:
         for y in (0, 1):
-            assert sum(s for c, label, s in sizes if label == y and roles[c] == role) <= q[role][y]
+            assert sum(s for c, label, s in sizes if label == y and got[c] == role) <= quotas[role].get(y, 0)
+    assert dedup.assign_roles(d.limit(0), quotas).count() == 0
+
+
+def test_leaks(spark):
+    d = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None)], "cluster long, role string")
+    assert {x.cluster for x in dedup.leaks(d).collect()} == {2, 3}
+
+
+def test_ranks_within_groups_and_over_all(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["hot", "hot", "hot", "b", None]), r.randint(0, 9)) for i in range(400)]
+    d = spark.createDataFrame(rows, "i long, g string, v int").repartition(7)
+    got = {x.i: (x["rank"], x.n) for x in shared.ranked(d, [F.col("v"), F.col("i")], ["g"], n="n").collect()}
+    for g in ("hot", "b", None):
+        own = sorted((v, i) for i, h, v in rows if h == g)
+        assert [got[i] for _, i in own] == [(k, len(own)) for k in range(len(own))]
+    got = {x.i: x["rank"] for x in shared.ranked(d, [F.desc("v"), F.col("i")]).collect()}
+    assert [got[i] for _, i in sorted((-v, i) for i, _, v in rows)] == list(range(400))
+    assert shared.ranked(d.limit(0), [F.col("i")], ["g"]).count() == 0
+
+
+def test_first_of_each(spark):
+    d = spark.createDataFrame([(i, i % 3) for i in range(50)], "i long, g int").repartition(4)
+    assert {(x.g, x.i) for x in dedup.first_of_each(d, "g", [F.desc("i")], 2).collect()} == {(0, 48), (0, 45), (1, 49), (1, 46), (2, 47), (2, 44)}
 
 
 def test_audits(spark):

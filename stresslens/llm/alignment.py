@@ -5,7 +5,7 @@ wherever they stand; a batch of texts comes as its different runs, end to end, w
 which they end, and each text as numbers of runs. The rest is Spark's array functions. array_intersect of both end arrays
 gives the offsets where groups end; common ends, both tokenizers' ends and those of runs are sorted as numbers into one
 array, where a common end stands just before the two tokens that end there, so their places are read off with no search;
-slices between consecutive places are the groups, the tokens at the places the links. A text's are those of its runs. How
+sequences between consecutive places are the groups, the tokens at the places the links. A text's are those of its runs. How
 often a pair is linked is counted over exploded links, and each document's links are summed against those counts.
 """
 
@@ -108,6 +108,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def between(array: Column, first: Column, last: Column) -> Column:
+    """Its elements from place first to place last. slice() would walk the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(array, i))
+
+
 def low(x: Column) -> Column:
     return x.bitwiseAND(0x7FFFFFFF).cast("int")
 
@@ -117,7 +122,7 @@ def high(x: Column) -> Column:
 
 
 def aligned_runs(tokens: DataFrame) -> DataFrame:
-    """known, beside texts: of each run links (array of a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`).
+    """known, beside texts: of all runs links (arrays of a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`).
 
     For ids with ascending ends; each run ends where tokens of both end.
     """
@@ -142,24 +147,31 @@ def aligned_runs(tokens: DataFrame) -> DataFrame:
 
         def group(s: Column, g: Column) -> Column:
             def said(before: Column) -> Column:
-                part = lambda of, place: F.array_join(F.slice(of, place(before) + 2, place(s) - place(before)), ",")
+                part = lambda of, place: F.array_join(between(of, place(before) + 1, place(s)), ",")
                 alone = (high(s) - high(before) == 1) & (low(s) - low(before) == 1)
                 return F.when(alone, F.concat(F.get(a_said, high(s)), F.lit("|"), F.get(b_said, low(s)))).otherwise(F.concat(part(a_said, high), F.lit("|"), part(b_said, low)))
 
-            first = F.concat(F.array_join(F.slice(a_said, F.lit(1), high(s) + 1), ","), F.lit("|"), F.array_join(F.slice(b_said, F.lit(1), low(s) + 1), ","))
+            first = F.concat(F.array_join(between(a_said, F.lit(0), high(s)), ","), F.lit("|"), F.array_join(between(b_said, F.lit(0), low(s)), ","))
             return F.when(g == 0, first).otherwise(let(F.get(at, g - 1), said))
 
         last = F.array_compact(F.transform(at, lambda s, g: F.when(F.shiftright(s, 31).bitwiseAND(1) == 1, g)))
         return F.struct(F.transform(at, link).alias("links"), F.transform(at, group).alias("groups"), last.alias("last"))
 
-    def cut_up(x: Column) -> Column:
+    def cut_up(x: Column, use) -> Column:
+        """use(first, last) of the places of each run's groups."""
+
         def run(end: Column, r: Column) -> Column:
-            start = F.when(r == 0, F.lit(1)).otherwise(F.get(x["last"], r - 1) + 2)
-            return let(start, lambda s: F.struct(F.slice(x["links"], s, end + 2 - s).alias("links"), F.array_join(F.slice(x["groups"], s, end + 2 - s), ";").alias("groups")))
+            start = F.when(r == 0, F.lit(0)).otherwise(F.get(x["last"], r - 1) + 1)
+            return let(start, lambda s: use(s, end))
 
         return F.transform(x["last"], run)
 
-    known = let(F.struct(let(order, spots).alias("spots"), *texts), lambda x: let(told(x), cut_up))
+    def runs(x: Column) -> Column:
+        links = cut_up(x, lambda a, b: between(x["links"], a, b))
+        groups = cut_up(x, lambda a, b: F.array_join(between(x["groups"], a, b), ";"))
+        return F.struct(links.alias("links"), groups.alias("groups"))
+
+    known = let(F.struct(let(order, spots).alias("spots"), *texts), lambda x: let(told(x), runs))
     return tokens.select(known.alias("known"), "texts")
 
 
@@ -168,8 +180,8 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
     def told(x: Column) -> Column:
         def text(t: Column) -> Column:
-            of = lambda y: F.struct(*[t[c].alias(c) for c in ("row", "doc_id", "part", "parts", "n_a", "n_b")], F.flatten(y["links"]).alias("links"), F.array_join(y["groups"], ";").alias("groups"))
-            return let(F.transform(t["of"], lambda i: F.get(x["known"], i)), of)
+            of = lambda c: F.transform(t["of"], lambda i: F.get(x["known"][c], i))
+            return F.struct(*[t[c].alias(c) for c in ("row", "doc_id", "part", "parts", "n_a", "n_b")], F.flatten(of("links")).alias("links"), F.array_join(of("groups"), ";").alias("groups"))
 
         return F.transform(x["texts"], text)
 

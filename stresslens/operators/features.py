@@ -10,34 +10,62 @@ from pyspark.sql import functions as F
 from stresslens.functions import scalars
 from stresslens.operators.metrics import r6
 
-#: The numbers that describe an image's quality, in the order of the feature vector.
-GEOMETRY = ("megapixels", "aspect_ratio", "is_portrait")
-QUALITY = ("blur_varlap", "blockiness", "noise_sigma", "luminance_mean", "luminance_std", "saturation_mean", "clipped_low_frac", "clipped_high_frac")
+#: An expert's probe statistics and an image's quality numbers, in the order of the feature vector.
 PROBE = ("probe_mean", "probe_std", "probe_range", "probe_max_delta")
+QUALITY = ("blur_varlap", "blockiness", "noise_sigma", "luminance_mean", "luminance_std", "saturation_mean", "clipped_low_frac", "clipped_high_frac")
 
 
 def feature_names(experts: list[str]) -> list[str]:
-    """The fixed order of the feature vector; all but the geometry come with an indicator of being there."""
+    """The fixed order of the feature vector, 38 columns for one expert; `__present` follows what may be missing."""
+    both = lambda name: [name, f"{name}__present"]
     out = []
     for e in experts:
-        out += [f"expert.{e}.logit", f"expert.{e}.logit.present", f"expert.{e}.entropy", f"expert.{e}.entropy.present"]
-    for group, names in (("probe", PROBE), ("quality", QUALITY)):
-        for n in names:
-            out += [f"{group}.{n}", f"{group}.{n}.present"]
-    return out + ["probe.flip", "probe.flip.present", *[f"geom.{n}" for n in GEOMETRY]]
+        for n in ("raw_logit", "p_fake", "entropy", *PROBE, "probe_flip"):
+            out += both(f"{e}.{n}")
+        out.append(f"{e}.n_probes_ok")
+    out += both("disagreement.max_abs_p_diff") + both("disagreement.mean_abs_p_diff") + ["disagreement.n_experts_ok"]
+    for n in QUALITY:
+        out += both(f"quality.{n}")
+    return out
+
+
+def quality_places(experts: list[str]) -> list[int]:
+    """Places of the columns that hold nothing of an expert: what a model of quality alone may see."""
+    return [i for i, n in enumerate(feature_names(experts)) if n.startswith("quality.")]
+
 
+def feature_vector(experts: list[str], threshold: float, answers: str = "experts", probes: str = "probes", disagreement: str = "disagreement", quality: str = "quality") -> Column:
+    """An array in the order of feature_names(), of rows as a cache holds them.
 
-def feature_vector(row: dict[str, Column], experts: list[str], threshold: float) -> Column:
-    """An array in the order of feature_names(). row: columns p_<expert>, the probe and quality names, probes (array), base."""
+    answers: a map of expert to ok, p_fake, raw_logit. probes: a map of expert to the PROBE numbers, probe_scores (a map)
+    and n_probes_ok. disagreement: a struct, null for a single expert. quality: a struct of QUALITY. What is missing, not
+    finite or not ok is 0 with an indicator of 0, never guessed; entropy and flip are worked out here, at this threshold.
+    """
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     out: list[Column] = []
     for e in experts:
-        p = row[f"p_{e}"]
-        out += scalars.pair(scalars.logit(p)) + scalars.pair(scalars.entropy(p))
-    for n in (*PROBE, *QUALITY):
-        out += scalars.pair(row[n])
-    flip = scalars.probe_flip(row["probes"], row["base"], threshold)
-    out += [F.coalesce(flip.cast("double"), F.lit(0.0)), flip.isNotNull().cast("double")]
-    return F.array(*out, *[F.coalesce(row[n].cast("double"), F.lit(0.0)) for n in GEOMETRY])
+        a, b = F.col(answers)[e], F.col(probes)[e]
+        ok = lambda c, a=a: F.when(F.coalesce(a["ok"], F.lit(False)), c)
+        p = ok(a["p_fake"])
+        out += scalars.pair(ok(a["raw_logit"])) + scalars.pair(p) + scalars.pair(scalars.entropy(F.when(p.isNotNull(), scalars.clip(p, 0.0, 1.0))))
+        for n in PROBE:
+            out += scalars.pair(b[n])
+        scores = F.coalesce(F.map_values(b["probe_scores"]), F.array().cast("array<double>"))
+        out += scalars.pair(scalars.probe_flip(scores, p, threshold).cast("double"))
+        out.append(number(b["n_probes_ok"]))
+    d = F.col(disagreement)
+    out += scalars.pair(d["max_abs_p_diff"]) + scalars.pair(d["mean_abs_p_diff"]) + [number(d["n_experts_ok"])]
+    for n in QUALITY:
+        out += scalars.pair(F.col(quality)[n])
+    return F.array(*out)
+
+
+def quality_only(vector: Column, experts: list[str], weights: list[float], bias: float) -> Column:
+    """A linear score of the quality columns of a vector alone."""
+    places = quality_places(experts)
+    if len(weights) != len(places):
+        raise ValueError(f"{len(places)} weights are needed")
+    return scalars.sigmoid(sum((F.get(vector, F.lit(i)) * float(w) for i, w in zip(places, weights, strict=True)), F.lit(float(bias))))
 
 
 def standardiser(rows: DataFrame, columns: list[str]) -> DataFrame:

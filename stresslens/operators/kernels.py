@@ -207,8 +207,8 @@ def quality(x: np.ndarray) -> dict[str, float]:
         "luminance_mean": float(y.mean()),
         "luminance_std": float(y.std()),
         "saturation_mean": float(saturation.mean()),
-        "clipped_low_frac": float((y <= 1 / 255).mean()),
-        "clipped_high_frac": float((y >= 254 / 255).mean()),
+        "clipped_low_frac": float((x == 0).all(axis=2).mean()),
+        "clipped_high_frac": float((x == 255).all(axis=2).mean()),
     }
 
 

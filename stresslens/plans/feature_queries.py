@@ -274,3 +274,41 @@ def m16(spark: SparkSession, d: str) -> DataFrame:
     kinds = tuple(sorted(r.event_type for r in e.select("event_type").where("event_type is not null").distinct().collect()))
     r = degradation.train(e, "event_type", ("value", "hour", "size", "group"), kinds, rounds=60)
     return degradation.confusion(degradation.report(e, r), "event_type")
+
+
+def cache_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as rows of a feature cache: a logit, whether the expert answered, three probes, quality numbers that may be missing."""
+    x = lambda i: F.col("embedding")[i].cast("double")
+    e = _read(spark, d, "embeddings")
+    p, probes = scalars.sigmoid(x(0) * 10), [scalars.sigmoid(x(i) * 10) for i in (2, 3, 4)]
+    stats = scalars.array_stats(F.array(*probes), p)
+    block = F.struct(*[stats[n].alias(f"probe_{n}") for n in ("mean", "std", "range", "max_delta")], F.create_map(*[y for i, v in enumerate(probes) for y in (F.lit(f"probe{i}"), v)]).alias("probe_scores"), F.lit(3).alias("n_probes_ok"))
+    quality = F.struct(*[F.when(x(5 + i) > 0, x(5 + i)).alias(n) for i, n in enumerate(features.QUALITY)])
+    answer = F.struct((x(1) > 0).alias("ok"), p.alias("p_fake"), (x(0) * 10).alias("raw_logit"))
+    one = F.struct(F.lit(None).cast("double").alias("max_abs_p_diff"), F.lit(None).cast("double").alias("mean_abs_p_diff"), F.lit(1).alias("n_experts_ok"))
+    return e.select("vec_id", F.create_map(F.lit("e"), answer).alias("experts"), F.create_map(F.lit("e"), block).alias("probes"), one.alias("disagreement"), quality.alias("quality"))
+
+
+_S = "1 / (1 + exp(-10 * CAST(embedding[{}] AS double)))"
+_CACHE = f"""c AS (SELECT vec_id, embedding[2] > 0 AS ok, 10 * CAST(embedding[1] AS double) AS z, {_S.format(1)} AS p, [{_S.format(3)}, {_S.format(4)}, {_S.format(5)}] AS v, list_transform(embedding[6:13], lambda x: CAST(x AS double)) AS q FROM embeddings)"""
+
+
+def _both(i: int, value: str, there: str) -> str:
+    return f"({i}, CASE WHEN {there} THEN {value} ELSE 0 END), ({i + 1}, CASE WHEN {there} THEN 1.0 ELSE 0.0 END)"
+
+
+_STATS4 = ("list_avg(list_concat([p], v))", "list_stddev_pop(list_concat([p], v))", "list_max(list_concat([p], v)) - list_min(list_concat([p], v))", "list_max(list_transform(v, lambda x: abs(x - p)))")
+_CELLS38 = ", ".join([_both(0, "z", "ok"), _both(2, "p", "ok"), _both(4, "-(p * ln(p) + (1 - p) * ln(1 - p))", "ok"), *[_both(6 + 2 * i, s, "true") for i, s in enumerate(_STATS4)],
+    _both(14, "CASE WHEN len(list_filter(v, lambda x: (x >= 0.5) <> (p >= 0.5))) > 0 THEN 1.0 ELSE 0.0 END", "ok"), "(16, 3.0)", "(17, 0.0), (18, 0.0), (19, 0.0), (20, 0.0), (21, 1.0)", *[_both(22 + 2 * i, f"q[{i + 1}]", f"q[{i + 1}] > 0") for i in range(8)]])
+
+
+@query("p05_vector38", f"WITH {_CACHE} SELECT CAST(i AS int) AS i, round(sum(CAST(x AS double)), 4) AS total, CAST(count(*) AS bigint) AS n FROM c, LATERAL (VALUES {_CELLS38}) t(i, x) GROUP BY i")
+def p05(spark: SparkSession, d: str) -> DataFrame:
+    v = cache_rows(spark, d).select(F.posexplode(features.feature_vector(["e"], 0.5)).alias("i", "x"))
+    return v.groupBy("i").agg(F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("n"))
+
+
+@query("m06_quality_only", f"WITH {_CACHE} SELECT vec_id, round(1 / (1 + exp(-(-0.5 + {' + '.join(f'CASE WHEN q[{i + 1}] > 0 THEN {i + 1} * q[{i + 1}] + 0.1 ELSE 0 END' for i in range(8))}))), 6) AS p FROM c")
+def m06(spark: SparkSession, d: str) -> DataFrame:
+    weights = [w for i in range(8) for w in (i + 1.0, 0.1)]
+    return cache_rows(spark, d).select("vec_id", r6(features.quality_only(features.feature_vector(["e"], 0.5), ["e"], weights, -0.5)).alias("p"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The suffixes that are taken for images.
-SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif", "jfif", "ppm")
+SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif", "ppm", "pgm")
 
 FAILURE = T.StructType([T.StructField(n, T.StringType()) for n in ("expert_id", "reason_code", "message", "image_sha256")])
 PREDICTION_ROW = T.StructType(

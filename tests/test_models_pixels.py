@@ -92,13 +92,39 @@ def test_scalars(spark):
     assert d.select(scalars.sample_id("smoke", F.lit(7)).alias("c")).first().c == "smoke-000007"
 
 
+#: Fixed value: the names of a vector of one expert.
+EXPECTED = [
+    *[f"e.{n}{p}" for n in ("raw_logit", "p_fake", "entropy", "probe_mean", "probe_std", "probe_range", "probe_max_delta", "probe_flip") for p in ("", "__present")],
+    "e.n_probes_ok",
+    "disagreement.max_abs_p_diff", "disagreement.max_abs_p_diff__present", "disagreement.mean_abs_p_diff", "disagreement.mean_abs_p_diff__present", "disagreement.n_experts_ok",
+    *[f"quality.{n}{p}" for n in ("blur_varlap", "blockiness", "noise_sigma", "luminance_mean", "luminance_std", "saturation_mean", "clipped_low_frac", "clipped_high_frac") for p in ("", "__present")],
+]
+
+
 def test_vector_and_fusion(spark):
-    names = features.feature_names(["e"])
-    assert len(names) == 4 + 2 * (4 + 8) + 2 + 3
-    row = {n: F.lit(1.0) for n in (*features.PROBE, *features.QUALITY, *features.GEOMETRY)} | {"p_e": F.lit(0.5), "probes": F.array(F.lit(0.1)), "base": F.lit(0.6), "blockiness": F.lit(None).cast("double")}
-    v = spark.range(1).select(features.feature_vector(row, ["e"], 0.5).alias("v")).first().v
-    at = dict(zip(names, v, strict=True))
-    assert len(v) == len(names) and at["probe.flip"] == 1 and at["quality.blockiness.present"] == 0 and at["quality.blur_varlap.present"] == 1
+    assert features.feature_names(["e"]) == EXPECTED and len(features.feature_names(["e", "f"])) == 38 + 17
+    block = lambda ok, p, z: {"e": (ok, p, z)}
+    probe = lambda scores, n: {"e": (0.5, 0.1, float("nan"), None, scores, n)}
+    image = tuple([None, *[0.25] * 7])
+    rows = [
+        (1, block(True, 0.5, 2.0), probe({"a": 0.4, "b": 0.9}, 2), (0.3, 0.2, 2), image),
+        (2, block(True, 1.0, float("inf")), probe({"a": 0.7}, 1), None, image),
+        (3, block(False, 0.5, 2.0), probe({"a": 0.4}, 1), None, None),
+        (4, {}, None, None, None),
+        (5, block(True, None, None), probe({}, None), None, image),
+    ]
+    schema = f"i int, experts map<string, struct<ok: boolean, p_fake: double, raw_logit: double>>, probes map<string, struct<{', '.join(n + ': double' for n in features.PROBE)}, probe_scores: map<string, double>, n_probes_ok: int>>, disagreement struct<max_abs_p_diff: double, mean_abs_p_diff: double, n_experts_ok: int>, quality struct<{', '.join(n + ': double' for n in features.QUALITY)}>"
+    d = spark.createDataFrame(rows, schema)
+    got = {r.i: dict(zip(EXPECTED, r.v, strict=True)) for r in d.select("i", features.feature_vector(["e"], 0.5).alias("v")).collect()}
+    at = got[1]
+    assert (at["e.raw_logit"], at["e.p_fake__present"], at["e.probe_flip"], at["e.n_probes_ok"], at["disagreement.max_abs_p_diff"], at["disagreement.n_experts_ok"]) == (2, 1, 1, 2, 0.3, 2)
+    assert abs(at["e.entropy"] - np.log(2)) < 1e-12 and at["e.probe_range__present"] == at["e.probe_max_delta__present"] == at["quality.blur_varlap__present"] == 0 and at["quality.blockiness"] == 0.25
+    assert (got[2]["e.raw_logit__present"], got[2]["e.entropy"], got[2]["e.entropy__present"], got[2]["e.probe_flip"], got[2]["e.probe_flip__present"], got[2]["disagreement.mean_abs_p_diff__present"]) == (0, 0, 1, 0, 1, 0)
+    assert got[3]["e.p_fake__present"] == got[3]["e.entropy__present"] == got[3]["e.probe_flip__present"] == 0 and got[3]["e.probe_mean"] == 0.5 and got[3]["quality.blockiness__present"] == 0
+    assert set(got[4].values()) == {0.0} and got[5]["e.probe_flip__present"] == got[5]["e.n_probes_ok"] == 0
+    assert features.quality_places(["e"]) == list(range(22, 38))
+    q = d.select("i", features.quality_only(features.feature_vector(["e"], 0.5), ["e"], [1.0] * 16, -2.0).alias("q")).where("i = 3").first().q
+    assert abs(q - 1 / (1 + np.exp(2))) < 1e-12
     logits, none, both = F.array(F.lit(2.0), F.lit(-1.0)), F.array(F.lit(False), F.lit(False)), F.array(F.lit(True), F.lit(True))
     r = spark.range(1).select(features.static_average(logits, none).alias("a"), features.probability_mean(logits, none).alias("b"), features.fixed_weights(logits, none, [1, 1]).alias("c"), scalars.fused_weights(logits, none).alias("d"), features.fixed_weights(logits, F.array(F.lit(True), F.lit(False)), [0.2, 0.8]).alias("e"), features.static_average(logits, both).alias("f")).first()
     assert r.a is None and r.b == 0.5 and r.c is None and r.d == [0.0, 0.0] and abs(r.e - 1 / (1 + np.exp(-2))) < 1e-12 and abs(r.f - 1 / (1 + np.exp(-0.5))) < 1e-12

@@ -30,19 +30,64 @@ def first_band(a: Column, b: Column, radius: int) -> Column:
     return out
 
 
-def near_pairs(left: DataFrame, right: DataFrame | None, radius: int) -> DataFrame:
+def classes(radius: int) -> list[int]:
+    """Masks of a second cut, each of every radius + 1st bit: of two hashes within the radius one class is equal."""
+    n = min(radius + 1, 64)
+    masks = [sum(1 << b for b in range(i, 64, n)) for i in range(n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def first_class(a: Column, b: Column, radius: int) -> Column:
+    out = F.lit(-1)
+    for i, m in reversed(list(enumerate(classes(radius)))):
+        out = F.when(a.bitwiseXOR(b).bitwiseAND(F.lit(m)) == 0, i).otherwise(out)
+    return out
+
+
+#: A stretch's value that more hashes than this share is cut a second time.
+CROWD = 4096
+
+
+def near_pairs(left: DataFrame, right: DataFrame | None, radius: int, crowd: int = CROWD) -> DataFrame:
     """id_a, id_b, distance of hashes (id, h) within the radius; with one side only, each pair once, a before b.
 
-    An equality join on stretches instead of a comparison of all with all. Equal hashes are joined as one, so use it
-    on distinct hashes where copies are many.
+    An equality join on stretches instead of a comparison of all with all. Hashes that share a crowded value of a stretch
+    are joined on one of the classes of a second cut as well; the crowded values, no more than stretches have, are
+    broadcast. A pair is told in its first stretch and class only. Use it on distinct hashes where copies are many,
+    as near_classes() does: equal hashes share every key. Null hashes are near to none.
     """
-    a = left.select(F.col("id").alias("id_a"), F.col("h").alias("h_a"), F.explode(bands(F.col("h"), radius)).alias("k"))
-    b = (left if right is None else right).select(F.col("id").alias("id_b"), F.col("h").alias("h_b"), F.explode(bands(F.col("h"), radius)).alias("k"))
-    a, b = a.select("id_a", "h_a", F.col("k.band").alias("band_a"), F.col("k.bits").alias("bits_a")), b.select("id_b", "h_b", F.col("k.band").alias("band_b"), F.col("k.bits").alias("bits_b"))
-    on = (F.col("band_a") == F.col("band_b")) & (F.col("bits_a") == F.col("bits_b")) & (hamming(F.col("h_a"), F.col("h_b")) <= radius) & (first_band(F.col("h_a"), F.col("h_b"), radius) == F.col("band_a"))
+
+    def side(d: DataFrame, x: str) -> DataFrame:
+        k = d.where("h is not null").select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), F.explode(bands(F.col("h"), radius)).alias("k"))
+        return k.select(f"id_{x}", f"h_{x}", F.col("k.band").alias(f"band_{x}"), F.col("k.bits").alias(f"bits_{x}"))
+
+    a, b = side(left, "a"), side(left if right is None else right, "b")
+    keys = b.select(F.col("band_b").alias("band"), F.col("bits_b").alias("bits"))
+    keys = keys if right is None else keys.unionByName(a.select(F.col("band_a").alias("band"), F.col("bits_a").alias("bits")))
+    full = F.broadcast(keys.groupBy("band", "bits").count().where(F.col("count") > crowd).select(F.col("band").alias("_band"), F.col("bits").alias("_bits")))
+    subs = lambda h: F.array(*[F.struct(F.lit(i).alias("sub"), h.bitwiseAND(F.lit(m)).alias("own")) for i, m in enumerate(classes(radius))])
+    alone = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("own")))
+
+    def refined(d: DataFrame, x: str) -> DataFrame:
+        j = d.join(full, (F.col(f"band_{x}") == F.col("_band")) & (F.col(f"bits_{x}") == F.col("_bits")), "left")
+        each = F.explode(F.when(F.col("_band").isNotNull(), subs(F.col(f"h_{x}"))).otherwise(alone)).alias("s")
+        return j.select(f"id_{x}", f"h_{x}", f"band_{x}", f"bits_{x}", each).select(f"id_{x}", f"h_{x}", f"band_{x}", f"bits_{x}", F.col("s.sub").alias(f"sub_{x}"), F.col("s.own").alias(f"own_{x}"))
+
+    on = F.lit(True)
+    for c in ("band", "bits", "sub", "own"):
+        on &= F.col(f"{c}_a") == F.col(f"{c}_b")
+    on &= (hamming(F.col("h_a"), F.col("h_b")) <= radius) & (first_band(F.col("h_a"), F.col("h_b"), radius) == F.col("band_a"))
+    on &= (F.col("sub_a") == -1) | (first_class(F.col("h_a"), F.col("h_b"), radius) == F.col("sub_a"))
     if right is None:
         on &= F.col("id_a") < F.col("id_b")
-    return a.join(b, on).select("id_a", "id_b", hamming(F.col("h_a"), F.col("h_b")).alias("distance"))
+    return refined(a, "a").join(refined(b, "b"), on).select("id_a", "id_b", hamming(F.col("h_a"), F.col("h_b")).alias("distance"))
+
+
+def near_classes(rows: DataFrame, radius: int, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of hashes (id, h): each id's class, named by its least id of an equal hash, and near pairs between classes."""
+    first = rows.where("h is not null").groupBy(F.col("h").alias("_h")).agg(F.min("id").alias("class"))
+    members = rows.join(first, F.col("h") == F.col("_h")).select("id", "class")
+    return members, near_pairs(first.select(F.col("class").alias("id"), F.col("_h").alias("h")), None, radius, crowd)
 
 
 def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -53,6 +98,13 @@ def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
+def near_clusters(rows: DataFrame, radius: int) -> DataFrame:
+    """id, cluster of hashes (id, h): near ones over any chain, copies through their class; the least id names a cluster."""
+    members, pairs = near_classes(rows, radius)
+    of = clusters(members.select(F.col("class").alias("id")).distinct(), pairs).select(F.col("id").alias("_c"), "cluster")
+    return members.join(of, F.col("class") == F.col("_c")).select("id", "cluster")
+
+
 def duplicate_summary(members: DataFrame) -> DataFrame:
     """members: id, cluster, label, split. Clusters of several, redundant members, and clusters across labels or splits."""
     c = members.groupBy("cluster").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("cross_label"), (F.min("split") != F.max("split")).alias("cross_split"))

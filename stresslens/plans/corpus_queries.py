@@ -10,7 +10,7 @@ from stresslens.operators.metrics import r6
 from stresslens.plans.metric_queries import _W
 from stresslens.plans.registry import query
 
-RADIUS = 18
+RADIUS = 6
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,9 +23,24 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("h"), "label")
 
 
-_H = "h AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings)"
+def text_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """id, h, label, sha256: 64 bits of a text, each set if most of its different words have it set in their md5."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    part = lambda i: F.conv(F.substring(F.md5("w"), 8 * i + 1, 8), 16, 10).cast("long")
+    words = docs.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).select("id", part(0).alias("p0"), part(1).alias("p1"))
+    set_in = lambda b: F.shiftright(f"p{b // 32}", 31 - b % 32).bitwiseAND(1)
+    bits = words.groupBy("id").agg(*[F.sum(2 * set_in(b) - 1).alias(f"b{b}") for b in range(64)])
+    h = sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)), F.lit(0).cast("long"))
+    return bits.select("id", h.alias("h"), (F.col("id") % 10).cast("int").alias("label")).join(docs.select("id", F.sha2("text", 256).alias("sha256")), "id")
+
+
+_BITS = ", ".join(f"sum(2 * ((p{b // 32} >> {31 - b % 32}) & 1) - 1) > 0" for b in range(64))
+_W64 = f"""w64 AS (SELECT doc_id AS id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents), p64 AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS bigint) AS p0, CAST('0x' || substr(md5(w), 9, 8) AS bigint) AS p1 FROM w64),
+h AS MATERIALIZED (SELECT g.id, CAST(g.id % 10 AS int) AS label, s, sha256(text) AS sha FROM (SELECT id, [{_BITS}] AS s FROM p64 GROUP BY id) g JOIN documents d ON d.doc_id = g.id)"""
+_EMBED = "h AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings)"
+_H = _W64
 _DIST = "CAST(list_sum(list_transform(list_zip(a.s, b.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS int)"
-_PAIRS = f"{_H}, pr AS (SELECT a.id AS id_a, b.id AS id_b, {_DIST} AS distance FROM h a, h b WHERE a.id < b.id AND {_DIST} <= {RADIUS})"
+_PAIRS = f"{_H}, re AS (SELECT s, min(id) AS id FROM h GROUP BY s), pr AS (SELECT a.id AS id_a, b.id AS id_b, {_DIST} AS distance FROM re a, re b WHERE a.id < b.id AND {_DIST} <= {RADIUS})"
 
 
 @query("j08_denylist_exact", "WITH deny AS (SELECT sha256(text) AS s FROM benchmark UNION SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT source, CAST(count(*) AS bigint) AS hits FROM documents WHERE sha256(text) IN (SELECT s FROM deny) GROUP BY ALL")
@@ -38,13 +53,14 @@ def j08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j09_denylist_hamming", f"WITH {_H}, pr AS (SELECT a.id AS id_a, b.id AS id_b, {_DIST} AS distance FROM h a, h b WHERE a.label <> 0 AND b.label = 0 AND {_DIST} <= {RADIUS}) SELECT id_a, id_b, distance FROM pr QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) = 1")
 def j09(spark: SparkSession, d: str) -> DataFrame:
-    h = hashes(spark, d)
+    h = text_hashes(spark, d)
     return dedup.nearest(dedup.near_pairs(h.where("label <> 0"), h.where("label = 0"), RADIUS))
 
 
 @query("j10_near_dup_pairs", f"WITH {_PAIRS} SELECT * FROM pr")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_pairs(hashes(spark, d), None, RADIUS)
+    """Pairs between classes of equal hashes, each named by its least id."""
+    return dedup.near_classes(text_hashes(spark, d), RADIUS)[1]
 
 
 @query("u05_exact_dedup", "SELECT CAST(count(*) AS bigint) AS n, CAST(count(DISTINCT sha256(text)) AS bigint) AS kept FROM documents")
@@ -53,14 +69,13 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
     return docs.agg(F.sum("n").alias("n"), F.count("*").alias("kept"))
 
 
-_CL = f"""{_PAIRS}, e AS (SELECT id_a AS x, id_b AS y FROM pr UNION ALL SELECT id_b, id_a FROM pr), r AS (SELECT id AS node, id AS seen FROM h UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x),
-cl AS (SELECT node AS id, min(seen) AS cluster FROM r GROUP BY node)"""
+_CL = f"""{_PAIRS}, e AS (SELECT id_a AS x, id_b AS y FROM pr UNION ALL SELECT id_b, id_a FROM pr), r AS (SELECT id AS node, id AS seen FROM re UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x),
+cl AS (SELECT h.id, c.cluster FROM h JOIN re USING (s) JOIN (SELECT node, min(seen) AS cluster FROM r GROUP BY node) c ON c.node = re.id)"""
 
 
 @query("u06_clusters", f"WITH RECURSIVE {_CL} SELECT id, cluster FROM cl")
 def u06(spark: SparkSession, d: str) -> DataFrame:
-    h = hashes(spark, d)
-    return dedup.clusters(h.select("id"), dedup.near_pairs(h, None, RADIUS))
+    return dedup.near_clusters(text_hashes(spark, d), RADIUS)
 
 
 #: Clusters one by one, largest first: a role takes one if it still fits. In SQL by the number of clusters of each size.
@@ -72,7 +87,7 @@ SELECT id, cl.cluster, role FROM f JOIN cl ON cl.cluster = f.cluster AND f.i > 0
 def u07(spark: SparkSession, d: str) -> DataFrame:
     from stresslens.operators import validate
 
-    c = u06(spark, d).join(hashes(spark, d).select("id", (F.col("label") % 2).cast("int").alias("label")), "id")
+    c = u06(spark, d).join(text_hashes(spark, d).select("id", (F.col("label") % 2).cast("int").alias("label")), "id")
     sizes = c.groupBy("cluster").agg(F.min("label").alias("label"), F.count("*").alias("n"))
     n = {r.label: r.n for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     roles = dedup.assign_roles(sizes, {"test": {y: n[y] // 5 for y in n}, "dev": {y: n[y] // 10 for y in n}, "train": n})
@@ -107,15 +122,15 @@ def b16(spark: SparkSession, d: str) -> DataFrame:
     return dedup.folds(_read(spark, d, "orders").select(F.col("o_custkey").alias("source_id")), "source_id", 5, "f")
 
 
-@query("a34_contamination", f"WITH {_H}, pr AS (SELECT a.id AS id_a, {_DIST} AS distance FROM h a, h b WHERE a.label <> 0 AND b.label = 0 AND {_DIST} <= {RADIUS}) SELECT CAST(count(DISTINCT id_a) AS bigint) AS perceptual, min(distance) AS least_distance, CAST(0 AS bigint) AS exact FROM pr")
+@query("a34_contamination", f"WITH {_H}, pr AS (SELECT a.id AS id_a, {_DIST} AS distance FROM h a, h b WHERE a.label <> 0 AND b.label = 0 AND {_DIST} <= {RADIUS}) SELECT CAST(count(DISTINCT id_a) AS bigint) AS perceptual, min(distance) AS least_distance, (SELECT CAST(count(*) AS bigint) FROM h WHERE label <> 0 AND sha IN (SELECT sha FROM h WHERE label = 0)) AS exact FROM pr")
 def a34(spark: SparkSession, d: str) -> DataFrame:
-    h = hashes(spark, d).withColumn("sha256", F.sha2(F.concat_ws(":", "id", "h"), 256))
+    h = text_hashes(spark, d)
     return dedup.contamination(h.where("label <> 0"), h.where("label = 0"), RADIUS)
 
 
 @query("a35_dup_summary", f"WITH RECURSIVE {_CL}, c AS (SELECT cluster, count(*) AS n, min(label) <> max(label) AS xl, min(id % 3) <> max(id % 3) AS xs FROM cl JOIN h USING (id) GROUP BY cluster) SELECT CAST(count(*) FILTER (WHERE n > 1) AS bigint) AS clusters, CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS bigint) AS redundant, CAST(count(*) FILTER (WHERE n > 1 AND xl) AS bigint) AS cross_label, CAST(count(*) FILTER (WHERE n > 1 AND xs) AS bigint) AS cross_split, CAST(max(n) AS bigint) AS largest FROM c")
 def a35(spark: SparkSession, d: str) -> DataFrame:
-    members = u06(spark, d).join(hashes(spark, d).select("id", "label"), "id").withColumn("split", F.col("id") % 3)
+    members = u06(spark, d).join(text_hashes(spark, d).select("id", "label"), "id").withColumn("split", F.col("id") % 3)
     return dedup.duplicate_summary(members)
 
 
@@ -239,7 +254,7 @@ def a36(spark: SparkSession, d: str) -> DataFrame:
     return audit.latency(_read(spark, d, "events"), "event_type", "value")
 
 
-_D6 = f"{_H}, ds AS (SELECT {_DIST} AS distance FROM h a JOIN h b ON a.id = b.id + 1)"
+_D6 = f"{_EMBED}, ds AS (SELECT {_DIST} AS distance FROM h a JOIN h b ON a.id = b.id + 1)"
 
 
 @query("a37_histogram", f"WITH {_D6} SELECT CAST(low AS int) AS low, CAST(count(distance) AS bigint) AS n FROM (VALUES (0, 8), (8, 16), (16, 24), (24, 32), (32, 40), (40, 48), (48, 65)) v(low, high) LEFT JOIN ds ON distance >= low AND distance < high GROUP BY low")

@@ -20,7 +20,9 @@ def test_near_pairs_and_clusters(spark):
     data, d = hashes(spark)
     for radius in (0, 4, 6):
         want = {(a, b): n for a, x in data for b, y in data if a < b and (n := bin(x ^ y).count("1")) <= radius}
-        assert {(r.id_a, r.id_b): r.distance for r in dedup.near_pairs(d, None, radius).collect()} == want
+        for crowd in (4096, 5, 0):
+            got = dedup.near_pairs(d, None, radius, crowd).collect()
+            assert {(r.id_a, r.id_b): r.distance for r in got} == want and len(got) == len(want)
     parent = {i: i for i, _ in data}
 
     def find(i):
@@ -33,6 +35,20 @@ def test_near_pairs_and_clusters(spark):
     assert got == {i: find(i) for i, _ in data}
 
 
+def test_copies_are_one_class(spark):
+    data, d = hashes(spark)
+    d = d.unionByName(d.select((F.col("id") + 100).alias("id"), "h")).unionByName(d.limit(1).select(F.lit(500).cast("long").alias("id"), F.lit(None).cast("long").alias("h")))
+    first = {}
+    for i, h in data:
+        first.setdefault(h, i)
+    members, pairs = dedup.near_classes(d, 6, 3)
+    assert {(r.id, r["class"]) for r in members.collect()} == {(i + k, first[h]) for i, h in data for k in (0, 100)}
+    reps = sorted((i, h) for h, i in first.items())
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {(a, b) for a, x in reps for b, y in reps if a < b and bin(x ^ y).count("1") <= 6}
+    got = {r.id: r.cluster for r in dedup.near_clusters(d, 6).collect()}
+    assert len(got) == 2 * len(data) and all(got[i] == got[i + 100] <= i for i, _ in data)
+
+
 def test_contamination(spark):
     data, d = hashes(spark)
     d = d.withColumn("sha256", F.sha2(F.col("h").cast("string"), 256))

@@ -75,7 +75,7 @@ class Batch:
         if runs is None:
             self.of.append(None)
             return
-        new = list(set(runs) - self.number.keys())
+        new = [r for r in dict.fromkeys(runs) if r not in self.number]
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.tokens += twice.known.all(new)
         self.of.append(np.fromiter(map(self.number.__getitem__, runs), np.int32, len(runs)))

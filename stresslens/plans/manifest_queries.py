@@ -101,12 +101,15 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return manifests.candidates(line.select(F.col("l_discount").alias("threshold")), "threshold").crossJoin(F.broadcast(bad))  # one row
 
 
-@query("p10_correction", f"{_P} SELECT a.source_id, a.condition_id, round(b.p - a.p, 6) AS router_correction, (a.p >= 0.5) <> (b.p >= 0.5) AS verdict_changed FROM pred a JOIN pred b USING (source_id, condition_id) WHERE a.method_id = 'm1' AND b.method_id = 'm2'")
+@query("p10_correction", f"{_P}, c AS (SELECT a.condition_id, round(b.p - a.p, 6) AS r, (a.p >= 0.5) <> (b.p >= 0.5) AS v FROM pred a JOIN pred b USING (source_id, condition_id) WHERE a.method_id = 'm1' AND b.method_id = 'm2') SELECT condition_id, CAST(count(*) AS bigint) AS n, round(sum(r), 4) AS total, round(sum(abs(r)), 4) AS moved, CAST(count(*) FILTER (WHERE v) AS bigint) AS changed FROM c GROUP BY ALL")
 def p10(spark: SparkSession, d: str) -> DataFrame:
+    """Each view's correction, summed up by condition."""
     from stresslens.operators import pairs
 
     both = pairs.two_methods(grid.predictions(spark, d), "m1", "m2")
-    return manifests.correction(both, "p_a", "p_b", 0.5).select("source_id", "condition_id", "router_correction", "verdict_changed")
+    c = manifests.correction(both, "p_a", "p_b", 0.5)
+    r = F.col("router_correction")
+    return c.groupBy("condition_id").agg(F.count("*").alias("n"), F.round(F.sum(r), 4).alias("total"), F.round(F.sum(F.abs(r)), 4).alias("moved"), F.count_if("verdict_changed").alias("changed"))
 
 
 @query("o01_ordered_rows", f"{_P} SELECT method_id, condition_id, source_id, p FROM pred ORDER BY method_id, condition_id, source_id")

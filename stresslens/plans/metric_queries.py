@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stresslens.operators import grid, metrics, pairs
 from stresslens.operators.metrics import r6
-from stresslens.plans.registry import query
+from stresslens.plans.registry import ORACLES, query
 
 KEY = ["method_id", "condition_id"]
 _W = "WITH " + grid.SQL
@@ -87,7 +87,10 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return metrics.calibration_error(grid.predictions(spark, d), KEY, right=True)
 
 
-@query("a13_condition_bundle")
+_EACH = "".join(f" JOIN ({ORACLES[n]}) USING (method_id, condition_id)" for n in ("a09_brier", "a10_nll", "a03_auroc", "a08_avg_precision", "a11_ece15"))
+
+
+@query("a13_condition_bundle", f"{_W}, b AS (SELECT method_id, condition_id, CAST(count(*) AS bigint) AS n, {_CONF} FROM pred GROUP BY ALL) SELECT * EXCLUDE (tp, fn, fp, tn) FROM (SELECT *, {_RATES} FROM b){_EACH}")
 def a13(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bundle(grid.predictions(spark, d), KEY)
 
@@ -221,7 +224,7 @@ def b12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b11_greedy_selection")
 def b11(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.greedy_conditions(grid.predictions(spark, d).where("method_id = 'm1'"), 3)
+    return pairs.greedy_conditions(grid.predictions(spark, d).where("method_id = 'm1'"), 19, 0.75)
 
 
 _PART = "(method_id = 'm1' OR source_id % 11 < 9) AND (condition_id = 'clean' OR (source_id + CAST(length(condition_id) AS bigint)) % 5 > 0)"

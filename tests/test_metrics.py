@@ -153,6 +153,29 @@ def test_bootstrap_of_nothing_and_of_one_class(spark):
     assert set(got) == {0, 5, 10}
 
 
+def test_greedy_selection_to_the_end(spark):
+    r = random.Random(8)
+    names = [(i, c, f) for i, (c, f, _) in enumerate(grid.CONDITIONS) if i in (0, 1, 5, 10, 13, 19)]
+    data = [("m", i, i % 2, c, f, k, min(1.0, max(0.0, 0.25 + 0.5 * (i % 2) + r.gauss(0, 0.1 + 0.02 * k)))) for i in range(70) for k, c, f in names]
+    d = spark.createDataFrame(data, "method_id string, source_id long, label int, condition_id string, family string, idx int, p double")
+    got = [(x.step, x.condition_id, x.auroc) for x in pairs.greedy_conditions(d, 19).orderBy("step").collect()]
+    p = {(x[1], x[3]): x[6] for x in data}
+    right = {i: (p[i, "clean"] >= 0.5) == bool(i % 2) for i in range(70)}
+    keeps = lambda i, c: (p[i, c] >= 0.5) == (p[i, "clean"] >= 0.5)
+    left, chosen, want = [(k, c) for k, c, _ in names[1:]], [], []
+    while left:
+        tried = []
+        for k, c in left:
+            s = {i: sum(keeps(i, x) for x in [*chosen, c]) for i in range(70)}
+            area = np.mean([(s[a] > s[b]) + (s[a] == s[b]) / 2 for a in right if right[a] for b in right if not right[b]])
+            tried.append((-round(area, 6), k, c))
+        area, k, c = min(tried)
+        chosen.append(c)
+        left.remove((k, c))
+        want.append((len(chosen), c, -area))
+    assert got == want and len(got) == 5
+
+
 def test_pairs_without_rest(spark):
     d = rows(spark, [1, 0, 1], [0.9, 0.1, 0.8], condition_id="clean").select("source_id", "condition_id", "label", "p")
     both = d.withColumn("method_id", F.lit("m1")).unionByName(d.withColumn("method_id", F.lit("m2")))

@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir. Only a session in one process may go without, and gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def _named(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir. Only a session in one process may go without, and gets a folder of its own."""
+    _named(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables and state that driver and executors both reach."""
+    _named(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def ranked(rows: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "rank", n: str | None = None) -> DataFrame:
     """rows with their rank from 0 within groups, in an order that should be total; n names a column for the group's size.
 

@@ -21,7 +21,8 @@ def sigmoid(x: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Null stays null; least and greatest alone would leave it out and give a bound."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def logit(p: Column, eps: float = 1e-12) -> Column:

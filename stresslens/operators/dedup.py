@@ -214,3 +214,13 @@ def class_stats(rows: DataFrame, features: list[str]) -> DataFrame:
     pooled = F.sqrt((F.col("s0") * F.col("s0") + F.col("s1") * F.col("s1")) / 2)
     smd = (F.col("m1") - F.col("m0")) / F.when(pooled > 0, pooled).otherwise(1.0)
     return s.select("feature", *[r6(F.col(c)).alias(c) for c in ("m0", "m1", "s0", "s1")], r6(smd).alias("smd"))
+
+
+def largest_first(clusters_: DataFrame) -> DataFrame:
+    """cluster, n of (id, cluster), the largest first, equal ones by cluster. A cluster may hold any share of the ids."""
+    return clusters_.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster")
+
+
+def most_telling(stats: DataFrame) -> DataFrame:
+    """class_stats() by the size of the difference, the greatest first, equal ones by name; a difference that is null last."""
+    return stats.orderBy(F.abs("smd").desc_nulls_last(), "feature")

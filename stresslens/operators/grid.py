@@ -41,6 +41,33 @@ def conditions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "idx int, condition_id string, family string, parameter double, severity int")
 
 
+def configured(spark: SparkSession, text: str, version: str | None = None) -> DataFrame:
+    """idx, condition_id, family, kind, parameter, property of a protocol's YAML text; as small as the protocol.
+
+    `conditions` maps ids to family, kind and at most one number under a name of its own. Refused are another
+    pipeline_version, conditions that aren't exactly CONDITIONS, another family, and a parameter that isn't that of CONDITIONS.
+    """
+    import yaml  # not part of every installation; only who reads YAML needs it
+
+    body = yaml.safe_load(text)
+    if not isinstance(body, dict) or not isinstance(body.get("conditions"), dict):
+        raise ValueError("no conditions")
+    if version is not None and body.get("pipeline_version") != version:
+        raise ValueError(f"pipeline_version is {body.get('pipeline_version')!r}, not {version!r}")
+    given, known = body["conditions"], {c: (f, p) for c, f, p in CONDITIONS}
+    if odd := sorted(set(map(str, given)) ^ set(known)):
+        raise ValueError(f"not the conditions that are known: {', '.join(odd)}")
+    rows = []
+    for i, c in enumerate(known):
+        spec = given[c] if isinstance(given[c], dict) else {}
+        numbers = [v for k, v in spec.items() if isinstance(v, int | float) and not isinstance(v, bool)]
+        parameter = float(numbers[0]) if numbers else None
+        if len(numbers) > 1 or not isinstance(spec.get("kind"), str) or (spec.get("family"), parameter) != known[c]:
+            raise ValueError(f"{c} isn't as known: {spec}")
+        rows.append((i, c, spec["family"], spec["kind"], parameter, spec.get("property")))
+    return spark.createDataFrame(rows, "idx int, condition_id string, family string, kind string, parameter double, property string")
+
+
 def expand(sources: DataFrame) -> DataFrame:
     """Every source under every condition."""
     return sources.crossJoin(F.broadcast(conditions(sources.sparkSession)))

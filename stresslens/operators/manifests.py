@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stresslens.operators.grid import md5_int
+from stresslens.operators import validate
+from stresslens.operators.grid import CONDITIONS, conditions, md5_int
+from stresslens.operators.shared import cut
 from stresslens.operators.validate import breaches, probability
 
 
@@ -63,6 +65,35 @@ def sealed_breaches(dump: DataFrame, manifest: DataFrame, same: list[str]) -> Da
     return told.select(reason.alias("reason")).where("reason is not null").unionByName(twice).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def dump_checks() -> dict[str, Column]:
+    """What each row of a scored dump must hold, by the field that would be at fault."""
+    optional = lambda c: F.col(c).isNull() | validate.probability(F.col(c))
+    return {
+        "sha256": F.col("sha256").rlike(validate.SHA256), "condition_id": F.col("condition_id").isin([c for c, *_ in CONDITIONS]), "group": validate.nonempty(F.col("group")),
+        "file_multiplicity": F.col("file_multiplicity") >= 1, "p_fake": validate.probability(F.col("p_fake")), "reliability": optional("reliability"), "primary_p_fake": optional("primary_p_fake"),
+    }
+
+
+def first_fault(checks: dict[str, Column]) -> Column:
+    """The name of the first check that a row fails, or null."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+
+
+def dump_faults(dump: DataFrame) -> DataFrame:
+    """reason, n, example: field errors (each row by its first), failed rows (ok is false), and conditions where a class is missing.
+
+    Strata are those of rows that are fine; a condition without any such row lacks both classes. One aggregate by condition
+    and reason is all that is shuffled. An empty dump lacks every condition.
+    """
+    reason = F.when(~F.coalesce(F.col("ok"), F.lit(True)), F.lit("failed")).otherwise(first_fault(dump_checks()))
+    known = F.when(F.col("condition_id").isin([c for c, *_ in CONDITIONS]), F.col("condition_id"))
+    few = cut(dump.groupBy(known.alias("condition_id"), reason.alias("reason")).agg(F.count("*").alias("n"), F.min("sha256").alias("example"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")))
+    fields = few.where("reason is not null").groupBy("reason").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
+    seen = conditions(dump.sparkSession).select("condition_id").join(few.where("reason is null"), "condition_id", "left")
+    lacking = F.when(F.coalesce("pos", F.lit(0)) == 0, "no positive").when(F.coalesce("neg", F.lit(0)) == 0, "no negative")
+    return fields.unionByName(seen.select(lacking.alias("reason"), "condition_id").where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.min("condition_id").alias("example")))
+
+
 def scored(rows: DataFrame, score: str, ok: str = "ok") -> DataFrame:
     """Rows that have a score and aren't marked as failed; without a mark they count as fine."""
     return rows.where(F.coalesce(F.col(ok), F.lit(True)) & F.col(score).isNotNull())

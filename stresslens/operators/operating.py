@@ -216,3 +216,34 @@ def abstention(rows: DataFrame, least: float, threshold: float = 0.5) -> DataFra
     share = lambda among: r6(F.avg(F.when(among, F.when(right, 1.0).otherwise(0.0))))
     flat = rows.groupBy("method_id").agg(r6(F.avg(F.when(kept, 1.0).otherwise(0.0))).alias("coverage"), share(F.lit(True)).alias("accuracy_all"), share(kept).alias("accuracy_kept"), share(~kept).alias("accuracy_deferred"))
     return flat.join(metrics.worst(metrics.family_recall(rows.where(kept), threshold), ["method_id"], "family"), "method_id", "left")
+
+
+class SplitError(ValueError):
+    """A threshold was to be fitted on rows that it may not be fitted on."""
+
+
+def threshold_rows(split: str, train: DataFrame, dev: DataFrame, acknowledged: bool = False) -> DataFrame:
+    """The rows that a threshold is fitted on: held-out dev; train only by whoever says that this departs from the protocol."""
+    if split == "dev":
+        return dev
+    if split != "train":
+        raise SplitError(f"a threshold is fitted on dev or train, not {split!r}")
+    if not acknowledged:
+        raise SplitError("a threshold is fitted on held-out dev; to fit it on train, acknowledge the departure")
+    return train
+
+
+#: How a provenance begins that stands for no fitted threshold.
+UNFITTED = ("PLACEHOLDER", "UNSPECIFIED")
+
+
+def is_frozen(provenance: str | None) -> bool:
+    """Does a provenance name a fitted threshold: neither blank nor a placeholder, in any case."""
+    text = (provenance or "").strip().upper()
+    return bool(text) and not text.startswith(UNFITTED)
+
+
+def frozen(provenance: Column) -> Column:
+    """is_frozen() as a column; false for null."""
+    text = F.upper(F.trim(F.coalesce(provenance, F.lit(""))))
+    return (text != "") & ~F.exists(F.array(*[F.lit(u) for u in UNFITTED]), lambda u: F.startswith(text, u))

@@ -6,7 +6,7 @@ from stresslens.plans import registry
 
 
 def _load() -> None:
-    from stresslens.plans import corpus_queries, feature_queries, manifest_queries, metric_queries, operating_queries, validation_queries  # noqa: F401
+    from stresslens.plans import corpus_queries, feature_queries, manifest_queries, metric_queries, operating_queries, stress_queries, validation_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

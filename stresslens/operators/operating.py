@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stresslens.operators import metrics, resample
 from stresslens.operators.grid import FAMILIES
 from stresslens.operators.metrics import r6
+from stresslens.operators.shared import ranked
 
 
 def next_up(x: Column) -> Column:
@@ -210,6 +211,26 @@ def abstention_policy(risk: DataFrame, gain: float = 0.02) -> DataFrame:
     return base.join(risk.where("coverage < 1.0"), "method_id", "left").groupBy("method_id", "base").agg(F.max(F.when(F.col("accuracy") >= F.col("base") + gain, F.struct("coverage", "accuracy"))).alias("x")).select("method_id", F.col("base").alias("accuracy_all"), "x.coverage", "x.accuracy")
 
 
+def frozen_abstention(rows: DataFrame, coverages: tuple[float, ...], gain: float = 0.02, threshold: float = 0.5) -> DataFrame:
+    """abstention_policy() with adopted and the value below which a verdict is deferred: the quantile of 1 - coverage of these
+    rows' reliabilities, interpolated between neighbours. It is frozen as a value, as a share of new rows would tune itself to them.
+
+    Rows without a reliability have no part in the quantile; a method of which none has one adopts nothing. Ranks come
+    from sorted ranges, so a method may hold all rows.
+    """
+    some = rows.where(F.col("reliability").isNotNull())
+    policy = abstention_policy(selective_risk(some, coverages, threshold), gain)
+    at = ranked(some.select("method_id", "reliability"), [F.col("reliability")], ["method_id"], "at", "n")
+    j = at.join(policy.select("method_id", F.col("coverage").alias("c")).where("c is not null"), "method_id")
+    h = (F.col("n") - 1) * (1 - F.col("c"))
+    j = j.select("method_id", "reliability", (F.col("at") - F.floor(h)).alias("step"), (h - F.floor(h)).alias("part")).where("step in (0, 1)")
+    value = lambda step: F.max(F.when(F.col("step") == step, F.col("reliability")))
+    cuts = j.groupBy("method_id").agg(value(0).alias("lo"), value(1).alias("hi"), F.max("part").alias("part"))
+    cuts = cuts.select("method_id", (F.col("lo") + F.coalesce((F.col("hi") - F.col("lo")) * F.col("part"), F.lit(0.0))).alias("reliability_threshold"))
+    out = policy.join(cuts, "method_id", "left")
+    return out.select("method_id", F.col("coverage").isNotNull().alias("adopted"), "reliability_threshold", "coverage", "accuracy", "accuracy_all", r6(F.col("accuracy") - F.col("accuracy_all")).alias("gain"))
+
+
 def abstention(rows: DataFrame, least: float, threshold: float = 0.5) -> DataFrame:
     """Coverage, accuracy of all, kept and deferred, and the worst family among the kept."""
     right, kept = (F.col("p") >= threshold) == (F.col("label") == 1), F.coalesce(F.col("reliability") >= least, F.lit(True))

@@ -86,6 +86,17 @@ def b14(spark: SparkSession, d: str) -> DataFrame:
     return operating.abstention_policy(operating.selective_risk(grid.predictions(spark, d), COVERAGES))
 
 
+@query("b14b_frozen_abstention", f"""{_RISK}, b AS (SELECT method_id, accuracy AS base FROM risk WHERE coverage = 1),
+x AS (SELECT b.method_id, base, r.coverage, r.accuracy FROM b LEFT JOIN (SELECT r.* FROM risk r JOIN b USING (method_id) WHERE coverage < 1 AND accuracy >= base + CAST(0.02 AS double) QUALIFY row_number() OVER (PARTITION BY r.method_id ORDER BY coverage DESC) = 1) r ON r.method_id = b.method_id),
+o AS (SELECT method_id, reliability, row_number() OVER (PARTITION BY method_id ORDER BY reliability) - 1 AS pos, count(*) OVER (PARTITION BY method_id) AS n FROM pred),
+h AS (SELECT method_id, coverage, (n - 1) * (1 - CAST(coverage AS double)) AS h, reliability, pos FROM o JOIN x USING (method_id)),
+q AS (SELECT method_id, max(reliability) FILTER (WHERE pos = floor(h)) AS lo, max(reliability) FILTER (WHERE pos = floor(h) + 1) AS hi, max(h - floor(h)) AS part FROM h GROUP BY method_id)
+SELECT x.method_id, coverage IS NOT NULL AS adopted, round(lo + coalesce((hi - lo) * part, 0), 6) AS reliability_threshold, coverage, accuracy, base AS accuracy_all, round(accuracy - base, 6) AS gain FROM x LEFT JOIN q USING (method_id)""")
+def b14b(spark: SparkSession, d: str) -> DataFrame:
+    f = operating.frozen_abstention(grid.predictions(spark, d), COVERAGES)
+    return f.withColumn("reliability_threshold", r6("reliability_threshold"))
+
+
 @query("a22_abstention_table", f"""{_W}, x AS (SELECT *, CASE WHEN (p >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END AS ok, reliability >= 0.3 AS kept FROM pred),
 f AS (SELECT method_id, family, {_RATES} FROM (SELECT method_id, family, {_CONF} FROM x WHERE kept AND family <> 'clean' GROUP BY ALL)),
 w AS (SELECT method_id, recall AS worst_recall, family AS worst_family FROM f QUALIFY row_number() OVER (PARTITION BY method_id ORDER BY recall, family) = 1),

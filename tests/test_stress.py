@@ -152,3 +152,21 @@ def test_configured_conditions(spark):
     for change, version in [(("amount: 90.0", "amount: 91.0"), "1"), (("'clean'", "'plain'"), "1"), (("family: jpeg", "family: blur"), "1"), (("", ""), "2"), (("conditions:", "other:"), "1"), (("amount: 90.0", "amount: 90.0, more: 2"), "1"), (("kind: identity", "kind: 3"), "1")]:
         with pytest.raises(ValueError):
             grid.configured(spark, protocol(change), version)
+
+
+def test_abstention_is_frozen_as_a_value(spark):
+    r, rows = random.Random(8), []
+    for m in ("sharp", "flat"):
+        for i in range(400):
+            rel = r.randrange(200) / 200
+            wrong = r.random() < (0.6 * (1 - rel) if m == "sharp" else 0.2)
+            rows.append((m, f"s{i}", 0, 1, 0.1 if wrong else 0.9, rel))
+    rows += [("none", "s", 0, 1, 0.9, None), ("sharp", "null", 0, 1, 0.1, None)]
+    coverages = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5)
+    got = {x.method_id: x for x in operating.frozen_abstention(spark.createDataFrame(rows, "method_id string, source_id string, idx int, label int, p double, reliability double").repartition(3), coverages).collect()}
+    assert set(got) == {"sharp", "flat"}
+    rel = np.array([x[5] for x in rows if x[0] == "sharp" and x[5] is not None])
+    assert got["sharp"].adopted and got["sharp"].coverage < 1 and got["sharp"].gain >= 0.02
+    assert math.isclose(got["sharp"].reliability_threshold, np.quantile(rel, 1 - got["sharp"].coverage), rel_tol=1e-12)
+    if not got["flat"].adopted:
+        assert got["flat"].reliability_threshold is None

@@ -17,7 +17,7 @@ VIEWS = 20
 def with_clean(rows: DataFrame) -> DataFrame:
     """clean_p beside every row of a source that has a clean view. One shuffle by source, none for the join itself."""
     clean = F.max(F.when(F.col("condition_id") == "clean", F.col("p")))
-    return rows.withColumn("clean_p", clean.over(W.partitionBy("method_id", "source_id"))).where("clean_p is not null")
+    return rows.withColumn("clean_p", clean.over(W.partitionBy("source_id", "method_id"))).where("clean_p is not null")
 
 
 def without_clean(rows: DataFrame) -> DataFrame:

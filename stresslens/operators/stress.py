@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stresslens.operators.grid import CLEAN, CONDITIONS
@@ -24,20 +25,19 @@ def checked(rows: DataFrame) -> DataFrame:
     that stands twice); then those against the clean record: no clean, clean (which has a reason of its own), threshold
     differs, provenance differs. A null where a reason looks is that fault; a null method or source is one of
     its own. Clean records
-    and repeated keys are aggregated and joined, so a source may hold any share of the rows.
+    and repeated keys are found by windows over (source, method), one sort for both, numbers first; rows that are dealt
+    by source already aren't shuffled.
     """
-    again = rows.groupBy(*_OF, "condition_id").count().where("count > 1").select(*[F.col(c).alias(f"_r_{c}") for c in (*_OF, "condition_id")], F.lit(True).alias("_twice"))
-    same = lambda names, at: [F.col(c).eqNullSafe(F.col(f"{at}{c}")) for c in names]
     p, t = F.col("p_fake"), F.col("threshold_used")
     fault = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
-    d = rows.join(again, same((*_OF, "condition_id"), "_r_"), "left").drop(*[f"_r_{c}" for c in (*_OF, "condition_id")])
+    twice = F.count(F.lit(1)).over(W.partitionBy(*_OF[::-1], "condition_id")) > 1
     own = F.coalesce(
         fault(F.col("condition_id").isin(_NAMES), "condition"), fault(probability(p), "p_fake"), fault(probability(t), "threshold"), fault(F.col("decision").isin(*DECISIONS), "decision"),
         fault((F.col("decision") == "fake") == (p >= t), "inconsistent"), fault(F.trim("threshold_provenance") != "", "provenance"), F.when(F.col("_twice"), F.lit("repeated")))
-    d = d.withColumn("_own", own).drop("_twice")
-    one = d.where(F.col("condition_id") == CLEAN).groupBy(*[F.col(c).alias(f"_c_{c}") for c in _OF])
-    clean = one.agg(F.max(F.struct("p_fake", "decision", "threshold_used", "threshold_provenance")).alias("_clean"), F.max("_own").alias("_fault"))
-    d = d.join(clean, same(_OF, "_c_"), "left")
+    d = rows.withColumn("_twice", twice).withColumn("_own", own).drop("_twice")
+    of, clean = W.partitionBy(*_OF[::-1]), F.col("condition_id") == CLEAN
+    record = F.struct("p_fake", "decision", "threshold_used", "threshold_provenance")
+    d = d.withColumns({"_clean": F.max(F.when(clean, record)).over(of), "_fault": F.max(F.when(clean, F.col("_own"))).over(of)})
     against = F.coalesce(
         F.when(F.col("_clean").isNull(), F.lit("no clean")), F.when(F.col("_fault").isNotNull(), F.lit("clean")),
         fault(F.abs(t - F.col("_clean.threshold_used")) <= TOLERANCE, "threshold differs"), fault(F.col("threshold_provenance") == F.col("_clean.threshold_provenance"), "provenance differs"))
@@ -53,9 +53,11 @@ def summary(records: DataFrame) -> DataFrame:
     ok = F.col("error").isNull()
     at = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(_NAMES) for x in (c, i)]), F.col("condition_id"))
     flip = ok & (F.col("decision") != F.col("clean_decision"))
+    verdict = F.coalesce(*[F.when(F.col("clean_decision") == d, i + 1) for i, d in enumerate(DECISIONS)])  # numbers, so that groups are hashed and not sorted
     s = records.groupBy(*_OF).agg(
         F.count_if(ok).alias("n_scored"), F.coalesce(r6(F.max(F.when(ok, F.col("p_fake"))) - F.min(F.when(ok, F.col("p_fake")))), F.lit(0.0)).alias("spread"),
-        F.sort_array(F.collect_set(F.when(flip, at))).alias("f"), F.max("clean_decision").alias("clean_decision"))  # at most twenty flips
-    names = F.transform("f", lambda i: F.element_at(F.array(*[F.lit(c) for c in _NAMES]), i + 1))
-    status = F.when(F.col("clean_decision").isNull(), "refused").when(F.col("n_scored") < len(_NAMES), "incomplete").when(F.size("f") > 0, "unstable").otherwise("stable")
+        F.coalesce(F.bit_or(F.when(flip, F.call_function("shiftleft", F.lit(1), at))), F.lit(0)).alias("f"), F.max(verdict).alias("v"))
+    s = s.withColumn("clean_decision", F.coalesce(*[F.when(F.col("v") == i + 1, d) for i, d in enumerate(DECISIONS)]))
+    names = F.array_compact(F.array(*[F.when(F.col("f").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(_NAMES)]))
+    status = F.when(F.col("clean_decision").isNull(), "refused").when(F.col("n_scored") < len(_NAMES), "incomplete").when(F.col("f") != 0, "unstable").otherwise("stable")
     return s.select(*_OF, "clean_decision", "n_scored", (F.lit(len(_NAMES)) - F.col("n_scored")).alias("n_errors"), "spread", names.alias("flips"), status.alias("status"))

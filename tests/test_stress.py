@@ -170,3 +170,14 @@ def test_abstention_is_frozen_as_a_value(spark):
     assert math.isclose(got["sharp"].reliability_threshold, np.quantile(rel, 1 - got["sharp"].coverage), rel_tol=1e-12)
     if not got["flat"].adopted:
         assert got["flat"].reliability_threshold is None
+
+
+def test_views_dealt_by_source_are_not_shuffled(spark, monkeypatch):
+    """Only the sources move: what is grouped or windowed by source later stays where it was made."""
+    from stresslens.operators import grid
+    from stresslens.plans import stress_queries
+
+    monkeypatch.setattr(grid, "TASK", 100)
+    plan = stress.summary(stress.checked(stress_queries.records(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(source_id") == 1 == plan.count("Exchange hashpartitioning") and "REPARTITION_BY_NUM" in plan
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan

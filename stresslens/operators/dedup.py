@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import hamming
 from stresslens.operators.metrics import r6
-from stresslens.operators.shared import ranked
+from stresslens.operators.shared import cut, ranked
 
 
 def bands(h: Column, radius: int) -> Column:
@@ -84,7 +84,11 @@ def near_pairs(left: DataFrame, right: DataFrame | None, radius: int, crowd: int
 
 
 def near_classes(rows: DataFrame, radius: int, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of hashes (id, h): each id's class, named by its least id of an equal hash, and near pairs between classes."""
+    """(members, pairs) of hashes (id, h): each id's class, named by its least id of an equal hash, and near pairs between classes.
+
+    Hashes are worked out once and written; classes, both sides of the join and its crowded values read them again.
+    """
+    rows = cut(rows.select("id", "h"))
     first = rows.where("h is not null").groupBy(F.col("h").alias("_h")).agg(F.min("id").alias("class"))
     members = rows.join(first, F.col("h") == F.col("_h")).select("id", "class")
     return members, near_pairs(first.select(F.col("class").alias("id"), F.col("_h").alias("h")), None, radius, crowd)

@@ -134,3 +134,12 @@ def test_stream_counts_each_key_once(spark, tmp_path):
     q = incremental.append_batches(s.select("k", "p"), str(tmp_path / "out"), ["k"], str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select("k").distinct().count() == 30
+
+
+def test_hashes_are_worked_out_once(spark):
+    """What near_classes() gives reads hashes that were written, not the texts again."""
+    from stresslens.operators import dedup
+    from stresslens.plans import corpus_queries
+
+    for d in dedup.near_classes(corpus_queries.text_hashes(spark, "/root/testdata/sf0.001"), corpus_queries.RADIUS):
+        assert "documents.parquet" not in d._jdf.queryExecution().executedPlan().toString()

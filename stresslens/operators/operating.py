@@ -107,8 +107,8 @@ def select_threshold(rows: DataFrame, base: float = 0.5, fpr_slack: float = 0.01
 
     A replicate's recalls can only fall as the threshold rises, so the lowest allowed candidate has the best mean, and
     those that tie with it are the next above, up to the first that loses a hit that counts. That one is searched for in
-    passes of ASKED candidates, spread by rank and then closer, so millions of candidates cost a few passes and
-    no window a replicate. The driver sees one row a method and ASKED thresholds a pass.
+    passes of ASKED candidates: the first asks ranks 1, 2, 4, 8 and so on, as few usually tie, later ones ranks spread
+    between two known ones, so one pass is the rule, millions of candidates cost a few and no window a replicate. The driver sees one row a method and ASKED thresholds a pass.
     """
     c = clean_candidates(rows, base, fpr_slack, accuracy_slack, thresholds).persist()
     ranked = c.where("ok").withColumn("rank", F.row_number().over(W.partitionBy("method_id").orderBy("threshold")))
@@ -118,7 +118,8 @@ def select_threshold(rows: DataFrame, base: float = 0.5, fpr_slack: float = 0.01
     low, high = dict.fromkeys(ends, 1), {m: n + 1 for m, n in ends.items()}  # a rank that ties, and one above all that do
     first = True
     while first or any(high[m] - low[m] > 1 for m in ends):
-        want = {m: sorted({low[m] + (high[m] - low[m]) * i // ASKED for i in range(ASKED)} - known[m].keys()) for m in ends}
+        spread = lambda m: {min(1 << i, ends[m]) for i in range(ASKED)} if first else {low[m] + (high[m] - low[m]) * i // ASKED for i in range(ASKED)}  # noqa: B023, E731
+        want = {m: sorted(spread(m) - known[m].keys()) for m in ends}
         if first:
             want |= {m: [0] for m in methods if m not in ends}
         pairs = [(m, r) for m, rs in want.items() for r in rs if r]

@@ -81,3 +81,15 @@ def test_next_up_and_matching_above_all(spark):
     assert all(r.y == np.nextafter(r.x, np.inf) for r in got)
     x = operating.fpr_matched(rows(spark, [0] * 3, [0.5, 0.25, 0.1], condition_id="clean"), 0.1).first()
     assert x.threshold == np.nextafter(0.5, 1) and x.realised_fpr == 0 and x.above_all
+
+
+def test_threshold_that_ties_with_none_takes_one_pass(spark, monkeypatch):
+    """The lowest candidates are asked first: where the second already loses a hit, nothing is searched for."""
+    from stresslens.operators import grid, operating
+
+    passes, plain = [], operating.objectives
+    monkeypatch.setattr(operating, "objectives", lambda *a, **k: passes.append(a[1]) or plain(*a, **k))
+    rows = [("m", i, c, f, k, i % 2, (i * 20 + k + 1) / 1000) for i in range(40) for k, (c, f, _) in enumerate(grid.CONDITIONS)]
+    d = spark.createDataFrame(rows, "method_id string, source_id long, condition_id string, family string, idx int, label int, p double")
+    operating.select_threshold(d, base=0.001, fpr_slack=1.0, accuracy_slack=1.0, replicates=50, seed=3).collect()
+    assert 1 <= len(passes) <= 2 and passes[0]["m"][:3] == sorted({x[6] for x in rows})[:2] + [sorted({x[6] for x in rows})[3]]

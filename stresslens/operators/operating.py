@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stresslens.operators import metrics, resample
 from stresslens.operators.grid import FAMILIES
 from stresslens.operators.metrics import r6
-from stresslens.operators.shared import ranked
+from stresslens.operators.shared import below_by_ranges, cut
 
 
 def next_up(x: Column) -> Column:
@@ -188,14 +188,21 @@ def rescue_threshold(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return at.select("t", net.alias("net")).agg(F.max("net").alias("net"), F.max_by("t", F.struct("net", -F.col("t"))).alias("threshold"))
 
 
-def selective_risk(rows: DataFrame, coverages: tuple[float, ...], threshold: float = 0.5) -> DataFrame:
+def _levels(rows: DataFrame, threshold: float) -> DataFrame:
+    """method_id, reliability, m, r: how many rows have a reliability and how many of them are right, written once."""
+    right = ((F.col("p") >= threshold) == (F.col("label") == 1)).cast("int")
+    return cut(rows.groupBy("method_id", "reliability").agg(F.count("*").alias("m"), F.sum(right).alias("r")))
+
+
+def selective_risk(rows: DataFrame, coverages: tuple[float, ...], threshold: float = 0.5, levels: DataFrame | None = None) -> DataFrame:
     """Accuracy of the most reliable share of the rows, k = max(1, round half even (c * n)); ties by source and condition.
 
-    Rows are ranked over their reliability's value counts; only the value that a cut falls into is ordered row by row.
+    Rows are ranked over their reliability's value counts (levels, if they are known); only the value that a cut falls
+    into is ordered row by row.
     """
     right = ((F.col("p") >= threshold) == (F.col("label") == 1)).cast("int")
     d = rows.select("method_id", "source_id", "idx", "reliability", right.alias("right"))
-    levels = d.groupBy("method_id", "reliability").agg(F.count("*").alias("m"), F.sum("right").alias("r"))
+    levels = _levels(rows, threshold) if levels is None else levels
     w = W.partitionBy("method_id").orderBy(F.desc("reliability")).rowsBetween(W.unboundedPreceding, 0)
     levels = levels.select("method_id", "reliability", "m", F.sum("m").over(w).alias("upto"), F.sum("r").over(w).alias("right_upto"), "r", F.sum("m").over(W.partitionBy("method_id")).alias("n"))
     cuts = levels.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages]))).withColumn("k", F.greatest(F.bround(F.col("coverage") * F.col("n")), F.lit(1.0)).cast("long"))
@@ -216,16 +223,17 @@ def frozen_abstention(rows: DataFrame, coverages: tuple[float, ...], gain: float
     """abstention_policy() with adopted and the value below which a verdict is deferred: the quantile of 1 - coverage of these
     rows' reliabilities, interpolated between neighbours. It is frozen as a value, as a share of new rows would tune itself to them.
 
-    Rows without a reliability have no part in the quantile; a method of which none has one adopts nothing. Ranks come
-    from sorted ranges, so a method may hold all rows.
+    Rows without a reliability have no part in the quantile; a method of which none has one adopts nothing. Rows are counted
+    by value once for both; places in the order are sums of these counts.
     """
     some = rows.where(F.col("reliability").isNotNull())
-    policy = abstention_policy(selective_risk(some, coverages, threshold), gain)
-    at = ranked(some.select("method_id", "reliability"), [F.col("reliability")], ["method_id"], "at", "n")
+    levels = _levels(some, threshold)
+    policy = abstention_policy(selective_risk(some, coverages, threshold, levels), gain)
+    at = below_by_ranges(levels.select("method_id", "reliability", "m"), "reliability", ["method_id"], "m")
     j = at.join(policy.select("method_id", F.col("coverage").alias("c")).where("c is not null"), "method_id")
     h = (F.col("n") - 1) * (1 - F.col("c"))
-    j = j.select("method_id", "reliability", (F.col("at") - F.floor(h)).alias("step"), (h - F.floor(h)).alias("part")).where("step in (0, 1)")
-    value = lambda step: F.max(F.when(F.col("step") == step, F.col("reliability")))
+    j = j.select("method_id", "reliability", "below", F.col("below") + F.col("m") - 1, F.floor(h).alias("place"), (h - F.floor(h)).alias("part")).toDF("method_id", "reliability", "first", "last", "place", "part")
+    value = lambda step: F.max(F.when((F.col("place") + step).between(F.col("first"), F.col("last")), F.col("reliability")))
     cuts = j.groupBy("method_id").agg(value(0).alias("lo"), value(1).alias("hi"), F.max("part").alias("part"))
     cuts = cuts.select("method_id", (F.col("lo") + F.coalesce((F.col("hi") - F.col("lo")) * F.col("part"), F.lit(0.0))).alias("reliability_threshold"))
     out = policy.join(cuts, "method_id", "left")

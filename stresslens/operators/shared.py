@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -52,3 +54,19 @@ def ranked(rows: DataFrame, order: list[Column], within: list[str] | None = None
     else:
         d = d.crossJoin(F.broadcast(groups))  # one row
     return d.select(*rows.columns, (F.col("_place") - F.col("_first")).alias(name), *([F.col("_n").alias(n)] if n else []))
+
+
+def below_by_ranges(counts: DataFrame, value: str, within: list[str], m: str) -> DataFrame:
+    """counts (within, value, m: one row a value) with below, how many rows of the group have a lesser value, and n, the group's rows.
+
+    Values are dealt by ranges, so a group may have more of them than a task holds; ranges' sums are broadcast, a row a range and group.
+    """
+    keys = [F.col(c) for c in within]
+    d = cut(counts.repartitionByRange(*keys, F.col(value)).withColumn("_r", F.spark_partition_id()))
+    ranges = d.groupBy(*within, "_r").agg(F.sum(m).alias("_rm"))
+    upto = W.partitionBy(*within).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(c).alias(f"_g_{c}") for c in within], F.col("_r").alias("_at"), F.coalesce(F.sum("_rm").over(upto), F.lit(0)).alias("_start"), F.sum("_rm").over(W.partitionBy(*within)).alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in within]
+    d = d.join(F.broadcast(ranges), reduce(Column.__and__, same, F.col("_r") == F.col("_at")))
+    inside = F.coalesce(F.sum(m).over(W.partitionBy("_r", *within).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return d.select(*counts.columns, (F.col("_start") + inside).alias("below"), "n")

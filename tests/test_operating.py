@@ -93,3 +93,30 @@ def test_threshold_that_ties_with_none_takes_one_pass(spark, monkeypatch):
     d = spark.createDataFrame(rows, "method_id string, source_id long, condition_id string, family string, idx int, label int, p double")
     operating.select_threshold(d, base=0.001, fpr_slack=1.0, accuracy_slack=1.0, replicates=50, seed=3).collect()
     assert 1 <= len(passes) <= 2 and passes[0]["m"][:3] == sorted({x[6] for x in rows})[:2] + [sorted({x[6] for x in rows})[3]]
+
+
+def test_frozen_abstention_writes_values_not_rows(spark, monkeypatch):
+    from stresslens.operators import shared
+
+    rng, written = np.random.default_rng(3), []
+    data = [(m, i, 0, int(rng.integers(2)), float(rng.random()), None if i % 50 == 0 else int(rng.integers(9)) / 10) for m in ("a", "b") for i in range(400)]
+    rows = spark.createDataFrame(data, "method_id string, source_id int, idx int, label int, p double, reliability double")
+    whole = shared.cut
+    for module in (shared, operating):
+        monkeypatch.setattr(module, "cut", lambda df: (written.append(df.count()), whole(df))[1], raising=False)
+    got = {r.method_id: r for r in operating.frozen_abstention(rows, (1.0, 0.8, 0.5), gain=-1.0).collect()}
+    assert written and max(written) <= 18
+    for m, r in got.items():
+        assert r.reliability_threshold == pytest.approx(np.quantile([x[5] for x in data if x[0] == m and x[5] is not None], 0.2))
+
+
+def test_below_by_ranges(spark):
+    from stresslens.operators.shared import below_by_ranges
+
+    rng = np.random.default_rng(4)
+    data = [(g, float(v), int(rng.integers(1, 9))) for g in ("a", None) for v in rng.permutation(300)]
+    got = below_by_ranges(spark.createDataFrame(data, "g string, v double, m long").repartition(5), "v", ["g"], "m").collect()
+    assert len(got) == 600
+    for r in got:
+        own = [x for x in data if x[0] == r.g]
+        assert (r.below, r.n) == (sum(x[2] for x in own if x[1] < r.v), sum(x[2] for x in own))

@@ -183,3 +183,34 @@ def test_pairs_without_rest(spark):
     for bad, reason in ((both.where("not (method_id = 'm2' and source_id = 0)"), "only m1: 1"), (both.withColumn("label", F.expr("if(method_id = 'm2', 1 - label, label)")), "label: 3")):
         with pytest.raises(ValueError, match=reason):
             pairs.matched(bad, "m1", "m2")
+
+
+def test_draws_are_dealt_in_parts(monkeypatch):
+    """The same numbers as searching all picks at once, while no array is longer than PART."""
+    rng, whole, longest = np.random.default_rng(8), resample.picks, []
+    monkeypatch.setattr(resample, "PART", 1000)
+    monkeypatch.setattr(resample, "picks", lambda k, draws, n, first=0: (longest.append(draws), whole(k, draws, n, first))[1])
+    for sizes in ([1], [5000], [1, 1, 1], [7, 1, 9000], [4096] * 5, list(rng.integers(900, 1100, 40))):
+        edges = np.cumsum(np.array(sizes, np.int64))
+        n = int(edges[-1])
+        want = np.bincount(np.searchsorted(edges, whole(17, n, n), "right"), minlength=len(edges))
+        assert (resample.shares(17, edges) == want).all()
+        monkeypatch.setattr(resample, "CELLS", 4)
+        assert (resample.shares(17, edges) == want).all()
+        monkeypatch.setattr(resample, "CELLS", 1 << 22)
+    assert max(longest) <= 1000
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_blocks_summed_together_draw_the_same(spark, monkeypatch, few):
+    """Several blocks a group, by both ways to multiply: rows fewer than one a block, draws as another engine's."""
+    monkeypatch.setattr(resample, "FEW", few)
+    monkeypatch.setattr(resample, "CELLS", 8)
+    sources, size = [(i, int(i % 3 == 0)) for i in range(150)], max(1, 150 // (8 * spark.sparkContext.defaultParallelism))
+    s = spark.createDataFrame([(i % 3, i, y, float(i), 1.0) for i, y in sources for _ in range(1 + i % 2)], "g int, source_id long, label int, n double, one double").repartition(3)
+    got = {(r.replicate, r.g): (r.n, r.one) for r in resample.resampled(s, ["g"], ["n", "one"], 12, 7, size=size).collect()}
+    times = times_of(sources, 12, 7, size)
+    for (replicate, g), (n, one) in got.items():
+        own = [(i, times.get((replicate, i), 0) * (1 + i % 2)) for i, _ in sources if i % 3 == g]
+        assert (n, one) == (sum(i * t for i, t in own), sum(t for _, t in own))
+    assert len(got) == 36

@@ -51,17 +51,24 @@ def canonicalised(results: DataFrame, originals: DataFrame, hashes: DataFrame) -
     return j.withColumns({"phash_shift_from_original": shift, "error": F.when(F.col("_h").isNull(), "no hash")}).drop("_h")
 
 
+#: Rows of a task, about.
+TASK = 1 << 18
+
+
 def sealed_breaches(dump: DataFrame, manifest: DataFrame, same: list[str]) -> DataFrame:
     """reason, n: a dump (sha256, condition_id, same) against a manifest (sha256, same) that has a row for each copy.
 
     Pairs are there once, hashes are the same set, a row's attributes are its manifest's, and all copies of a hash agree.
+    Rows are dealt by hash to tasks of about TASK, and different (hash, attributes) are counted there: no task sorts its rows.
     """
-    attributes = F.struct(*[F.col(c) for c in same])
-    m = manifest.groupBy("sha256").agg(F.min(attributes).alias("lo"), F.max(attributes).alias("hi"))
-    d = dump.select("sha256", "condition_id", attributes.alias("own"))
-    told = d.groupBy("sha256").agg(F.max("own").alias("own"), F.min("own").alias("least")).join(m, "sha256", "full")
-    reason = F.when(F.col("lo").isNull(), "not in manifest").when(F.col("own").isNull(), "not in dump").when(F.col("lo") != F.col("hi"), "copies differ").when((F.col("own") != F.col("lo")) | (F.col("least") != F.col("lo")), "attributes")
-    twice = d.groupBy("sha256", "condition_id").count().where("count > 1").select(F.lit("pair twice").alias("reason"))
+    attributes = F.struct(*[F.col(c) for c in same]).alias("own")
+    side = lambda rows, d: rows.select("sha256", F.when(F.col("sha256").isNull(), F.lit(d)).alias("of"), attributes, F.lit(d).alias("d"))
+    both = side(dump, 1).unionByName(side(manifest, 0))
+    n = max(1, -(-both.count() // TASK))
+    kinds = both.repartition(n, "sha256", "of").groupBy("sha256", "of", "own").agg(F.max("d").alias("in_d"), F.min("d").alias("least")).withColumn("in_m", 1 - F.col("least"))
+    told = kinds.groupBy("sha256", "of").agg(F.sum("in_m").alias("m"), F.max("in_d").alias("d"), F.count("*").alias("kinds"))
+    reason = F.when(F.col("m") == 0, "not in manifest").when(F.col("d") == 0, "not in dump").when(F.col("m") > 1, "copies differ").when(F.col("kinds") > 1, "attributes")
+    twice = dump.select("sha256", "condition_id").repartition(n, "sha256", "condition_id").groupBy("sha256", "condition_id").count().where("count > 1").select(F.lit("pair twice").alias("reason"))
     return told.select(reason.alias("reason")).where("reason is not null").unionByName(twice).groupBy("reason").agg(F.count("*").alias("n"))
 
 

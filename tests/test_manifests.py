@@ -35,3 +35,13 @@ def test_canonical_images_that_several_rows_share(spark):
     c = spark.createDataFrame([(1, "h"), (1, "h"), (2, "h")], "source_id long, canonical_sha256 string")
     roles = spark.createDataFrame([(1,), (2,), (3,)], "source_id long")
     assert {r.reason: r.n for r in manifests.rewiring_breaches(roles, c).collect()} == {"missing": 1, "several": 1, "shared hash": 1}
+
+
+def test_sealed_breaches_with_nulls_and_without_a_sort(spark):
+    from stresslens.operators import manifests
+
+    dump = spark.createDataFrame([("a", 0, 1, "x"), ("a", 1, 1, "x"), ("b", 0, 1, None), ("c", 0, 1, "x"), ("c", 1, 2, "x"), ("d", 0, 5, "x"), ("d", 0, 5, "x"), (None, 0, 1, "x"), ("f", 0, 1, "x")], "sha256 string, condition_id int, label int, split string")
+    manifest = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 1, None), ("c", 1, "x"), ("d", 5, "x"), ("d", 6, "x"), ("e", 1, "x"), (None, 1, "x"), ("f", 1, "y")], "sha256 string, label int, split string")
+    told = manifests.sealed_breaches(dump, manifest, ["label", "split"])
+    assert {r.reason: r.n for r in told.collect()} == {"not in manifest": 1, "not in dump": 2, "attributes": 2, "copies differ": 1, "pair twice": 1}
+    assert "SortAggregate" not in told._jdf.queryExecution().executedPlan().toString()

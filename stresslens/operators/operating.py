@@ -241,11 +241,15 @@ def frozen_abstention(rows: DataFrame, coverages: tuple[float, ...], gain: float
 
 
 def abstention(rows: DataFrame, least: float, threshold: float = 0.5) -> DataFrame:
-    """Coverage, accuracy of all, kept and deferred, and the worst family among the kept."""
+    """Coverage, accuracy of all, kept and deferred, and the worst family among the kept, all from one count of the rows."""
     right, kept = (F.col("p") >= threshold) == (F.col("label") == 1), F.coalesce(F.col("reliability") >= least, F.lit(True))
-    share = lambda among: r6(F.avg(F.when(among, F.when(right, 1.0).otherwise(0.0))))
-    flat = rows.groupBy("method_id").agg(r6(F.avg(F.when(kept, 1.0).otherwise(0.0))).alias("coverage"), share(F.lit(True)).alias("accuracy_all"), share(kept).alias("accuracy_kept"), share(~kept).alias("accuracy_deferred"))
-    return flat.join(metrics.worst(metrics.family_recall(rows.where(kept), threshold), ["method_id"], "family"), "method_id", "left")
+    n = ("tp", "fn", "fp", "tn")
+    few = cut(rows.groupBy("method_id", "family", kept.alias("kept")).agg(F.count("*").alias("n"), F.count_if(right).alias("right"), *metrics.counts(threshold)))
+    of = lambda c, among: F.sum(F.when(among, F.col(c)))
+    share = lambda among: r6(F.try_divide(of("right", among), of("n", among)))
+    flat = few.groupBy("method_id").agg(r6(F.coalesce(of("n", F.col("kept")), F.lit(0)) / F.sum("n")).alias("coverage"), share(F.lit(True)).alias("accuracy_all"), share(F.col("kept")).alias("accuracy_kept"), share(~F.col("kept")).alias("accuracy_deferred"))
+    family = few.where("kept and family <> 'clean'").groupBy("method_id", "family").agg(*[F.sum(c).alias(c) for c in n]).select("method_id", "family", *metrics.rates())
+    return flat.join(metrics.worst(family, ["method_id"], "family"), "method_id", "left")
 
 
 class SplitError(ValueError):

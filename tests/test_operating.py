@@ -120,3 +120,22 @@ def test_below_by_ranges(spark):
     for r in got:
         own = [x for x in data if x[0] == r.g]
         assert (r.below, r.n) == (sum(x[2] for x in own if x[1] < r.v), sum(x[2] for x in own))
+
+
+def test_abstention_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    data = [("m", i, i % 2, "clean" if i % 3 else "blur", [0.2, 0.9][(i // 5) % 2], None if i == 7 else i % 10 / 10) for i in range(60)]
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "method_id string, source_id int, label int, family string, p double, reliability double"
+    r = operating.abstention(spark.createDataFrame(data, schema).mapInArrow(told, schema), 0.3).first()
+    assert seen.value == 60
+    kept, right = [x[5] is None or x[5] >= 0.3 for x in data], [(x[4] >= 0.5) == (x[2] == 1) for x in data]
+    mean = lambda xs: round(sum(xs) / len(xs), 6)
+    assert (r.coverage, r.accuracy_all) == (mean(kept), mean(right))
+    assert (r.accuracy_kept, r.accuracy_deferred) == (mean([a for a, k in zip(right, kept, strict=True) if k]), mean([a for a, k in zip(right, kept, strict=True) if not k]))
+    assert r.worst_recall == mean([x[4] >= 0.5 for x, k in zip(data, kept, strict=True) if k and x[3] == "blur" and x[2] == 1]) and r.worst_family == "blur"

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.llm.common import cut
@@ -39,9 +39,15 @@ UNITS = frozenset(
 _NUMBER = re.compile(rb"[$\xe2\x82\xac]*[+-]?[0-9][0-9.,:/]*[0-9]?(%|[a-z]{1,3})?")
 _EDGE = b"\"'`()[]{}<>*_.,;:!?"
 _MEMO = 200_000
+#: What a number may begin with, in bytes.
+_NUMBER_STARTS = frozenset(b"$\xe2\x82\xac+-0123456789")
+_hash = xxhash.xxh64_intdigest
+_NUMBER_SLOT, _NAME_SLOT, _UNIT_SLOT = (np.uint64(_hash(x)) for x in (b"<number>", b"<name>", b"<unit>"))
 
 
 def _name(token: bytes) -> bool:
+    if not token[:1].isupper() and token[0] < 128:
+        return False
     t = token.decode("utf-8", "replace")
     return len(t) > 1 and t[0].isupper() and t.replace("-", "").replace("'", "").isalpha() and not t.isupper()
 
@@ -59,36 +65,37 @@ class Template:
         self.plain = np.zeros(1 << 12, np.uint64)
         self.kind = np.zeros(1 << 12, np.uint8)  # 1: a number, 2: a unit, 4: a name
 
-    def add(self, token: bytes) -> int:
-        core = token.strip(_EDGE) or token
-        low = core.lower()
-        plain = xxhash.xxh64_intdigest(low.decode("utf-8", "replace").lower().encode())
-        number, name = bool(_NUMBER.fullmatch(low)), _name(core)
-        slot = xxhash.xxh64_intdigest(b"<number>")
-        n = len(self.memo)
-        if n == len(self.kind):
+    def add(self, tokens: list[bytes]) -> None:
+        """Tokens that the memo doesn't have, each once."""
+        n, plain, kind = len(self.memo), [], []
+        for token in tokens:
+            core = token.strip(_EDGE) or token
+            low = core.lower()
+            plain.append(_hash(low if low.isascii() else low.decode("utf-8", "replace").lower().encode()))
+            number = low[0] in _NUMBER_STARTS and _NUMBER.fullmatch(low) is not None
+            kind.append(number * 1 + (low in UNITS) * 2 + _name(core) * 4)
+        end = n + len(tokens)
+        while end > len(self.kind):
             self.typed, self.slotted, self.plain, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.typed, self.slotted, self.plain, self.kind))
-        self.plain[n] = plain
-        self.typed[n] = slot if number else plain
-        self.slotted[n] = slot if number else xxhash.xxh64_intdigest(b"<name>") if name else plain
-        self.kind[n] = number * 1 + (low in UNITS) * 2 + name * 4
-        self.memo[token] = n
-        return n
+        self.plain[n:end], self.kind[n:end] = np.array(plain, np.uint64), kind
+        number, name = (self.kind[n:end] & 1) > 0, (self.kind[n:end] & 4) > 0
+        self.typed[n:end] = np.where(number, _NUMBER_SLOT, self.plain[n:end])
+        self.slotted[n:end] = np.where(name & ~number, _NAME_SLOT, self.typed[n:end])
+        self.memo.update(zip(tokens, range(n, end), strict=True))
 
     def __call__(self, tokens: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """The tokens as hashes, which are slots, and hashes with the values, as a template (without values) and in the plain form."""
         if len(self.memo) > _MEMO:
             self.reset()
-        memo, get = self.memo, self.memo.get
-        at = [get(t, -1) for t in tokens]
-        for i, a in enumerate(at):
-            if a < 0:
-                at[i] = memo[tokens[i]] if tokens[i] in memo else self.add(tokens[i])
+        at = list(map(self.memo.get, tokens))
+        if None in at:
+            self.add(list(dict.fromkeys(t for t, a in zip(tokens, at, strict=True) if a is None)))
+            at = list(map(self.memo.__getitem__, tokens))
         where = np.array(at, np.int64)
         kind = self.kind[where]
         h = self.slotted[where]
         unit = ((kind & 2) > 0) & np.concatenate([[False], (kind[:-1] & 1) > 0])
-        h[unit] = np.uint64(xxhash.xxh64_intdigest(b"<unit>"))
+        h[unit] = _UNIT_SLOT
         number = (kind & 1) > 0
         return [(h, number | unit | ((kind & 4) > 0), None), (self.typed[where], number, self.plain[where])]
 
@@ -146,6 +153,12 @@ class Scan:
                 yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))], ["id", "th", "size", "at", "w", "slots"])
 
 
+def tiny_text(text: Column) -> Column:
+    """Has a text one to LEAST - 1 words? Told without reading on behind those, however long the text is."""
+    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    return text.rlike(rf"\A{blank}*+{word}++(?:{blank}++{word}++){{0,{LEAST - 2}}}+{blank}*+\z")
+
+
 _OUT = "id long, th long, size int, at long, w long, slots array<string>"
 
 
@@ -197,6 +210,6 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, r
     # an item too short for a window is in a document that is nothing else
     bare = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
     tiny = items.where((n > 0) & (n < LEAST)).select(F.col("id").alias("item_id"), bare(F.col("text")).alias("bare")).distinct()
-    small = d.where(n.between(1, LEAST - 1)).select(F.col("id").alias("doc_id"), "th", bare(F.col("text")).alias("bare")).distinct()
+    small = d.where(tiny_text(F.col("text"))).select(F.col("id").alias("doc_id"), "th", bare(F.col("text")).alias("bare")).distinct()
     whole = small.join(tiny, "bare").select("doc_id", "th", "item_id", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("exact"), F.lit(1).cast("long").alias("matched"))
     return held.unionByName(whole)

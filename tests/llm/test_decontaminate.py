@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from stresslens.llm import decontaminate
 from stresslens.llm import texts as texts_
 
@@ -180,3 +182,14 @@ def test_names_at_the_start_and_tiny_items(spark):
     other = question.replace("Alice", "Robert").replace("5", "9").replace("3", "4").replace("2", "6")
     d = spark.createDataFrame([(1, other, "x"), (None, " 2 +\n2?", "x"), (3, "what is 2 + 2?", "x"), (None, other, "x")], "doc_id long, text string, item_id string")
     assert sorted((str(x.doc_id), x.item_id, x.coverage) for x in decontaminate.matches(d, b).collect()) == [("1", 1, 1.0), ("None", 1, 1.0), ("None", 2, 1.0)]
+
+
+def test_tiny_texts_are_told_by_their_first_words(spark):
+    texts = ["", " ", "a", " a\tb ", "a b\n", "é x y", "a  b\r\nc", "a b c d", "\n a b c \x0b", "a b c \nd", "a\x1cb c", "a b c" + " " * 9000, "word " * 200000, None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i for x in d.where(decontaminate.tiny_text(F.col("t"))).collect()}
+    assert got == {i for i, t in enumerate(texts) if t and 1 <= len(re.findall(r"[^\x20\x09-\x0D]+", t)) < decontaminate.LEAST}
+    # no expression reads every whole text for a count of its words
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    plan = decontaminate.matches(d.select(F.col("i").alias("doc_id"), F.col("t").alias("text")), b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and not [x for x in plan.splitlines() if "Filter" in x and "regexp_count" in x.lower() and "t#" in x]

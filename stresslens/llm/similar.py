@@ -4,10 +4,10 @@ The SimHash of the shingle set, linked by the deletion variants of simhash.edges
 few bits. It can't be all: texts of similarity 0.8 differ in ten bits of 64 on average, and no cut of 64 bits into
 segments finds those without comparing nearly everything. So MinHash bands propose the others: two texts of similarity
 J share one of BANDS bands of ROWS least hashes with probability 1 - (1 - J**ROWS)**BANDS, 0.9995 for 0.8 and more
-above. Texts with equal shingle sets are one. Each set is first held against the one that is the least in most of its
-buckets; then buckets compare what is in different components, by signatures in runs of sorted keys. A signature has a byte of each of the
-BANDS * ROWS least hashes; a pair whose signatures agree in so few that it lies four deviations below the similarity
-asked for goes no further, and every other one is verified exactly by its texts before it is linked.
+above. Texts with equal shingle sets are one. Shingle hashes of the sets that anything is proposed for are written once
+and dealt by group, and a group's sets are compared in place: each set first with the one that is the least in most of
+its buckets, then, in buckets that still hold sets of different components, with all others there. Of a group only links between
+components leave the task, fewer than it has sets, however many of its pairs are looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ _DRAW = np.random.Generator(np.random.PCG64(42))
 _XOR, _TIMES = (_DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
 _CHUNK = 4096
+#: So many sets of a group are compared in one place at most, with as many others.
+BLOCK = 2048
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -50,8 +52,8 @@ def _words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def bands(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's key in each band, and its signature."""
+def bands(h: np.ndarray) -> np.ndarray:
+    """A set's key in each band."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for i in range(0, len(h), _CHUNK):
         np.minimum(least, ((h[i : i + _CHUNK, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
@@ -59,14 +61,7 @@ def bands(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(ROWS):
         key = (key ^ least[k::ROWS]) * _ODD
         key ^= key >> np.uint64(29)
-    # least values have zeros in front: a product's top byte depends on all their bits
-    return key.view(np.int64), ((least * _ODD) >> np.uint64(56)).astype(np.uint8)
-
-
-def enough(least: float) -> int:
-    """In how many places the signatures of texts of that similarity agree, less four deviations."""
-    n = BANDS * ROWS
-    return int(n * least - 4 * (n * least * (1 - least)) ** 0.5)
+    return key.view(np.int64)
 
 
 def sketch(h: np.ndarray) -> int:
@@ -78,52 +73,63 @@ def sketch(h: np.ndarray) -> int:
     return simhash.majority(counts, len(h))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def _signed(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, th, s (the hash of the shingle set), its SimHash, its signature and its bands for every row of documents (doc_id, th, text)."""
+    """doc_id, th, s (the hash of the shingle set), its SimHash and its bands for every row of documents (doc_id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [shingles(t, words) for t in raw(batch.column(2))]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
-            told = [bands(x) for x in h]
-            keys = np.concatenate([x[0] for x in told]) if h else np.zeros(0, np.int64)
+            keys = np.concatenate([bands(x) for x in h]) if h else np.zeros(0, np.int64)
             ends = pa.array(range(0, len(keys) + 1, BANDS), pa.int32())
             fp = pa.array([sketch(x) for x in h], pa.int64())
-            sig = pa.array([x[1].tobytes() for x in told], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), fp, sig, pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "th", "s", "fp", "sig", "bands"])
-
-    return documents.mapInArrow(run, "doc_id long, th long, s long, fp long, sig binary, bands array<long>")
-
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), fp, pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "th", "s", "fp", "bands"])
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return documents.mapInArrow(run, "doc_id long, th long, s long, fp long, bands array<long>")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose signatures agree in enough places."""
-    most = enough(least)
+def _hashes(asked: DataFrame, documents: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """s, h: the shingle hashes of the sets asked for (s, each once), from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(1) >= most
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine))
+            yield pa.record_batch([batch.column(0), pa.array([shingles(t, words).tobytes() for t in raw(batch.column(1))], pa.binary())], ["s", "h"])
 
-    sig = [sets.select(F.col("s").alias(c), F.col("sig").alias(f"{c}_sig")) for c in "ab"]
-    return pairs.distinct().join(sig[0], "a").join(sig[1], "b").select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
+    where = sets.join(asked, "s").select("s", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"))
+    texts = documents.join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("s", "text").dropDuplicates(["s"])
+    return texts.mapInArrow(run, "s long, h binary")
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of rows (key, s, c, sig) that share a key, differ in c, and are likely.
+def connecting(sets: list[np.ndarray], c: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of places in sets that are similar enough, as many as connect what they can connect of different components c.
 
-    Rows are dealt and sorted by key, and a run of equal keys is compared in place, so what a bucket of many
-    different texts makes is the pairs that remain, not the pairs that are looked at.
+    Sets with the same side other than -1 meet elsewhere and aren't compared.
+    """
+    c, out = c.copy(), []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(values), bool)
+    for i in range(len(sets) - 1):
+        open_ = (c[i + 1 :] != c[i]) & ((side[i + 1 :] != side[i]) | (side[i] == -1))
+        if not open_.any():
+            continue
+        own = place[starts[i] : starts[i + 1]]
+        held[own] = True
+        both = np.diff(np.concatenate([[0], np.cumsum(held[place[starts[i + 1] :]])])[starts[i + 1 :] - starts[i + 1]])
+        held[own] = False
+        for j in (np.flatnonzero(open_ & (both / np.maximum(sizes[i] + sizes[i + 1 :] - both, 1) >= least)) + i + 1).tolist():
+            if c[j] != c[i]:
+                out.append((i, j))
+                c[c == c[j]] = c[i]
+    return out
+
+
+def _linked(groups: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that are similar enough of those in a group (key, s, c, side), as many as connect them, by exact comparison.
+
+    Rows are dealt and sorted by key, and a run of equal keys is compared in place.
     """
-    most = enough(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -141,50 +147,27 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
             yield compared(held)
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
-        key, s, c = (rows.column(n).to_numpy() for n in ("key", "s", "c"))
-        sig, off = _bytes(rows.column("sig")), 1
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        i = np.flatnonzero(key[:-1] == key[1:])
-        while len(i):
-            asked = i[c[i] != c[i + off]]
-            for at in range(0, len(asked), 1 << 14):
-                some = asked[at : at + (1 << 14)]
-                some = some[(sig[some] == sig[some + off]).sum(1) >= most]
-                left.append(s[some])
-                right.append(s[some + off])
-            off += 1
-            i = i[i + off < len(key)]
-            i = i[key[i] == key[i + off]]
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return rows.select("key", "s", "c", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
-    """Those pairs (a, b) of shingle sets that are similar enough by the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}  # a bucket's least one comes again and again
+        key, s, c, side = (rows.column(n).to_numpy() for n in ("key", "s", "c", "side"))
+        h = [np.frombuffer(x, np.uint64) for x in rows.column("h").to_pylist()]
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
+        found = [(at + i, at + j) for at, end in zip(edges, edges[1:], strict=False) for i, j in connecting(h[at:end], c[at:end], side[at:end], least)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.record_batch([pa.array(s[a]), pa.array(s[b])], ["a", "b"])
 
-        def known(s: int, text: bytes) -> np.ndarray:
-            if s not in seen:
-                if len(seen) > 64:
-                    seen.clear()
-                seen[s] = shingles(text, words)
-            return seen[s]
+    return groups.join(hashes, "s").select("key", "s", "c", "side", "h").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            both = zip(batch.column(0).to_pylist(), raw(batch.column(2)), raw(batch.column(3)), strict=True)
-            keep = pa.array([similarity(known(a, x), shingles(y, words)) >= least for a, x, y in both], pa.bool_())
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    pairs = packed(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    where = sets.join(asked, F.col("s") == F.col("asked")).select("s", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"))
-    texts = documents.join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("s", "text").dropDuplicates(["s"])
-    left, right = texts.select(F.col("s").alias("a"), F.col("text").alias("x")), texts.select(F.col("s").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Groups (key, s, c) that hold several components, with side; one of more than BLOCK sets as pairs of its blocks."""
+    several = groups.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    b = F.ceil(F.col("n") / BLOCK).cast("int")
+    g = groups.join(several.select(F.col("key").alias("of"), b.alias("b")), F.col("key") == F.col("of"))
+    whole = g.where("b = 1").select("key", "s", "c", F.lit(-1).alias("side"))
+    own = F.pmod("s", "b").cast("int")
+    split = g.where("b > 1").select("key", "s", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("x"))
+    pair = F.xxhash64("key", F.least("own", "x"), F.greatest("own", "x"))
+    # a block's sets are compared with each other where it is paired with itself
+    return whole.unionByName(split.select(pair.alias("key"), "s", "c", F.when(F.col("own") == F.col("x"), -1).otherwise(F.col("own")).alias("side")))
 
 
 def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, bits: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -197,20 +180,29 @@ def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, bi
     documents = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = cut(_signed(documents, words))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    sets = cut(rows.groupBy("s").agg(one.alias("one"), F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
+    sets = cut(rows.groupBy("s").agg(one.alias("one"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
     prints = cut(sets.groupBy("fp").agg(F.min("s").alias("a")))
-    close = simhash.edges(prints, bits).toDF("fp", "to").distinct()
-    close = close.join(prints, "fp").select("to", "a").join(prints.select(F.col("fp").alias("to"), F.col("a").alias("b")), "to").select("a", "b")
+    close = simhash.edges(prints, bits).toDF("fp", "to").where("fp <> to").distinct()
+    close = cut(close.join(prints, "fp").select("to", "a").join(prints.select(F.col("fp").alias("to"), F.col("a").alias("b")), "to").select("a", "b").where("a <> b"))
     same = sets.select("fp", "s").join(prints, "fp").where("s <> a").select("a", F.col("s").alias("b"))
     keyed = sets.select("s", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("known")).where("n > 1").select(F.col("key").alias("of"), "known")
     full = cut(keyed.join(buckets, F.col("key") == F.col("of")).select("key", "s", "known"))
     often = full.where("s <> known").groupBy("s", "known").count().groupBy("s").agg(F.max_by("known", F.struct("count", "known")).alias("a"))
-    proposed = often.select("a", F.col("s").alias("b")).unionByName(close).unionByName(same)
-    stars = _verified(_likely(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, least), documents, sets, words, least)
-    first = cut(components(stars).toDF("s", "root"))
-    rows_ = full.select("key", "s").join(sets.select("s", "sig"), "s").join(first, "s", "left").withColumn("c", F.coalesce("root", "s"))
-    links = _verified(_across(rows_, least), documents, sets, words, least).unionByName(first.select(F.col("s").alias("a"), F.col("root").alias("b")))
+    stars = cut(often.select("a", F.col("s").alias("b")).unionByName(same).distinct())
+    asked = full.select("s").union(stars.select(F.explode(F.array("a", "b")))).union(close.select(F.explode(F.array("a", "b")))).distinct()
+    asked = cut(asked)
+    hashes = packed(_hashes(asked, documents, sets, words))
+    # a star's centre goes to each block of its ends
+    ends = stars.join(stars.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("n")), F.col("a") == F.col("of"))
+    centres = ends.select("a", "n").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("x"), "a", F.col("a").alias("s"))
+    ends = ends.select(F.pmod("b", "n").alias("x"), "a", F.col("b").alias("s")).unionByName(centres)
+    ends = ends.select(F.xxhash64("a", "x").alias("key"), "s", F.col("s").alias("c"), F.lit(-1).alias("side"))
+    first = cut(components(_linked(ends, hashes, least)).toDF("s", "root"))
+    pairs = close.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("s"))
+    groups = full.select("key", "s").unionByName(pairs).join(first, "s", "left").select("key", "s", F.coalesce("root", "s").alias("c"))
+    found = _linked(_blocks(cut(groups)), hashes, least)
+    links = found.unionByName(first.select(F.col("s").alias("a"), F.col("root").alias("b")))
     roots = components(links).toDF("s", "root")
     grouped = rows.select("doc_id", "th", "s").join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("c")).agg(one.alias("x"))
     return grouped.select("x.doc_id", "x.th")

@@ -55,3 +55,33 @@ def test_stage_links_what_is_similar_and_nothing_else(spark):
     assert near > 50 and kept == {min(x)[2] for x in ids.values()}
     assert p.dedup_stage(spark, docs.limit(0), "").count() == 0
     assert similar.representatives(docs.withColumn("doc_id", F.col("doc_id") + 1)).count() == len(kept)
+
+
+def test_groups_are_compared_in_place_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(9)
+    sets = {s: np.unique(np.array([r.randint(0, 40) for _ in range(30)], np.uint64)) for s in range(300)}
+    near = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.45
+    hashes = spark.createDataFrame([(s, bytearray(x.tobytes())) for s, x in sets.items()], "s long, h binary")
+    rows = [(k, s, s % 250) for k in range(3) for s in sets if s % 3 == k or s % 7 == k] + [(7, 0, 0), (7, 250, 0)]
+
+    def parts(edges):
+        root = {s: s for s in sets}
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = {s: low if x == high else x for s, x in root.items()}
+        return root
+
+    given = [(s, t) for s in sets for t in sets if s < t and s % 250 == t % 250]
+    want = parts(given + [(s, t) for k in range(3) for i, s, _ in rows for j, t, _ in rows if i == j == k and s < t and near(s, t)])
+    assert 1 < len(set(want.values())) < 200
+    groups = spark.createDataFrame(rows, "key long, s long, c long")
+    for block in (similar.BLOCK, 20):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        blocks = similar._blocks(groups)
+        assert not blocks.where("s in (0, 250) and key = 7").count()  # one component
+        found = [tuple(x) for x in similar._linked(blocks, hashes, 0.45).collect()]
+        assert all(near(a, b) for a, b in found) and parts(given + found) == want
+        if block > 300:  # what leaves a group doesn't grow with its pairs
+            assert len(found) < len(rows)

@@ -1,88 +1,110 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
-Python only tokenises. Both tokenizers cut before a run of spaces, so a text is a row of runs whose tokens are the same
-wherever they stand; a batch of texts comes as its different runs, end to end, with the tokens' ids and the byte offsets at
-which they end, and each text as numbers of runs. The rest is Spark's array functions. array_intersect of both end arrays
-gives the offsets where groups end; common ends, both tokenizers' ends and those of runs are sorted as numbers into one
-array, where a common end stands just before the two tokens that end there, so their places are read off with no search;
-sequences between consecutive places are the groups, the tokens at the places the links. A text's are those of its runs. How
-often a pair is linked is counted over exploded links, and each document's links are summed against those counts.
+Both tokenizers cut before a run of spaces, so a text is a row of runs whose tokens are the same wherever they stand; a
+batch of texts comes as its different runs, end to end, with the tokens' ids and the byte offsets at which they end, and
+each text as numbers of runs. The offsets that both arrays of ends hold are where groups end: the tokens there are the links,
+those from one such place to the next the groups. All runs of a batch are aligned at once by sorted arrays, and a text's
+links and groups are those of its runs. How often a pair is linked is counted over exploded links, and each document's
+links are summed against those counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.llm.common import cut, packed
 from stresslens.llm.texts import raw
-from stresslens.llm.tokens import ID_BITS, Twice, vocabulary
+from stresslens.llm.tokens import ID_BITS, Twice, runs_of, vocabulary
 
 #: So many pairs with their counts, some 60 MB, are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1 << 20
-#: A batch of texts holds about so many bytes.
-BATCH = 1 << 22
+#: A batch of texts holds about so many bytes; what is made of it is some twenty times as large.
+BATCH = 1 << 19
 
 RUNS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, run_ends array<int>"
 TEXTS = "texts array<struct<row: bigint, doc_id: bigint, part: int, parts: int, n_a: bigint, n_b: bigint, of: array<int>>>"
 
 
-def tokenised(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
-    """RUNS and TEXTS: batches of texts. of says which runs a part of a text consists of; of texts without tokens it is null.
+def given(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    row tells rows apart that share a doc_id. A long text comes in parts that both tokenizers cut at the same place; it
-    is read once before any part is told, as a difference of bytes in one part leaves the whole without tokens.
-    """
+
+def reader(byte_path: str | None = None, piece_path: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task makes of its documents: RUNS and TEXTS, a row at a time."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         twice, row = Twice(byte_path or vocabulary("byte_bpe_50k.json"), piece_path or vocabulary("piece_bpe_32k.model")), TaskContext.get().partitionId() << 40
-        batch, many = Batch(), 0
+        batch, many = Batch(twice), 0
         for b in batches:
             for of, t in zip(b.column("doc_id").to_pylist(), raw(b.column("text")), strict=True):
-                parts, first = 0, None
-                for x in twice.runs(t):
-                    parts, first = (parts + 1, x) if x is not None else (0, None)
-                for part, x in enumerate(iter([first]) if parts < 2 else twice.runs(t)):
-                    batch.add(twice, (row, of, part, max(parts, 1)), x)
-                    many += 64 + (len(t) // parts if parts else 0)
+                pieces = twice.cut(t)
+                if len(pieces) > 1 and not all(map(twice.good, pieces)):
+                    pieces = []
+                for part, x in enumerate(pieces or [None]):
+                    batch.add((row, of, part, max(len(pieces), 1)), x)
+                    many += 64 + len(x or b"")
                     if many > BATCH:
                         yield batch.told()
-                        batch, many = Batch(), 0
+                        batch, many = Batch(twice), 0
                 row += 1
         if many:
             yield batch.told()
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"{RUNS}, {TEXTS}")
+    return work
+
+
+def tokenised(documents: DataFrame, byte_path: str | None = None, piece_path: str | None = None, **names: str) -> DataFrame:
+    """RUNS and TEXTS: batches of texts. of says which runs a part of a text consists of; of texts without tokens it is null.
+
+    row tells rows apart that share a doc_id. A long text comes in parts that both tokenizers cut at the same place; it
+    is read once before any part is told, as a difference of bytes in one part leaves the whole without tokens.
+    """
+    return given(documents, **names).mapInArrow(reader(byte_path, piece_path), f"{RUNS}, {TEXTS}")
 
 
 class Batch:
-    """Texts as numbers of their runs, and the runs' tokens; built from flat arrays."""
+    """Parts of texts, to be told as numbers of their runs beside the runs' tokens, in flat arrays."""
 
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.tokens: list[bytes] = []
+    def __init__(self, twice: Twice):
+        self.twice = twice
         self.texts: list[tuple] = []
-        self.of: list[np.ndarray | None] = []
+        self.pieces: list[bytes | None] = []
 
-    def add(self, twice: Twice, text: tuple[int, int | None, int, int], runs: list[str] | None) -> None:
+    def add(self, text: tuple[int, int | None, int, int], piece: bytes | None) -> None:
         self.texts.append(text)
-        if runs is None:
-            self.of.append(None)
-            return
-        new = [r for r in dict.fromkeys(runs) if r not in self.number]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.tokens += twice.known.all(new)
-        self.of.append(np.fromiter(map(self.number.__getitem__, runs), np.int32, len(runs)))
+        self.pieces.append(piece)
+
+    def runs(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of the different runs, the parts' runs as numbers of those, how many each part has, and which parts have tokens."""
+        try:
+            b"".join(x for x in self.pieces if x).decode()
+            valid = self.pieces
+        except UnicodeDecodeError:
+            valid = [x if x and self.twice.good(x) else None for x in self.pieces]
+        has = np.array([x is not None for x in valid])
+        runs, edges = runs_of([x for x in valid if x is not None])
+        of, sizes = runs.indices.to_numpy(), np.zeros(len(has), np.int64)
+        sizes[has] = np.diff(edges)
+        tokens = self.twice.known.all(runs.dictionary.to_pylist())
+        good = np.array([x is not False for x in tokens], bool)
+        if not good.all():
+            whole = np.repeat(np.arange(len(has)), sizes)
+            has[whole[~good[of]]] = False
+            of, sizes = (np.cumsum(good) - 1)[of[has[whole]]].astype(np.int32), np.where(has, sizes, 0)
+        return [x for x in tokens if x is not False], of, sizes, has
 
     def told(self) -> pa.RecordBatch:
-        sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)) >> 2
-        words, starts = np.frombuffer(b"".join(self.tokens), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+        tokens, every, many, has = self.runs()
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) >> 2
+        words, starts = np.frombuffer(b"".join(tokens), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
         n_a = words[starts[:-1]].astype(np.int64)  # a run's words begin with the number of the first's tokens
         n_b, at = sizes - 1 - n_a, np.arange(len(words)) - np.repeat(starts[:-1], sizes)
         in_a, in_b = (at > 0) & (at <= np.repeat(n_a, sizes)), at > np.repeat(n_a, sizes)
@@ -92,101 +114,65 @@ class Batch:
             columns += [one(pa.array((own & ((1 << ID_BITS) - 1)).astype(np.int32))), one(pa.array(np.cumsum(own >> ID_BITS).astype(np.int32)))]
         ends = np.concatenate([[0], np.cumsum(words[in_a] >> ID_BITS)])[np.cumsum(n_a)]
         columns.append(one(pa.array(ends.astype(np.int32))))
-        has = [x is not None for x in self.of]
-        edges = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in self.of])]).astype(np.int64)
-        every = np.concatenate([*(x for x in self.of if x is not None), np.zeros(0, np.int32)])
+        edges = np.concatenate([[0], np.cumsum(many)])
         counts = [np.concatenate([[0], np.cumsum(n[every])]) for n in (n_a, n_b)]
-        of = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(every), mask=pa.array([not h for h in has]))
+        of = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(every), mask=pa.array(~has))
         told = [pa.array(c, t) for c, t in zip(zip(*self.texts, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
         told += [pa.array(np.diff(c[edges]).astype(np.int64)) for c in counts]
         texts = pa.StructArray.from_arrays([*told, of], ["row", "doc_id", "part", "parts", "n_a", "n_b", "of"])
         return pa.RecordBatch.from_arrays([*columns, one(texts)], ["a_ids", "a_ends", "b_ids", "b_ends", "run_ends", "texts"])
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def between(array: Column, first: Column, last: Column) -> Column:
-    """Its elements from place first to place last. slice() would walk the whole array each time."""
-    return F.transform(F.sequence(first, last), lambda i: F.get(array, i))
-
+ALIGNED = "row bigint, doc_id bigint, part int, parts int, n_a bigint, n_b bigint, links array<bigint>, groups string"
 
-def low(x: Column) -> Column:
-    return x.bitwiseAND(0x7FFFFFFF).cast("int")
 
+def listed(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """values cut into lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-def high(x: Column) -> Column:
-    return F.shiftright(x, 32).cast("int")
 
-
-def aligned_runs(tokens: DataFrame) -> DataFrame:
-    """known, beside texts: of all runs links (arrays of a's id times 65536 plus b's) and groups (`a1,a2|b1;a3|b2`).
+def known(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray, run_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of all links (a's id times 65536 plus b's), how many each run has, and each run's groups (`a1,a2|b1;a3|b2`).
 
     For ids with ascending ends; each run ends where tokens of both end.
     """
-    place = lambda kind: lambda end, i: F.shiftleft(end.cast("long"), 33) + F.lit(kind << 31) + i
-    common = F.array_intersect("a_ends", "b_ends")
-    order = F.sort_array(F.concat(F.transform(common, place(0)), F.transform("a_ends", place(1)), F.transform("b_ends", place(2)), F.transform("run_ends", place(3))))
-    texts = F.array("a_ids", "b_ids").alias("ids"), F.array(F.col("a_ids").cast("array<string>"), F.col("b_ids").cast("array<string>")).alias("said")
-
-    def spots(order: Column) -> Column:
-        """Of each common end the places of its two tokens, and above them whether a run ends there."""
-
-        def spot(x: Column, j: Column) -> Column:
-            kind = lambda y: F.shiftright(y, 31).bitwiseAND(3)
-            ends = F.when(kind(F.get(order, j + 3)) == 3, F.lit(1 << 31)).otherwise(F.lit(0).cast("long"))
-            return F.when(kind(x) == 0, F.shiftleft(low(F.get(order, j + 1)).cast("long"), 32) + ends + low(F.get(order, j + 2)))
-
-        return F.array_compact(F.transform(order, spot))
-
-    def told(x: Column) -> Column:
-        a, b, a_said, b_said, at = F.get(x["ids"], F.lit(0)), F.get(x["ids"], F.lit(1)), F.get(x["said"], F.lit(0)), F.get(x["said"], F.lit(1)), x["spots"]
-        link = lambda s: F.get(a, high(s)).cast("long") * 65536 + F.get(b, low(s))
-
-        def group(s: Column, g: Column) -> Column:
-            def said(before: Column) -> Column:
-                part = lambda of, place: F.array_join(between(of, place(before) + 1, place(s)), ",")
-                alone = (high(s) - high(before) == 1) & (low(s) - low(before) == 1)
-                return F.when(alone, F.concat(F.get(a_said, high(s)), F.lit("|"), F.get(b_said, low(s)))).otherwise(F.concat(part(a_said, high), F.lit("|"), part(b_said, low)))
-
-            first = F.concat(F.array_join(between(a_said, F.lit(0), high(s)), ","), F.lit("|"), F.array_join(between(b_said, F.lit(0), low(s)), ","))
-            return F.when(g == 0, first).otherwise(let(F.get(at, g - 1), said))
-
-        last = F.array_compact(F.transform(at, lambda s, g: F.when(F.shiftright(s, 31).bitwiseAND(1) == 1, g)))
-        return F.struct(F.transform(at, link).alias("links"), F.transform(at, group).alias("groups"), last.alias("last"))
-
-    def cut_up(x: Column, use) -> Column:
-        """use(first, last) of the places of each run's groups."""
-
-        def run(end: Column, r: Column) -> Column:
-            start = F.when(r == 0, F.lit(0)).otherwise(F.get(x["last"], r - 1) + 1)
-            return let(start, lambda s: use(s, end))
-
-        return F.transform(x["last"], run)
-
-    def runs(x: Column) -> Column:
-        links = cut_up(x, lambda a, b: between(x["links"], a, b))
-        groups = cut_up(x, lambda a, b: F.array_join(between(x["groups"], a, b), ";"))
-        return F.struct(links.alias("links"), groups.alias("groups"))
-
-    known = let(F.struct(let(order, spots).alias("spots"), *texts), lambda x: let(told(x), runs))
-    return tokens.select(known.alias("known"), "texts")
+    ends, a_at, b_at = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+    links = a_ids[a_at].astype(np.int64) * 65536 + b_ids[b_at]
+    said = lambda ids, at: pc.binary_join(listed(pa.array(ids[: at[-1] + 1 if len(at) else 0]).cast(pa.string()), np.diff(at, prepend=-1)), ",")
+    groups = pc.binary_join_element_wise(said(a_ids, a_at), said(b_ids, b_at), "|")
+    sizes = np.diff(np.searchsorted(ends, run_ends, "right"), prepend=0)
+    return links, sizes, pc.binary_join(listed(groups, sizes), ";")
+
+
+def told(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """ALIGNED of RUNS and TEXTS. The runs are aligned once; a text's links and groups are those of its runs."""
+    flat = lambda x: x.values if x.is_valid else pa.array([], pa.int32())
+    for i in range(batch.num_rows):
+        links, sizes, groups = known(*[flat(batch.column(c)[i]).to_numpy(zero_copy_only=False) for c in ("a_ids", "a_ends", "b_ids", "b_ends", "run_ends")])
+        texts = batch.column("texts")[i].values
+        of, starts = texts.field("of"), np.cumsum(sizes) - sizes
+        runs, has = of.flatten().to_numpy(), of.is_valid()
+        counts = pc.fill_null(pc.list_value_length(of), 0).to_numpy()
+        many = sizes[runs]
+        # the places of the links of each run of each text, one after the other
+        at = np.arange(many.sum()) + np.repeat(starts[runs] - (np.cumsum(many) - many), many)
+        edges = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(counts)])]
+        none = pc.invert(has)
+        linked = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(links[at]), mask=none)
+        joined = pc.if_else(has, pc.binary_join(listed(groups.take(pa.array(runs)), counts), ";"), pa.scalar(None, pa.string()))
+        names = ["row", "doc_id", "part", "parts", "n_a", "n_b"]
+        yield pa.RecordBatch.from_arrays([*[texts.field(c) for c in names], linked, joined], [*names, "links", "groups"])
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """row, doc_id, part, parts, n_a, n_b, links and groups of each part of a text; links and groups are null where it has no tokens."""
+    return tokens.mapInArrow(lambda batches: (x for b in batches for x in told(b)), ALIGNED)
 
-    def told(x: Column) -> Column:
-        def text(t: Column) -> Column:
-            of = lambda c: F.transform(t["of"], lambda i: F.get(x["known"][c], i))
-            return F.struct(*[t[c].alias(c) for c in ("row", "doc_id", "part", "parts", "n_a", "n_b")], F.flatten(of("links")).alias("links"), F.array_join(of("groups"), ";").alias("groups"))
-
-        return F.transform(x["texts"], text)
 
-    each = aligned_runs(tokens).select(F.struct("known", "texts").alias("x")).select(let(F.col("x"), told).alias("x"))
-    return each.select(F.explode("x").alias("x")).select("x.*")
+def read(documents: DataFrame, byte_path: str | None = None, piece_path: str | None = None, **names: str) -> DataFrame:
+    """aligned(tokenised(documents)) by one pass through Python: the tokens of a batch don't leave their task."""
+    work = reader(byte_path, piece_path)
+    return given(documents, **names).mapInArrow(lambda batches: (x for b in work(batches) for x in told(b)), ALIGNED)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -212,7 +198,7 @@ def align(documents: DataFrame, most: int = BROADCAST, **names: str) -> DataFram
     Null and empty texts, invalid UTF-8 and texts whose bytes a tokenizer doesn't give back have zeros and ''. Rows given
     twice are rows each, and all count; doc_id may be null. A document's groups as text must fit into 2 GB.
     """
-    d = aligned(tokenised(documents, **names))
+    d = read(documents, **names)
     alone = F.col("parts") == 1
     d = packed(d.select("row", "doc_id", "part", "parts", "n_a", "n_b", "links", F.when(alone, F.sha2("groups", 256)).alias("sha"), F.when(~alone, F.col("groups")).alias("groups")))
     counts = pair_counts(d)

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a task remembers, some 100 MB of them; it forgets all when there are more.
 MEMORY = 1 << 19
@@ -103,8 +105,6 @@ class Words:
             at = end
 
 
-#: Where a text may be cut for both tokenizers of an alignment: before a run of spaces.
-_RUN = re.compile(r" +[^ ]*")
 #: The character that stands for a space in pieces.
 _SPACE = "▁"
 
@@ -118,6 +118,8 @@ ID_BITS = 17
 class Twice:
     """Runs of spaces and what follows up to the next, by two tokenizers: a byte-level one and one of pieces.
 
+    Where a text may be cut for both is before a run of spaces.
+
     The byte-level vocabulary comes from its file; ids rise with the rank of merges, so tiktoken's merging gives its ids.
     """
 
@@ -141,35 +143,43 @@ class Twice:
             second.append(bytes([int(t[3:5], 16)]) if self.pieces.is_byte(i) else t.replace(_SPACE, " ").encode())
         self.first, self.second = ((x, np.array([(len(t) << ID_BITS) | i for i, t in enumerate(x)], "<u4")) for x in (first, second))
         self.space = self.pieces.piece_to_id(_SPACE)
-        self.known = Known(self.learn)
+        self.known = Known(self.learn, MEMORY // 4)
 
     def learn(self, runs: list[str]) -> list[bytes | bool]:
         """Of each run how many tokens the first gives, those, and those of the second, four bytes each; False if their bytes aren't the run's."""
+        if not runs:
+            return []
+        whole = "".join(runs).encode()
+        bytes_of = pc.binary_length(pa.array(runs, pa.large_string())).to_numpy().astype(np.int64)
         first, second = [self.bytes.encode_ordinary(r) for r in runs], [x or [self.space] for x in self.pieces.encode([r[1:] for r in runs], num_threads=1)]
-        flat, told = [], []
+        flat, told, right = [], [], True
         for ids, (known, word) in ((first, self.first), (second, self.second)):
-            every = list(chain.from_iterable(ids))
+            every, sizes = list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids))
             flat.append(b"".join(map(known.__getitem__, every)))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            told.append((word[every] if every else word[:0], np.concatenate([[0], np.cumsum(sizes)])))
-        whole = "".join(runs).encode()
-        (a, a_at), (b, b_at) = told
-        lengths = [np.diff(np.concatenate([[0], np.cumsum((x >> ID_BITS).astype(np.int64))])[at]) for x, at in told]
-        good = flat[0] == flat[1] == whole and (lengths[0] == lengths[1]).all() and (lengths[0] == [len(r.encode()) for r in runs]).all()
-        a_raw, b_raw, a_at, b_at = a.tobytes(), b.tobytes(), (4 * a_at).tolist(), (4 * b_at).tolist()
-        out = []
-        for i, r in enumerate(runs):
-            if not good:
-                raw = r.encode()
-                if not raw == b"".join([self.first[0][x] for x in first[i]]) == b"".join([self.second[0][x] for x in second[i]]):
-                    out.append(False)
-                    continue
-            out.append((a_at[i + 1] - a_at[i] >> 2).to_bytes(4, "little") + a_raw[a_at[i] : a_at[i + 1]] + b_raw[b_at[i] : b_at[i + 1]])
-        return out
-
-    def runs(self, text: bytes) -> Iterator[list[str] | None]:
-        """The runs of each piece of " " + text; null where one's bytes aren't what the tokenizers give, or the text is no UTF-8."""
-        at = 0
+            told.append((word[every] if every else word[:0], sizes))
+            ends = np.concatenate([[0], np.cumsum(told[-1][0] >> ID_BITS, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
+            right = right & (np.diff(ends) == bytes_of)
+        if right.all() and not flat[0] == flat[1] == whole:  # as long as their runs, but not the same
+            x, y, z = (np.frombuffer(b, np.uint8) for b in (whole, *flat))
+            right[np.searchsorted(np.cumsum(bytes_of), np.flatnonzero((x != y) | (x != z)), "right")] = False
+        if not right.all():
+            out = np.full(len(runs), False, object)
+            out[right] = self.learn([r for r, ok in zip(runs, right, strict=True) if ok])
+            return out.tolist()
+        (a, n_a), (b, n_b) = told
+        sizes = 1 + n_a + n_b
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        words = np.empty(ends[-1], "<u4")
+        words[starts] = n_a
+        words[np.arange(len(a)) + np.repeat(starts + 1 - (np.cumsum(n_a) - n_a), n_a)] = a
+        words[np.arange(len(b)) + np.repeat(starts + 1 + n_a - (np.cumsum(n_b) - n_b), n_b)] = b
+        raw = words.tobytes()
+        return [raw[i:j] for i, j in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
+    def cut(self, text: bytes) -> list[bytes]:
+        """" " + text in pieces of about PIECE bytes, each of whole runs; none of an empty text."""
+        at, out = 0, []
         while at < len(text):
             end = len(text)
             if end - at > PIECE:
@@ -177,13 +187,27 @@ class Twice:
                 while cut > 0 and text[cut - 1] == 32:  # within a run of spaces
                     cut = text.find(b" ", cut + 1)
                 end = cut if cut > 0 else end
-            try:
-                runs = _RUN.findall((" " if not at else "") + text[at:end].decode())
-            except UnicodeDecodeError:
-                yield None
-                return
-            if False in self.known.all(runs):
-                yield None
-                return
-            yield runs
+            out.append((b"" if at else b" ") + text[at:end])
             at = end
+        return out
+
+    def good(self, piece: bytes) -> bool:
+        """Do both tokenizers give back its bytes? Those of no UTF-8 they don't."""
+        try:
+            piece.decode()
+        except UnicodeDecodeError:
+            return False
+        return False not in self.known.all(runs_of([piece])[0].dictionary.to_pylist())
+
+
+def runs_of(pieces: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The runs of pieces of valid UTF-8 that each begin with a space, one after the other, and at which of them pieces begin, with the end."""
+    data = b"".join(pieces)
+    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+    space = np.frombuffer(data, np.uint8) == 32
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    starts[edges[:-1]] = True
+    at = np.append(np.flatnonzero(starts), len(data))
+    runs = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+    return runs.dictionary_encode(), np.searchsorted(at, edges)

@@ -107,3 +107,21 @@ def test_ends_that_differ(spark):
     link = lambda *pairs: [a * 65536 + b for a, b in pairs]
     assert got[0] == (link((2, 7), (3, 8), (4, 6), (5, 7), (2, 7), (3, 8)), "1,2|7;3|8;4|6;5|7;1,2|7;3|8")
     assert got[1:] == [(None, None), (None, None), (link((4, 6)), "4|6")]
+
+
+def test_read_in_one_pass(spark):
+    d = spark.createDataFrame([*documents(), (7, "bad")], "doc_id long, text string").withColumn("text", F.expr("if(text like 'bad%', cast(x'62616420FF20776F7264' as string), text)")).coalesce(1)
+    plan = alignment.read(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "transform(" not in plan
+    got = alignment.read(d).orderBy("row", "part").collect()
+    assert got == alignment.aligned(alignment.tokenised(d)).orderBy("row", "part").collect()
+    assert got[-1].doc_id == 7 and got[-1].links is None
+
+
+def test_learns_around_bad_runs():
+    twice = tokens.Twice(tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model"))
+    runs = [" fine", " a▁b", " words", "  two", " \u2581"]
+    every = twice.learn(runs)
+    assert [x is False for x in every] == [False, True, False, False, True]
+    assert every == [twice.learn([r])[0] for r in runs]
+    assert twice.learn([]) == []

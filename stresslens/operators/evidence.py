@@ -1,13 +1,15 @@
-"""All reasons why a table of rows may not be used, from one read; and digests that bind a table of any size.
+"""All reasons why a table of rows may not be used, in one row; and digests that bind a table of any size.
 
-Checks of rows, of keys, of sources and of the whole table share one chain of aggregates: rows are summed by key, keys by
-source, sources to one row, and each step carries on what the checks so far have found, as a count and one example.
-So a dozen reasons cost one scan and two shuffles that shrink, and the driver sees one row however many rows are bad.
+Checks of rows and of the whole table are one aggregate over all rows, where they are: a count and one example each, nothing
+is sorted or shuffled. Checks of keys and sources read the rows once more, but only their keys and the columns that a source
+must not change: those are summed by key where keys are asked for, by source, and to one row. So what rows' checks find isn't
+carried through the shuffle by source, and the driver sees one row however many rows are bad.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,34 +37,37 @@ class Checks:
 
 
 def summary(rows: DataFrame, checks: Checks, source: str = "source_id", condition: str = "condition_id", example: str = "sample_id") -> DataFrame:
-    """One row: rows, sources, the number n_ and an example e_ of each reason, c_ of what is counted, and least and greatest of single columns.
+    """One row: rows, sources, the number n_ and an example e_ of each reason, c_ of what is counted, and least and greatest of single columns (l_, g_).
 
     Rows without a source or a condition are one source, or one condition of theirs. An empty table gives zeros.
     """
     bad = {k: ~F.coalesce(c, F.lit(False)) for k, c in checks.rows.items()}
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    first = [F.count("*").alias("rows")]
-    first += [x for k, c in bad.items() for x in (F.count_if(c).alias(f"n_{k}"), F.min(F.when(c, F.col(example).cast("string"))).alias(f"e_{k}"))]
-    first += [F.count_if(F.coalesce(c, F.lit(False))).alias(f"c_{k}") for k, c in checks.counted.items()]
-    ends = dict.fromkeys((*checks.constant, *checks.single))
-    first += [x for c in ends for x in (F.min(text(c)).alias(f"l_{c}"), F.max(text(c)).alias(f"g_{c}"))]
-    keys = rows.groupBy(F.col(source).alias("source"), F.col(condition).alias("condition")).agg(*first)
-
-    carried = [x for k in bad for x in (F.sum(f"n_{k}").alias(f"n_{k}"), F.min(f"e_{k}").alias(f"e_{k}"))] + [F.sum(f"c_{k}").alias(f"c_{k}") for k in checks.counted]
-    carried += [F.sum("rows").alias("rows")] + [x for c in ends for x in (F.min(f"l_{c}").alias(f"l_{c}"), F.max(f"g_{c}").alias(f"g_{c}"))]
-    known = F.col("condition").isin(NAMES)
-    again = F.col("rows") > 1
-    sources = keys.groupBy("source").agg(*carried, F.count_if(again).alias("n_repeated"), F.min(F.when(again, F.concat_ws(":", "source", "condition"))).alias("e_repeated"), F.count_if(known).alias("conditions"))
-
-    of = {}
+    # each check is worked out once a row, for its count and its example
+    marks = rows.select(F.col(example).cast("string").alias("example"), *[c.alias(f"b_{k}") for k, c in bad.items()], *[F.coalesce(c, F.lit(False)).alias(f"c_{k}") for k, c in checks.counted.items()], *[text(c).alias(f"s_{c}") for c in checks.single])
+    whole = [F.count("*").alias("rows")]
+    whole += [x for k in bad for x in (F.count_if(f"b_{k}").alias(f"n_{k}"), F.min(F.when(F.col(f"b_{k}"), F.col("example"))).alias(f"e_{k}"))]
+    whole += [F.count_if(f"c_{k}").alias(f"c_{k}") for k in checks.counted]
+    whole += [x for c in checks.single for x in (F.min(f"s_{c}").alias(f"l_{c}"), F.max(f"s_{c}").alias(f"g_{c}"))]
+
+    keys = rows.select(F.col(source).alias("source"), F.col(condition).alias("condition"), *[text(c).alias(f"{e}_{c}") for c in checks.constant for e in "lg"])
+    ends = [x for c in checks.constant for x in (F.min(f"l_{c}").alias(f"l_{c}"), F.max(f"g_{c}").alias(f"g_{c}"))]
+    carried, found, of = [], [], {}
+    if checks.unique or checks.complete:
+        keys = keys.groupBy("source", "condition").agg(F.count("*").alias("rows"), *ends)
     if checks.unique:
+        again = F.col("rows") > 1
+        found += [F.count_if(again).alias("n_repeated"), F.min(F.when(again, F.concat_ws(":", "source", "condition"))).alias("e_repeated")]
         carried += [F.sum("n_repeated").alias("n_repeated"), F.min("e_repeated").alias("e_repeated")]
     if checks.complete:
+        found += [F.count_if(F.col("condition").isin(NAMES)).alias("conditions")]
         of["incomplete_grid"] = F.col("conditions") < len(NAMES)
     of |= {f"{c}_changes": F.col(f"l_{c}") != F.col(f"g_{c}") for c in checks.constant}
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
     carried += [x for k, c in of.items() for x in (F.count_if(c).alias(f"n_{k}"), F.min(F.when(c, name)).alias(f"e_{k}"))]
-    one = sources.agg(F.count("*").alias("sources"), *carried)
+    # a source is one row even where nothing is asked of it
+    sources = keys.groupBy("source").agg(*found, *ends, F.lit(1).alias("one")).agg(F.count("*").alias("sources"), *carried)
+    one = marks.agg(*whole).crossJoin(F.broadcast(sources))  # one row
     return one.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c[:2] in ("n_", "c_") or c in ("rows", "sources") else F.col(c) for c in one.columns])
 
 
@@ -80,9 +85,9 @@ def expert_checks(experts: tuple[str, ...]) -> tuple[dict[str, Column], Column]:
     e = {x: F.col("experts")[x] for x in experts}
     on = {x: F.coalesce(b["ok"], F.lit(True)) & b.isNotNull() for x, b in e.items()}
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    every = lambda f: F.forall(F.array(*[~on[x] | F.coalesce(f(b), F.lit(False)) for x, b in e.items()]), lambda ok: ok)
+    every = lambda f: reduce(Column.__and__, [~on[x] | F.coalesce(f(b), F.lit(False)) for x, b in e.items()], F.lit(True))
     near = lambda b: ~(probability(b["p_fake"]) & finite(b["raw_logit"])) | (F.abs(scalars.sigmoid(b["raw_logit"]) - b["p_fake"]) <= TOLERANCE)
-    answered = F.exists(F.array(*on.values()), lambda x: x)
+    answered = reduce(Column.__or__, on.values(), F.lit(False))
     return {"experts": F.col("experts").isNotNull(), "ok_missing": every(lambda b: b["ok"].isNotNull()), "p_fake": every(lambda b: probability(b["p_fake"])), "raw_logit": every(lambda b: finite(b["raw_logit"])), "logit_off": every(near)}, answered
 
 

@@ -117,3 +117,22 @@ def test_coverage_adds_up(spark, broken):
     assert got.keys() == ({"successful_view_count", "freeze_rows", "freeze_digest"} if broken else set())
     got = {x.reason for x in evidence.coverage_reasons(rows, {**coverage, "successful_view_count": 239}, 1).collect()}
     assert got == {"failure_count", "denominator", "failures"} | (set() if broken else {"successful_view_count"})
+
+
+def test_sources_carry_no_row_checks(spark):
+    from stresslens.plans import validation_queries
+
+    rows = validation_queries.evaluated(spark, "/root/testdata/sf0.001")
+    plan = evidence.summary(rows, evidence.cache_checks(("x", "y")))._jdf.queryExecution().optimizedPlan().toString()
+    by_source = [line for line in plan.splitlines() if "Aggregate [source" in line]
+    assert by_source and not any("e_label" in line or "n_label#" in line for line in by_source)
+    assert "lambda" not in plan
+
+
+def test_no_experts_asked(spark):
+    from stresslens.plans import validation_queries
+
+    rows = validation_queries.evaluated(spark, "/root/testdata/sf0.001")
+    one = evidence.summary(rows, evidence.cache_checks(())).first()
+    assert one.n_ok_missing == one.n_p_fake == 0 and one.rows == rows.count()
+    assert one.c_no_expert == rows.where("experts is not null").count()

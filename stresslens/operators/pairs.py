@@ -114,10 +114,15 @@ def flag_rules(retained: DataFrame, below: tuple[int, ...], threshold: float = 0
 
 def stress_summary(rows: DataFrame, threshold: float = 0.5, views: int = 20) -> DataFrame:
     """Per source: spread of scores, the conditions that flip the verdict in canonical order, and a status."""
-    flip = (F.col("p") >= threshold) != (F.col("clean_p") >= threshold)
-    s = with_clean(rows).groupBy("method_id", "source_id").agg(r6(F.max("p") - F.min("p")).alias("spread"), F.sort_array(F.collect_list(F.when(flip, F.struct("idx", "condition_id")))).alias("f"), F.count("*").alias("n_scored"))
-    status = F.when(F.col("n_scored") < views, "incomplete").when(F.size("f") == 0, "stable").otherwise("unstable")
-    return s.select("method_id", "source_id", "spread", F.transform("f", lambda x: x["condition_id"]).alias("flips"), F.size("f").alias("n_flips"), "n_scored", status.alias("status"))
+    # views on either side of the threshold, told apart once the clean one is known: no window, and numbers only where the lists aren't asked for
+    high, view = F.col("p") >= threshold, F.struct("idx", "condition_id")
+    of = lambda side: F.sort_array(F.collect_list(F.when(side, view)))
+    clean = F.max(F.when(F.col("condition_id") == "clean", F.col("p")))
+    s = rows.groupBy("method_id", "source_id").agg(r6(F.max("p") - F.min("p")).alias("spread"), clean.alias("clean_p"), F.count_if(high).alias("high"), F.count_if(~high).alias("low"), of(high).alias("highs"), of(~high).alias("lows"), F.count("*").alias("n_scored")).where("clean_p is not null")
+    other = lambda low, high: F.when(F.col("clean_p") >= threshold, F.col(low)).otherwise(F.col(high))
+    n = other("low", "high").cast("int")
+    status = F.when(F.col("n_scored") < views, "incomplete").when(n == 0, "stable").otherwise("unstable")
+    return s.select("method_id", "source_id", "spread", F.transform(other("lows", "highs"), lambda x: x["condition_id"]).alias("flips"), n.alias("n_flips"), "n_scored", status.alias("status"))
 
 
 def greedy_conditions(rows: DataFrame, steps: int, threshold: float = 0.5) -> DataFrame:

@@ -214,3 +214,26 @@ def test_blocks_summed_together_draw_the_same(spark, monkeypatch, few):
         own = [(i, times.get((replicate, i), 0) * (1 + i % 2)) for i, _ in sources if i % 3 == g]
         assert (n, one) == (sum(i * t for i, t in own), sum(t for _, t in own))
     assert len(got) == 36
+
+
+def test_summaries_without_a_window(spark, monkeypatch):
+    r = random.Random(5)
+    names = [(i, c) for i, (c, *_) in enumerate(grid.CONDITIONS)]
+    rows = [(m, s, c, i, s % 2, r.choice([None, 0.1, 0.5, 0.9])) for m in ("m1", "m2") for s in range(40) for i, c in r.sample(names, r.choice([1, 5, 20]))]
+    rows += rows[::17]
+    d = spark.createDataFrame(rows, "method_id string, source_id long, condition_id string, idx int, label int, p double").repartition(3)
+    want = {}
+    for key in {x[:2] for x in rows}:
+        own = [x for x in rows if x[:2] == key]
+        clean = max((x[5] for x in own if x[2] == "clean" and x[5] is not None), default=None)
+        if clean is None:
+            continue
+        ps = [x[5] for x in own if x[5] is not None]
+        flips = [c for _, c in sorted((x[3], x[2]) for x in own if x[5] is not None and (x[5] >= 0.5) != (clean >= 0.5))]
+        status = "incomplete" if len(own) < 20 else "unstable" if flips else "stable"
+        want[key] = (round(max(ps) - min(ps), 6), flips, len(flips), len(own), status)
+    monkeypatch.setattr(pairs, "with_clean", None)
+    got = pairs.stress_summary(d)
+    assert {(x.method_id, x.source_id): tuple(x)[2:] for x in got.collect()} == want
+    plan = got.groupBy("status").agg(F.sum("n_flips"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan and "Sort" not in plan

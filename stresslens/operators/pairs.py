@@ -131,10 +131,12 @@ def greedy_conditions(rows: DataFrame, steps: int, threshold: float = 0.5) -> Da
     Verdicts are counted by pattern once; each step then works on the patterns.
     """
     spark = rows.sparkSession
-    j = with_clean(rows).where("condition_id <> 'clean'")
-    kept = (F.col("p") >= threshold) == (F.col("clean_p") >= threshold)
-    mask = F.sum(F.when(kept, F.expr("shiftleft(1L, idx)")).otherwise(F.lit(0).cast("long")))
-    s = j.groupBy("source_id").agg(mask.alias("mask"), F.max(((F.col("clean_p") >= threshold) == (F.col("label") == 1)).cast("int")).alias("label"))
+    clean, high, fake = F.col("condition_id") == "clean", F.col("p") >= threshold, F.col("label") == 1
+    bits = lambda side: F.sum(F.when(~clean & side, F.expr("shiftleft(1L, idx)")).otherwise(F.lit(0).cast("long")))
+    either = lambda x: F.max(F.when(~clean, x.cast("int")))
+    s = rows.groupBy("source_id", "method_id").agg(F.max(F.when(clean, F.col("p"))).alias("clean_p"), F.count_if(~clean).alias("n"), bits(high).alias("high"), bits(~high).alias("low"), either(fake).alias("fake"), either(~fake).alias("real")).where("clean_p is not null AND n > 0")
+    side = lambda a, b: F.when(F.col("clean_p") >= threshold, F.col(a)).otherwise(F.col(b))
+    s = s.groupBy("source_id").agg(F.sum(side("high", "low")).alias("mask"), F.max(side("fake", "real")).alias("label"))
     patterns = s.groupBy("mask", "label").agg(F.count("*").alias("w"))
     patterns.persist()
     left = {r.idx: r.condition_id for r in rows.select("idx", "condition_id").where("condition_id <> 'clean'").distinct().collect()}

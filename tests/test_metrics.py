@@ -237,3 +237,4 @@ def test_summaries_without_a_window(spark, monkeypatch):
     assert {(x.method_id, x.source_id): tuple(x)[2:] for x in got.collect()} == want
     plan = got.groupBy("status").agg(F.sum("n_flips"))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "collect_list" not in plan and "Sort" not in plan
+    assert pairs.greedy_conditions(d.where("method_id = 'm1'"), 3).count() == 3
